@@ -119,14 +119,19 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     after[-1] = False
     after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    power, inverse = _power(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[b] * power[:n], out=total[1:])
-    h = mix((total[ends] - total[starts]) * inverse[starts])
+    h = token_hashes(b, starts, ends)
     return starts, ends, h, np.searchsorted(starts, at - at[0])
 
 
+def token_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges."""
+    power, inverse = _power(len(b) + 1)
+    total = np.empty(len(b) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTE[b] * power[: len(b)], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start])
+
+
 def grams(h: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     """Hashes of the word tuples at i+offsets[0], i+offsets[1], ... for every i that has them all (rows are not minded)."""
     n = len(h) - max(offsets)

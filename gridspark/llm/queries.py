@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bpe, pii, quality, sharding, toxicity
+from gridspark.llm import bpe, pii, ppm, quality, sharding, toxicity
 from gridspark.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir))
+
+
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -35,5 +39,5 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op3_quality_gam, op4_toxicity_ftrl, op7_byte_bpe, op10_pii_surrogates)
+    for f in (op1_sharding, op2_ppm, op3_quality_gam, op4_toxicity_ftrl, op7_byte_bpe, op10_pii_surrogates)
 }

@@ -1,3 +1,5 @@
 """DuckDB SQL for the text operators that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from gridspark.llm import decontamination
+
+ORACLES: dict[str, str] = {"op6_winnowing": decontamination.ORACLE}

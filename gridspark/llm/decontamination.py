@@ -56,15 +56,16 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 1
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), word_list(F.col("text")).alias("words"))
     of = F.bitwise_not(F.lit((1 << PLACE_BITS) - 1).cast("long"))
     doc_side, item_side = keyed, []
+    # explode_outer: for explode the optimiser would test the arrays' sizes first, with all that makes them copied into the test
     fps: list[Column] = [F.array(F.size("words").cast("long").bitwiseOR(F.lit(-1 << 62)))]  # every document has this one: its number of words
     for n in lengths:
         size, here = min(k, n), F.col("words")
         doc_side = _fingerprints(doc_side, n, size).withColumnRenamed("fps", f"fps{n}")
-        fps.append(F.transform(f"fps{n}", lambda x, n=n: F.struct(F.lit(n).alias("n"), x.alias("fp"))))
+        fps.append(F.expr(f"transform(fps{n}, x -> named_struct('n', {n}, 'fp', x))"))
         mine = worded.where(F.size(here) >= n if n == window else F.size(here) == n)
-        item_side.append(_fingerprints(mine, n, size).select("item_id", F.lit(n).alias("n"), F.explode("fps").alias("fp"), "words"))
+        item_side.append(_fingerprints(mine, n, size).select("item_id", F.lit(n).alias("n"), F.explode_outer("fps").alias("fp")).where("fp is not null"))
     fps[0] = F.transform(fps[0], lambda x: F.struct(F.lit(0).alias("n"), x.alias("fp")))
-    each = doc_side.select("doc_id", "text_hash", F.explode(F.concat(*fps)).alias("f")).select("doc_id", "text_hash", "f.n", F.col("f.fp").bitwiseAND(of).alias("h"), F.col("f.fp").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("place"))
+    each = doc_side.select("doc_id", "text_hash", F.explode_outer(F.concat(*fps)).alias("f")).select("doc_id", "text_hash", "f.n", F.col("f.fp").bitwiseAND(of).alias("h"), F.col("f.fp").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("place"))
     if item_side:
         prints = reduce(DataFrame.unionByName, item_side).select("n", F.col("fp").bitwiseAND(of).alias("h"), "item_id", F.col("fp").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("item_place"))
         prints = prints if prints.count() > most_broadcast else F.broadcast(prints)

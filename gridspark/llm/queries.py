@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bpe, decontamination, langid, pii, ppm, quality, sharding, toxicity
+from gridspark.llm import bpe, decontamination, jaccard, langid, pii, ppm, quality, sharding, toxicity
 from gridspark.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -48,5 +52,5 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_ppm, op3_quality_gam, op4_toxicity_ftrl, op6_winnowing, op7_byte_bpe, op8_bigru_language, op10_pii_surrogates)
+    for f in (op1_sharding, op2_ppm, op3_quality_gam, op4_toxicity_ftrl, op5_jaccard_join, op6_winnowing, op7_byte_bpe, op8_bigru_language, op10_pii_surrogates)
 }

@@ -125,3 +125,19 @@ def score(docs: DataFrame, model: Ftrl, threshold: float = 0.5) -> DataFrame:
         return {"doc_id": batch.column(0), "held_out": batch.column(1), "score": s, "predicted": (s >= threshold).astype("i4")}
 
     return arrow_map(docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def kept(docs: DataFrame, model: Ftrl, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        m = shared.value
+        if not hasattr(m, "_dense"):
+            m._dense = m.dense()
+        for batch in batches:
+            s = 1 / (1 + np.exp(-np.clip(logits(batch.column(at), m._dense, m.bias), -30, 30)))
+            yield batch.filter(pa.array(s < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -68,7 +68,7 @@ def members(spark: SparkSession) -> DataFrame:
 
 def metrics(spark: SparkSession) -> DataFrame:
     """Made-up whole-number metrics of the components."""
-    n = F.crc32(F.concat("node", F.col("cp_density").cast("string")).cast("binary"))
+    n = F.conv(F.substring(F.md5(F.concat_ws("|", "node", F.col("cp_density").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     return components(spark).select(F.col("node").alias("id"), "cp_density", "type", *((F.floor(n / k) % 1000).cast("double").alias(m) for k, m in ((1, "betweenness_centrality"), (7, "degree"), (49, "vc"), (343, "katz"))))
 
 

@@ -71,7 +71,10 @@ _PARTS = {
     "rep": f"SELECT *, CASE WHEN type = 'Trafo' THEN 1.0 ELSE coefficient END * {_normal(1.0, 0.1, '101', 'run_id', 'time', 'component_id', chr(39) + 'd' + chr(39))} * p AS damage, CAST(trunc(time + greatest({_normal(5.0, 5.0, '101', 'run_id', 'time', 'component_id', chr(39) + 'r' + chr(39))} + 5 + damage / 10, 3.0)) AS INT) AS repaired_time FROM fail",
     "log": "SELECT run_id, component_id, kind || '-' || component_id || ':' || type || ':' || component_id AS node, unnest([time, repaired_time]) AS step, unnest(['failure', 'repair']) AS type FROM rep",
     "hourly": "SELECT o_orderstatus AS profile, datediff('day', DATE '1997-01-01', o_orderdate::DATE) AS hour, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS kw FROM orders WHERE o_orderdate >= '1997-01-01' AND o_orderdate < '1997-04-01' GROUP BY ALL",
-    "metrics": "SELECT node AS id, cp_density, type, n FROM comp_n",
+    "metrics": "SELECT node, cp_density, type AS type_y, " + ", ".join(f"((h // {k}) % 1000)::DOUBLE AS {m}" for m, k in {"betweenness_centrality": 1, "degree": 7, "vc": 49, "katz": 343}.items()) + " FROM (SELECT *, ('0x' || substr(md5(node || '|' || cp_density::VARCHAR), 1, 8))::BIGINT AS h FROM comp)",
+    "joined": "SELECT i.node, i.cp_density, i.carrier, i.impact, m.type_y, m.betweenness_centrality, m.degree, m.vc, m.katz FROM milli i JOIN metrics m ON m.node = i.node AND m.cp_density = i.cp_density WHERE impact IS NOT NULL",
+    "groups": "SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{t}')" for g, types in fixed.TYPE_GROUPS.items() for t in types) + ") v(type_group, type_y)",
+    "framed": "SELECT *, 'all' AS type_group FROM joined UNION ALL BY NAME SELECT joined.*, type_group FROM joined JOIN groups USING (type_y)",
     "moves": "SELECT id, node, step::INT AS step, event_id AS position, CASE type WHEN 'failure' THEN 0 ELSE 1 END AS kind FROM faults",
     "total": "SELECT cp_density, experiment, id, sum(c0 + c1 + c2)::BIGINT AS total FROM perf GROUP BY ALL",
 }
@@ -79,7 +82,7 @@ _RECURSIVE = {"walk", "clear"}
 _NEEDS = {
     "perf": ["run"], "faults": ["run"], "keyed": ["faults"], "pairs": ["keyed"], "inside": ["perf", "pairs"], "outside": ["comp", "perf", "pairs"], "long": ["comp", "inside", "outside"], "impact": ["long"], "milli": ["impact"], "members": ["comp"], "children": ["members", "milli"],
     "nodes": ["edges"], "arcs": ["edges"], "d0": ["nodes", "arcs"], **{f"d{k}": [f"d{k - 1}"] for k in range(1, 6)}, "dist": ["d5"], "walk": ["nodes", "arcs", "dist"], "sigma": ["walk"], "st": ["dist", "sigma"], "deg": ["edges"], "bc": ["nodes", "st"], "ebc": ["edges", "nodes", "arcs", "st"], "r0": ["nodes", "d0"], **{f"r{k}": [f"r{k - 1}"] for k in range(1, 6)}, "vit": ["r5", "dist"], "k0": ["nodes"], **{f"k{k}": [f"k{k - 1}", "arcs"] for k in range(1, 16)}, "kz": ["k15"], "clear": ["nodes", "grp", "arcs", "dist"], "gbc": ["grp", "st", "clear"],
-    "pi": ["edges"], "own": ["parts"], "trial": ["own"], "fail": ["trial"], "rep": ["fail"], "log": ["rep"], "moves": ["faults"], "total": ["perf"],
+    "pi": ["edges"], "own": ["parts"], "trial": ["own"], "fail": ["trial"], "rep": ["fail"], "log": ["rep"], "metrics": ["comp"], "joined": ["milli", "metrics"], "framed": ["joined", "groups"], "moves": ["faults"], "total": ["perf"],
 }
 
 
@@ -98,7 +101,6 @@ def _sql(body: str, *parts: str) -> str:
     return (f"WITH RECURSIVE {named} " if order else "") + body
 
 
-_METRIC = {"betweenness_centrality": 1, "degree": 7, "vc": 49, "katz": 343}
 ORACLES: dict[str, str] = {
     "scan_annotate": _sql("SELECT DISTINCT experiment, id, split_part(split_part(experiment, '/', 3), '-', 2) AS power_impact, split_part(split_part(experiment, '/', 3), '-', 3) AS heat_impact, split_part(split_part(experiment, '/', 3), '-', 4) AS gas_impact, split_part(split_part(experiment, '/', 3), '-', 5) AS mes_impact, cp_density FROM perf", "perf"),
     "component_key": _sql(f"SELECT DISTINCT node, {_KIND} AS kind, {_KIND} || ':' || split_part(node, ':', -1) AS key FROM faults WHERE type = 'failure'", "faults"),
@@ -112,6 +114,10 @@ ORACLES: dict[str, str] = {
     "impact_children": _sql("SELECT * FROM children", "children"),
     "impact_extended": _sql("SELECT cp_density, node, type, carrier, impact::DOUBLE AS impact, 'own' AS origin FROM milli UNION ALL SELECT cp_density, node, type, carrier, impact, 'children' FROM children", "children"),
     "rollup_grouping_sets": _sql(" UNION ALL ".join(f"SELECT '{n}' AS rollup, {', '.join(k if k in keys else 'NULL AS ' + k for k in ('type_carrier', 'type', 'carrier', 'cp_density'))}, sum(abs(impact)) / count(*)::DOUBLE AS mean, sum(abs(impact))::BIGINT AS total FROM milli WHERE impact IS NOT NULL GROUP BY {', '.join(keys)}" for n, keys in {"type_carrier": ("type_carrier", "carrier"), "type": ("type", "carrier"), "type_carrier_density": ("type_carrier", "carrier", "cp_density"), "carrier_density": ("carrier", "cp_density")}.items()), "milli"),
+    "metric_impact_join": _sql("SELECT * FROM joined", "joined"),
+    "metric_impact_all": _sql("SELECT type_y, cp_density, node, betweenness_centrality, degree, vc, katz, sum(impact)::BIGINT AS impact FROM joined GROUP BY ALL", "joined"),
+    "type_groups": _sql("SELECT type_group, carrier, count(*) AS n, sum(impact)::BIGINT AS impact FROM joined JOIN groups USING (type_y) GROUP BY ALL", "joined", "groups"),
+    "metric_impact_frame": _sql("SELECT carrier, cp_density, node, type_y, type_group, impact, unnest(['betweenness_centrality', 'degree', 'vc', 'katz']) AS metric, unnest([betweenness_centrality, degree, vc, katz]) AS value FROM framed", "framed"),
     "locf_performance": _sql("SELECT id, step, last_value(c0 IGNORE NULLS) OVER (PARTITION BY id ORDER BY step) AS c0 FROM (SELECT id, step, c0 FROM (SELECT DISTINCT id FROM perf) CROSS JOIN range(30) r(step) LEFT JOIN (SELECT id, step, sum(c0)::BIGINT AS c0 FROM perf WHERE step % 3 = 0 GROUP BY ALL) USING (id, step))", "perf"),
     "padded_series": _sql("SELECT id, step::INT AS step, coalesce(c0, 0) AS c0 FROM (SELECT DISTINCT id FROM perf) CROSS JOIN range(30) r(step) LEFT JOIN (SELECT id, step, c0 FROM perf) USING (id, step)", "perf"),
     "fault_state": _sql("SELECT id, node, step::INT AS step, coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY id, node ORDER BY step), 1) = 1 AS active FROM (SELECT DISTINCT id, node FROM moves) CROSS JOIN range(30) r(step) LEFT JOIN (SELECT id, node, step, max_by(kind, position) AS kind FROM moves WHERE step < 30 GROUP BY ALL) USING (id, node, step)", "moves"),
@@ -126,7 +132,7 @@ ORACLES: dict[str, str] = {
     "failures": _sql("SELECT run_id, component_id, time, round(p, 9) AS severity, 0 AS effect FROM fail", "fail"),
     "repairs": _sql("SELECT run_id, component_id, time, round(damage, 9) AS damage, repaired_time FROM rep", "rep"),
     "event_log": _sql("SELECT run_id, component_id, node, step, type FROM log WHERE step < 32", "log"),
-    "simulated_performance": _sql("SELECT run_id, step::INT AS step, round(coalesce(sum(CASE grid WHEN 'power' THEN nominal END), 0), 4) AS p0, round(coalesce(sum(CASE grid WHEN 'water' THEN nominal END), 0), 4) AS p1, round(coalesce(sum(CASE grid WHEN 'gas' THEN nominal END), 0), 4) AS p2 FROM range(3) r(run_id) CROSS JOIN range(32) t(step) LEFT JOIN (SELECT run_id, component_id, step AS x, type, lead(step, 1, 32) OVER (PARTITION BY run_id, component_id ORDER BY step, type DESC) AS y FROM (SELECT DISTINCT run_id, component_id, step, last_value(type) OVER (PARTITION BY run_id, component_id, step ORDER BY type ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS type FROM log WHERE step < 32)) USING (run_id) LEFT JOIN parts USING (component_id) WHERE type_is(x, y, step) GROUP BY ALL", "log", "parts"),
+    "simulated_performance": _sql("SELECT r.run_id, t.step::INT AS step, round(coalesce(sum(CASE grid WHEN 'power' THEN nominal END), 0), 4) AS p0, round(coalesce(sum(CASE grid WHEN 'water' THEN nominal END), 0), 4) AS p1, round(coalesce(sum(CASE grid WHEN 'gas' THEN nominal END), 0), 4) AS p2 FROM range(3) r(run_id) CROSS JOIN range(32) t(step) LEFT JOIN (SELECT run_id, x, y, grid, nominal FROM (SELECT run_id, component_id, step AS x, what, lead(step, 1, 32) OVER (PARTITION BY run_id, component_id ORDER BY step) AS y FROM (SELECT run_id, component_id, step, max(type) AS what FROM log WHERE step < 32 GROUP BY ALL)) JOIN parts USING (component_id) WHERE what = 'failure') f ON f.run_id = r.run_id AND t.step >= x AND t.step < y GROUP BY ALL", "log", "parts"),
     "violation_prob": "SELECT event_id, round(v, 9) AS violation, round(pow(v * 100, 1.5) / 100, 6) AS probability FROM (SELECT event_id, greatest((abs(value / 100 - 1) - 0.1 * 1.0) / (1.0 * 0.1), 0) AS v FROM events)",
     "load_components": _sql(f"SELECT component_id, type, is_load, dependent, CASE WHEN dependent THEN 'cp' WHEN contains(type, 'Water') THEN 'heat' WHEN contains(type, 'Gas') THEN 'gas' WHEN contains(type, 'Power') OR type = 'Bus' THEN 'power' ELSE 'heat' END AS plot_class FROM (SELECT component_id, {_list(fx.TYPES)}[component_id % 20 + 1] AS type, coalesce(type = 'PowerLoad' OR (type = 'Sink' AND grid = 'gas') OR type = 'HeatExchangerLoad', false) AS is_load, NOT independent AS dependent FROM (SELECT * EXCLUDE (type) FROM parts)) WHERE is_load OR dependent", "parts"),
     "eligible_components": _sql("SELECT kind, type, count(*) AS n FROM own GROUP BY ALL", "own"),
@@ -156,4 +162,3 @@ for _name, _keys in {"type_carrier": "type_carrier, carrier", "type": "type, car
     for _how, _agg in (("mean", "sum(abs(impact)) / count(*)::DOUBLE"), ("sum", "sum(abs(impact))::BIGINT")):
         ORACLES[f"rollup_{_name}_{_how}"] = _sql(f"SELECT {_keys}, {_agg} AS impact FROM milli WHERE impact IS NOT NULL GROUP BY ALL", "milli")
 ORACLES["metrics_table"] = ORACLES["metrics_table"].replace(" SELECT 'node:' || id AS id", ", own_all AS MATERIALIZED (SELECT * FROM deg JOIN bc USING (id) JOIN vit USING (id) JOIN kz USING (id)) SELECT 'node:' || id AS id", 1)
-ORACLES["simulated_performance"] = ORACLES["simulated_performance"].replace("WHERE type_is(x, y, step) GROUP BY ALL", "GROUP BY ALL")

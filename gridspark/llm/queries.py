@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bpe, decontamination, jaccard, langid, pii, ppm, quality, sharding, toxicity
+from gridspark.llm import bpe, decontamination, jaccard, langid, pii, ppm, quality, search, sharding, toxicity
 from gridspark.llm.common import documents
 
 
@@ -46,11 +46,17 @@ def op8_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op9_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text whose id is divisible by 100 as a query against all texts."""
+    docs = documents(spark, sf_dir)
+    return search.search(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.anonymise(documents(spark, sf_dir), "public demonstration key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_ppm, op3_quality_gam, op4_toxicity_ftrl, op5_jaccard_join, op6_winnowing, op7_byte_bpe, op8_bigru_language, op10_pii_surrogates)
+    for f in (op1_sharding, op2_ppm, op3_quality_gam, op4_toxicity_ftrl, op5_jaccard_join, op6_winnowing, op7_byte_bpe, op8_bigru_language, op9_bm25_search, op10_pii_surrogates)
 }

@@ -145,16 +145,16 @@ class BiGru:
         return self
 
 
-def train(docs: DataFrame, most: int = 1500, each: int = 6, hidden: int = 8) -> BiGru | None:
+def train(docs: DataFrame, most: int = 1500, each: int = 6, hidden: int = 8, languages: int = 1000) -> BiGru | None:
     """Fitted on about ``most`` texts of each language outside the held-out fold, by ``each`` windows of a text.
 
-    Shorter texts than a window are repeated to fill it.  Without a labelled text there is no model.
+    Learnt are the ``languages`` with most texts, which bounds the sample and what is broadcast.  Shorter texts than a window are repeated to fill it.  Without a labelled text there is no model.
     """
     known = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 4) != 2) & (F.length("text") > 0)).select("doc_id", "text", "lang")
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("count"))
-    counts = known.groupBy("lang").count().select("lang", share.alias("_share"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang", share.alias("_share"))
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = known.join(counts, "lang").where(hashed < F.col("_share")).select("doc_id", "text", "lang")
+    chosen = known.join(F.broadcast(counts), "lang").where(hashed < F.col("_share")).select("doc_id", "text", "lang")
 
     def run(batch: pa.RecordBatch) -> dict:
         data, at = binary_view(batch.column(1))

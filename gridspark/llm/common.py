@@ -6,6 +6,7 @@ Null texts count as empty everywhere.  Words are maximal runs of bytes outside
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,10 +51,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    """df written once to the shared folder and read back: cuts lineage and survives lost executors.
+
+    The shuffle files that df was made of are of no more use; Spark deletes them once the driver's JVM has
+    collected its garbage, which is asked for here.
+    """
+    spark, path, schema = df.sparkSession, scratch(df.sparkSession, name), df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has at most ``most`` rows; else the join is left to a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:

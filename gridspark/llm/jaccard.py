@@ -21,7 +21,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import _MUL, arrow_map, binary_view, grams, mix, slices, stored, words
+from gridspark.llm.common import _MUL, arrow_map, binary_view, dropped, grams, mix, sized, slices, stored, words
 
 SHINGLE = 5
 SKETCH_BITS = 18
@@ -93,69 +93,99 @@ def _levels(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, seed: int, percent: int, levels: Broadcast, seen: Broadcast | None) -> DataFrame:
-    """token, key, n, place of the prefix shingles of each class and task; without a filter only token and how many."""
+def _prefix_rows(batch: pa.RecordBatch, seed: int, percent: int, levels: np.ndarray, met: set[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Key, size and prefix of each set that the task has not met yet."""
+    for s, key, _ in sets(batch.column(0), seed):
+        if len(s) and key not in met:
+            met.add(key)
+            yield key, len(s), ordered(s, levels, 0)[: prefix_size(len(s), percent)]
+
+
+def _shared(docs: DataFrame, seed: int, percent: int, levels: Broadcast, shingles: int, per_bucket: int = 2_000_000) -> np.ndarray:
+    """The filter's words: a bit for each cell with a token of two classes (or of one class in two tasks).
+
+    Tasks sort their prefix tokens and send them in ranges; where a range meets, its tokens are counted.  The
+    number of ranges follows the number of shingles, and a task sends a token twice at most.
+    """
+    bits = max(6, min(FILTER_BITS - 6, int(shingles * (100 - percent) / 100 / per_bucket).bit_length()))
+    words_each = 1 << FILTER_BITS - 6 - bits
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for batch in batches:
+            found = [t for _, _, t in _prefix_rows(batch, seed, percent, levels.value, met)]
+            if found:
+                token = np.sort(np.concatenate(found))
+                edge = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                full = np.flatnonzero(np.diff(edge))
+                yield pa.RecordBatch.from_pydict({"bucket": full.astype(np.int32), "tokens": pa.array([token[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary())})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                have.setdefault(bucket, []).append(np.frombuffer(blob.as_py(), np.uint64))
+        for bucket, parts in have.items():
+            token = np.sort(np.concatenate(parts))
+            cell = np.unique(token[1:][token[1:] == token[:-1]] >> np.uint64(64 - FILTER_BITS)) - np.uint64((bucket * words_each) << 6)
+            out = np.zeros(words_each, np.uint64)
+            np.bitwise_or.at(out, (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "words": pa.array([out.tobytes()], pa.binary())})
+
+    sent = docs.select("text").mapInArrow(send, "bucket int, tokens binary")
+    table = sent.repartition(max(1 << bits, 64), "bucket").mapInArrow(meet, "bucket int, words binary")
+    out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    for r in table.toLocalIterator():  # 2 ** FILTER_BITS bits in all
+        out[r.bucket * words_each : (r.bucket + 1) * words_each] = np.frombuffer(bytes(r.words), np.uint64)
+    return out
+
+
+def _postings(docs: DataFrame, seed: int, percent: int, levels: Broadcast, seen: Broadcast) -> DataFrame:
+    """token, key, n, place of the prefix shingles that the filter lets through, once for each class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
             out: dict[str, list[np.ndarray]] = {"token": [], "key": [], "n": [], "place": []}
-            for s, key, _ in sets(batch.column(0), seed):
-                if not len(s) or key in met:
-                    continue
-                met.add(key)
-                token = ordered(s, levels.value, 0)[: prefix_size(len(s), percent)]
-                place = np.arange(len(token))
-                if seen is not None:
-                    cell = token >> np.uint64(64 - FILTER_BITS)
-                    has = (seen.value[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
-                    token, place = token[has], place[has]
-                    out["key"].append(np.full(len(token), key, np.int64))
-                    out["n"].append(np.full(len(token), len(s), np.int32))
+            for key, n, token in _prefix_rows(batch, seed, percent, levels.value, met):
+                cell = token >> np.uint64(64 - FILTER_BITS)
+                place = np.flatnonzero((seen.value[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1))
+                if len(place):
+                    out["token"].append(token[place].view(np.int64))
+                    out["key"].append(np.full(len(place), key, np.int64))
+                    out["n"].append(np.full(len(place), n, np.int32))
                     out["place"].append(place.astype(np.int32))
-                out["token"].append(token)
-            if not out["token"]:
-                continue
-            token = np.concatenate(out["token"])
-            if seen is None:
-                token, n = np.unique(token, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"token": token.view(np.int64), "n": n.astype(np.int32)})
-            else:
-                yield pa.RecordBatch.from_pydict({"token": token.view(np.int64)} | {k: np.concatenate(v) for k, v in out.items() if k != "token"})
-
-    return docs.select("text").mapInArrow(run, "token long, n int" if seen is None else "token long, key long, n int, place int")
+            if out["token"]:
+                yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()})
 
-
-def _shared(prefixes: DataFrame) -> np.ndarray:
-    """The filter's words: a bit for each cell in which a token of two classes (or of one class in two tasks) lies."""
-    cell = F.shiftrightunsigned("token", 64 - FILTER_BITS)
-    several = prefixes.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
-    bits = several.select(cell.alias("c")).selectExpr("cast(c >> 6 as int) as word", "shiftleft(1L, cast(c & 63 as int)) as bit")
-    table = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2 ** (FILTER_BITS - 6)
-    out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    out[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-    return out
+    return docs.select("text").mapInArrow(run, "token long, key long, n int, place int")
 
 
 def _may_link(percent: int) -> Column:
-    """Sizes and places of a and b allow a similarity of percent if the shared token is their first one."""
-    na, nb, pa_, pb = (F.col(c).cast("long") for c in ("a.n", "b.n", "a.place", "b.place"))
+    """Sizes and places (n, place and n2, p2) allow a similarity of percent if the shared token is their first one."""
+    na, nb, pa_, pb = (F.col(c).cast("long") for c in ("n", "n2", "place", "p2"))
     least = F.ceil(percent * (na + nb) / (100 + percent))
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) >= least)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, seed: int, percent: int, levels: Broadcast) -> DataFrame:
-    """Those of the pairs (x, y) of classes whose prefixes meet under all orders and whose sets are similar."""
-    pairs = stored(pairs, "jaccard")
-    ends = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
-    wanted = reps.join(ends, "key", "left_semi").select("rep")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, seed: int, percent: int, levels: Broadcast, most: int = 2_000_000) -> DataFrame:
+    """Those of the pairs (x, y) of classes whose prefixes meet under all orders and whose sets are similar.
 
-    def run(batch: pa.RecordBatch) -> dict:
-        found = list(sets(batch.column(0), seed))
-        return {"key": np.array([k for _, k, _ in found], np.int64), "shingles": pa.array([s.tobytes() for s, _, _ in found], pa.binary())}
+    The set of x is made from its text and sent to y.  Pairs that are at most ``most`` are broadcast to the
+    texts, others are joined by a shuffle.
+    """
+
+    def made(ends: DataFrame, keep: str) -> DataFrame:
+        """ends: key, rep and a column to keep; gives the set of each end."""
+        texts = docs.select("doc_id", "text").join(sized(ends, most), F.col("doc_id").eqNullSafe(F.col("rep")))
 
-    whole = stored(arrow_map(texts.select("text"), run, "key long, shingles binary").dropDuplicates(["key"]), "jaccard")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found, keys = list(sets(batch.column(0), seed)), batch.column(1).to_pylist()
+                good = [i for i, (_, k, _) in enumerate(found) if k == keys[i]]  # a row of another text may have the same id
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(good, pa.int64())), batch.column(2).take(pa.array(good, pa.int64())), pa.array([found[i][0].tobytes() for i in good], pa.binary())], ["key", keep, "shingles"])
+
+        return texts.select("text", "key", keep).mapInArrow(run, f"key long, {keep} long, shingles binary")
 
     def test(batch: pa.RecordBatch) -> dict:
         links: dict[str, list[int]] = {"x": [], "y": []}
@@ -177,9 +207,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, seed: int, per
                     links["y"].append(y)
         return {k: pa.array(v, pa.int64()) for k, v in links.items()}
 
-    one = whole.select(F.col("key").alias("x"), F.col("shingles").alias("a"))
-    two = whole.select(F.col("key").alias("y"), F.col("shingles").alias("b"))
-    return stored(arrow_map(pairs.join(one, "x").join(two, "y").select("x", "y", "a", "b"), test, "x long, y long"), "jaccard")
+    one = made(pairs.join(reps, pairs.x == reps.key).select("key", "rep", "y"), "y").select(F.col("key").alias("x"), "y", F.col("shingles").alias("a"))
+    two = made(reps.join(pairs.select(F.col("y").alias("key")).distinct(), "key").withColumn("copy", F.col("key")), "copy").select(F.col("key").alias("y"), F.col("shingles").alias("b"))
+    return stored(arrow_map(one.join(two, "y").select("x", "y", "a", "b"), test, "x long, y long"), "jaccard")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -203,7 +233,9 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
         small = stored(small, "components")
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
+        same = small.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(small, ["u", "v"], "left_anti").isEmpty()
+        dropped(edges.sparkSession, edges, large)
+        if same:
             return small.select(F.col("u").alias("key"), F.col("v").alias("root")).union(small.select("v", "v")).distinct()
         edges = small
 
@@ -221,27 +253,33 @@ def join(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame:
     mine = rows.where("cell is null and n > 0").select("doc_id", "key", "n")
     reps = stored(mine.groupBy("key").agg(F.min("doc_id").alias("rep")), "jaccard")
     levels = spark.sparkContext.broadcast(_levels(rows))
-    seen = spark.sparkContext.broadcast(_shared(_prefixes(docs, seed, percent, levels, None)))
-    index = stored(_prefixes(docs, seed, percent, levels, seen).groupBy("token", "key").agg(F.first("n").alias("n"), F.first("place").alias("place")), "jaccard")
-    links = done = None
+    shingles = mine.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seen = spark.sparkContext.broadcast(_shared(docs, seed, percent, levels, shingles))
+    index = _postings(docs, seed, percent, levels, seen).groupBy("token", "key").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+    index = stored(index.withColumn("root", F.col("key")), "jaccard")
+    links = done = spark.createDataFrame([], "x long, y long")
     for turn in range(stars + 1):
-        if links is None:
-            at = index.withColumn("root", F.col("key"))
-        else:
-            at = index.join(components(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        mixed = at.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("key", "n", "place", "root"), F.xxhash64("root", "key", F.lit(turn))).alias("one")).where("low <> high")
+        if turn:
+            index = index.drop("root").join(components(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
+            index = index.select("token", "key", "n", "place", "root")
+        # entries whose members are in different groups; the others have nothing more to say
+        mixed = index.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("key", "n", "place", "root"), F.xxhash64("root", "key", F.lit(turn))).alias("one")).where("low <> high")
+        left = stored(index.join(mixed.select("token", "one"), "token"), "jaccard")
+        dropped(spark, index)
+        index = left.drop("one")
         if turn < stars:
-            met = at.alias("a").join(mixed.select("token", "one.*").alias("b"), "token").where("a.root <> b.root")
+            met = left.select("key", "n", "place", "root", F.col("one.key").alias("k2"), F.col("one.n").alias("n2"), F.col("one.place").alias("p2"), F.col("one.root").alias("r2"))
         else:
-            left = stored(at.join(mixed.select("token"), "token"), "jaccard")
-            met = left.alias("a").join(left.alias("b"), "token").where("a.key < b.key and a.root <> b.root")
-        pairs = met.where(_may_link(percent)).select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["x", "y"], "left_anti")
-        pairs = stored(pairs, "jaccard")
-        done = pairs if done is None else done.union(pairs)
-        new = _verified(pairs, docs, reps, seed, percent, levels)
-        links = new if links is None else links.union(new)
+            other = index.select("token", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.col("root").alias("r2"))
+            met = index.join(other, "token").where("key < k2")
+        met = met.where(F.col("root") != F.col("r2")).where(_may_link(percent))
+        pairs = met.groupBy(F.least("key", "k2").alias("x"), F.greatest("key", "k2").alias("y"), F.col("key").alias("of")).agg(F.count("*").alias("shared"))
+        pairs = pairs.join(done, ["x", "y"], "left_anti")
+        if turn < stars:  # of each class the pair with most in common
+            pairs = pairs.groupBy("of").agg(F.max_by(F.struct("x", "y"), F.struct("shared", "x", "y")).alias("p")).select("p.*")
+        pairs = stored(pairs.select("x", "y").distinct(), "jaccard")
+        done = done.union(pairs)
+        links = links.union(_verified(pairs, docs, reps, seed, percent, levels))
     groups = components(links)
     least = groups.join(reps, "key").groupBy("root").agg(F.min("rep").alias("least"))
     named = reps.join(groups.join(least, "root"), "key", "left").select("key", F.col("rep").alias("class_id"), F.coalesce("least", "rep").alias("component_id"))

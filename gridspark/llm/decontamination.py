@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import stored
+from gridspark.llm.common import sized, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A fingerprint holds the upper bits of a hash and, below them, the place of its k-gram.
@@ -45,11 +45,11 @@ def _fingerprints(frame: DataFrame, window: int, k: int) -> DataFrame:
     )
 
 
-def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, most_broadcast: int = 500_000) -> tuple[DataFrame, DataFrame]:
+def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, most_broadcast: int = 500_000, most_hits: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, text_hash, n_words) and hit windows (doc_id, text_hash, item_id, start, length).
 
     Items shorter than a window are one window of their own length: those of each such length are found by
-    all spans of it.  Their fingerprints are broadcast up to ``most_broadcast`` and joined by a shuffle beyond.
+    all spans of it.  Their fingerprints are broadcast up to ``most_broadcast`` and joined by a shuffle beyond, hits likewise up to ``most_hits``.
     """
     worded = items.where("item_id is not null").select("item_id", word_list(F.col("text")).alias("words")).where("size(words) > 0").distinct()
     lengths = sorted(r[0] for r in worded.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect())
@@ -74,13 +74,14 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 1
         each = each.withColumns({"item_id": F.lit(None).cast("long"), "item_place": F.lit(0)})
     found = stored(each.select("doc_id", "text_hash", "n", "place", "item_id", "item_place"), "winnow")
     counted = found.where("n = 0").select("doc_id", "text_hash", F.col("place").cast("long").alias("n_words"))
-    touched = found.where("n > 0")
-    hit_docs = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", "text_hash", "text")
-    texts = hit_docs.join(touched.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    touched = found.where("n > 0").distinct()
+    # texts that have hits, by broadcasts as long as hits are few; only those are cut into words again
+    keys = sized(touched.select("doc_id", "text_hash").distinct(), most_hits)
+    texts = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", "text_hash", "text").join(keys, ["doc_id", "text_hash"], "left_semi")
     texts = texts.select("doc_id", "text_hash", word_list(F.col("text")).alias("words"))
     sides = worded.select("item_id", F.col("words").alias("item_words"))
     sides = F.broadcast(sides) if item_side and worded.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] <= 4 * most_broadcast else sides
-    spans = touched.distinct().join(texts, ["doc_id", "text_hash"]).join(sides, "item_id")
+    spans = texts.join(sized(touched, most_hits), ["doc_id", "text_hash"]).join(sides, "item_id")
     # a window that holds the k-gram starts at most n - k words before it, within both texts
     away = F.col("place") - F.col("item_place")
     room = F.col("n") - F.least(F.lit(k), F.col("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +56,10 @@ def random_profile(components: DataFrame, steps: int, seed: int, centre: float =
 
 def read_csv(spark: SparkSession, pattern: str, columns: list[str], files: int, steps: int) -> DataFrame:
     """profile, hour and the named columns of the first files by name and of their first steps / 4 hours."""
-    df = spark.read.option("header", True).csv(pattern).select(*(F.col(f"`{c}`").cast("double").alias(c) for c in columns), F.col("_metadata.file_path").alias("profile"), F.monotonically_increasing_id().alias("_row"))
-    chosen = df.select("profile").distinct().orderBy("profile").limit(files)
-    rows = df.join(chosen, "profile")
+    path = F.col("_metadata.file_path").alias("profile")
+    chosen = [r.profile for r in spark.read.text(pattern).select(path).distinct().orderBy("profile").limit(files).collect()]
+    each = [spark.read.option("header", True).csv(f).select(*(F.col(f"`{c}`").cast("double").alias(c) for c in columns), path, F.monotonically_increasing_id().alias("_row")) for f in chosen]
+    if not each:
+        raise FileNotFoundError(pattern)
+    rows = reduce(DataFrame.unionByName, each)  # columns go by the names in each file's header
     return rows.withColumn("hour", F.row_number().over(Window.partitionBy("profile").orderBy("_row")) - 1).where(F.col("hour") < steps // 4).drop("_row")

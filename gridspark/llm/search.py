@@ -6,7 +6,7 @@ terms sum up to less than the k-th best score known so far (the pivot test of WA
 of best bound are scored first.  Queries go through a shard in batches: terms that many texts have are kept
 as a dense matrix, so that bounds and scores of a batch are matrix products, the others as lists.  Statistics
 (number of texts, mean length, document frequencies) are those of all texts, so scores of different shards
-compare and the merged k best are the k best of all.
+compare and the k best of a task, then of all tasks, are the k best of all.
 """
 
 from __future__ import annotations
@@ -180,20 +180,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, numbers=numbers) -> Iterator[pa.RecordBatch]:
             q, (idf, mean) = shared.value, numbers.value
-            floor = np.zeros(len(q.ids))  # of this task's shards so far
+            top = [(np.zeros(0, np.int64), np.zeros(0))] * len(q.ids)  # of this task's shards so far
+            floor = np.zeros(len(q.ids))
 
-            def answers(part: list[tuple[np.ndarray, ...]], ids: list[np.ndarray]) -> pa.RecordBatch:
+            def look(part: list[tuple[np.ndarray, ...]], ids: list[np.ndarray]) -> None:
                 lengths, doc, term = (np.concatenate(x) for x in zip(*part, strict=True))
                 shard = Shard(np.concatenate(ids), lengths, doc, term, len(q.vocabulary), idf, mean)
-                out: list[list[np.ndarray]] = [[], [], []]
                 for a in range(0, len(q.ids), 128):
                     z = min(len(q.ids), a + 128)
                     for i, place, value in shard.best(q, a, z, k, floor[a:z]):
-                        for x, y in zip(out, (np.full(len(place), q.ids[i]), shard.ids[place], value), strict=True):
-                            x.append(y)
-                        if len(value) == k:
-                            floor[i] = max(floor[i], value[-1])
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "doc_id", "score"])
+                        name, value = np.concatenate([top[i][0], shard.ids[place]]), np.concatenate([top[i][1], value])
+                        by = np.lexsort((name, -value))[:k]
+                        top[i] = name[by], value[by]
+                        if len(by) == k:
+                            floor[i] = top[i][1][-1]
 
             part, ids, size, count = [], [], 0, 0
             for batch in batches:
@@ -206,10 +206,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
                     ids.append(name[a:z])
                     size, count = size + int(at[z] - at[a]), count + z - a
                     if size >= shard_bytes:
-                        yield answers(part, ids)
+                        look(part, ids)
                         part, ids, size, count = [], [], 0, 0
             if count:
-                yield answers(part, ids)
+                look(part, ids)
+            for a in range(0, len(q.ids), 1000):
+                name, value = zip(*top[a : a + 1000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids[a : a + 1000], [len(x) for x in value])), pa.array(np.concatenate(name)), pa.array(np.concatenate(value))], ["query_id", "doc_id", "score"])
 
         one = texts.mapInArrow(run, "query_id long, doc_id long, score double")
         found = one if found is None else found.unionAll(one)

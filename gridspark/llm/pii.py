@@ -192,6 +192,8 @@ def entities(text: str) -> Iterator[tuple[int, int, str]]:
             yield *m.span(m.lastindex), "secret"
     if not _TRIGGERS.isdisjoint(_WORD.findall(text)):
         for m in _NAME.finditer(text):
+            if m["family"] and not m["family"][0].isupper():
+                continue  # a word that is also a name
             for group in ("titled", "plain", "family"):
                 if m[group]:
                     for w in _WORD.finditer(text, *m.span(group)):

@@ -284,7 +284,7 @@ def score(docs: DataFrame, order: int = 5, heavy_share: int = 1 << 22, most_gram
     grams, heads = counts.where(f"kind = {GRAM}"), counts.where(f"kind = {WORD}")
     total, kinds = heads.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     least = max(1, -(-total // heavy_share))
-    keys, n = _arrays(heads.where(F.col("n") >= least), "key", "n")
+    keys, n = _arrays(heads.where((F.col("n") >= least) | (F.col("key") == END)), "key", "n")
     by = np.argsort(keys.view(np.uint64))
     heavy = spark.sparkContext.broadcast((keys.view(np.uint64)[by], np.log10(n[by] + 1.0)))
     below = float(np.log10(total + kinds + 1))

@@ -21,7 +21,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import _MUL, arrow_map, binary_view, dropped, grams, mix, sized, slices, stored, words
+from gridspark.llm.common import _MUL, arrow_map, batches_of, binary_view, dropped, grams, mix, sized, slices, stored, words
 
 SHINGLE = 5
 SKETCH_BITS = 18
@@ -209,7 +209,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, seed: int, per
 
     one = made(pairs.join(reps, pairs.x == reps.key).select("key", "rep", "y"), "y").select(F.col("key").alias("x"), "y", F.col("shingles").alias("a"))
     two = made(reps.join(pairs.select(F.col("y").alias("key")).distinct(), "key").withColumn("copy", F.col("key")), "copy").select(F.col("key").alias("y"), F.col("shingles").alias("b"))
-    return stored(arrow_map(one.join(two, "y").select("x", "y", "a", "b"), test, "x long, y long"), "jaccard")
+    with batches_of(docs.sparkSession, 500):  # a row has two whole sets
+        return stored(arrow_map(one.join(two, "y").select("x", "y", "a", "b"), test, "x long, y long"), "jaccard")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:

@@ -7,14 +7,14 @@ leaves few weights that are not 0, which is all that is broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import arrow_map, binary_view, fold, grams, slices, words
+from gridspark.llm.common import arrow_map, binary_view, fold, grams, slices, stored, words
 from gridspark.llm.quality import sampled_labels
 
 BITS = 20
@@ -88,25 +88,45 @@ def logits(column: pa.Array, dense: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
+def _features(batch: pa.RecordBatch) -> dict:
+    data, at = binary_view(batch.column(1))
+    found: list[np.ndarray] = []
+    for a, z in slices(at):
+        _, _, h, first = words(data, at[a : z + 1])
+        ids, rows = buckets(h, first)
+        pairs = np.unique(rows << BITS | ids)
+        found += np.split((pairs & (1 << BITS) - 1).astype("<i4"), np.searchsorted(pairs >> BITS, np.arange(1, z - a)))
+    return {"doc_id": batch.column(0), "label": batch.column(2).cast(pa.float64()), "x": pa.array([x.tobytes() for x in found], pa.binary())}
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(1 << BITS, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            n[np.frombuffer(x.as_buffer(), "<i4")] += 1
+    full = np.flatnonzero(n)
+    yield pa.RecordBatch.from_pydict({"bucket": full, "n": n[full]})
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Ftrl:
-    """Fitted on at most ``most`` labelled texts that aren't held out; without any, all scores are 0.5."""
+    """Fitted on at most ``most`` labelled texts that aren't held out; without any, all scores are 0.5.
+
+    Buckets of too few texts are dropped where the features are made; only the others reach the driver.
+    """
+    spark, model = docs.sparkSession, Ftrl()
     chosen = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, "toxic", 0, 5, most)), "doc_id")
+    sample = stored(arrow_map(chosen.select("doc_id", "text", "_label"), _features, "doc_id long, label double, x binary"), "toxicity")
+    often = sample.select("x").mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= model.least)
+    mask = np.zeros(1 << BITS, bool)
+    mask[often.select("bucket").toArrow()["bucket"].to_numpy()] = True
+    shared = spark.sparkContext.broadcast(mask)
 
     def run(batch: pa.RecordBatch) -> dict:
-        data, at = binary_view(batch.column(1))
-        found = []
-        for a, z in slices(at):
-            _, _, h, first = words(data, at[a : z + 1])
-            ids, rows = buckets(h, first)
-            for i in range(z - a):
-                found.append(np.unique(ids[rows == i]) if z - a < 8 else None)
-            if z - a >= 8:
-                pairs = np.unique(rows << BITS | ids)
-                found[-(z - a) :] = np.split((pairs & (1 << BITS) - 1).astype(np.int32), np.searchsorted(pairs >> BITS, np.arange(1, z - a)))
-        return {"doc_id": batch.column(0), "label": batch.column(2).cast(pa.float64()), "x": pa.array([x.astype("<i4").tobytes() for x in found], pa.binary())}
-
-    rows = sorted((r.doc_id, r.label, bytes(r.x)) for r in arrow_map(chosen.select("doc_id", "text", "_label"), run, "doc_id long, label double, x binary").toLocalIterator())
-    return Ftrl().fit([np.frombuffer(r[2], "<i4") for r in rows], [r[1] for r in rows])
+        x = [np.frombuffer(v.as_buffer(), "<i4") for v in batch.column(2)]
+        return {"doc_id": batch.column(0), "label": batch.column(1), "x": pa.array([v[shared.value[v]].tobytes() for v in x], pa.binary())}
+
+    rows = sorted((r.doc_id, r.label, bytes(r.x)) for r in arrow_map(sample, run, "doc_id long, label double, x binary").toLocalIterator())
+    return model.fit([np.frombuffer(r[2], "<i4") for r in rows], [r[1] for r in rows])
 
 
 def score(docs: DataFrame, model: Ftrl, threshold: float = 0.5) -> DataFrame:

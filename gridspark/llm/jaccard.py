@@ -227,6 +227,7 @@ def components(links: DataFrame) -> DataFrame:
     larger and to the smaller ones; each round is written to the shared folder.
     """
     edges = stored(links.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "components")
+    mark: tuple = ()
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -234,11 +235,11 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
         small = stored(small, "components")
-        same = small.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(small, ["u", "v"], "left_anti").isEmpty()
+        now = tuple(small.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         dropped(edges.sparkSession, edges, large)
-        if same:
+        if now == mark:
             return small.select(F.col("u").alias("key"), F.col("v").alias("root")).union(small.select("v", "v")).distinct()
-        edges = small
+        edges, mark = small, now
 
 
 def join(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame:

@@ -161,11 +161,26 @@ def _postings(docs: DataFrame, seed: int, percent: int, levels: Broadcast, seen:
     return docs.select("text").mapInArrow(run, "token long, key long, n int, place int")
 
 
+def _sizes_match(percent: int) -> Column:
+    na, nb = F.col("n").cast("long"), F.col("n2").cast("long")
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+
+
 def _may_link(percent: int) -> Column:
     """Sizes and places (n, place and n2, p2) allow a similarity of percent if the shared token is their first one."""
     na, nb, pa_, pb = (F.col(c).cast("long") for c in ("n", "n2", "place", "p2"))
-    least = F.ceil(percent * (na + nb) / (100 + percent))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) >= least)
+    return _sizes_match(percent) & (F.least(na - pa_, nb - pb) >= F.ceil(percent * (na + nb) / (100 + percent)))
+
+
+def _overlap_bound(percent: int) -> Column:
+    """What two prefixes share allows a similarity of percent; place and p2 are those of the last shared token.
+
+    Common tokens after that one are beyond the end of the prefix that ends first in the order.
+    """
+    na, nb, pa_, pb, shared = (F.col(c).cast("long") for c in ("n", "n2", "place", "p2", "shared"))
+    beyond = lambda n: F.ceil(n * percent / 100) - 1
+    most = shared + F.least(na - pa_ - 1, nb - pb - 1, F.greatest(beyond(na), beyond(nb)))
+    return most >= F.ceil(percent * (na + nb) / (100 + percent))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, seed: int, percent: int, levels: Broadcast, most: int = 2_000_000) -> DataFrame:
@@ -242,7 +257,7 @@ def components(links: DataFrame) -> DataFrame:
         edges, mark = small, now
 
 
-def join(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame:
+def join(docs: DataFrame, percent: int = 75, stars: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every row.
 
     component_id is the smallest id that links lead to, class_id the smallest one of an equal set.  A text
@@ -250,6 +265,11 @@ def join(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame:
     with nothing and has its own id as class and component.  Rows with one id and different texts are
     separate; a null id is passed over when the smallest is taken; an empty table gives no rows.
     """
+    with batches_of(docs.sparkSession, 2000):  # tasks hold little more than a batch of texts
+        return _join(docs, percent, stars)
+
+
+def _join(docs: DataFrame, percent: int, stars: int) -> DataFrame:
     spark = docs.sparkSession
     rows, seed = _classes(docs)
     mine = rows.where("cell is null and n > 0").select("doc_id", "key", "n")
@@ -274,10 +294,13 @@ def join(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame:
         else:
             other = index.select("token", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.col("root").alias("r2"))
             met = index.join(other, "token").where("key < k2")
-        met = met.where(F.col("root") != F.col("r2")).where(_may_link(percent))
-        pairs = met.groupBy(F.least("key", "k2").alias("x"), F.greatest("key", "k2").alias("y"), F.col("key").alias("of")).agg(F.count("*").alias("shared"))
+        # where a pair is judged by all that its prefixes share, no entry may be left out before they are counted
+        met = met.where(F.col("root") != F.col("r2")).where(_may_link(percent) if turn < stars else _sizes_match(percent))
+        pairs = met.groupBy(F.least("key", "k2").alias("x"), F.greatest("key", "k2").alias("y"), F.col("key").alias("of")).agg(F.count("*").alias("shared"), *(F.max(c).alias(c) for c in ("n", "n2", "place", "p2")))
         pairs = pairs.join(done, ["x", "y"], "left_anti")
-        if turn < stars:  # of each class the pair with most in common
+        if turn == stars:  # all that the two prefixes share has been seen here
+            pairs = pairs.where(_overlap_bound(percent))
+        else:  # of each class the pair with most in common
             pairs = pairs.groupBy("of").agg(F.max_by(F.struct("x", "y"), F.struct("shared", "x", "y")).alias("p")).select("p.*")
         pairs = stored(pairs.select("x", "y").distinct(), "jaccard")
         done = done.union(pairs)

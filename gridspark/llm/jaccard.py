@@ -9,6 +9,10 @@ need not be exact, as any order that is the same for all texts will do.
 Texts with equal sets are one class.  Links are first sought with one member of each index entry, and
 members that this has joined are not compared again: what is left are the entries whose members lie in
 different groups, and there every pair that passes the filters is verified.
+
+That finds the groups, not every link.  As a link never leaves its group, all links are counted by comparing
+every two classes of a group: blocks of whole sets meet in pairs of blocks, so that a set is sent once for
+each block of its group and no row is made for a pair.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ SKETCH_BITS = 18
 #: Bits of the filter of shingles that several classes have: 16 MB, whatever the input.
 FILTER_BITS = 27
 ORDERS = (0x0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: Classes and shingles that a block of a group has on average, at most.
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 2_000_000
 
 
 def sets(column: pa.Array, seed: int = 0) -> Iterator[tuple[np.ndarray, int, int]]:
@@ -235,6 +241,77 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None, width: int = 4096) -> np.ndarray:
+    """How many numbers each of a shares with each of b (or of a); a set has distinct numbers."""
+    both = a + (b or [])
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    token, column, n = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    often = n[column] > 1  # the others are shared by nobody
+    row, column = row[often], (np.cumsum(n > 1) - 1)[column[often]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(a), len(both) - len(a) if b else len(a)), np.int64)
+    columns = int(column[-1]) + 1 if len(column) else 0
+    for c in range(0, columns, width):
+        i, j = np.searchsorted(column, [c, c + width])
+        m = np.zeros((len(both), min(width, columns - c)), np.float32)  # sums of at most width ones are exact
+        m[row[i:j], column[i:j] - c] = 1
+        out += (m[: len(a)] @ (m[len(a) :] if b else m).T).astype(np.int64)
+    if b is None:
+        np.fill_diagonal(out, [len(x) for x in a])
+    return out
+
+
+def _linked(docs: DataFrame, groups: DataFrame, reps: DataFrame, seed: int, percent: int, most: int = 2_000_000) -> DataFrame:
+    """key and n (rows of other classes that it is linked with) of the classes of groups (key, root): every two classes of a group are compared."""
+    member = groups.join(reps, "key").select("key", "root", "rep", "copies", "size")
+    many = member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    ends = stored(member.join(many, "root").select("key", "rep", "copies", "root", "blocks"), "jaccard")
+    texts = docs.select("doc_id", "text").join(sized(ends, most), F.col("doc_id").eqNullSafe(F.col("rep")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, keys = list(sets(batch.column(0), seed)), batch.column(1).to_pylist()
+            good = [i for i, (_, k, _) in enumerate(found) if k == keys[i]]  # a row of another text may have the same id
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(good, pa.int64())) for c in range(1, 5)), pa.array([found[i][0].tobytes() for i in good], pa.binary())], ["key", "copies", "root", "blocks", "shingles"])
+
+    made = texts.select("text", "key", "copies", "root", "blocks").mapInArrow(run, "key long, copies long, root long, blocks long, shingles binary")
+    made = made.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    made = made.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "copies", "shingles")
+
+    def meet(at: tuple, rows: dict[int, tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        """rows: block, copies and set of each key (rows of one id and text bring a set more than once)."""
+        sides = [[(k, m, s) for k, (block, m, s) in rows.items() if block == x] for x in dict.fromkeys(at[1:])]
+        a, b = sides[0], sides[-1]
+        na, nb = (np.array([len(s) for _, _, s in x], np.int64) for x in (a, b))
+        both = overlaps([s for _, _, s in a], [s for _, _, s in b] if len(sides) > 1 else None) if a and b else np.zeros((len(a), len(b)), np.int64)
+        link = 100 * both >= percent * (na[:, None] + nb - both)
+        if len(sides) == 1:
+            np.fill_diagonal(link, False)
+        copies = [np.array([m for _, m, _ in x], np.int64) for x in (a, b)]
+        key, n = [k for k, _, _ in a], link @ copies[1]
+        if len(sides) > 1:
+            key, n = key + [k for k, _, _ in b], np.concatenate([n, copies[0] @ link])
+        return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, {}
+        for batch in batches:
+            for *here, block, key, copies, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != at:
+                    if at:
+                        yield meet(at, rows)
+                    at, rows = here, {}
+                rows[key] = block, copies, np.frombuffer(blob, np.uint64)
+        if at:
+            yield meet(at, rows)
+
+    with batches_of(docs.sparkSession, 500):  # a row has a whole set
+        dealt = made.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+        part = stored(dealt.mapInArrow(count, "key long, n long"), "jaccard")
+    return part.groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """key and root (the least key that it is connected with) of every end of a link x, y.
 
@@ -269,11 +346,20 @@ def join(docs: DataFrame, percent: int = 75, stars: int = 1) -> DataFrame:
         return _join(docs, percent, stars)
 
 
-def _join(docs: DataFrame, percent: int, stars: int) -> DataFrame:
+def links(docs: DataFrame, percent: int = 75, stars: int = 1) -> DataFrame:
+    """What join() gives and n_links: how many other rows are similar to the row, those of its own class included.
+
+    All pairs of classes within a group are compared; a text without words has no links.
+    """
+    with batches_of(docs.sparkSession, 2000):
+        return _join(docs, percent, stars, True)
+
+
+def _join(docs: DataFrame, percent: int, stars: int, count: bool = False) -> DataFrame:
     spark = docs.sparkSession
     rows, seed = _classes(docs)
     mine = rows.where("cell is null and n > 0").select("doc_id", "key", "n")
-    reps = stored(mine.groupBy("key").agg(F.min("doc_id").alias("rep")), "jaccard")
+    reps = stored(mine.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("size")), "jaccard")
     levels = spark.sparkContext.broadcast(_levels(rows))
     shingles = mine.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     seen = spark.sparkContext.broadcast(_shared(docs, seed, percent, levels, shingles))
@@ -308,5 +394,10 @@ def _join(docs: DataFrame, percent: int, stars: int) -> DataFrame:
     groups = components(links)
     least = groups.join(reps, "key").groupBy("root").agg(F.min("rep").alias("least"))
     named = reps.join(groups.join(least, "root"), "key", "left").select("key", F.col("rep").alias("class_id"), F.coalesce("least", "rep").alias("component_id"))
+    columns = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")]
+    if count:
+        alike = _linked(docs, groups, reps, seed, percent)
+        named = named.join(reps.select("key", "copies"), "key").join(alike, "key", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0))).drop("copies", "n")
+        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = rows.where("cell is null").select("doc_id", "key", F.col("n").alias("n_shingles")).join(named, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.select(*columns)

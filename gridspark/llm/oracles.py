@@ -16,6 +16,14 @@ k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY whole) AS class_id FROM n)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(class_id, doc_id) AS class_id FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+LINKS = f"""
+WITH j AS MATERIALIZED ({JACCARD}),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT x, count(*) AS n_links FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL) JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c) GROUP BY x)
+SELECT j.*, coalesce(n_links, 0)::BIGINT AS n_links FROM j LEFT JOIN l ON l.x = j.doc_id
+"""
+
 SEARCH = f"""
 WITH t AS MATERIALIZED (SELECT doc_id, unnest({_WORDS}) AS w FROM documents),
 size AS (SELECT count(*) AS n, (SELECT count(*) FROM t) / count(*)::DOUBLE AS mean FROM documents),
@@ -29,4 +37,4 @@ SELECT query_id, rank, doc_id, score FROM (
 WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op5_jaccard_join": JACCARD, "op6_winnowing": decontamination.ORACLE, "op9_bm25_search": SEARCH}
+ORACLES: dict[str, str] = {"op5_jaccard_join": JACCARD, "op5_jaccard_links": LINKS, "op6_winnowing": decontamination.ORACLE, "op9_bm25_search": SEARCH}

@@ -19,6 +19,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
+def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups and classes of the join with every text's number of links."""
+    return jaccard.links(documents(spark, sf_dir))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -58,5 +63,5 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_ppm, op3_quality_gam, op4_toxicity_ftrl, op5_jaccard_join, op6_winnowing, op7_byte_bpe, op8_bigru_language, op9_bm25_search, op10_pii_surrogates)
+    for f in (op1_sharding, op2_ppm, op3_quality_gam, op4_toxicity_ftrl, op5_jaccard_join, op5_jaccard_links, op6_winnowing, op7_byte_bpe, op8_bigru_language, op9_bm25_search, op10_pii_surrogates)
 }

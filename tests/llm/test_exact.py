@@ -206,6 +206,23 @@ def test_jaccard_of_nothing(docs):
     assert got == [(-1, 3), (1, 1), (2, 2), (3, 3), (3, 3), (7, 3)]
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_links_within_groups(docs, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
+    rows = [*TEXTS, (None, "one"), (3, "one"), (90, "a b"), (90, "c d"), (91, "A  b")]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for _, t in rows]
+    want = [sum(100 * len(a & b) >= 75 * len(a | b) > 0 for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    got = jaccard.links(docs(rows)).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.n_links) for r in got) == sorted((i or -1, len(a), n) for (i, _), a, n in zip(rows, sets, want, strict=True))
+    assert sum(want) > 2 * len({r.class_id for r in got})  # far more than a link a class
+
+
+def test_overlaps():
+    a, b = ([np.array(sorted(random.sample(range(300), random.randint(1, 200))), np.uint64) for _ in range(9)] for _ in range(2))
+    for other, got in ((b, jaccard.overlaps(a, b, 7)), (a, jaccard.overlaps(a, None, 64))):
+        assert got.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in other] for x in a]
+
+
 def test_prefixes_meet():
     levels = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
     for _ in range(200):

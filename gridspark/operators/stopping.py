@@ -88,6 +88,19 @@ def mgbm(threshold: float = 0.1, r: float = 1.0, backsight: int = 100) -> StopCr
     return StopCriterion([lambda p: [variance(p, backsight)]], [KalmanEvidence(r).gather], threshold)
 
 
+def mgbm_after(population: Sequence[float], threshold: float = 0.1, r: float = 1.0, backsight: int = 100, least: int = 2) -> bool:
+    """What mgbm() decides after the whole population if it is asked after every run from the ``least``-th on.
+
+    Evidence is learnt from the indicators so far and from nothing else, so it has to be learnt once only, after
+    the last run; without ``least`` runs there is no decision to stop.
+    """
+    if len(population) < least:
+        return False
+    past = [variance(population[:n], backsight) for n in range(least, len(population))]
+    evidence = KalmanEvidence(r, [*KalmanEvidence(r).history, *past])
+    return StopCriterion([lambda p: [variance(p, backsight)]], [evidence.gather], threshold).stop(population)
+
+
 def after(n: int) -> StopCriterion:
     return StopCriterion([lambda p: [float(len(p) - 1)]], [lambda v: v[0]], n, reverse=True)
 

@@ -397,9 +397,7 @@ def mgbm(s: SparkSession, d: str) -> DataFrame:
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         totals = rows.sort_values("id").total.to_numpy(float)
-        c = stopping.mgbm(0.1, 1.0, 100)
-        done = [c.stop(totals[:n]) for n in range(2, min(len(totals), 100) + 1)]
-        return pd.DataFrame({"cp_density": [rows.cp_density.iloc[0]], "runs": [len(totals)], "stop": [done[-1] if done else False]})
+        return pd.DataFrame({"cp_density": [rows.cp_density.iloc[0]], "runs": [len(totals)], "stop": [stopping.mgbm_after(totals, 0.1, 1.0, 100)]})
 
     return _totals(s, d).groupBy("cp_density").applyInPandas(decide, "cp_density double, runs long, stop boolean")
 

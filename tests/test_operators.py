@@ -1,5 +1,6 @@
 """Hand-made cases of the library's operators."""
 
+import datetime
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import rng, scalar
 from gridspark.operators import cascade, frames, graph, impact, powerflow, simulation, stopping, temporal
+from gridspark.plans.queries import QUERIES
 from gridspark.sources import experiments, profiles
 from gridspark.streaming import faults
 
@@ -204,3 +206,15 @@ def test_streams(spark, tmp_path):
     q = faults.component_states(stream).writeStream.format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert sorted(map(tuple, spark.table("states").collect())) == [(1, "a", 1, False), (1, "a", 3, True), (2, "b", 2, False)]
+
+
+def test_mgbm_asks_after_all_runs(spark, tmp_path):
+    totals = [500] * 95 + [510] * 5 + [500] * 30
+    c = stopping.mgbm(0.1, 1.0, 100)
+    step_by_step = [c.stop([float(x) for x in totals[:n]]) for n in range(2, len(totals) + 1)]
+    assert step_by_step[98] and not step_by_step[-1]  # after 100 runs and after all
+    for n in (0, 1, 2, 57, 100, 130):
+        assert stopping.mgbm_after([float(x) for x in totals[:n]]) == (n > 1 and step_by_step[n - 2])
+    rows = [(i, "click", t / 100, 5 * i, datetime.datetime(2024, 1, 1)) for i, t in enumerate(totals)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double, user_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r) for r in QUERIES["mgbm"](spark, str(tmp_path)).collect()] == [(0.0, 130, False)]

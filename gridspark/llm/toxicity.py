@@ -35,10 +35,14 @@ def buckets(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Ftrl:
-    """Weights of buckets that ``least`` texts have; the last one is the intercept, which has no L1 term."""
+    """Weights of buckets; the last one is the intercept, which has no L1 term.
 
-    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 4, least: int = 8) -> None:
-        self.alpha, self.beta, self.l1, self.l2, self.epochs, self.least = alpha, beta, l1, l2, epochs, least
+    A visit moves z by less than 1 as long as the weight is 0, and a weight leaves 0 only where z is beyond l1.
+    So a bucket that fewer than ``least`` texts have keeps the weight 0 whatever the others do, and may be left out.
+    """
+
+    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 4) -> None:
+        self.alpha, self.beta, self.l1, self.l2, self.epochs, self.least = alpha, beta, l1, l2, epochs, int(l1 // epochs) + 1
         self.index, self.weight, self.bias = np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
 
     def fit(self, rows: Sequence[np.ndarray], labels: Sequence[float], seed: int = 7) -> Ftrl:
@@ -50,7 +54,7 @@ class Ftrl:
         seen = np.zeros(size, np.int32)
         for x in rows:
             seen[x] += 1
-        rows = [x[seen[x] >= self.least] for x in rows]  # buckets of fewer texts are not included
+        rows = [x[seen[x] >= self.least] for x in rows]  # the others' weights stay 0
 
         def weights(i: np.ndarray) -> np.ndarray:
             return np.where(np.abs(z[i]) > l1[i], (np.sign(z[i]) * l1[i] - z[i]) / ((self.beta + np.sqrt(n[i])) / self.alpha + self.l2), 0.0)
@@ -111,7 +115,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Ftrl:
     """Fitted on at most ``most`` labelled texts that aren't held out; without any, all scores are 0.5.
 
-    Buckets of too few texts are dropped where the features are made; only the others reach the driver.
+    Buckets whose weights cannot leave 0 are dropped where the features are made; only the others reach the driver.
     """
     spark, model = docs.sparkSession, Ftrl()
     chosen = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, "toxic", 0, 5, most)), "doc_id")

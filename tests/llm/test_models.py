@@ -135,3 +135,18 @@ def test_no_collisions(spark, docs):
     assert pii.collisions(out).count() == 0
     text = {r.doc_id: r.text for r in out.collect() if r.doc_id >= 9000}
     assert text == {9000: None, 9001: ""}
+
+
+def test_toxicity_learns_words_of_few_texts():
+    rows = [np.array([100 + k % 40, 200 + k % 25], np.int32) for k in range(200)]
+    labels = [0.0] * 200
+    for n in range(1, 8):  # bucket n is in n toxic texts
+        for k in range(n):
+            rows.append(np.array([n, 100 + k, 1000 * n + k], np.int32))
+            labels.append(1.0)
+    model = toxicity.Ftrl().fit(rows, labels)
+    assert {3, 4, 5, 6, 7} <= set(model.index[model.weight > 0].tolist())
+    whole = toxicity.Ftrl()
+    whole.least = 0  # leaving buckets out changes nothing
+    whole.fit(rows, labels)
+    assert whole.index.tolist() == model.index.tolist() and np.allclose(whole.weight, model.weight) and whole.bias == pytest.approx(model.bias)

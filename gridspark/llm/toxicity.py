@@ -43,7 +43,7 @@ class Ftrl:
 
     def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 4) -> None:
         self.alpha, self.beta, self.l1, self.l2, self.epochs, self.least = alpha, beta, l1, l2, epochs, int(l1 // epochs) + 1
-        self.index, self.weight, self.bias = np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
+        self.index, self.weight, self.bias, self.fitted = np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, False
 
     def fit(self, rows: Sequence[np.ndarray], labels: Sequence[float], seed: int = 7) -> Ftrl:
         size = 1 << BITS
@@ -72,6 +72,7 @@ class Ftrl:
         self.bias = float(w[size])
         self.index = np.flatnonzero(w[:size]).astype(np.int32)
         self.weight = w[self.index].astype(np.float32)
+        self.fitted = len(rows) > 0
         return self
 
     def dense(self) -> np.ndarray:
@@ -152,7 +153,9 @@ def score(docs: DataFrame, model: Ftrl, threshold: float = 0.5) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Ftrl, threshold: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose score is below the threshold."""
+    """The rows, with all their columns, whose score is below the threshold; all rows if the model was fitted on none."""
+    if not model.fitted:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -52,3 +52,10 @@ def test_queries_cover_all_documents(spark, name):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     got = QUERIES[name](spark, SF)
     assert got.count() == n if name != "op9_bm25_search" else got.select("query_id").distinct().count() >= 1
+
+
+@pytest.mark.parametrize("labels", [[], [(1, None), (2, None)]])
+def test_no_text_goes_without_labels(spark, docs, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = docs([(1, "a clean text"), (2, "another one"), (3, None)])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_toxic(spark, d, str(tmp_path)).collect()) == [1, 2, 3]

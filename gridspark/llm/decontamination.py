@@ -45,6 +45,12 @@ def _fingerprints(frame: DataFrame, window: int, k: int) -> DataFrame:
     )
 
 
+def _same(frame: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """frame joined on doc_id and text_hash, of which doc_id may be null, with keys and the columns that keys has besides."""
+    keys = keys.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
+    return frame.join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), how).drop("_d", "_t")
+
+
 def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, most_broadcast: int = 500_000, most_hits: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, text_hash, n_words) and hit windows (doc_id, text_hash, item_id, start, length).
 
@@ -77,11 +83,11 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 1
     touched = found.where("n > 0").distinct()
     # texts that have hits, by broadcasts as long as hits are few; only those are cut into words again
     keys = sized(touched.select("doc_id", "text_hash").distinct(), most_hits)
-    texts = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", "text_hash", "text").join(keys, ["doc_id", "text_hash"], "left_semi")
+    texts = _same(docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", "text_hash", "text"), keys)
     texts = texts.select("doc_id", "text_hash", word_list(F.col("text")).alias("words"))
     sides = worded.select("item_id", F.col("words").alias("item_words"))
     sides = F.broadcast(sides) if item_side and worded.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] <= 4 * most_broadcast else sides
-    spans = texts.join(sized(touched, most_hits), ["doc_id", "text_hash"]).join(sides, "item_id")
+    spans = _same(texts, sized(touched, most_hits), "inner").join(sides, "item_id")
     # a window that holds the k-gram starts at most n - k words before it, within both texts
     away = F.col("place") - F.col("item_place")
     room = F.col("n") - F.least(F.lit(k), F.col("n"))
@@ -105,12 +111,18 @@ def report(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int =
     places = found.select(*key, F.explode(F.expr("sequence(start, start + length - 1)")).alias("p")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
     names = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
     named = found.groupBy(*key).agg(names.alias("names")).select(*key, F.size("names").cast("long").alias("n_items"), F.concat_ws(",", "names").alias("names"))
-    both = places.join(named, key).withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
-    out = counted.join(both, counted.doc_id.eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left")
+    out = _same(counted, _same(places, named, "inner"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("names", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
+    """The rows, with all their columns, that report() does not call contaminated."""
+    _, found = hits(spark, docs, items, window, k)
+    dirty = stored(found.select("doc_id", "text_hash").distinct(), "winnow")
+    return _same(docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))), dirty, "left_anti").select(docs.columns)
+
+
 ORACLE = """
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+'), []) AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark),

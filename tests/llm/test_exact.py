@@ -301,3 +301,13 @@ def test_search_of_nothing(docs):
     assert search.search(none, none.withColumnRenamed("doc_id", "query_id")).count() == 0
     some = docs([(1, "a"), (2, None), (None, "a")])
     assert [(r.query_id, r.doc_id) for r in search.search(some, some.withColumnRenamed("doc_id", "query_id")).collect()] == [(1, 1)]
+
+
+def test_report_of_null_ids(spark, docs):
+    passage = " ".join(f"word{k}" for k in range(14))
+    items = spark.createDataFrame([(5, passage)], "item_id long, text string")
+    d = docs([(None, f"before {passage} after"), (None, "a clean text"), (1, passage), (1, "clean too")])
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in decontamination.report(spark, d, items).collect())
+    assert got == [(0, 3, 0, False), (0, 16, 14, True), (1, 2, 0, False), (1, 14, 14, True)]
+    left = decontamination.clean(spark, d, items)
+    assert left.columns == d.columns and sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "a clean text"), (1, "clean too")]

@@ -64,8 +64,12 @@ def ordered(s: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
     return s[np.argsort((level << np.uint64(58)) | rank, kind="stable")]
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, int]:
-    """A row for each text (doc_id, key, check, n) and for each sketch cell and task (cell, n), and the seed of the keys."""
+    """A row for each text (doc_id, key, check, n, text_hash) and for each sketch cell and task (cell, n), and the seed of the keys."""
     for seed in range(16):
 
         def run(batches: Iterator[pa.RecordBatch], seed=seed) -> Iterator[pa.RecordBatch]:
@@ -78,13 +82,13 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, int]:
                     check.append(c)
                     n.append(len(s))
                 if n:
-                    yield pa.RecordBatch.from_pydict({"cell": pa.nulls(len(n), pa.int32()), "doc_id": batch.column(0), "key": pa.array(key, pa.int64()), "check": pa.array(check, pa.int64()), "n": pa.array(n, pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"cell": pa.nulls(len(n), pa.int32()), "doc_id": batch.column(0), "key": pa.array(key, pa.int64()), "check": pa.array(check, pa.int64()), "n": pa.array(n, pa.int64()), "text_hash": batch.column(2)})
             full = np.flatnonzero(cells)
             if len(full):
                 none = pa.nulls(len(full), pa.int64())
-                yield pa.RecordBatch.from_pydict({"cell": full.astype(np.int32), "doc_id": none, "key": none, "check": none, "n": cells[full]})
+                yield pa.RecordBatch.from_pydict({"cell": full.astype(np.int32), "doc_id": none, "key": none, "check": none, "n": cells[full], "text_hash": none})
 
-        out = stored(docs.select("doc_id", "text").mapInArrow(run, "cell int, doc_id long, key long, check long, n long"), "jaccard")
+        out = stored(docs.select("doc_id", "text", _text_hash()).mapInArrow(run, "cell int, doc_id long, key long, check long, n long, text_hash long"), "jaccard")
         clash = out.where("cell is null").groupBy("key").agg((F.min("check") != F.max("check")).alias("clash")).where("clash")
         if clash.isEmpty():
             return out, seed
@@ -343,7 +347,25 @@ def join(docs: DataFrame, percent: int = 75, stars: int = 1) -> DataFrame:
     separate; a null id is passed over when the smallest is taken; an empty table gives no rows.
     """
     with batches_of(docs.sparkSession, 2000):  # tasks hold little more than a batch of texts
-        return _join(docs, percent, stars)
+        return _join(docs, percent, stars).drop("key", "text_hash", "root")
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, stars: int = 1) -> DataFrame:
+    """One row, with all its columns, of each group: one of its smallest id, of several texts that of least hash.
+
+    Texts without words all stay.
+    """
+    with batches_of(docs.sparkSession, 2000):
+        rows = stored(_join(docs, percent, stars), "jaccard")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = rows.where("n_shingles > 0").groupBy("root").agg(F.min(key).alias("k")).select("k.doc_id", "k.text_hash")
+    # a row that occurs once needs no look at the others; repeated ones are few or alike
+    kept = rows.where("n_shingles > 0").groupBy("doc_id", "text_hash").agg((F.count("*") > 1).alias("_again")).withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
+    kept = kept.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))).select("_d", "_t", "_again")
+    bare = rows.where("n_shingles = 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.lit(False).alias("_again")).distinct()
+    kept = stored(kept.union(bare), "jaccard")
+    out = docs.withColumn("_h", _text_hash()).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")))
+    return out.where("not _again").select(docs.columns).union(out.where("_again").dropDuplicates(["doc_id", "_h"]).select(docs.columns))
 
 
 def links(docs: DataFrame, percent: int = 75, stars: int = 1) -> DataFrame:
@@ -352,7 +374,7 @@ def links(docs: DataFrame, percent: int = 75, stars: int = 1) -> DataFrame:
     All pairs of classes within a group are compared; a text without words has no links.
     """
     with batches_of(docs.sparkSession, 2000):
-        return _join(docs, percent, stars, True)
+        return _join(docs, percent, stars, True).drop("key", "text_hash", "root")
 
 
 def _join(docs: DataFrame, percent: int, stars: int, count: bool = False) -> DataFrame:
@@ -393,11 +415,11 @@ def _join(docs: DataFrame, percent: int, stars: int, count: bool = False) -> Dat
         links = links.union(_verified(pairs, docs, reps, seed, percent, levels))
     groups = components(links)
     least = groups.join(reps, "key").groupBy("root").agg(F.min("rep").alias("least"))
-    named = reps.join(groups.join(least, "root"), "key", "left").select("key", F.col("rep").alias("class_id"), F.coalesce("least", "rep").alias("component_id"))
-    columns = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")]
+    named = reps.join(groups.join(least, "root"), "key", "left").select("key", F.col("rep").alias("class_id"), F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "key").alias("root"))
+    columns = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), "key", "text_hash", "root"]
     if count:
         alike = _linked(docs, groups, reps, seed, percent)
         named = named.join(reps.select("key", "copies"), "key").join(alike, "key", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0))).drop("copies", "n")
         columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = rows.where("cell is null").select("doc_id", "key", F.col("n").alias("n_shingles")).join(named, "key", "left")
+    out = rows.where("cell is null").select("doc_id", "key", "text_hash", F.col("n").alias("n_shingles")).join(named, "key", "left")
     return out.select(*columns)

@@ -59,3 +59,10 @@ def test_no_text_goes_without_labels(spark, docs, tmp_path, labels):
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     d = docs([(1, "a clean text"), (2, "another one"), (3, None)])
     assert sorted(r.doc_id for r in corpus_pipeline.drop_toxic(spark, d, str(tmp_path)).collect()) == [1, 2, 3]
+
+
+def test_one_row_of_each_group(spark, docs):
+    rows = [(1, "a b c"), (1, "a b c"), (2, "A b c"), (3, "d e f"), (1, "d e f"), (4, "g h"), (None, "g h"), (None, "i j"), (None, "i j"), (5, None), (6, ""), (6, "")]
+    left = corpus_pipeline.keep_one_of_each_group(spark, docs(rows), "")
+    assert left.columns == docs(rows).columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in left.collect()) == [(0, "i j"), (1, "a b c"), (1, "d e f"), (4, "g h"), (5, ""), (6, ""), (6, "")]

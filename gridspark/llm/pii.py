@@ -111,10 +111,16 @@ def _luhn(digits: str) -> int:
 
 
 def _card(key: bytes, text: str) -> str:
-    """The issuer's digit stays, the checksum's remainder too: valid numbers stay valid."""
+    """The issuer's digit stays, the checksum's remainder too: valid numbers stay valid.
+
+    The last digit is made from the others and the remainder, so the remainder is in its place when the permutation
+    is chosen: numbers that differ in nothing else would otherwise be dealt by unrelated permutations.
+    """
     places = [i for i, c in enumerate(text) if c.isdigit()]
     rest = _luhn("".join(text[i] for i in places))
-    new = _recode(key, "card", list(text), ["0123456789" if i in set(places[1:-1]) else _KEPT for i in range(len(text))])
+    old = list(text)
+    old[places[-1]] = str(rest)
+    new = _recode(key, "card", old, ["0123456789" if i in set(places[1:-1]) else _KEPT for i in range(len(text))])
     new[places[-1]] = "0"
     new[places[-1]] = str((rest - _luhn("".join(new[i] for i in places))) % 10)
     return "".join(new)

@@ -150,3 +150,17 @@ def test_toxicity_learns_words_of_few_texts():
     whole.least = 0  # leaving buckets out changes nothing
     whole.fit(rows, labels)
     assert whole.index.tolist() == model.index.tolist() and np.allclose(whole.weight, model.weight) and whole.bias == pytest.approx(model.bias)
+
+
+def test_cards_share_a_permutation(monkeypatch):
+    dealt = []
+    real = pii.permuted
+    monkeypatch.setattr(pii, "permuted", lambda key, tweak, x, n: dealt.append((tweak, n, x)) or real(key, tweak, x, n))
+    cards = []
+    for k in range(300):
+        head = f"4{k * 7919 % 10**14:014d}"
+        cards.append(head + str(-pii._luhn(head + "0") % 10))
+    new = [pii._card(KEY, c) for c in cards]
+    assert all(pii._luhn(c) == 0 for c in cards + new) and len(set(new)) == len(set(cards)) == 300
+    assert len({d[:2] for d in dealt}) == 1 and len({d[2] for d in dealt}) == 300  # one permutation, other places
+    assert len({c[-1] for c in cards}) > 1

@@ -1,23 +1,23 @@
-"""Exact join of texts whose shingle sets are similar, and the groups it makes.
+"""Exact join of texts whose shingle sets are similar: their links, and the groups that links make.
 
 Under any order of all shingles, two sets of Jaccard similarity t or more share one of the first
-n - ceil(t * n) + 1 shingles of each (their prefixes).  Several orders are used: the first one finds
-candidates through an index of prefix shingles, the others must agree before a pair is verified on its whole
-sets.  All orders put shingles that many texts have last; how many is read off a sketch of fixed size, which
-need not be exact, as any order that is the same for all texts will do.
-
-Texts with equal sets are one class.  Links are first sought with one member of each index entry, and
-members that this has joined are not compared again: what is left are the entries whose members lie in
-different groups, and there every pair that passes the filters is verified.
-
-That finds the groups, not every link.  As a link never leaves its group, all links are counted by comparing
-every two classes of a group: blocks of whole sets meet in pairs of blocks, so that a set is sent once for
-each block of its group and no row is made for a pair.
+n - ceil(t * n) + 1 shingles of each (their prefixes).  Three orders are used.  All put shingles that many texts
+have last; how many is estimated from a sixteenth of the texts and kept in a table of fixed size, which need not
+be exact, as any order that is the same for all texts will do.
+
+Texts with equal sets are one class; it is compared once.  The first order's prefixes make an index, which leads
+classes to places where they meet: a place has hosts and guests, who are compared there in blocks.  Before any set
+is sent to a place, the prefixes under all orders are, and only classes go on that share enough of each of them
+with one partner.  No row is made for a pair; a set is sent once for each block of a place.
+
+First each index entry has one class as host and the others as guests, which joins most similar classes into
+families.  Then the places are families: of two families whose members share an index entry, those members of the
+smaller one visit the other.  So every two similar classes meet, either as hosts of one place or as host and guest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +25,17 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import _MUL, arrow_map, batches_of, binary_view, dropped, grams, mix, sized, slices, stored, words
+from gridspark.llm.common import _MUL, batches_of, binary_view, dropped, grams, mix, sized, slices, stored, words
 
 SHINGLE = 5
-SKETCH_BITS = 18
-#: Bits of the filter of shingles that several classes have: 16 MB, whatever the input.
+#: One text in so many (by hash) is looked at to see which shingles are frequent.
+SAMPLE = 16
+#: Cells of the table of frequent shingles, and shingles that are entered at most: 4 MB, whatever the input.
+LEVEL_BITS, MOST_LEVELS = 22, 1 << 18
+#: Bits of the filter of prefix shingles that several classes have: 16 MB, whatever the input.
 FILTER_BITS = 27
 ORDERS = (0x0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
-#: Classes and shingles that a block of a group has on average, at most.
+#: Classes and shingles that a block of a place has on average, at most.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 2_000_000
 
 
@@ -57,196 +60,163 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def ordered(s: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
-    """The shingles in one of the global orders: rarer levels first, then by a hash of that order."""
-    level = levels[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64)
+def prefix(s: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The prefix in one of the global orders: lower levels first, then by a hash of that order; equal ranks all belong to it."""
     rank = (s if not order else mix(s ^ np.uint64(order))) >> np.uint64(6)
-    return s[np.argsort((level << np.uint64(58)) | rank, kind="stable")]
+    rank |= levels[s >> np.uint64(64 - LEVEL_BITS)].astype(np.uint64) << np.uint64(58)
+    size = prefix_size(len(s), percent)
+    inside = rank <= np.partition(rank, size - 1)[size - 1]
+    return s[inside][np.argsort(rank[inside], kind="stable")]
 
 
 def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, int]:
-    """A row for each text (doc_id, key, check, n, text_hash) and for each sketch cell and task (cell, n), and the seed of the keys."""
+def _levels(docs: DataFrame) -> np.ndarray:
+    """log2 of how often frequent shingles occur in the sample, by cell; 0 for all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for batch in batches:
+            found = []
+            for s, key, _ in sets(batch.column(0)):
+                if key not in met:
+                    met.add(key)
+                    found.append(s)
+            if found:
+                token, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"token": token.view(np.int64), "n": n})
+
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counts = stored(sample.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "jaccard")
+    level = F.floor(F.log2("n")).cast("int") + 1
+    least, room = 64, MOST_LEVELS
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most 63
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    table = counts.where(level >= least).select("token", level.alias("level")).toArrow()  # at most MOST_LEVELS
+    out = np.zeros(1 << LEVEL_BITS, np.uint8)
+    np.maximum.at(out, (table["token"].to_numpy().view(np.uint64) >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), np.minimum(table["level"].to_numpy(), 63).astype(np.uint8))
+    dropped(docs.sparkSession, counts)
+    return out
+
+
+def _classes(docs: DataFrame, percent: int, levels: Broadcast) -> tuple[DataFrame, int]:
+    """doc_id, text_hash, key, check, n of each text, and p0, p1, p2 (prefixes) where a task meets a set for the first time; the seed of the keys.
+
+    p0 has whole hashes in their order, the others the sorted upper halves of theirs.
+    """
     for seed in range(16):
 
         def run(batches: Iterator[pa.RecordBatch], seed=seed) -> Iterator[pa.RecordBatch]:
-            cells = np.zeros(1 << SKETCH_BITS, np.int64)
+            met: set[int] = set()
             for batch in batches:
-                key, check, n = [], [], []
-                for s, k, c in sets(batch.column(1), seed):
-                    np.add.at(cells, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                    key.append(k)
-                    check.append(c)
-                    n.append(len(s))
-                if n:
-                    yield pa.RecordBatch.from_pydict({"cell": pa.nulls(len(n), pa.int32()), "doc_id": batch.column(0), "key": pa.array(key, pa.int64()), "check": pa.array(check, pa.int64()), "n": pa.array(n, pa.int64()), "text_hash": batch.column(2)})
-            full = np.flatnonzero(cells)
-            if len(full):
-                none = pa.nulls(len(full), pa.int64())
-                yield pa.RecordBatch.from_pydict({"cell": full.astype(np.int32), "doc_id": none, "key": none, "check": none, "n": cells[full], "text_hash": none})
-
-        out = stored(docs.select("doc_id", "text", _text_hash()).mapInArrow(run, "cell int, doc_id long, key long, check long, n long, text_hash long"), "jaccard")
-        clash = out.where("cell is null").groupBy("key").agg((F.min("check") != F.max("check")).alias("clash")).where("clash")
-        if clash.isEmpty():
-            return out, seed
+                out: dict[str, list] = {c: [] for c in ("key", "check", "n", "p0", "p1", "p2")}
+                for s, key, check in sets(batch.column(1), seed):
+                    out["key"].append(key)
+                    out["check"].append(check)
+                    out["n"].append(len(s))
+                    new = len(s) > 0 and key not in met
+                    met.add(key)
+                    out["p0"].append(prefix(s, levels.value, ORDERS[0], percent).tobytes() if new else None)
+                    for c, order in (("p1", ORDERS[1]), ("p2", ORDERS[2])):
+                        out[c].append(_halves(prefix(s, levels.value, order, percent)).tobytes() if new else None)
+                if out["n"]:
+                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(2)} | {c: pa.array(v, pa.binary() if c[0] == "p" else pa.int64()) for c, v in out.items()})
+
+        rows = stored(docs.select("doc_id", "text", _text_hash()).mapInArrow(run, "doc_id long, text_hash long, key long, check long, n long, p0 binary, p1 binary, p2 binary"), "jaccard")
+        if rows.groupBy("key").agg((F.min("check") != F.max("check")).alias("clash")).where("clash").isEmpty():
+            return rows, seed
+        dropped(docs.sparkSession, rows)
     raise ValueError("different sets have one hash")
 
 
-def _levels(rows: DataFrame) -> np.ndarray:
-    """log2 of the sketch's counts."""
-    table = rows.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** SKETCH_BITS
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    out[table["cell"].to_numpy()] = np.log2(table["n"].to_numpy()).astype(np.uint8) + 1
-    return out
-
+def _halves(s: np.ndarray) -> np.ndarray:
+    return np.sort((s >> np.uint64(32)).astype(np.uint32))
 
-def _prefix_rows(batch: pa.RecordBatch, seed: int, percent: int, levels: np.ndarray, met: set[int]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Key, size and prefix of each set that the task has not met yet."""
-    for s, key, _ in sets(batch.column(0), seed):
-        if len(s) and key not in met:
-            met.add(key)
-            yield key, len(s), ordered(s, levels, 0)[: prefix_size(len(s), percent)]
 
+def _shared(prefixes: DataFrame, shingles: int, per_bucket: int = 2_000_000) -> np.ndarray:
+    """The filter's words: a bit for each cell with a prefix shingle of two classes (or of one class in two tasks).
 
-def _shared(docs: DataFrame, seed: int, percent: int, levels: Broadcast, shingles: int, per_bucket: int = 2_000_000) -> np.ndarray:
-    """The filter's words: a bit for each cell with a token of two classes (or of one class in two tasks).
-
-    Tasks sort their prefix tokens and send them in ranges; where a range meets, its tokens are counted.  The
-    number of ranges follows the number of shingles, and a task sends a token twice at most.
+    Tasks sort their shingles and send them in ranges, each twice at most for a batch; where a range meets, its
+    shingles are counted.  The number of ranges follows the number of shingles.
     """
-    bits = max(6, min(FILTER_BITS - 6, int(shingles * (100 - percent) / 100 / per_bucket).bit_length()))
+    bits = max(6, min(FILTER_BITS - 6, int(shingles / per_bucket).bit_length()))
     words_each = 1 << FILTER_BITS - 6 - bits
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
         for batch in batches:
-            found = [t for _, _, t in _prefix_rows(batch, seed, percent, levels.value, met)]
-            if found:
-                token = np.sort(np.concatenate(found))
-                edge = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                full = np.flatnonzero(np.diff(edge))
-                yield pa.RecordBatch.from_pydict({"bucket": full.astype(np.int32), "tokens": pa.array([token[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary())})
+            token = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)]))
+            third = np.zeros(len(token), bool)
+            third[2:] = token[2:] == token[:-2]
+            token = token[~third]
+            edge = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(edge))
+            yield pa.RecordBatch.from_pydict({"bucket": full.astype(np.int32), "tokens": pa.array([token[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary())})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                have.setdefault(bucket, []).append(np.frombuffer(blob.as_py(), np.uint64))
-        for bucket, parts in have.items():
+        def counted() -> Iterator[pa.RecordBatch]:
             token = np.sort(np.concatenate(parts))
             cell = np.unique(token[1:][token[1:] == token[:-1]] >> np.uint64(64 - FILTER_BITS)) - np.uint64((bucket * words_each) << 6)
             out = np.zeros(words_each, np.uint64)
             np.bitwise_or.at(out, (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "words": pa.array([out.tobytes()], pa.binary())})
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, tokens binary")
-    table = sent.repartition(max(1 << bits, 64), "bucket").mapInArrow(meet, "bucket int, words binary")
+        bucket, parts = -1, []
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if b != bucket and parts:
+                    yield from counted()
+                    parts = []
+                bucket = b
+                parts.append(np.frombuffer(blob.as_buffer(), np.uint64).copy())
+        if parts:
+            yield from counted()
+
+    sent = prefixes.select("p0").mapInArrow(send, "bucket int, tokens binary")
+    table = sent.repartition(max(1 << bits, 64), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket int, words binary")
     out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
     for r in table.toLocalIterator():  # 2 ** FILTER_BITS bits in all
         out[r.bucket * words_each : (r.bucket + 1) * words_each] = np.frombuffer(bytes(r.words), np.uint64)
     return out
 
 
-def _postings(docs: DataFrame, seed: int, percent: int, levels: Broadcast, seen: Broadcast) -> DataFrame:
+def _postings(prefixes: DataFrame, seen: Broadcast) -> DataFrame:
     """token, key, n, place of the prefix shingles that the filter lets through, once for each class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
         for batch in batches:
-            out: dict[str, list[np.ndarray]] = {"token": [], "key": [], "n": [], "place": []}
-            for key, n, token in _prefix_rows(batch, seed, percent, levels.value, met):
-                cell = token >> np.uint64(64 - FILTER_BITS)
-                place = np.flatnonzero((seen.value[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1))
-                if len(place):
-                    out["token"].append(token[place].view(np.int64))
-                    out["key"].append(np.full(len(place), key, np.int64))
-                    out["n"].append(np.full(len(place), n, np.int32))
-                    out["place"].append(place.astype(np.int32))
-            if out["token"]:
-                yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()})
+            token = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+            size = np.array([len(t) for t in token])
+            place = np.concatenate([np.arange(m) for m in size])
+            token = np.concatenate(token)
+            cell = token >> np.uint64(64 - FILTER_BITS)
+            hit = np.flatnonzero((seen.value[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1))
+            row = np.repeat(np.arange(len(size)), size)[hit]
+            yield pa.RecordBatch.from_pydict({"token": token[hit].view(np.int64), "key": batch.column(0).to_numpy()[row], "n": batch.column(1).to_numpy()[row].astype(np.int32), "place": place[hit].astype(np.int32)})
 
-    return docs.select("text").mapInArrow(run, "token long, key long, n int, place int")
+    return prefixes.select("key", "n", "p0").mapInArrow(run, "token long, key long, n int, place int")
 
 
-def _sizes_match(percent: int) -> Column:
-    na, nb = F.col("n").cast("long"), F.col("n2").cast("long")
-    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-
-
-def _may_link(percent: int) -> Column:
-    """Sizes and places (n, place and n2, p2) allow a similarity of percent if the shared token is their first one."""
-    na, nb, pa_, pb = (F.col(c).cast("long") for c in ("n", "n2", "place", "p2"))
-    return _sizes_match(percent) & (F.least(na - pa_, nb - pb) >= F.ceil(percent * (na + nb) / (100 + percent)))
-
-
-def _overlap_bound(percent: int) -> Column:
-    """What two prefixes share allows a similarity of percent; place and p2 are those of the last shared token.
-
-    Common tokens after that one are beyond the end of the prefix that ends first in the order.
-    """
-    na, nb, pa_, pb, shared = (F.col(c).cast("long") for c in ("n", "n2", "place", "p2", "shared"))
-    beyond = lambda n: F.ceil(n * percent / 100) - 1
-    most = shared + F.least(na - pa_ - 1, nb - pb - 1, F.greatest(beyond(na), beyond(nb)))
-    return most >= F.ceil(percent * (na + nb) / (100 + percent))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, seed: int, percent: int, levels: Broadcast, most: int = 2_000_000) -> DataFrame:
-    """Those of the pairs (x, y) of classes whose prefixes meet under all orders and whose sets are similar.
-
-    The set of x is made from its text and sent to y.  Pairs that are at most ``most`` are broadcast to the
-    texts, others are joined by a shuffle.
-    """
-
-    def made(ends: DataFrame, keep: str) -> DataFrame:
-        """ends: key, rep and a column to keep; gives the set of each end."""
-        texts = docs.select("doc_id", "text").join(sized(ends, most), F.col("doc_id").eqNullSafe(F.col("rep")))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found, keys = list(sets(batch.column(0), seed)), batch.column(1).to_pylist()
-                good = [i for i, (_, k, _) in enumerate(found) if k == keys[i]]  # a row of another text may have the same id
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(good, pa.int64())), batch.column(2).take(pa.array(good, pa.int64())), pa.array([found[i][0].tobytes() for i in good], pa.binary())], ["key", keep, "shingles"])
-
-        return texts.select("text", "key", keep).mapInArrow(run, f"key long, {keep} long, shingles binary")
-
-    def test(batch: pa.RecordBatch) -> dict:
-        links: dict[str, list[int]] = {"x": [], "y": []}
-        known: dict[int, list[np.ndarray]] = {}
-
-        def prefix(key: int, s: np.ndarray, m: int) -> np.ndarray:
-            if key not in known:
-                if len(known) > 1000:
-                    known.clear()
-                known[key] = [np.sort(ordered(s, levels.value, o)[: prefix_size(len(s), percent)]) for o in ORDERS[1:]]
-            return known[key][m]
-
-        for x, y, a, b in zip(*(batch.column(i) for i in range(4)), strict=True):
-            x, y, a, b = x.as_py(), y.as_py(), np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            if all(_common(prefix(x, a, m), prefix(y, b, m)) for m in range(len(ORDERS) - 1)):
-                both = _common(a, b)
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    links["x"].append(x)
-                    links["y"].append(y)
-        return {k: pa.array(v, pa.int64()) for k, v in links.items()}
-
-    one = made(pairs.join(reps, pairs.x == reps.key).select("key", "rep", "y"), "y").select(F.col("key").alias("x"), "y", F.col("shingles").alias("a"))
-    two = made(reps.join(pairs.select(F.col("y").alias("key")).distinct(), "key").withColumn("copy", F.col("key")), "copy").select(F.col("key").alias("y"), F.col("shingles").alias("b"))
-    with batches_of(docs.sparkSession, 500):  # a row has two whole sets
-        return stored(arrow_map(one.join(two, "y").select("x", "y", "a", "b"), test, "x long, y long"), "jaccard")
+def _needed(na: Column, nb: Column, percent: int) -> Column:
+    """How many shingles similar sets of these sizes share at least."""
+    return F.ceil(percent * (na + nb) / (100 + percent))
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """How many numbers two sorted arrays of distinct numbers share."""
     both = np.concatenate([a, b])
     both.sort()
-    return int((both[1:] == both[:-1]).sum())
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None, width: int = 4096) -> np.ndarray:
     """How many numbers each of a shares with each of b (or of a); a set has distinct numbers."""
+    if b is not None and len(a) * len(b) <= 64:
+        return np.array([[_common(x, y) for y in b] for x in a], np.int64).reshape(len(a), len(b))
     both = a + (b or [])
     row = np.repeat(np.arange(len(both)), [len(x) for x in both])
     token, column, n = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
@@ -266,54 +236,145 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None, width: int
     return out
 
 
-def _linked(docs: DataFrame, groups: DataFrame, reps: DataFrame, seed: int, percent: int, most: int = 2_000_000) -> DataFrame:
-    """key and n (rows of other classes that it is linked with) of the classes of groups (key, root): every two classes of a group are compared."""
-    member = groups.join(reps, "key").select("key", "root", "rep", "copies", "size")
-    many = member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    ends = stored(member.join(many, "root").select("key", "rep", "copies", "root", "blocks"), "jaccard")
-    texts = docs.select("doc_id", "text").join(sized(ends, most), F.col("doc_id").eqNullSafe(F.col("rep")))
+class Guest:
+    """One class at a place: its key, the rows it stands for, whether it is a host, its size and its arrays."""
+
+    __slots__ = ("key", "copies", "host", "n", "arrays")
+
+    def __init__(self, key: int, copies: int, host: bool, n: int, arrays: list[np.ndarray]) -> None:
+        self.key, self.copies, self.host, self.n, self.arrays = key, copies, host, n, arrays
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, keys = list(sets(batch.column(0), seed)), batch.column(1).to_pylist()
-            good = [i for i, (_, k, _) in enumerate(found) if k == keys[i]]  # a row of another text may have the same id
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(good, pa.int64())) for c in range(1, 5)), pa.array([found[i][0].tobytes() for i in good], pa.binary())], ["key", "copies", "root", "blocks", "shingles"])
 
-    made = texts.select("text", "key", "copies", "root", "blocks").mapInArrow(run, "key long, copies long, root long, blocks long, shingles binary")
+def similar(a: list[Guest], b: list[Guest] | None, percent: int) -> np.ndarray:
+    """Which whole sets of a and b (or of a) are similar."""
+    other = a if b is None else b
+    na, nb = (np.array([g.n for g in x], np.int64) for x in (a, other))
+    both = overlaps([g.arrays[0] for g in a], None if b is None else [g.arrays[0] for g in b])
+    return 100 * both >= percent * (na[:, None] + nb - both)
+
+
+def may_be_similar(a: list[Guest], b: list[Guest] | None, percent: int) -> np.ndarray:
+    """Which of a and b share enough of their prefixes under every order.
+
+    A common shingle that is not in both prefixes is beyond the end of the one that ends first.
+    """
+    other = a if b is None else b
+    na, nb = (np.array([g.n for g in x], np.int64) for x in (a, other))
+    out = 100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb)
+    beyond = -(-np.maximum(na[:, None], nb) * percent // 100) - 1
+    need = np.maximum(1, -(-percent * (na[:, None] + nb) // (100 + percent)) - beyond)
+    for k in range(len(ORDERS)):
+        if out.any():
+            out &= overlaps([g.arrays[k] for g in a], None if b is None else [g.arrays[k] for g in b]) >= need
+    return out
+
+
+def _met(made: DataFrame, test: Callable[[list[Guest], list[Guest] | None, int], np.ndarray], kind: type, percent: int, inner: bool) -> DataFrame:
+    """place, key, host, n, link: of all who have a partner, the rows of their partners in one pair of blocks and, of guests, one host.
+
+    made: place, host, blocks, key, copies, n, arrays (of numbers of that kind).  Guests are compared with hosts, hosts among themselves if inner.
+    """
     made = made.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    made = made.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "copies", "shingles")
+    made = made.select("place", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "host", "key", "copies", "n", "arrays")
 
-    def meet(at: tuple, rows: dict[int, tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        """rows: block, copies and set of each key (rows of one id and text bring a set more than once)."""
-        sides = [[(k, m, s) for k, (block, m, s) in rows.items() if block == x] for x in dict.fromkeys(at[1:])]
+    def meet(at: tuple, rows: dict[tuple[int, bool], tuple[int, Guest]], out: dict[str, list]) -> None:
+        sides = [[g for block, g in rows.values() if block == x] for x in dict.fromkeys(at[1:])]
         a, b = sides[0], sides[-1]
-        na, nb = (np.array([len(s) for _, _, s in x], np.int64) for x in (a, b))
-        both = overlaps([s for _, _, s in a], [s for _, _, s in b] if len(sides) > 1 else None) if a and b else np.zeros((len(a), len(b)), np.int64)
-        link = 100 * both >= percent * (na[:, None] + nb - both)
+        if not a or not b or not (inner or any(not g.host for x in sides for g in x)) or not any(g.host for x in sides for g in x):
+            return
+        link = test(a, b if len(sides) > 1 else None, percent)
+        hosts = [np.array([g.host for g in x]) for x in (a, b)]
+        link = link & (hosts[0][:, None] | hosts[1])
+        if not inner:
+            link &= ~(hosts[0][:, None] & hosts[1])
         if len(sides) == 1:
             np.fill_diagonal(link, False)
-        copies = [np.array([m for _, m, _ in x], np.int64) for x in (a, b)]
-        key, n = [k for k, _, _ in a], link @ copies[1]
-        if len(sides) > 1:
-            key, n = key + [k for k, _, _ in b], np.concatenate([n, copies[0] @ link])
-        return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, {}
+        for mine, x, y, h in ((a, link, b, hosts[1]), (b, link.T, a, hosts[0]))[: len(sides)]:
+            n = x @ np.array([g.copies for g in y], np.int64)
+            with_host = x & h
+            first = with_host.argmax(1) if len(y) else []
+            for i in np.flatnonzero(x.any(1)):
+                out["place"].append(at[0])
+                out["key"].append(mine[i].key)
+                out["host"].append(mine[i].host)
+                out["n"].append(int(n[i]))
+                out["link"].append(None if mine[i].host or not with_host[i, first[i]] else y[first[i]].key)
+
+    types = {"place": pa.int64(), "key": pa.int64(), "host": pa.bool_(), "n": pa.int64(), "link": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, out = None, {}, {c: [] for c in types}
+
+        def given() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_pydict({c: pa.array(out[c], t) for c, t in types.items()})
+            for v in out.values():
+                v.clear()
+            return batch
+
         for batch in batches:
-            for *here, block, key, copies, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *here, block, host, key, copies, n, arrays in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if here != at:
                     if at:
-                        yield meet(at, rows)
+                        meet(at, rows, out)
+                        if len(out["key"]) > 5000:
+                            yield given()
                     at, rows = here, {}
-                rows[key] = block, copies, np.frombuffer(blob, np.uint64)
+                if (key, host) not in rows:
+                    rows[key, host] = block, Guest(key, copies, host, n, [np.frombuffer(x, kind) for x in arrays])
         if at:
-            yield meet(at, rows)
+            meet(at, rows, out)
+        if out["key"]:
+            yield given()
+
+    with batches_of(made.sparkSession, 500):  # a row has a whole set
+        dealt = made.repartition("place", "low", "high").sortWithinPartitions("place", "low", "high")
+        return stored(dealt.mapInArrow(run, "place long, key long, host boolean, n long, link long"), "jaccard")
+
+
+def _ends(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """members (place, key, host) with rep, copies and the number of blocks of the place, for places with a host and someone else."""
+    each = members.join(reps, "key")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("size") / BLOCK_SHINGLES)).cast("long")
+    many = each.groupBy("place").agg(blocks.alias("blocks"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return stored(each.join(many, "place").select("place", "key", "host", "rep", "copies", "blocks"), "jaccard")
+
+
+def _by_prefixes(members: DataFrame, prefixes: DataFrame, reps: DataFrame, percent: int, most: int) -> DataFrame:
+    """place, key, host of those members whose prefixes under all orders allow a link between host and guest."""
+    ends = _ends(members, reps)
+    made = prefixes.join(sized(ends.withColumnRenamed("key", "_key").drop("rep"), most), F.col("key") == F.col("_key")).select("place", "host", "blocks", "key", "copies", "n", "p0", "p1", "p2")
 
-    with batches_of(docs.sparkSession, 500):  # a row has a whole set
-        dealt = made.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
-        part = stored(dealt.mapInArrow(count, "key long, n long"), "jaccard")
-    return part.groupBy("key").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p0 = [_halves(np.frombuffer(x.as_buffer(), np.uint64)).tobytes() for x in batch.column(6)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([[x, y.as_py(), z.as_py()] for x, y, z in zip(p0, batch.column(7), batch.column(8), strict=True)], pa.list_(pa.binary()))], names=[*batch.schema.names[:6], "arrays"])
+
+    with batches_of(made.sparkSession, 1000):
+        found = _met(made.mapInArrow(run, "place long, host boolean, blocks long, key long, copies long, n long, arrays array<binary>"), may_be_similar, np.uint32, percent, False)
+    dropped(made.sparkSession, ends)
+    return found.select("place", "key", "host").distinct()
+
+
+def _by_sets(members: DataFrame, docs: DataFrame, reps: DataFrame, seed: int, percent: int, inner: bool, most: int) -> DataFrame:
+    """What _met() gives of the members' whole sets, which are made from their texts; ends of at most ``most`` rows are broadcast to them."""
+    ends = _ends(members, reps)
+    texts = docs.select("doc_id", "text").join(sized(ends, most), F.col("doc_id").eqNullSafe(F.col("rep")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(4).to_numpy()
+            fresh = np.concatenate([[True], (keys[1:] != keys[:-1])])
+            found = list(sets(batch.column(0).take(pa.array(np.flatnonzero(fresh))), seed))
+            of = np.cumsum(fresh) - 1
+            good = [i for i, j in enumerate(of) if found[j][1] == keys[i]]  # a row of another text may have the same id
+            mine = batch.take(pa.array(good, pa.int64()))
+            blob = {j: [found[j][0].tobytes()] for j in {of[i] for i in good}}
+            yield pa.RecordBatch.from_arrays([*mine.columns[1:], pa.array([len(found[of[i]][0]) for i in good], pa.int64()), pa.array([blob[of[i]] for i in good], pa.list_(pa.binary()))], names=[*mine.schema.names[1:], "n", "arrays"])
+
+    made = texts.select("text", "place", "host", "blocks", "key", "copies").mapInArrow(run, "place long, host boolean, blocks long, key long, copies long, n long, arrays array<binary>")
+    found = _met(made, similar, np.uint64, percent, inner)
+    dropped(docs.sparkSession, ends)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -338,25 +399,26 @@ def components(links: DataFrame) -> DataFrame:
         edges, mark = small, now
 
 
-def join(docs: DataFrame, percent: int = 75, stars: int = 1) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id of every row.
+def join(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, n_links of every row.
 
-    component_id is the smallest id that links lead to, class_id the smallest one of an equal set.  A text
-    of fewer than five words has one shingle, all its words; one without words (or null) has none, is linked
-    with nothing and has its own id as class and component.  Rows with one id and different texts are
-    separate; a null id is passed over when the smallest is taken; an empty table gives no rows.
+    component_id is the smallest id that links lead to, class_id the smallest one of an equal set, n_links how many
+    other rows are similar, those of the row's own class included.  A text of fewer than five words has one shingle,
+    all its words; one without words (or null) has none, is linked with nothing and has its own id as class and
+    component.  Rows with one id and different texts are separate; a null id is passed over when the smallest is
+    taken; repeated rows are linked with each other; an empty table gives no rows; other columns are not read.
     """
     with batches_of(docs.sparkSession, 2000):  # tasks hold little more than a batch of texts
-        return _join(docs, percent, stars).drop("key", "text_hash", "root")
+        return _join(docs, percent, stars, True).drop("key", "text_hash", "root")
 
 
-def one_of_each(docs: DataFrame, percent: int = 75, stars: int = 1) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame:
     """One row, with all its columns, of each group: one of its smallest id, of several texts that of least hash.
 
     Texts without words all stay.
     """
     with batches_of(docs.sparkSession, 2000):
-        rows = stored(_join(docs, percent, stars), "jaccard")
+        rows = stored(_join(docs, percent, stars, False), "jaccard")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = rows.where("n_shingles > 0").groupBy("root").agg(F.min(key).alias("k")).select("k.doc_id", "k.text_hash")
     # a row that occurs once needs no look at the others; repeated ones are few or alike
@@ -368,58 +430,70 @@ def one_of_each(docs: DataFrame, percent: int = 75, stars: int = 1) -> DataFrame
     return out.where("not _again").select(docs.columns).union(out.where("_again").dropDuplicates(["doc_id", "_h"]).select(docs.columns))
 
 
-def links(docs: DataFrame, percent: int = 75, stars: int = 1) -> DataFrame:
-    """What join() gives and n_links: how many other rows are similar to the row, those of its own class included.
+def _stars(index: DataFrame, turn: int, percent: int) -> DataFrame:
+    """place, key, host: of each entry with several families one class as host, and each class as guest of the one it has most in common with."""
+    own, one = ["token", "key", "n", "place", "root"], F.struct("key", "n", "place", "root")
+    hosts = index.groupBy("token").agg(F.min_by(one, F.xxhash64("root", "key", F.lit(turn))).alias("one"))
+    na, nb = F.col("n").cast("long"), F.col("one.n").cast("long")
+    fits = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - F.col("place"), nb - F.col("one.place")) >= _needed(na, nb, percent))
+    met = index.select(own).join(hosts, "token").where((F.col("root") != F.col("one.root")) & fits)
+    most = met.groupBy("key", F.col("one.key").alias("at")).agg(F.count("*").alias("shared")).groupBy("key").agg(F.max_by("at", F.struct("shared", "at")).alias("place"))
+    most = stored(most.select("place", "key"), "jaccard")
+    return most.select("place", "key", F.lit(False).alias("host")).union(most.select("place", F.col("place").alias("key"), F.lit(True)).distinct())
 
-    All pairs of classes within a group are compared; a text without words has no links.
-    """
-    with batches_of(docs.sparkSession, 2000):
-        return _join(docs, percent, stars, True).drop("key", "text_hash", "root")
 
+def _visits(index: DataFrame, percent: int) -> DataFrame:
+    """place (a family's root) and key of every class of another, smaller family that may be similar to one of its members by an entry that they share."""
+    family = index.groupBy("token", F.col("root").alias("at"), F.col("family").alias("size")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("left"))
+    n = F.col("n").cast("long")
+    other = F.greatest(F.col("least").cast("long"), F.ceil(n * percent / 100))
+    fits = (other <= F.least(F.col("most").cast("long"), F.floor(n * 100 / percent))) & (F.least(n - F.col("place"), F.col("left").cast("long")) >= _needed(n, other, percent))
+    met = index.join(family, "token").where(((F.col("family") < F.col("size")) | (F.col("family") == F.col("size")) & (F.col("root") < F.col("at"))) & fits)
+    return met.select(F.col("at").alias("place"), "key").distinct()
 
-def _join(docs: DataFrame, percent: int, stars: int, count: bool = False) -> DataFrame:
+
+def _mixed(index: DataFrame) -> DataFrame:
+    """The entries whose members are in different families; the others have nothing more to say."""
+    mixed = index.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("token")
+    return stored(index.join(mixed, "token"), "jaccard")
+
+
+def _join(docs: DataFrame, percent: int, stars: int, count: bool, most: int = 2_000_000) -> DataFrame:
     spark = docs.sparkSession
-    rows, seed = _classes(docs)
-    mine = rows.where("cell is null and n > 0").select("doc_id", "key", "n")
+    rows, seed = _classes(docs, percent, spark.sparkContext.broadcast(_levels(docs)))
+    prefixes = rows.where("p0 is not null").select("key", "n", "p0", "p1", "p2")
+    mine = rows.where("n > 0").select("doc_id", "key", "n")
     reps = stored(mine.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("size")), "jaccard")
-    levels = spark.sparkContext.broadcast(_levels(rows))
-    shingles = mine.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    seen = spark.sparkContext.broadcast(_shared(docs, seed, percent, levels, shingles))
-    index = _postings(docs, seed, percent, levels, seen).groupBy("token", "key").agg(F.first("n").alias("n"), F.first("place").alias("place"))
-    index = stored(index.withColumn("root", F.col("key")), "jaccard")
-    links = done = spark.createDataFrame([], "x long, y long")
+    shingles = prefixes.agg(F.coalesce(F.sum(F.octet_length("p0") / 8), F.lit(0))).first()[0]
+    seen = spark.sparkContext.broadcast(_shared(prefixes, shingles))
+    index = stored(_postings(prefixes, seen).withColumn("root", F.col("key")), "jaccard")
+    links, groups = spark.createDataFrame([], "x long, y long"), spark.createDataFrame([], "key long, root long")
     for turn in range(stars + 1):
-        if turn:
-            index = index.drop("root").join(components(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
-            index = index.select("token", "key", "n", "place", "root")
-        # entries whose members are in different groups; the others have nothing more to say
-        mixed = index.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("key", "n", "place", "root"), F.xxhash64("root", "key", F.lit(turn))).alias("one")).where("low <> high")
-        left = stored(index.join(mixed.select("token", "one"), "token"), "jaccard")
-        dropped(spark, index)
-        index = left.drop("one")
+        families = groups.join(groups.groupBy("root").agg(F.count("*").alias("family")), "root")
+        index = index.select("token", "key", "n", "place").join(families, "key", "left").withColumns({"root": F.coalesce("root", "key"), "family": F.coalesce("family", F.lit(1))})
+        left = _mixed(index)
+        index = left
         if turn < stars:
-            met = left.select("key", "n", "place", "root", F.col("one.key").alias("k2"), F.col("one.n").alias("n2"), F.col("one.place").alias("p2"), F.col("one.root").alias("r2"))
-        else:
-            other = index.select("token", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.col("root").alias("r2"))
-            met = index.join(other, "token").where("key < k2")
-        # where a pair is judged by all that its prefixes share, no entry may be left out before they are counted
-        met = met.where(F.col("root") != F.col("r2")).where(_may_link(percent) if turn < stars else _sizes_match(percent))
-        pairs = met.groupBy(F.least("key", "k2").alias("x"), F.greatest("key", "k2").alias("y"), F.col("key").alias("of")).agg(F.count("*").alias("shared"), *(F.max(c).alias(c) for c in ("n", "n2", "place", "p2")))
-        pairs = pairs.join(done, ["x", "y"], "left_anti")
-        if turn == stars:  # all that the two prefixes share has been seen here
-            pairs = pairs.where(_overlap_bound(percent))
-        else:  # of each class the pair with most in common
-            pairs = pairs.groupBy("of").agg(F.max_by(F.struct("x", "y"), F.struct("shared", "x", "y")).alias("p")).select("p.*")
-        pairs = stored(pairs.select("x", "y").distinct(), "jaccard")
-        done = done.union(pairs)
-        links = links.union(_verified(pairs, docs, reps, seed, percent, levels))
-    groups = components(links)
+            likely = _by_prefixes(_stars(index, turn, percent), prefixes, reps, percent, most)
+            found = _by_sets(likely, docs, reps, seed, percent, False, most)
+            links = links.union(found.where("link is not null").select(F.col("key").alias("x"), F.col("link").alias("y")))
+            groups = components(links)
+    visits = stored(_visits(index, percent), "jaccard")
+    hosts = groups.select(F.col("root").alias("place"), "key").union(reps.join(groups, "key", "left_anti").select(F.col("key").alias("place"), "key"))
+    hosts = hosts.join(visits.select("place").distinct(), "place").select("place", "key", F.lit(True).alias("host"))
+    likely = _by_prefixes(visits.select("place", "key", F.lit(False).alias("host")).union(hosts), prefixes, reps, percent, most)
+    if count:
+        inside = groups.select(F.col("root").alias("place"), "key", F.lit(True).alias("host"))
+        likely = likely.union(inside).distinct()
+    found = _by_sets(likely, docs, reps, seed, percent, count, most)
+    last = found.where("link is not null").select(F.col("key").alias("x"), F.col("link").alias("y"))
+    if not last.isEmpty():
+        groups = components(links.union(last))
     least = groups.join(reps, "key").groupBy("root").agg(F.min("rep").alias("least"))
-    named = reps.join(groups.join(least, "root"), "key", "left").select("key", F.col("rep").alias("class_id"), F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "key").alias("root"))
+    named = reps.join(groups.join(least, "root"), "key", "left").select("key", F.col("rep").alias("class_id"), F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "key").alias("root"), "copies")
     columns = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), "key", "text_hash", "root"]
     if count:
-        alike = _linked(docs, groups, reps, seed, percent)
-        named = named.join(reps.select("key", "copies"), "key").join(alike, "key", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0))).drop("copies", "n")
+        named = named.join(found.groupBy("key").agg(F.sum("n").alias("n")), "key", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0)))
         columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = rows.where("cell is null").select("doc_id", "key", "text_hash", F.col("n").alias("n_shingles")).join(named, "key", "left")
+    out = rows.select("doc_id", "key", "text_hash", F.col("n").alias("n_shingles")).join(named, "key", "left")
     return out.select(*columns)

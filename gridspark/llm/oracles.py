@@ -37,4 +37,4 @@ SELECT query_id, rank, doc_id, score FROM (
 WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op5_jaccard_join": JACCARD, "op5_jaccard_links": LINKS, "op6_winnowing": decontamination.ORACLE, "op9_bm25_search": SEARCH}
+ORACLES: dict[str, str] = {"op5_jaccard_join": LINKS, "op6_winnowing": decontamination.ORACLE, "op9_bm25_search": SEARCH}

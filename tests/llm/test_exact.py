@@ -207,12 +207,13 @@ def test_jaccard_of_nothing(docs):
 
 
 @pytest.mark.parametrize("block", [1024, 3])
-def test_links_within_groups(docs, monkeypatch, block):
+@pytest.mark.parametrize("stars", [0, 1, 2])
+def test_links(docs, monkeypatch, block, stars):
     monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
     rows = [*TEXTS, (None, "one"), (3, "one"), (90, "a b"), (90, "c d"), (91, "A  b")]
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for _, t in rows]
     want = [sum(100 * len(a & b) >= 75 * len(a | b) > 0 for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
-    got = jaccard.links(docs(rows)).collect()
+    got = jaccard.join(docs(rows), stars=stars).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.n_links) for r in got) == sorted((i or -1, len(a), n) for (i, _), a, n in zip(rows, sets, want, strict=True))
     assert sum(want) > 2 * len({r.class_id for r in got})  # far more than a link a class
 
@@ -224,15 +225,17 @@ def test_overlaps():
 
 
 def test_prefixes_meet():
-    levels = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+    levels = np.random.default_rng(1).integers(0, 3, 1 << jaccard.LEVEL_BITS).astype(np.uint8)
     for _ in range(200):
         a = set(random.sample(range(1 << 40), random.randint(1, 60)))
         b = set(random.sample(sorted(a), max(1, int(len(a) * 0.9)))) | {random.randrange(1 << 40) for _ in range(random.randint(0, 3))}
         if 100 * len(a & b) >= 75 * len(a | b):
             x, y = (np.array(sorted(s), np.uint64) << np.uint64(20) for s in (a, b))
             for o in jaccard.ORDERS:
-                p, q = (jaccard.ordered(s, levels, o)[: jaccard.prefix_size(len(s), 75)] for s in (x, y))
-                assert set(p) & set(q)
+                p, q = (jaccard.prefix(s, levels, o, 75) for s in (x, y))
+                assert set(p) & set(q) and len(p) == jaccard.prefix_size(len(x), 75)
+            x, y = (jaccard.Guest(0, 1, h, len(s), [jaccard._halves(jaccard.prefix(s, levels, o, 75)) for o in jaccard.ORDERS]) for h, s in ((True, x), (False, y)))
+            assert jaccard.may_be_similar([x], [y], 75).all() and jaccard.may_be_similar([x, y], None, 75).all()
 
 
 # --- decontamination

@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ from gridspark.llm.common import _MUL, batches_of, binary_view, dropped, grams,
 SHINGLE = 5
 #: One text in so many (by hash) is looked at to see which shingles are frequent.
 SAMPLE = 16
-#: Cells of the table of frequent shingles, and shingles that are entered at most: 4 MB, whatever the input.
-LEVEL_BITS, MOST_LEVELS = 22, 1 << 18
+#: Cells of the table of frequent shingles, and shingles that are entered at most: 16 MB, whatever the input.
+LEVEL_BITS, MOST_LEVELS = 24, 1 << 20
 #: Bits of the filter of prefix shingles that several classes have: 16 MB, whatever the input.
 FILTER_BITS = 27
 ORDERS = (0x0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
@@ -105,14 +106,15 @@ def _levels(docs: DataFrame) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, percent: int, levels: Broadcast) -> tuple[DataFrame, int]:
-    """doc_id, text_hash, key, check, n of each text, and p0, p1, p2 (prefixes) where a task meets a set for the first time; the seed of the keys.
+    """doc_id, text_hash, row, key, check, n of each text, and p0, p1, p2 (prefixes) where a task meets a set for the first time; the seed of the keys.
 
-    p0 has whole hashes in their order, the others the sorted upper halves of theirs.
+    p0 has whole hashes in their order, the others 16 bits of each.
     """
     for seed in range(16):
 
         def run(batches: Iterator[pa.RecordBatch], seed=seed) -> Iterator[pa.RecordBatch]:
             met: set[int] = set()
+            row = TaskContext.get().partitionId() << 36
             for batch in batches:
                 out: dict[str, list] = {c: [] for c in ("key", "check", "n", "p0", "p1", "p2")}
                 for s, key, check in sets(batch.column(1), seed):
@@ -123,23 +125,28 @@ def _classes(docs: DataFrame, percent: int, levels: Broadcast) -> tuple[DataFram
                     met.add(key)
                     out["p0"].append(prefix(s, levels.value, ORDERS[0], percent).tobytes() if new else None)
                     for c, order in (("p1", ORDERS[1]), ("p2", ORDERS[2])):
-                        out[c].append(_halves(prefix(s, levels.value, order, percent)).tobytes() if new else None)
+                        out[c].append(prefix(s, levels.value, order, percent).astype(np.uint16).tobytes() if new else None)
                 if out["n"]:
-                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(2)} | {c: pa.array(v, pa.binary() if c[0] == "p" else pa.int64()) for c, v in out.items()})
+                    number, row = np.arange(row, row + batch.num_rows), row + batch.num_rows
+                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(2), "row": number} | {c: pa.array(v, pa.binary() if c[0] == "p" else pa.int64()) for c, v in out.items()})
 
-        rows = stored(docs.select("doc_id", "text", _text_hash()).mapInArrow(run, "doc_id long, text_hash long, key long, check long, n long, p0 binary, p1 binary, p2 binary"), "jaccard")
+        rows = stored(docs.select("doc_id", "text", _text_hash()).mapInArrow(run, "doc_id long, text_hash long, row long, key long, check long, n long, p0 binary, p1 binary, p2 binary"), "jaccard")
         if rows.groupBy("key").agg((F.min("check") != F.max("check")).alias("clash")).where("clash").isEmpty():
             return rows, seed
         dropped(docs.sparkSession, rows)
     raise ValueError("different sets have one hash")
 
 
-def _halves(s: np.ndarray) -> np.ndarray:
-    return np.sort((s >> np.uint64(32)).astype(np.uint32))
+def _prefixes(rows: DataFrame, most: int) -> DataFrame:
+    """key, n, p0, p1, p2 of each class once."""
+    each = rows.where("p0 is not null").select("key", "row")
+    again = each.groupBy("key").agg(F.min("row").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    extra = stored(each.join(again, "key").where("row <> _first").select("row"), "jaccard")
+    return rows.where("p0 is not null").join(sized(extra, most), "row", "left_anti").select("key", "n", "p0", "p1", "p2")
 
 
 def _shared(prefixes: DataFrame, shingles: int, per_bucket: int = 2_000_000) -> np.ndarray:
-    """The filter's words: a bit for each cell with a prefix shingle of two classes (or of one class in two tasks).
+    """The filter's words: a bit for each cell with a prefix shingle of two classes.
 
     Tasks sort their shingles and send them in ranges, each twice at most for a batch; where a range meets, its
     shingles are counted.  The number of ranges follows the number of shingles.
@@ -185,7 +192,7 @@ def _shared(prefixes: DataFrame, shingles: int, per_bucket: int = 2_000_000) ->
 
 
 def _postings(prefixes: DataFrame, seen: Broadcast) -> DataFrame:
-    """token, key, n, place of the prefix shingles that the filter lets through, once for each class and task."""
+    """token, key, n, place of the prefix shingles that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +263,8 @@ def similar(a: list[Guest], b: list[Guest] | None, percent: int) -> np.ndarray:
 def may_be_similar(a: list[Guest], b: list[Guest] | None, percent: int) -> np.ndarray:
     """Which of a and b share enough of their prefixes under every order.
 
-    A common shingle that is not in both prefixes is beyond the end of the one that ends first.
+    A common shingle that is not in both prefixes is beyond the end of the one that ends first.  Arrays have few
+    bits of each shingle, of which several may be the same number: so many more may be shared.
     """
     other = a if b is None else b
     na, nb = (np.array([g.n for g in x], np.int64) for x in (a, other))
@@ -265,7 +273,9 @@ def may_be_similar(a: list[Guest], b: list[Guest] | None, percent: int) -> np.nd
     need = np.maximum(1, -(-percent * (na[:, None] + nb) // (100 + percent)) - beyond)
     for k in range(len(ORDERS)):
         if out.any():
-            out &= overlaps([g.arrays[k] for g in a], None if b is None else [g.arrays[k] for g in b]) >= need
+            mine, theirs = ([np.unique(g.arrays[k]) for g in x] for x in (a, other))
+            alike = [np.array([len(g.arrays[k]) - len(u) for g, u in zip(x, y, strict=True)]) for x, y in ((a, mine), (other, theirs))]
+            out &= overlaps(mine, None if b is None else theirs) + np.minimum(alike[0][:, None], alike[1]) >= need
     return out
 
 
@@ -346,11 +356,11 @@ def _by_prefixes(members: DataFrame, prefixes: DataFrame, reps: DataFrame, perce
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p0 = [_halves(np.frombuffer(x.as_buffer(), np.uint64)).tobytes() for x in batch.column(6)]
+            p0 = [np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint16).tobytes() for x in batch.column(6)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([[x, y.as_py(), z.as_py()] for x, y, z in zip(p0, batch.column(7), batch.column(8), strict=True)], pa.list_(pa.binary()))], names=[*batch.schema.names[:6], "arrays"])
 
     with batches_of(made.sparkSession, 1000):
-        found = _met(made.mapInArrow(run, "place long, host boolean, blocks long, key long, copies long, n long, arrays array<binary>"), may_be_similar, np.uint32, percent, False)
+        found = _met(made.mapInArrow(run, "place long, host boolean, blocks long, key long, copies long, n long, arrays array<binary>"), may_be_similar, np.uint16, percent, False)
     dropped(made.sparkSession, ends)
     return found.select("place", "key", "host").distinct()
 
@@ -430,55 +440,67 @@ def one_of_each(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame
     return out.where("not _again").select(docs.columns).union(out.where("_again").dropDuplicates(["doc_id", "_h"]).select(docs.columns))
 
 
-def _stars(index: DataFrame, turn: int, percent: int) -> DataFrame:
-    """place, key, host: of each entry with several families one class as host, and each class as guest of the one it has most in common with."""
-    own, one = ["token", "key", "n", "place", "root"], F.struct("key", "n", "place", "root")
-    hosts = index.groupBy("token").agg(F.min_by(one, F.xxhash64("root", "key", F.lit(turn))).alias("one"))
+def _mixed(index: DataFrame, turn: int) -> DataFrame:
+    """The entries whose members are in different families, with one of the members; the others have nothing more to say."""
+    one = F.min_by(F.struct("key", "n", "place", "root"), F.xxhash64("root", "key", F.lit(turn))).alias("one")
+    mixed = index.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), one).where("_low <> _high").select("token", "one")
+    return stored(index.join(mixed, "token"), "jaccard")
+
+
+def _stars(index: DataFrame, percent: int) -> DataFrame:
+    """place, key, host: of each entry one class as host, and each class as guest of the one it has most in common with."""
     na, nb = F.col("n").cast("long"), F.col("one.n").cast("long")
     fits = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - F.col("place"), nb - F.col("one.place")) >= _needed(na, nb, percent))
-    met = index.select(own).join(hosts, "token").where((F.col("root") != F.col("one.root")) & fits)
-    most = met.groupBy("key", F.col("one.key").alias("at")).agg(F.count("*").alias("shared")).groupBy("key").agg(F.max_by("at", F.struct("shared", "at")).alias("place"))
+    met = index.where((F.col("root") != F.col("one.root")) & fits).select("key", F.col("one.key").alias("at"))
+    most = met.groupBy("key", "at").agg(F.count("*").alias("shared")).groupBy("key").agg(F.max_by("at", F.struct("shared", "at")).alias("place"))
     most = stored(most.select("place", "key"), "jaccard")
     return most.select("place", "key", F.lit(False).alias("host")).union(most.select("place", F.col("place").alias("key"), F.lit(True)).distinct())
 
 
 def _visits(index: DataFrame, percent: int) -> DataFrame:
-    """place (a family's root) and key of every class of another, smaller family that may be similar to one of its members by an entry that they share."""
-    family = index.groupBy("token", F.col("root").alias("at"), F.col("family").alias("size")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("left"))
-    n = F.col("n").cast("long")
-    other = F.greatest(F.col("least").cast("long"), F.ceil(n * percent / 100))
-    fits = (other <= F.least(F.col("most").cast("long"), F.floor(n * 100 / percent))) & (F.least(n - F.col("place"), F.col("left").cast("long")) >= _needed(n, other, percent))
-    met = index.join(family, "token").where(((F.col("family") < F.col("size")) | (F.col("family") == F.col("size")) & (F.col("root") < F.col("at"))) & fits)
-    return met.select(F.col("at").alias("place"), "key").distinct()
+    """place (a family's root) and key of every class of another, smaller family that may be similar to one of its members by the entries that they share.
 
-
-def _mixed(index: DataFrame) -> DataFrame:
-    """The entries whose members are in different families; the others have nothing more to say."""
-    mixed = index.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("token")
-    return stored(index.join(mixed, "token"), "jaccard")
+    Two classes of different families share no other entries than these, so what they share of their prefixes is
+    counted here; the least that they must share grows and then falls with the other's size.
+    """
+    family = index.groupBy("token", F.col("root").alias("at"), F.col("family").alias("size")).agg(F.min("n").cast("long").alias("least"), F.max("n").cast("long").alias("most"), F.max(F.col("n") - F.col("place")).cast("long").alias("left"))
+    n = F.col("n").cast("long")
+    low, high = F.greatest(F.col("least"), F.ceil(n * percent / 100)), F.least(F.col("most"), F.floor(n * 100 / percent))
+    smaller = (F.col("family") < F.col("size")) | (F.col("family") == F.col("size")) & (F.col("root") < F.col("at"))
+    met = index.select("token", "key", "n", "place", "root", "family").join(family, "token").where(smaller & (low <= high))
+    begin = F.least(n - F.col("place"), F.col("left")) >= _needed(n, low, percent)
+    each = met.groupBy(F.col("at").alias("place"), "key").agg(F.count("*").alias("shared"), F.max(begin).alias("begin"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    need = F.least(*(_needed(n, x, percent) - F.ceil(F.greatest(n, x) * percent / 100) + 1 for x in (low, high)))
+    return each.where(F.col("begin") & (F.col("shared") >= need)).select("place", "key")
 
 
 def _join(docs: DataFrame, percent: int, stars: int, count: bool, most: int = 2_000_000) -> DataFrame:
     spark = docs.sparkSession
     rows, seed = _classes(docs, percent, spark.sparkContext.broadcast(_levels(docs)))
-    prefixes = rows.where("p0 is not null").select("key", "n", "p0", "p1", "p2")
+    prefixes = _prefixes(rows, most)
     mine = rows.where("n > 0").select("doc_id", "key", "n")
     reps = stored(mine.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("size")), "jaccard")
     shingles = prefixes.agg(F.coalesce(F.sum(F.octet_length("p0") / 8), F.lit(0))).first()[0]
     seen = spark.sparkContext.broadcast(_shared(prefixes, shingles))
-    index = stored(_postings(prefixes, seen).withColumn("root", F.col("key")), "jaccard")
-    links, groups = spark.createDataFrame([], "x long, y long"), spark.createDataFrame([], "key long, root long")
-    for turn in range(stars + 1):
-        families = groups.join(groups.groupBy("root").agg(F.count("*").alias("family")), "root")
-        index = index.select("token", "key", "n", "place").join(families, "key", "left").withColumns({"root": F.coalesce("root", "key"), "family": F.coalesce("family", F.lit(1))})
-        left = _mixed(index)
-        index = left
-        if turn < stars:
-            likely = _by_prefixes(_stars(index, turn, percent), prefixes, reps, percent, most)
-            found = _by_sets(likely, docs, reps, seed, percent, False, most)
-            links = links.union(found.where("link is not null").select(F.col("key").alias("x"), F.col("link").alias("y")))
-            groups = components(links)
+    old = stored(_postings(prefixes, seen), "jaccard")
+    seen.unpersist()
+    index = _mixed(old.withColumns({"root": F.col("key"), "family": F.lit(1).cast("long")}), 0)
+    dropped(spark, old)
+    links = spark.createDataFrame([], "x long, y long")
+    for turn in range(1, stars + 1):
+        likely = _by_prefixes(_stars(index, percent), prefixes, reps, percent, most)
+        found = _by_sets(likely, docs, reps, seed, percent, False, most)
+        links = links.union(found.where("link is not null").select(F.col("key").alias("x"), F.col("link").alias("y")))
+        groups = components(links)
+        families = stored(groups.join(groups.groupBy("root").agg(F.count("*").alias("family")), "root"), "jaccard")
+        old = index
+        index = old.select("token", "key", "n", "place").join(sized(families, most), "key", "left")
+        index = _mixed(index.withColumns({"root": F.coalesce("root", "key"), "family": F.coalesce("family", F.lit(1))}), turn)
+        dropped(spark, old)
+    if not stars:
+        groups = spark.createDataFrame([], "key long, root long")
     visits = stored(_visits(index, percent), "jaccard")
+    dropped(spark, index)
     hosts = groups.select(F.col("root").alias("place"), "key").union(reps.join(groups, "key", "left_anti").select(F.col("key").alias("place"), "key"))
     hosts = hosts.join(visits.select("place").distinct(), "place").select("place", "key", F.lit(True).alias("host"))
     likely = _by_prefixes(visits.select("place", "key", F.lit(False).alias("host")).union(hosts), prefixes, reps, percent, most)

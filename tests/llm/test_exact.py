@@ -206,8 +206,7 @@ def test_jaccard_of_nothing(docs):
     assert got == [(-1, 3), (1, 1), (2, 2), (3, 3), (3, 3), (7, 3)]
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-@pytest.mark.parametrize("stars", [0, 1, 2])
+@pytest.mark.parametrize("block, stars", [(1024, 2), (3, 2), (3, 0)])
 def test_links(docs, monkeypatch, block, stars):
     monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
     rows = [*TEXTS, (None, "one"), (3, "one"), (90, "a b"), (90, "c d"), (91, "A  b")]
@@ -234,7 +233,7 @@ def test_prefixes_meet():
             for o in jaccard.ORDERS:
                 p, q = (jaccard.prefix(s, levels, o, 75) for s in (x, y))
                 assert set(p) & set(q) and len(p) == jaccard.prefix_size(len(x), 75)
-            x, y = (jaccard.Guest(0, 1, h, len(s), [jaccard._halves(jaccard.prefix(s, levels, o, 75)) for o in jaccard.ORDERS]) for h, s in ((True, x), (False, y)))
+            x, y = (jaccard.Guest(0, 1, h, len(s), [jaccard.prefix(s, levels, o, 75).astype(np.uint16) for o in jaccard.ORDERS]) for h, s in ((True, x), (False, y)))
             assert jaccard.may_be_similar([x], [y], 75).all() and jaccard.may_be_similar([x, y], None, 75).all()
 
 

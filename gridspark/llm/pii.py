@@ -9,7 +9,9 @@ cycle walking, P^-1(P(x) + s), which maps no value to itself.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import arrow_map
+from gridspark.llm.common import arrow_map, tuned
 
 #: Given names by script and gender, and titles that go before a name.
 NAMES = {
@@ -29,11 +31,38 @@ NAMES = {
     ("greek", "m"): "Αλέξανδρος Γιώργος Δημήτρης Κώστας Νίκος Πέτρος".split(),
 }
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Господин Госпожа Κύριος Κυρία".split()
+#: Titles that go before a name in small letters, if they have a dot.
+LOWER_TITLES = ("mr", "mrs", "dr")
 _GIVEN = {name: names for names in NAMES.values() for name in names}
-_TRIGGERS = frozenset([*_GIVEN, *TITLES, *map(str.upper, _GIVEN)])
-_ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", "àáâäèéêëìíîïòóôöùúûü", "çñß", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "ÇÑ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+_TRIGGERS = frozenset([*_GIVEN, *TITLES, *LOWER_TITLES, *map(str.upper, _GIVEN)])
+_ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789")
 _OF = {c: a for a in _ALPHABETS for c in a}
 _KEPT = ""
+#: Symbols that one permutation takes at most; longer values are permuted in runs.
+RUN = 64
+
+
+@lru_cache(maxsize=1 << 12)
+def _kin(block: int, kind: str) -> str:
+    """The symbols of a block of 128 code points that are of one kind."""
+    return "".join(c for c in map(chr, range(block << 7, (block + 1) << 7)) if _kind(c) == kind)
+
+
+def _kind(c: str) -> str:
+    """A letter's or digit's category, with a mark if one other symbol is its upper or lower case; none for other symbols."""
+    kind = unicodedata.category(c)
+    if kind[0] != "L" and kind != "Nd":
+        return ""
+    low, up = c.lower(), c.upper()
+    return kind + ("+" if len(low) == 1 == len(up) and low != up and low.upper() == up and up.lower() == low else "")
+
+
+def _alphabet(c: str) -> str:
+    """The symbols that may stand for c: of the same script, case and category; none for what is neither letter nor digit."""
+    if c < "\x80":
+        return _OF.get(c, _KEPT)
+    kind = _kind(c)
+    return _kin(ord(c) >> 7, kind) if kind else _KEPT
 
 
 def _round(key: bytes, tweak: bytes, i: int, x: int) -> int:
@@ -68,32 +97,42 @@ def permuted(key: bytes, tweak: str, x: int, n: int) -> int:
     """The image of x under a keyed permutation of range(n) that has no fixed point if n > 1."""
     if n < 2:
         return x
-    t = hashlib.blake2b(f"{tweak}|{n}".encode(), digest_size=16).digest()
+    t = hashlib.blake2b(tweak.encode() + b"|" + n.to_bytes((n.bit_length() + 7) // 8, "big"), digest_size=16).digest()
     step = 1 + _round(key, t, 255, 0) % (n - 1)
     return _walk(key, t, (_walk(key, t, x, n, True) + step) % n, n, False)
 
 
 def _recode(key: bytes, tweak: str, symbols: list[str], alphabets: list[tuple[str, ...] | str]) -> list[str]:
-    """The permutation applied to symbols[i] out of alphabets[i]; an empty alphabet keeps its symbol."""
-    x, n, form = 0, 1, []
-    for s, a in zip(symbols, alphabets, strict=True):
-        form.append(a[0] + a[-1] if a else s)
-        if a:
-            x, n = x * len(a) + a.index(s), n * len(a)
-    x, out = permuted(key, tweak + "|" + "\x00".join(form), x, n), []
-    for s, a in zip(reversed(symbols), reversed(alphabets), strict=True):
-        if a:
-            x, r = divmod(x, len(a))
-            s = a[r]
-        out.append(s)
-    return out[::-1]
+    """The permutation applied to symbols[i] out of alphabets[i]; an empty alphabet keeps its symbol.
+
+    Runs of RUN symbols are permuted one after the other, each by what was before it: different values stay
+    different, and the time grows with their length.
+    """
+    out: list[str] = []
+    before = hashlib.blake2b(tweak.encode(), digest_size=16)
+    for at in range(0, len(symbols), RUN):
+        run, of = symbols[at : at + RUN], alphabets[at : at + RUN]
+        x, n, form = 0, 1, []
+        for s, a in zip(run, of, strict=True):
+            form.append(a[0] + a[-1] if a else s)
+            if a:
+                x, n = x * len(a) + a.index(s), n * len(a)
+        x, new = permuted(key, tweak + "|" + "\x00".join(form) + ("|" + before.hexdigest() if at else ""), x, n), []
+        for s, a in zip(reversed(run), reversed(of), strict=True):
+            if a:
+                x, r = divmod(x, len(a))
+                s = a[r]
+            new.append(s)
+        out += reversed(new)
+        before.update("\x00".join(run).encode())
+    return out
 
 
 def _letters(key: bytes, kind: str, text: str) -> str:
     """Every letter and digit by one of its own alphabet; hexadecimal strings stay so."""
     if re.fullmatch(r"[0-9a-f]{8,}", text):
         return "".join(_recode(key, kind, list(text), ["0123456789abcdef"] * len(text)))
-    return "".join(_recode(key, kind, list(text), [_OF.get(c, _KEPT) for c in text]))
+    return "".join(_recode(key, kind, list(text), [_alphabet(c) for c in text]))
 
 
 def _digits(key: bytes, kind: str, text: str, keep: int) -> str:
@@ -141,7 +180,23 @@ def _email(key: bytes, text: str) -> str:
     reserved = re.search(r"(?:^|\.)example\.(?:com|net|org)$", domain, re.IGNORECASE)
     tail = reserved.start() if reserved else domain.rfind(".")
     whole = local + "@" + domain[:tail]
-    return "".join(_recode(key, "email", list(whole), [_OF.get(c, _KEPT) for c in whole])) + domain[tail:]
+    return "".join(_recode(key, "email", list(whole), [_alphabet(c) for c in whole])) + domain[tail:]
+
+
+def _ipv6(key: bytes, text: str) -> str:
+    """Colons and the first group stay, so that the address is of the same sort."""
+    first, colon, rest = text.partition(":")
+    hexes = "0123456789abcdef" if text == text.lower() else "0123456789ABCDEF"
+    return first + colon + "".join(_recode(key, "ipv6", list(rest), [(hexes if c in hexes else "0123456789abcdef") if c != ":" else _KEPT for c in rest]))
+
+
+_MARKS = re.compile(r"sk-(?:proj-|ant-)?|gh[pousr]_|github_pat_|xox[abprs]-|AIza|glpat-|-----[^-]*-----\s*")
+
+
+def _key(key: bytes, text: str) -> str:
+    """What tells the key's issuer stays."""
+    mark = _MARKS.match(text).end()
+    return text[:mark] + _letters(key, "key", text[mark:])
 
 
 def _iban_check(text: str) -> int:
@@ -164,19 +219,40 @@ def _given(key: bytes, text: str) -> str:
 
 
 def _family(key: bytes, text: str) -> str:
-    new = _letters(key, "family", text.lower())
-    return "".join(n.upper() if c.isupper() else n for c, n in zip(text, new, strict=True)) if len(new) == len(text) else text
+    """Letters of the same script; the same name in other case gets the same letters in that case."""
+    cased = [_kind(c).endswith("+") and c.isupper() for c in text]
+    new = _letters(key, "family", "".join(c.lower() if up else c for c, up in zip(text, cased, strict=True)))
+    return "".join(c.upper() if up else c for c, up in zip(new, cased, strict=True))
 
 
-_EMAIL = re.compile(r"(?<![\w.+-])[\w](?:[\w.+%-]*[\w+%-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+_EMAIL = re.compile(r"(?<![\w.+%-])[\w](?:[\w.+%-]*[\w+%-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _NUMBER = re.compile(r"(?<![\w.-])(?:(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d))|(?P<card>(?:\d{16}|\d{15}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))|(?P<ssn>\d{3}-\d{2}-\d{4}(?![\d-]))|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)))", re.ASCII)
 _AWS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?<![^\W_])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"',;]{6,}))", re.IGNORECASE)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII)
 _DIGITS = re.compile(r"\d\d|\d\.\d")
 _WORD = re.compile(r"[^\W\d_]+")
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::|(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9A-Fa-f]{1,4})(?![\w:])")
+_KEY = re.compile(r"(?<![\w-])(?:sk-(?:proj-|ant-)?[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{18,})(?![\w-])|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]+(?=-----END)", re.ASCII)
+_MARK = re.compile(r"sk-|gh[pousr]_|github_pat_|xox[abprs]-|AIza|glpat-|PRIVATE KEY")
 _TITLE = "|".join(TITLES)
-_NAME = re.compile(rf"(?<!\w)(?:(?:{_TITLE})\.? +(?P<titled>[^\W\d_]+(?:-[^\W\d_]+)?(?: +[^\W\d_]+)?)|(?P<plain>{'|'.join(sorted(_GIVEN, key=len, reverse=True))}) +(?P<family>[^\W\d_]+(?:-[^\W\d_]+)?))(?!\w)")
+#: Words that say that a name follows.
+SAYS = ["my name is", "name is", "je m'appelle", "mon nom est", "ich heiße", "mein Name ist", "me llamo", "mi nombre es", "меня зовут", "με λένε", "名前は"]
+_SAYS = re.compile(rf"(?i:(?<!\w)(?:{'|'.join(SAYS)})) +(?P<named>[^\W\d_]+(?:-[^\W\d_]+)?(?: [^\W\d_]+(?:-[^\W\d_]+)?){{0,2}})")
+_SAID = re.compile("|".join(SAYS), re.IGNORECASE)
+_NAME = re.compile(rf"(?<!\w)(?:(?:(?:{_TITLE})(?:\. *| +)|(?:{'|'.join(LOWER_TITLES)})\. *)(?P<titled>[^\W\d_]+(?:-[^\W\d_]+)?(?: +[^\W\d_]+)?)|(?P<plain>{'|'.join(sorted(_GIVEN, key=len, reverse=True))}) +(?P<family>[^\W\d_]+(?:-[^\W\d_]+)?))(?!\w)")
+
+
+def _names(text: str, start: int, end: int, lower: bool) -> Iterator[tuple[int, int, str]]:
+    """The words of a name from start to end.  A small word ends it; if lower, the first may be one, and the second after a given name."""
+    for w in _WORD.finditer(text, start, end):
+        if w[0] in _GIVEN or w[0].capitalize() in _GIVEN and w[0].isupper():
+            yield *w.span(), "given"
+        elif lower or not w[0][0].islower():
+            yield *w.span(), "family"
+        else:
+            return
+        lower = lower and w[0].capitalize() in _GIVEN
 
 
 def entities(text: str) -> Iterator[tuple[int, int, str]]:
@@ -190,6 +266,17 @@ def entities(text: str) -> Iterator[tuple[int, int, str]]:
         for m in _IBAN.finditer(text):
             if _iban_check(m[0].replace(" ", "")) == 1:
                 yield *m.span(), "iban"
+    if "::" in text or text.count(":") > 6:
+        for m in _IPV6.finditer(text):
+            try:
+                ipaddress.IPv6Address(m[0])
+            except ValueError:
+                continue
+            if m[0].strip("0:") and any(c.isdigit() for c in m[0]):
+                yield *m.span(), "ipv6"
+    if _MARK.search(text):
+        for m in _KEY.finditer(text):
+            yield *m.span(), "key"
     if "AKIA" in text or "ASIA" in text:
         for m in _AWS.finditer(text):
             yield *m.span(), "aws_key"
@@ -200,13 +287,14 @@ def entities(text: str) -> Iterator[tuple[int, int, str]]:
         for m in _NAME.finditer(text):
             if m["family"] and not m["family"][0].isupper():
                 continue  # a word that is also a name
-            for group in ("titled", "plain", "family"):
-                if m[group]:
-                    for w in _WORD.finditer(text, *m.span(group)):
-                        if w[0] in _GIVEN or w[0].capitalize() in _GIVEN and w[0].isupper():
-                            yield *w.span(), "given"
-                        elif w[0][0].isupper():
-                            yield *w.span(), "family"
+            if m["plain"]:
+                yield *m.span("plain"), "given"
+                yield from _names(text, *m.span("family"), False)
+            else:
+                yield from _names(text, *m.span("titled"), m[0][0].islower())
+    if _SAID.search(text):
+        for m in _SAYS.finditer(text):
+            yield from _names(text, *m.span("named"), False)
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
@@ -220,7 +308,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
 
 
 _MAKERS: dict[str, Callable[[bytes, str], str]] = {
-    "email": _email, "ip": _ip, "card": _card, "iban": _iban, "given": _given, "family": _family,
+    "email": _email, "ip": _ip, "ipv6": _ipv6, "key": _key, "card": _card, "iban": _iban, "given": _given, "family": _family,
     "ssn": lambda k, t: "".join(_recode(k, "ssn", list(t), ["0123456789" if c.isdigit() else _KEPT for c in t])),
     "phone": lambda k, t: _digits(k, "phone", t, 0 if t[0] != "+" else 1 if t[1] == "1" else 2),
     "aws_key": lambda k, t: t[:4] + "".join(_recode(k, "aws", list(t[4:]), ["ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"] * (len(t) - 4))),
@@ -229,20 +317,26 @@ _MAKERS: dict[str, Callable[[bytes, str], str]] = {
 
 
 @lru_cache(maxsize=1 << 16)
-def surrogate(key: bytes, kind: str, value: str) -> str:
+def _remembered(key: bytes, kind: str, value: str) -> str:
     return _MAKERS[kind](key, value)
 
 
+def surrogate(key: bytes, kind: str, value: str) -> str:
+    return _remembered(key, kind, value) if len(value) <= 4 * RUN else _MAKERS[kind](key, value)
+
+
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The new text, and kind, start, end (in the old text) and surrogate of each entity.
 
-    Within the text it is checked that two different values of a kind have not become one.
+    Should two different values of a kind have become one in this text, the second is permuted once more.
     """
     found, out, last, of = [], [], 0, {}
     for a, z, kind in spans(text):
         old, new = text[a:z], surrogate(key, kind, text[a:z])
-        if of.setdefault((kind, new), old) != old:
-            raise AssertionError("two values have one surrogate")
+        for _ in range(8):
+            if of.setdefault((kind, new), old) == old:
+                break
+            new = surrogate(key, kind, new)
         out += [text[last:a], new]
         last = z
         found.append((kind, a, z, new))
@@ -271,6 +365,25 @@ def anonymise(docs: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFram
     return arrow_map(docs.select("doc_id", "text", *keep), run, schema)
 
 
+def replaced(docs: DataFrame, key: str) -> DataFrame:
+    """docs with surrogates in text and n_chars, where there is one, counted anew; all other columns, whatever their names, as they are."""
+    secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, names = list(batch.columns), batch.schema.names
+            texts = [t if t is None else replace(t, secret)[0] for t in columns[at].to_pylist()]
+            columns[at] = pa.array(texts, columns[at].type)
+            if "n_chars" in names:
+                place = names.index("n_chars")
+                columns[place] = pa.array([None if t is None else len(t) for t in texts], columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    tuned(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def collisions(anonymised: DataFrame) -> DataFrame:
     """Surrogates that stand for several originals, and originals with several surrogates, in the whole corpus: none."""
     each = anonymised.select(F.explode("entities").alias("e")).select("e.kind", "e.surrogate", "e.original").distinct()

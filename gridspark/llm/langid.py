@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import arrow_map, binary_view, fold, slices
+from gridspark.llm.common import arrow_map, binary_view, dropped, fold, slices, stored
 
 WINDOW = 64
 UNKNOWN = "und"
@@ -145,26 +145,32 @@ class BiGru:
         return self
 
 
-def train(docs: DataFrame, most: int = 1500, each: int = 6, hidden: int = 8, languages: int = 1000) -> BiGru | None:
-    """Fitted on about ``most`` texts of each language outside the held-out fold, by ``each`` windows of a text.
+def train(docs: DataFrame, most: int = 400, total: int = 20_000, hidden: int = 8) -> BiGru | None:
+    """Fitted on the whole texts of about ``most`` rows of each language outside the held-out fold, and of about ``total`` rows in all.
 
-    Learnt are the ``languages`` with most texts, which bounds the sample and what is broadcast.  Shorter texts than a window are repeated to fill it.  Without a labelled text there is no model.
+    With very many languages each has a smaller share of its rows, but none is left out on purpose.  Texts are learnt
+    in all their windows; a last one that is not full is filled by repeating it.  Without a labelled text there is no model.
     """
     known = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 4) != 2) & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("count"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang", share.alias("_share"))
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = known.join(F.broadcast(counts), "lang").where(hashed < F.col("_share")).select("doc_id", "text", "lang")
+    counts = stored(known.groupBy("lang").count(), "language")
+    wanted = counts.agg(F.coalesce(F.sum(F.least(F.col("count"), F.lit(most))), F.lit(0))).first()[0]
+    share = F.least(F.lit(1.0), F.lit(min(1.0, total / max(wanted, 1)) * most) / F.col("count"))
+    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    chosen = known.join(counts.select("lang", share.alias("_share")), "lang").where(hashed < F.col("_share")).select("doc_id", "text", "lang")
 
     def run(batch: pa.RecordBatch) -> dict:
         data, at = binary_view(batch.column(1))
         out = []
         for a, z in zip(at, at[1:], strict=False):
-            starts = np.unique(np.linspace(0, max(0, z - a - WINDOW), each).astype(np.int64))
-            out.append(b"".join(np.resize(data[a + s : min(z, a + s + WINDOW)], WINDOW).tobytes() for s in starts))
+            text = data[a:z].tobytes()
+            full = len(text) // WINDOW * WINDOW
+            rest = np.resize(np.frombuffer(text, np.uint8)[full:], WINDOW).tobytes() if full < len(text) else b""
+            out.append(text[:full] + rest)
         return {"doc_id": batch.column(0), "lang": batch.column(2), "x": pa.array(out, pa.binary())}
 
-    rows = sorted((r.doc_id or 0, r.lang, bytes(r.x)) for r in arrow_map(chosen, run, "doc_id long, lang string, x binary").collect())
+    rows = arrow_map(chosen, run, "doc_id long, lang string, x binary").dropDuplicates(["doc_id", "lang", "x"])
+    rows = sorted((r.doc_id or 0, r.lang, bytes(r.x)) for r in rows.collect())  # about ``total`` rows
+    dropped(docs.sparkSession, counts)
     if not rows:
         return None
     labels = sorted({r[1] for r in rows})

@@ -151,7 +151,7 @@ def _statistics(docs: DataFrame, shared) -> tuple[np.ndarray, int, int]:
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = 16 << 20, most_terms: int = 2_000_000) -> DataFrame:
     """query_id, rank, doc_id, score: the k texts of highest BM25 score for each query (query_id, text).
 
-    Query terms are a query's distinct words.  Scores are rounded to six places; ties go to the smaller id
+    Query terms are the distinct words of all rows that have the query's id.  Scores are rounded to six places; ties go to the smaller id
     and texts without any of the terms aren't found, so a null or empty query, or an empty table, gives no
     rows.  Queries are broadcast in blocks of about ``most_terms`` terms, with two readings of the texts for
     each block.  Rows with a null id are passed over, repeated rows are found one by one.
@@ -166,7 +166,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
             out += [np.unique(h[i:j]).view(np.int64) for i, j in zip(first[:-1], first[1:], strict=True)]
         return {"query_id": batch.column(0), "terms": pa.array(out, pa.list_(pa.int64()))}
 
-    asked = stored(arrow_map(queries.where("query_id is not null").select("query_id", "text"), terms, "query_id long, terms array<long>"), "search")
+    rows = arrow_map(queries.where("query_id is not null").select("query_id", "text"), terms, "query_id long, terms array<long>")
+    rows = rows.select("query_id", F.explode("terms").alias("term")).distinct()
+    asked = stored(rows.groupBy("query_id").agg(F.collect_list("term").alias("terms")), "search")  # an id's distinct words
     total = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // most_terms))
     texts = docs.where("doc_id is not null").select("doc_id", "text")

@@ -15,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from gridspark.llm.common import arrow_map, binary_view, slices, token_hashes
@@ -26,12 +27,16 @@ LETTER, NUMBER, WHITE, OTHER = range(4)
 
 @lru_cache(maxsize=1)
 def _kinds() -> np.ndarray:
-    """LETTER, NUMBER, WHITE or OTHER for every code point."""
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    text, out = "".join(map(chr, points)), np.full(0x110000, OTHER, np.uint8)
-    for kind, of in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\p{White_Space}+")):
-        for m in regex.finditer(of, text):
-            out[points[m.start()] : points[m.end() - 1] + 1] = kind
+    """LETTER, NUMBER, WHITE or OTHER for every code point, as the installed tiktoken library has them.
+
+    Its tables are of another Unicode version than those of the regex module.  It leaves out what a pattern does not match.
+    """
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    text, out = "".join(map(chr, points.tolist())), np.full(0x110000, OTHER, np.uint8)
+    single = {bytes([i]): i for i in range(256)}
+    for kind, of in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (WHITE, r"\s")):
+        matched = bytes(tiktoken.Encoding("class", pat_str=of, mergeable_ranks=single, special_tokens={}).encode_ordinary(text))
+        out[np.frombuffer(matched.decode().encode("utf-32-le"), "<u4")] = kind
     return out
 
 

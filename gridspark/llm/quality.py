@@ -142,20 +142,25 @@ class PairwiseGam:
         return _sigmoid(f)
 
 
-def sampled_labels(labels: DataFrame, label: str, doc_id_fold: int, folds: int, most: int) -> DataFrame:
-    """At most ``most`` labelled ids outside the held-out fold, those of smallest hash; of several labels of an id the largest."""
+def sampled_labels(docs: DataFrame, labels: DataFrame, label: str, doc_id_fold: int, folds: int, most: int) -> DataFrame:
+    """At most ``most`` labelled ids of documents outside the held-out fold, those of smallest hash; of several labels of an id the largest."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != doc_id_fold))
-    return usable.groupBy("doc_id").agg(F.max(label).alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids = usable.groupBy("doc_id").agg(F.max(label).alias("_label")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> PairwiseGam:
-    """Fitted on the features of at most ``most`` labelled texts that aren't held out; without any, all scores are 0.5."""
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, "quality", 2, 4, most)), "doc_id")
+    """Fitted on the features of at most ``most`` labelled texts that aren't held out; without any, all scores are 0.5.
+
+    An id counts once, however often it is repeated; if it has several texts, the one of least features stands for it.
+    """
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(docs, labels, "quality", 2, 4, most)), "doc_id")
 
     def run(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column(0), "label": batch.column(2).cast(pa.float64()), "x": pa.array(list(features(batch.column(1))), pa.list_(pa.float64()))}
 
-    rows = sorted((r.doc_id, r.label, r.x) for r in arrow_map(chosen.select("doc_id", "text", "_label"), run, "doc_id long, label double, x array<double>").collect())
+    made = arrow_map(chosen.select("doc_id", "text", "_label"), run, "doc_id long, label double, x array<double>")
+    rows = sorted((r.doc_id, r.label, r.x) for r in made.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")).collect())  # at most ``most``
     return PairwiseGam().fit(np.array([r[2] for r in rows]).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows]))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import arrow_map, binary_view, fold, grams, slices, stored, words
+from gridspark.llm.common import arrow_map, binary_view, dropped, fold, grams, slices, stored, tuned, words
 from gridspark.llm.quality import sampled_labels
 
 BITS = 20
@@ -116,11 +116,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Ftrl:
     """Fitted on at most ``most`` labelled texts that aren't held out; without any, all scores are 0.5.
 
+    An id counts once, however often it is repeated; if it has several texts, the one of least features stands for it.
     Buckets whose weights cannot leave 0 are dropped where the features are made; only the others reach the driver.
     """
     spark, model = docs.sparkSession, Ftrl()
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, "toxic", 0, 5, most)), "doc_id")
-    sample = stored(arrow_map(chosen.select("doc_id", "text", "_label"), _features, "doc_id long, label double, x binary"), "toxicity")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(docs, labels, "toxic", 0, 5, most)), "doc_id")
+    made = arrow_map(chosen.select("doc_id", "text", "_label"), _features, "doc_id long, label double, x binary")
+    sample = stored(made.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")), "toxicity")
     often = sample.select("x").mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= model.least)
     mask = np.zeros(1 << BITS, bool)
     mask[often.select("bucket").toArrow()["bucket"].to_numpy()] = True
@@ -130,8 +132,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Ftrl:
         x = [np.frombuffer(v.as_buffer(), "<i4") for v in batch.column(2)]
         return {"doc_id": batch.column(0), "label": batch.column(1), "x": pa.array([v[shared.value[v]].tobytes() for v in x], pa.binary())}
 
-    rows = sorted((r.doc_id, r.label, bytes(r.x)) for r in arrow_map(sample, run, "doc_id long, label double, x binary").toLocalIterator())
-    return model.fit([np.frombuffer(r[2], "<i4") for r in rows], [r[1] for r in rows])
+    table = arrow_map(sample, run, "doc_id long, label double, x binary").toArrow()  # at most ``most`` rows
+    dropped(spark, sample)
+    order = np.argsort(table["doc_id"].to_numpy())
+    x = table["x"].combine_chunks()
+    return model.fit([np.frombuffer(x[i].as_buffer(), "<i4") for i in order.tolist()], table["label"].to_numpy()[order])
 
 
 def score(docs: DataFrame, model: Ftrl, threshold: float = 0.5) -> DataFrame:
@@ -167,4 +172,5 @@ def kept(docs: DataFrame, model: Ftrl, threshold: float = 0.5) -> DataFrame:
             s = 1 / (1 + np.exp(-np.clip(logits(batch.column(at), m._dense, m.bias), -30, 30)))
             yield batch.filter(pa.array(s < threshold))
 
+    tuned(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

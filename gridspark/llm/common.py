@@ -10,7 +10,6 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +56,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The shuffle files that df was made of are of no more use; Spark deletes them once the driver's JVM has
     collected its garbage, which is asked for here.
     """
+    tuned(df.sparkSession)
     spark, path, schema = df.sparkSession, scratch(df.sparkSession, name), df.schema
     df.write.parquet(path)
     del df
@@ -65,16 +65,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows at most, for jobs that run inside and whose rows are large."""
+def tuned(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows, as rows are whole texts; once for the session, unless it has a setting of its own."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
 
 
 def sized(df: DataFrame, most: int) -> DataFrame:
@@ -178,4 +173,5 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, object]], s
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(f(batch))
 
+    tuned(df.sparkSession)
     return df.mapInArrow(run, schema)

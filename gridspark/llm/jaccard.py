@@ -26,7 +26,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import _MUL, batches_of, binary_view, dropped, grams, mix, sized, slices, stored, words
+from gridspark.llm.common import _MUL, binary_view, dropped, grams, mix, sized, slices, stored, words
 
 SHINGLE = 5
 #: One text in so many (by hash) is looked at to see which shingles are frequent.
@@ -336,9 +336,8 @@ def _met(made: DataFrame, test: Callable[[list[Guest], list[Guest] | None, int],
         if out["key"]:
             yield given()
 
-    with batches_of(made.sparkSession, 500):  # a row has a whole set
-        dealt = made.repartition("place", "low", "high").sortWithinPartitions("place", "low", "high")
-        return stored(dealt.mapInArrow(run, "place long, key long, host boolean, n long, link long"), "jaccard")
+    dealt = made.repartition("place", "low", "high").sortWithinPartitions("place", "low", "high")
+    return stored(dealt.mapInArrow(run, "place long, key long, host boolean, n long, link long"), "jaccard")
 
 
 def _ends(members: DataFrame, reps: DataFrame) -> DataFrame:
@@ -359,8 +358,7 @@ def _by_prefixes(members: DataFrame, prefixes: DataFrame, reps: DataFrame, perce
             p0 = [np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint16).tobytes() for x in batch.column(6)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([[x, y.as_py(), z.as_py()] for x, y, z in zip(p0, batch.column(7), batch.column(8), strict=True)], pa.list_(pa.binary()))], names=[*batch.schema.names[:6], "arrays"])
 
-    with batches_of(made.sparkSession, 1000):
-        found = _met(made.mapInArrow(run, "place long, host boolean, blocks long, key long, copies long, n long, arrays array<binary>"), may_be_similar, np.uint16, percent, False)
+    found = _met(made.mapInArrow(run, "place long, host boolean, blocks long, key long, copies long, n long, arrays array<binary>"), may_be_similar, np.uint16, percent, False)
     dropped(made.sparkSession, ends)
     return found.select("place", "key", "host").distinct()
 
@@ -418,8 +416,7 @@ def join(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame:
     component.  Rows with one id and different texts are separate; a null id is passed over when the smallest is
     taken; repeated rows are linked with each other; an empty table gives no rows; other columns are not read.
     """
-    with batches_of(docs.sparkSession, 2000):  # tasks hold little more than a batch of texts
-        return _join(docs, percent, stars, True).drop("key", "text_hash", "root")
+    return _join(docs, percent, stars, True).drop("key", "text_hash", "root")
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame:
@@ -427,8 +424,7 @@ def one_of_each(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame
 
     Texts without words all stay.
     """
-    with batches_of(docs.sparkSession, 2000):
-        rows = stored(_join(docs, percent, stars, False), "jaccard")
+    rows = stored(_join(docs, percent, stars, False), "jaccard")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = rows.where("n_shingles > 0").groupBy("root").agg(F.min(key).alias("k")).select("k.doc_id", "k.text_hash")
     # a row that occurs once needs no look at the others; repeated ones are few or alike

@@ -64,6 +64,25 @@ def test_shards(docs, rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in of.values())
 
 
+def plain_differencing(weights, shards):
+    """Loads after combining the two vectors of largest spread, heavy with light, until one is left."""
+    parts = [sorted([w] + [0] * (shards - 1), reverse=True) for w in weights]
+    while len(parts) > 1:
+        parts.sort(key=lambda v: v[-1] - v[0])
+        a, b = parts.pop(0), parts.pop(0)
+        parts.append(sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True))
+    return parts[0]
+
+
+@pytest.mark.parametrize("n, shards", [(5, 2), (12, 3), (40, 4), (7, 8)])
+def test_differencing_against_a_plain_one(n, shards):
+    w = random.sample(range(1, 10**7), n)  # distinct ones, so that spreads do not tie
+    loads = [0] * shards
+    for x, s in zip(w, sharding.karmarkar_karp(w, shards), strict=True):
+        loads[s] += x
+    assert sorted(loads, reverse=True) == plain_differencing(w, shards)
+
+
 # --- byte-level BPE
 
 
@@ -85,6 +104,13 @@ def test_bpe_is_tiktoken(reference):
         assert c.decode(c.encode(t)) == t
 
 
+def test_bpe_classes_are_tiktokens(reference):
+    c, some = bpe.codec(PATH, PATTERN), ["中", " ", "a", "1", "\U000328B6", "\U0003E788", "\x1c", "\x85", "\u180e", "\u0345"]
+    for _ in range(3000):
+        t = "".join(random.choice([*some, chr(random.randrange(0x20000, 0x110000))]) for _ in range(8))
+        assert c.encode(t) == reference.encode_ordinary(t)
+
+
 def test_bpe_other_pattern(reference):
     c = bpe.Codec(bpe.codec(PATH, PATTERN).ranks, r"\w+|\W")
     e = tiktoken.Encoding("o", pat_str=r"\w+|\W", mergeable_ranks=c.ranks, special_tokens={})
@@ -165,6 +191,20 @@ def test_ppm_against_a_walk():
             assert got[s] == pytest.approx(plain_ppm(grams, order, context, s), rel=1e-4)
 
 
+def test_score_against_a_walk(docs):
+    order, rows = 3, [(i, t) for i, t in enumerate(["abracadabra", "Abra kadabra", None, "", "é abra", "zzz", "cadabra " * 3, "brac"])]
+    grams = Counter()
+    stream = lambda t: b"\xff" * order + (t or "").encode().lower() + b"\xff"
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            grams.update(stream(t)[k : k + order + 1] for k in range(len(stream(t)) - order))
+    for settings in ({}, {"most_grams": 10}):
+        for r in ppm.score(docs(rows), order=order, **settings).collect():
+            t = stream(rows[r.doc_id][1])
+            want = sum(math.log10(plain_ppm(grams, order, t[k : k + order], t[k + order])) for k in range(len(t) - order))
+            assert r.score == pytest.approx(want, rel=1e-4)
+
+
 def test_ppm_of_nothing(docs):
     assert ppm.score(docs([])).count() == 0
     held = [(i, "ab") for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
@@ -298,6 +338,14 @@ def test_search(docs, settings):
         assert [s for _, s in found[q]] == pytest.approx([-s for s, _ in want], abs=2e-6)
 
 
+def test_search_of_an_id_with_several_rows(docs):
+    table = docs([(i, prose(30)) for i in range(40)])
+    got = lambda *rows: [(r.query_id, r["rank"], r.doc_id, r.score) for r in search.search(table, docs(list(rows)).withColumnRenamed("doc_id", "query_id"), k=4).orderBy("query_id", "rank").collect()]
+    a, b = prose(6), prose(6)
+    assert got((1, a), (1, a), (2, b)) == got((1, a), (2, b)) and len({d for _, _, d, _ in got((1, a), (1, a))}) == 4
+    assert got((1, a), (1, b)) == got((1, a + " " + b))
+
+
 def test_search_of_nothing(docs):
     none = docs([])
     assert search.search(none, none.withColumnRenamed("doc_id", "query_id")).count() == 0

@@ -1,6 +1,8 @@
 """Trained operators: held-out accuracy, gradients, and edge cases; personal data by its properties."""
 
 import re
+import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -164,3 +166,128 @@ def test_cards_share_a_permutation(monkeypatch):
     assert all(pii._luhn(c) == 0 for c in cards + new) and len(set(new)) == len(set(cards)) == 300
     assert len({d[:2] for d in dealt}) == 1 and len({d[2] for d in dealt}) == 300  # one permutation, other places
     assert len({c[-1] for c in cards}) > 1
+
+
+def test_hard_personal_data():
+    started = time.process_time()
+    long = 'token="' + "a1B" * 300_000 + '"'
+    new, found = pii.replace(long, KEY)
+    assert len(new) == len(long) and new != long and [f[0] for f in found] == ["secret"]
+    other = pii.replace(long[:-3] + '2B"', KEY)[0]
+    assert other != new
+    for t in ("a%" * 500_000 + " x@y", "a@" + "a." * 300_000, "Mr" + " " * 300_000, "AB12 " * 100_000, "1:" * 200_000):
+        assert pii.replace(t, KEY) == (t, [])
+    assert time.process_time() - started < 30
+
+
+@pytest.mark.parametrize("text, kinds", [
+    ("my name is Bob Jones today", ["family", "family"]), ("Mr. 李明 said", ["family"]), ("Dr אבי", ["family"]), ("Mrs İnci", ["family"]), ("Maria Ça", ["given", "family"]), ("Frau Żółć", ["family"]),
+    ("mr. john smith", ["family", "family"]), ("2001:db8::ff00:42:8329", ["ipv6"]), ("2001:0db8:0000:0000:0000:ff00:0042:8329", ["ipv6"]), ("sk-abcdefghij0123456789ABCD", ["key"]), ("ghp_abcdefghijklmnopqrstuvwxyz0123456789", ["key"]),
+    ("-----BEGIN RSA PRIVATE KEY-----\nMIIEabc/+=\n-----END RSA PRIVATE KEY-----", ["key"]),
+])
+def test_formats_of_all_scripts(text, kinds):
+    new, found = pii.replace(text, KEY)
+    assert [f[0] for f in found] == kinds and len(new) == len(text)
+    assert [unicodedata.category(c) for c in new] == [unicodedata.category(c) for c in text] or kinds == ["ipv6"]
+    assert all(new[a:z] != text[a:z] for _, a, z, _ in found) and pii.replace(text, KEY)[0] == new
+
+
+@pytest.mark.parametrize("text", ["I miss you, dr no", "at 10:30:22 and ::", "name is required", "std::vector<int> a::b", "a mr b", "skip-a-line sk-x"])
+def test_clean_texts_stay(text):
+    assert pii.replace(text, KEY) == (text, [])
+
+
+def test_two_values_of_one_surrogate(monkeypatch):
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, value: "111-11-1111" if value[0] == "2" else real(key, kind, value))
+    new, found = pii.replace("212-22-1234 223-45-6789", KEY)
+    assert len({f[3] for f in found}) == 2
+
+
+def test_runs_are_a_permutation():
+    monkey, pii.RUN = pii.RUN, 2
+    try:
+        values = [f"{a:02d}{b}" for a in range(100) for b in "ab"]
+        image = ["".join(pii._recode(KEY, "t", list(v), ["0123456789", "0123456789", "ab"])) for v in values]
+    finally:
+        pii.RUN = monkey
+    assert sorted(image) == sorted(values) and all(x != y for x, y in zip(image, values, strict=True))
+
+
+def test_samples_are_bounded_by_row(spark, docs, monkeypatch):
+    rows = [(None, f"text {k}") for k in range(3000)] + [(k, "some words here") for k in range(40)] + [(1, "some words here")] * 50
+    seen = []
+    monkeypatch.setattr(langid.BiGru, "fit", lambda self, byte, label: seen.append(len(label)) or self)
+    langid.train(docs(rows), most=100)
+    assert 50 < seen[0] < 200
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)] + [(10**6 + k, 1, 1) for k in range(5000)], "doc_id long, quality int, toxic int")
+    for name, module in (("quality", quality), ("toxic", toxicity)):
+        out = 2 if name == "quality" else 0
+        folds = 4 if name == "quality" else 5
+        ids = {r.doc_id for r in quality.sampled_labels(docs(rows), labels, name, out, folds, 30).collect()}
+        assert ids <= set(range(40)) and len(ids) == min(30, sum(zlib.crc32(str(k).encode()) % folds != out for k in range(40)))
+    got = []
+    monkeypatch.setattr(quality.PairwiseGam, "fit", lambda self, x, y: got.append(len(x)))
+    quality.train(docs(rows), labels)
+    assert got[0] <= 40
+
+
+def test_ftrl_against_a_plain_one():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 30, 6)).astype(np.int32) for _ in range(80)]
+    labels = [float(3 in x) for x in rows]
+    model = toxicity.Ftrl(l1=0.5, epochs=2)
+    model.least = 0
+    model.fit(rows, labels)
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else model.l1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((model.beta + n[i] ** 0.5) / model.alpha + model.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(model.epochs):
+        for k in order.permutation(len(rows)):
+            names = [*rows[k].tolist(), "bias"]
+            w = {i: weight(i) for i in names}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[k]
+            for i in names:
+                was = n.get(i, 0.0)
+                n[i] = was + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - was**0.5) / model.alpha * w[i]
+    want = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    assert model.index.tolist() == sorted(want) and np.allclose(model.weight, [want[i] for i in sorted(want)], rtol=1e-5) and model.bias == pytest.approx(weight("bias"))
+
+
+def test_gru_against_a_plain_one():
+    g = langid.BiGru(["a", "b", "c"], 3)
+    text = bytes(range(60, 60 + langid.WINDOW - 9))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    states = {}
+    for d, path in (("0", text), ("1", text[::-1])):
+        h, states[d] = np.zeros(3), []
+        for b in path:
+            x, u = g.w["x" + d][b], h @ g.w["h" + d]
+            z, r = sigmoid(x[:3] + u[:3]), sigmoid(x[3:6] + u[3:6])
+            h = z * h + (1 - z) * np.tanh(x[6:] + r * u[6:])
+            states[d].append(h)
+    logits = np.array(states["0"]) @ g.w["v0"] + np.array(states["1"][::-1]) @ g.w["v1"] + g.w["c"]
+    p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    assert np.allclose(g.pooled(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0], p.mean(0), atol=1e-5)
+
+
+def test_gam_against_a_walk():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 3))
+    model = quality.PairwiseGam(rounds=10, pairs=2, pair_rounds=5).fit(x, (x[:, 0] * x[:, 1] > 0).astype(float))
+    for row, score in zip(x[:20], model.score(x[:20]), strict=True):
+        f = model.base + sum(t[sum(c < v for c in cuts)] for v, cuts, t in zip(row, model.cuts, model.tables, strict=True))
+        f += sum(t[sum(c < row[a] for c in ca), sum(c < row[b] for c in cb)] for a, b, ca, cb, t in model.pairs)
+        assert score == pytest.approx(1 / (1 + np.exp(-f)))
+    g, h = rng.normal(size=6), rng.random(6) + 3  # a tree of one split against all splits
+    tree = model._step(g, h, 1)
+    gain = lambda k: g[:k].sum() ** 2 / (h[:k].sum() + 1) + g[k:].sum() ** 2 / (h[k:].sum() + 1)
+    best = max(range(1, 6), key=gain)
+    assert np.allclose(tree[:best], -g[:best].sum() / (h[:best].sum() + 1)) and np.allclose(tree[best:], -g[best:].sum() / (h[best:].sum() + 1))

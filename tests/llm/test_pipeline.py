@@ -66,3 +66,24 @@ def test_one_row_of_each_group(spark, docs):
     left = corpus_pipeline.keep_one_of_each_group(spark, docs(rows), "")
     assert left.columns == docs(rows).columns
     assert sorted(((r.doc_id or 0), r.text or "") for r in left.collect()) == [(0, "i j"), (1, "a b c"), (1, "d e f"), (4, "g h"), (5, ""), (6, ""), (6, "")]
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None), (None, "a b c"), (1, "mail jo@x.org now"), (1, "mail jo@x.org now"), (2, ""), (3, "word " * 30_000)]])
+def test_stages_with_odd_rows_and_clashing_names(spark, docs, rows, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    names = ("entities", "n_entities", "text_hash", "key", "n", "_h", "root", "ids", "row", "lang2")
+    d = docs(rows).selectExpr("*", *(f"'x{i}' as {n}" for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, str(tmp_path))
+        if name == "byte bpe":
+            assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() == d.count()
+            break
+        assert out.dtypes == d.dtypes
+        left = sorted(((r.doc_id or 0), r.text or "") for r in out.collect())
+        if name in ("toxicity", "decontamination"):
+            assert len(left) == len(rows)
+        elif name == "jaccard join":
+            assert len(left) == max(0, len(rows) - 1)
+        else:
+            assert len(left) == len(rows) and not any("jo@x.org" in t for _, t in left)

@@ -54,7 +54,7 @@ class Ftrl:
         seen = np.zeros(size, np.int32)
         for x in rows:
             seen[x] += 1
-        rows = [x[seen[x] >= self.least] for x in rows]  # the others' weights stay 0
+        rows = [x if (seen[x] >= self.least).all() else x[seen[x] >= self.least] for x in rows]  # the others' weights stay 0
 
         def weights(i: np.ndarray) -> np.ndarray:
             return np.where(np.abs(z[i]) > l1[i], (np.sign(z[i]) * l1[i] - z[i]) / ((self.beta + np.sqrt(n[i])) / self.alpha + self.l2), 0.0)
@@ -132,11 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Ftrl:
         x = [np.frombuffer(v.as_buffer(), "<i4") for v in batch.column(2)]
         return {"doc_id": batch.column(0), "label": batch.column(1), "x": pa.array([v[shared.value[v]].tobytes() for v in x], pa.binary())}
 
-    table = arrow_map(sample, run, "doc_id long, label double, x binary").toArrow()  # at most ``most`` rows
+    made = arrow_map(sample, run, "doc_id long, label double, x binary")
+    rows = sorted(((r.doc_id, r.label, np.frombuffer(bytes(r.x), "<i4")) for r in made.toLocalIterator()), key=lambda r: r[0])  # at most ``most``, a part at a time
     dropped(spark, sample)
-    order = np.argsort(table["doc_id"].to_numpy())
-    x = table["x"].combine_chunks()
-    return model.fit([np.frombuffer(x[i].as_buffer(), "<i4") for i in order.tolist()], table["label"].to_numpy()[order])
+    return model.fit([r[2] for r in rows], [r[1] for r in rows])
 
 
 def score(docs: DataFrame, model: Ftrl, threshold: float = 0.5) -> DataFrame:

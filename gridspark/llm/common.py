@@ -6,10 +6,12 @@ Null texts count as empty everywhere.  Words are maximal runs of bytes outside
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +118,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE * 2)
+        size = max(n, SLICE + SLICE // 4)
         inverse = np.uint64(pow(int(_ROOT), -1, 1 << 64))
         _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, r, np.uint64)])) for r in (_ROOT, inverse)]
     return _powers[0], _powers[1]
@@ -165,6 +167,20 @@ def grams(h: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     return mix(out)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow after which its worker gives what it has freed back to the system, as workers wait for other tasks."""
+
+    def kept_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(AttributeError, OSError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return kept_small
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, object]], schema: str) -> DataFrame:
     """mapInArrow with a function from a batch to columns."""
 
@@ -174,4 +190,4 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, object]], s
                 yield pa.RecordBatch.from_pydict(f(batch))
 
     tuned(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

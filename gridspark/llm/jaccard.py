@@ -26,7 +26,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import _MUL, binary_view, dropped, grams, mix, sized, slices, stored, words
+from gridspark.llm.common import _MUL, binary_view, dropped, grams, lean, mix, sized, slices, stored, words
 
 SHINGLE = 5
 #: One text in so many (by hash) is looked at to see which shingles are frequent.
@@ -90,7 +90,7 @@ def _levels(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"token": token.view(np.int64), "n": n})
 
     sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counts = stored(sample.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "jaccard")
+    counts = stored(sample.mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "jaccard")
     level = F.floor(F.log2("n")).cast("int") + 1
     least, room = 64, MOST_LEVELS
     for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most 63
@@ -130,7 +130,7 @@ def _classes(docs: DataFrame, percent: int, levels: Broadcast) -> tuple[DataFram
                     number, row = np.arange(row, row + batch.num_rows), row + batch.num_rows
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(2), "row": number} | {c: pa.array(v, pa.binary() if c[0] == "p" else pa.int64()) for c, v in out.items()})
 
-        rows = stored(docs.select("doc_id", "text", _text_hash()).mapInArrow(run, "doc_id long, text_hash long, row long, key long, check long, n long, p0 binary, p1 binary, p2 binary"), "jaccard")
+        rows = stored(docs.select("doc_id", "text", _text_hash()).mapInArrow(lean(run), "doc_id long, text_hash long, row long, key long, check long, n long, p0 binary, p1 binary, p2 binary"), "jaccard")
         if rows.groupBy("key").agg((F.min("check") != F.max("check")).alias("clash")).where("clash").isEmpty():
             return rows, seed
         dropped(docs.sparkSession, rows)
@@ -183,8 +183,8 @@ def _shared(prefixes: DataFrame, shingles: int, per_bucket: int = 2_000_000) ->
         if parts:
             yield from counted()
 
-    sent = prefixes.select("p0").mapInArrow(send, "bucket int, tokens binary")
-    table = sent.repartition(max(1 << bits, 64), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket int, words binary")
+    sent = prefixes.select("p0").mapInArrow(lean(send), "bucket int, tokens binary")
+    table = sent.repartition(max(1 << bits, 64), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "bucket int, words binary")
     out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
     for r in table.toLocalIterator():  # 2 ** FILTER_BITS bits in all
         out[r.bucket * words_each : (r.bucket + 1) * words_each] = np.frombuffer(bytes(r.words), np.uint64)
@@ -205,7 +205,7 @@ def _postings(prefixes: DataFrame, seen: Broadcast) -> DataFrame:
             row = np.repeat(np.arange(len(size)), size)[hit]
             yield pa.RecordBatch.from_pydict({"token": token[hit].view(np.int64), "key": batch.column(0).to_numpy()[row], "n": batch.column(1).to_numpy()[row].astype(np.int32), "place": place[hit].astype(np.int32)})
 
-    return prefixes.select("key", "n", "p0").mapInArrow(run, "token long, key long, n int, place int")
+    return prefixes.select("key", "n", "p0").mapInArrow(lean(run), "token long, key long, n int, place int")
 
 
 def _needed(na: Column, nb: Column, percent: int) -> Column:
@@ -337,7 +337,7 @@ def _met(made: DataFrame, test: Callable[[list[Guest], list[Guest] | None, int],
             yield given()
 
     dealt = made.repartition("place", "low", "high").sortWithinPartitions("place", "low", "high")
-    return stored(dealt.mapInArrow(run, "place long, key long, host boolean, n long, link long"), "jaccard")
+    return stored(dealt.mapInArrow(lean(run), "place long, key long, host boolean, n long, link long"), "jaccard")
 
 
 def _ends(members: DataFrame, reps: DataFrame) -> DataFrame:
@@ -358,7 +358,7 @@ def _by_prefixes(members: DataFrame, prefixes: DataFrame, reps: DataFrame, perce
             p0 = [np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint16).tobytes() for x in batch.column(6)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([[x, y.as_py(), z.as_py()] for x, y, z in zip(p0, batch.column(7), batch.column(8), strict=True)], pa.list_(pa.binary()))], names=[*batch.schema.names[:6], "arrays"])
 
-    found = _met(made.mapInArrow(run, "place long, host boolean, blocks long, key long, copies long, n long, arrays array<binary>"), may_be_similar, np.uint16, percent, False)
+    found = _met(made.mapInArrow(lean(run), "place long, host boolean, blocks long, key long, copies long, n long, arrays array<binary>"), may_be_similar, np.uint16, percent, False)
     dropped(made.sparkSession, ends)
     return found.select("place", "key", "host").distinct()
 
@@ -379,7 +379,7 @@ def _by_sets(members: DataFrame, docs: DataFrame, reps: DataFrame, seed: int, pe
             blob = {j: [found[j][0].tobytes()] for j in {of[i] for i in good}}
             yield pa.RecordBatch.from_arrays([*mine.columns[1:], pa.array([len(found[of[i]][0]) for i in good], pa.int64()), pa.array([blob[of[i]] for i in good], pa.list_(pa.binary()))], names=[*mine.schema.names[1:], "n", "arrays"])
 
-    made = texts.select("text", "place", "host", "blocks", "key", "copies").mapInArrow(run, "place long, host boolean, blocks long, key long, copies long, n long, arrays array<binary>")
+    made = texts.select("text", "place", "host", "blocks", "key", "copies").mapInArrow(lean(run), "place long, host boolean, blocks long, key long, copies long, n long, arrays array<binary>")
     found = _met(made, similar, np.uint64, percent, inner)
     dropped(docs.sparkSession, ends)
     return found

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import arrow_map, tuned
+from gridspark.llm.common import arrow_map, lean, tuned
 
 #: Given names by script and gender, and titles that go before a name.
 NAMES = {
@@ -381,7 +381,7 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     tuned(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def collisions(anonymised: DataFrame) -> DataFrame:

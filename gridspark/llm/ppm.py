@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import LOWER, arrow_map, binary_view, fold, slices, stored, words
+from gridspark.llm.common import arrow_map, binary_view, fold, lean, LOWER, slices, stored, words
 
 EDGE = 0xFF
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -229,7 +229,7 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
         yield from grams.rest()
         yield from heads.rest()
 
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -325,7 +325,7 @@ def score(docs: DataFrame, order: int = 5, heavy_share: int = 1 << 22, most_gram
 
     text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
     schema = "row long, doc_id long, held_out boolean, text_hash long, n_tokens long, n_known long, base double, score double, rare array<long>"
-    main = stored(rows.select("*", text_hash).mapInArrow(run, schema), "ppm")
+    main = stored(rows.select("*", text_hash).mapInArrow(lean(run), schema), "ppm")
     each = main.select("row", F.explode("rare").alias("key")).join(heads.where(F.col("n") < least).select("key", "n"), "key", "left")
     rare = each.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("_more"), F.count("n").alias("_known")) if total and least > 1 else None
     out = main.drop("rare")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.bpe import gathered
-from gridspark.llm.common import arrow_map, binary_view, slices, stored, words
+from gridspark.llm.common import arrow_map, binary_view, lean, slices, stored, words
 
 K1, B = 1.2, 0.75
 TEXTS, TOKENS = -1, -2
@@ -141,7 +141,7 @@ def _statistics(docs: DataFrame, shared) -> tuple[np.ndarray, int, int]:
         full = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"term": np.concatenate([[TEXTS, TOKENS], full]), "n": np.concatenate([[texts, tokens], df[full]])})
 
-    table = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # the vocabulary and two
+    table = docs.select("text").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # the vocabulary and two
     term, n = table["term"].to_numpy(), table["n"].to_numpy()
     df = np.zeros(len(shared.value.vocabulary), np.int64)
     df[term[term >= 0]] = n[term >= 0]
@@ -216,7 +216,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
                 name, value = zip(*top[a : a + 1000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids[a : a + 1000], [len(x) for x in value])), pa.array(np.concatenate(name)), pa.array(np.concatenate(value))], ["query_id", "doc_id", "score"])
 
-        one = texts.mapInArrow(run, "query_id long, doc_id long, score double")
+        one = texts.mapInArrow(lean(run), "query_id long, doc_id long, score double")
         found = one if found is None else found.unionAll(one)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

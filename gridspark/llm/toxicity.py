@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import arrow_map, binary_view, dropped, fold, grams, slices, stored, tuned, words
+from gridspark.llm.common import arrow_map, binary_view, dropped, fold, grams, lean, slices, stored, tuned, words
 from gridspark.llm.quality import sampled_labels
 
 BITS = 20
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Ftrl:
     chosen = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(docs, labels, "toxic", 0, 5, most)), "doc_id")
     made = arrow_map(chosen.select("doc_id", "text", "_label"), _features, "doc_id long, label double, x binary")
     sample = stored(made.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")), "toxicity")
-    often = sample.select("x").mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= model.least)
+    often = sample.select("x").mapInArrow(lean(_counts), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= model.least)
     mask = np.zeros(1 << BITS, bool)
     mask[often.select("bucket").toArrow()["bucket"].to_numpy()] = True
     shared = spark.sparkContext.broadcast(mask)
@@ -172,4 +172,4 @@ def kept(docs: DataFrame, model: Ftrl, threshold: float = 0.5) -> DataFrame:
             yield batch.filter(pa.array(s < threshold))
 
     tuned(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

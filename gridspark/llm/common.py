@@ -63,6 +63,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     del df
     gc.collect()
+    give_back()
     spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
@@ -167,6 +168,13 @@ def grams(h: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     return mix(out)
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow after which its worker gives what it has freed back to the system, as workers wait for other tasks."""
 
@@ -174,9 +182,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with suppress(AttributeError, OSError):  # other C libraries have no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return kept_small
 

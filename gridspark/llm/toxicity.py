@@ -52,16 +52,16 @@ class Ftrl:
         l1[size] = 0
         rng = np.random.default_rng(seed)
         seen = np.zeros(size, np.int32)
-        for x in rows:
+        for x in map(unpacked, rows):
             seen[x] += 1
-        rows = [x if (seen[x] >= self.least).all() else x[seen[x] >= self.least] for x in rows]  # the others' weights stay 0
+        rows = [x if (seen[unpacked(x)] >= self.least).all() else unpacked(x)[seen[unpacked(x)] >= self.least] for x in rows]  # the others' weights stay 0
 
         def weights(i: np.ndarray) -> np.ndarray:
             return np.where(np.abs(z[i]) > l1[i], (np.sign(z[i]) * l1[i] - z[i]) / ((self.beta + np.sqrt(n[i])) / self.alpha + self.l2), 0.0)
 
         for _ in range(self.epochs):
             for k in rng.permutation(len(rows)):
-                i = np.append(rows[k], size)
+                i = np.append(unpacked(rows[k]), size)
                 w = weights(i)
                 p = 1 / (1 + np.exp(-min(max(w.sum(), -35.0), 35.0)))
                 g = p - labels[k]
@@ -81,6 +81,16 @@ class Ftrl:
         return out
 
 
+def packed(x: np.ndarray) -> np.ndarray:
+    """Sorted buckets as the steps between them, in 16 bits if all of them fit."""
+    steps = np.diff(x, prepend=0)
+    return steps.astype(np.uint16) if len(x) and steps.max() < 1 << 16 else x
+
+
+def unpacked(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=np.int32) if x.dtype == np.uint16 else x
+
+
 def logits(column: pa.Array, dense: np.ndarray, bias: float) -> np.ndarray:
     data, at = binary_view(column)
     out = np.full(len(column), bias)
@@ -133,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Ftrl:
         return {"doc_id": batch.column(0), "label": batch.column(1), "x": pa.array([v[shared.value[v]].tobytes() for v in x], pa.binary())}
 
     made = arrow_map(sample, run, "doc_id long, label double, x binary")
-    rows = sorted(((r.doc_id, r.label, np.frombuffer(bytes(r.x), "<i4")) for r in made.toLocalIterator()), key=lambda r: r[0])  # at most ``most``, a part at a time
+    rows = sorted(((r.doc_id, r.label, packed(np.frombuffer(r.x, "<i4"))) for r in made.toLocalIterator()), key=lambda r: r[0])  # at most ``most``, a part at a time
     dropped(spark, sample)
     return model.fit([r[2] for r in rows], [r[1] for r in rows])
 

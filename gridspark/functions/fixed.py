@@ -17,7 +17,7 @@ CARRIER = {
 TYPE_GROUPS = {
     "branches": ("GenericPowerBranch", "WaterPipe", "GasPipe"),
     "nodes": ("PowerGenerator", "Source", "HeatExchanger"),
-    "cps": ("PowerToHeat", "CHP", "PowerToGas"),
+    "CPs": ("PowerToHeat", "CHP", "PowerToGas"),
     "power lines": ("GenericPowerBranch",),
     "gas pipes": ("GasPipe",),
     "water pipes": ("WaterPipe",),

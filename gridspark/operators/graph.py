@@ -73,10 +73,20 @@ def _tree(near: dict, source: int) -> tuple[list[int], dict[int, int], dict[int,
     return order, dist, paths, last
 
 
+#: Sources of a network that one row of work has.
+SOURCES = 16
+
+
 def _walks(edges: DataFrame, per_source, schema: str) -> DataFrame:
-    """per_source(adjacency, source, edge list, ids) for each source of each network, in parallel."""
+    """per_source(adjacency, source, edge list) for each source of each network, in parallel.
+
+    The edge list goes to groups of about SOURCES sources, not to each of them.
+    """
     lists = edges.groupBy("network_id").agg(F.array_sort(F.collect_list(F.struct("u", "v", "key", "w"))).alias("e"))
-    tasks = nodes(edges).withColumnRenamed("id", "source").join(lists, "network_id").repartition("network_id", "source")
+    every = nodes(edges)
+    parts = every.groupBy("network_id").agg(F.ceil(F.count("*") / SOURCES).cast("long").alias("parts"))
+    dealt = every.join(parts, "network_id").groupBy("network_id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.array_sort(F.collect_list("id")).alias("sources"))
+    tasks = dealt.join(lists, "network_id").repartition("network_id", "part")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -84,7 +94,8 @@ def _walks(edges: DataFrame, per_source, schema: str) -> DataFrame:
             for r in frame.itertuples():
                 e = [(x["u"], x["v"], x["key"], x["w"]) for x in r.e]
                 near = _adjacency([x[0] for x in e], [x[1] for x in e], [x[3] for x in e])
-                out += [(r.network_id, *x) for x in per_source(near, int(r.source), e)]
+                for source in r.sources:
+                    out += [(r.network_id, *x) for x in per_source(near, int(source), e)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return tasks.mapInPandas(run, schema)
@@ -134,22 +145,25 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
 
 
 def vitality(edges: DataFrame) -> DataFrame:
-    """How much the sum of all distances falls without a node; -infinity if it takes the network apart."""
-
-    def one(near, v, e):
-        everyone = set(near)
-        whole = sum(sum(_distances(near, s).values()) for s in everyone) / 2
-        rest, total = everyone - {v}, 0.0
-        if any(len(_distances(near, s)) < len(everyone) for s in list(everyone)[:1]):
-            return [(v, math.nan)]
+    """How much the sum of all distances falls without a node; -infinity if it takes the network apart.
+
+    NaN for all nodes of a network that is not connected to begin with.
+    """
+
+    def without(near, v, e):
+        rest, total = set(near) - {v}, 0.0
         for s in rest:
             d = _distances(near, s, without=v)
             if len(d) < len(rest):
-                return [(v, -math.inf)]
+                return [(v, math.inf)]
             total += sum(d.values())
-        return [(v, whole - total / 2)]
+        return [(v, total / 2)]
 
-    return _walks(edges, one, "network_id long, id long, vc double")
+    whole = distances(edges).groupBy("network_id").agg((F.sum("d") / 2).alias("whole"), F.count("*").alias("pairs"))
+    size = nodes(edges).groupBy("network_id").agg((F.count("*") * (F.count("*") - 1)).alias("all")).join(whole, "network_id", "left")
+    rest = _walks(edges, without, "network_id long, id long, rest double").join(size, "network_id")
+    vc = F.when(F.coalesce("pairs", F.lit(0)) < F.col("all"), F.lit(math.nan)).otherwise(F.coalesce("whole", F.lit(0.0)) - F.col("rest"))
+    return rest.select("network_id", "id", vc.alias("vc"))
 
 
 def katz(edges: DataFrame, alpha: float = 0.1, beta: float = 1.0, scale: float = 1.0) -> DataFrame:

@@ -106,6 +106,8 @@ def runs(spark: SparkSession, n: int = 3) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """profile, hour, kw (whole cents): order totals by status, summed over the days of January to March 1997."""
-    o = table(spark, sf_dir, "orders").where("o_orderdate >= '1997-01-01' and o_orderdate < '1997-04-01'")
-    return o.groupBy(F.col("o_orderstatus").alias("profile"), F.datediff("o_orderdate", F.lit("1997-01-01")).cast("long").alias("hour")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("kw"))
+    """profile, hour, kw (whole cents): order totals by status, summed by day; hours are numbered from the first day."""
+    o = table(spark, sf_dir, "orders")
+    days = o.groupBy(F.col("o_orderstatus").alias("profile"), F.to_date("o_orderdate").alias("_day")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("kw"))
+    first = F.broadcast(o.agg(F.min(F.to_date("o_orderdate")).alias("_first")))  # one row
+    return days.crossJoin(first).select("profile", F.datediff("_day", "_first").cast("long").alias("hour"), "kw")

@@ -70,7 +70,7 @@ _PARTS = {
     "fail": f"SELECT * FROM trial WHERE {_u('101', 'run_id', 'i', 'component_id', chr(39) + 'u' + chr(39))} < p",
     "rep": f"SELECT *, CASE WHEN type = 'Trafo' THEN 1.0 ELSE coefficient END * {_normal(1.0, 0.1, '101', 'run_id', 'time', 'component_id', chr(39) + 'd' + chr(39))} * p AS damage, CAST(trunc(time + greatest({_normal(5.0, 5.0, '101', 'run_id', 'time', 'component_id', chr(39) + 'r' + chr(39))} + 5 + damage / 10, 3.0)) AS INT) AS repaired_time FROM fail",
     "log": "SELECT run_id, component_id, kind || '-' || component_id || ':' || type || ':' || component_id AS node, unnest([time, repaired_time]) AS step, unnest(['failure', 'repair']) AS type FROM rep",
-    "hourly": "SELECT o_orderstatus AS profile, datediff('day', DATE '1997-01-01', o_orderdate::DATE) AS hour, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS kw FROM orders WHERE o_orderdate >= '1997-01-01' AND o_orderdate < '1997-04-01' GROUP BY ALL",
+    "hourly": "SELECT o_orderstatus AS profile, datediff('day', (SELECT min(o_orderdate::DATE) FROM orders), o_orderdate::DATE) AS hour, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS kw FROM orders GROUP BY ALL",
     "metrics": "SELECT node, cp_density, type AS type_y, " + ", ".join(f"((h // {k}) % 1000)::DOUBLE AS {m}" for m, k in {"betweenness_centrality": 1, "degree": 7, "vc": 49, "katz": 343}.items()) + " FROM (SELECT *, ('0x' || substr(md5(node || '|' || cp_density::VARCHAR), 1, 8))::BIGINT AS h FROM comp)",
     "joined": "SELECT i.node, i.cp_density, i.carrier, i.impact, m.type_y, m.betweenness_centrality, m.degree, m.vc, m.katz FROM milli i JOIN metrics m ON m.node = i.node AND m.cp_density = i.cp_density WHERE impact IS NOT NULL",
     "groups": "SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{t}')" for g, types in fixed.TYPE_GROUPS.items() for t in types) + ") v(type_group, type_y)",

@@ -47,8 +47,9 @@ def read_csv(spark: SparkSession, root: str, name: str, schema: T.StructType, re
 
 
 def load(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Performance, failures and repairs of all experiments under root."""
-    return read_csv(spark, root, "performance", PERFORMANCE), read_csv(spark, root, "failure", EVENTS, False), read_csv(spark, root, "repair", EVENTS, False)
+    """Performance, failures and repairs of all experiments under root; performance rows that lack a value are left out."""
+    performance = read_csv(spark, root, "performance", PERFORMANCE).na.drop("any", subset=PERFORMANCE.names)
+    return performance, read_csv(spark, root, "failure", EVENTS, False), read_csv(spark, root, "repair", EVENTS, False)
 
 
 def recovered_step(perf: DataFrame, order: str) -> DataFrame:
@@ -73,10 +74,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def cached(spark: SparkSession, path: str, inputs: Sequence[DataFrame], compute: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path if it was made of the same input files, else computed and written there."""
+    """The table at path if it was made of the same input files (names, lengths and times of change), else computed and written there."""
     import hashlib
 
-    mark = hashlib.sha256("\n".join(sorted(f for df in inputs for f in df.inputFiles())).encode()).hexdigest()[:16]
+    def state(name: str) -> str:
+        file = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file)
+        return f"{name} {status.getLen()} {status.getModificationTime()}"
+
+    mark = hashlib.sha256("\n".join(sorted(state(f) for df in inputs for f in df.inputFiles())).encode()).hexdigest()[:16]
     place = f"{path.rstrip('/')}/{mark}"
     if not _exists(spark, f"{place}/_SUCCESS"):
         compute().write.mode("overwrite").parquet(place)

@@ -57,7 +57,9 @@ def random_profile(components: DataFrame, steps: int, seed: int, centre: float =
 def read_csv(spark: SparkSession, pattern: str, columns: list[str], files: int, steps: int) -> DataFrame:
     """profile, hour and the named columns of the first files by name and of their first steps / 4 hours."""
     path = F.col("_metadata.file_path").alias("profile")
-    chosen = [r.profile for r in spark.read.text(pattern).select(path).distinct().orderBy("profile").limit(files).collect()]
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    chosen = sorted(f.getPath().toString() for f in found)[:files]
     each = [spark.read.option("header", True).csv(f).select(*(F.col(f"`{c}`").cast("double").alias(c) for c in columns), path, F.monotonically_increasing_id().alias("_row")) for f in chosen]
     if not each:
         raise FileNotFoundError(pattern)

@@ -166,6 +166,30 @@ def test_cascade_waits_and_repairs(spark):
     assert [(r.step, r.type) for r in cascade.cascade(v, early_repair=False).collect()] == [(0, "cascading failure"), (1, "cascading repair")]
 
 
+def test_vitality_of_networks_in_pieces(spark):
+    rows = [(0, 1, 2, 0, 3), (0, 2, 3, 0, 4), (0, 1, 3, 0, 9), (1, 1, 2, 0, 1), (1, 3, 4, 0, 1), (2, 5, 6, 0, 2)]
+    vc = {(r.network_id, r.id): r.vc for r in graph.vitality(spark.createDataFrame(rows, "network_id long, u long, v long, key long, w long")).collect()}
+    assert {k: v for k, v in vc.items() if k[0] != 1} == {(0, 1): 10.0, (0, 2): 14.0 - 9.0, (0, 3): 11.0, (2, 5): 2.0, (2, 6): 2.0}
+    assert all(math.isnan(vc[1, i]) for i in (1, 2, 3, 4))
+
+
+def test_sources_in_groups(spark):
+    path = [(7, i, i + 1, 0, 1) for i in range(50)]
+    got = {(r.s, r.t): r.d for r in graph.distances(spark.createDataFrame(path, "network_id long, u long, v long, key long, w long")).collect()}
+    assert got == {(a, b): abs(a - b) for a in range(51) for b in range(51) if a != b}
+
+
+def test_slack_of_a_table(spark):
+    rows = [(0, 0, 1, 1, 0.01, 0.1), (0, 1, 2, 2, 0.01, 0.1), (0, 0, 2, 3, 0.01, 0.1)]
+    columns = "network_id long, f int, t int, branch long, r double, x double"
+    extra = {k: F.lit(0.0) for k in ("g_fr", "b_fr", "g_to", "b_to", "tap", "shift", "theta_i", "theta_j")} | {"vi": F.lit(1.0), "vj": F.lit(1.0)}
+    b = spark.createDataFrame(rows, columns).withColumns(extra)
+    pairs = spark.createDataFrame([(0, 1, 2)], "network_id long, s long, t long")
+    flow = {k: {r.branch: r.ptdf for r in powerflow.ptdf(x, pairs).collect()} for k, x in (("none", b), ("0", b.withColumn("slack", F.lit(0))), ("2", b.withColumn("slack", F.lit(2))))}
+    assert flow["none"] == flow["0"] and set(flow["2"]) == {1, 2, 3}
+    assert abs(flow["2"][2] - 2 / 3) < 0.05 and flow["2"][2] != flow["0"][2]  # voltages are held at another bus
+
+
 def test_folders(spark, tmp_path):
     for k, name in enumerate(("n-0-0-3-0-0.5", "n-9-0-3-0-1")):
         (tmp_path / name).mkdir()
@@ -174,15 +198,19 @@ def test_folders(spark, tmp_path):
             (tmp_path / name / "failure.csv").write_text(",step,node,type,id\n0,3,a:b:4,failure,7\n")
     perf, fails, repairs = experiments.load(spark, str(tmp_path))
     got = sorted((r.gas_impact, r.cp_density, r.step, r["0"]) for r in perf.collect() if r.power_impact == "0")
-    assert got == [("3", 0.5, 0, 1.5), ("3", 0.5, 1, None)]
-    assert perf.count() == 4 and fails.count() == 1 and repairs.count() == 0 and "node" in repairs.columns
+    assert got == [("3", 0.5, 0, 1.5)]  # the run's other row lacks a value
+    assert perf.count() == 2 and fails.count() == 1 and repairs.count() == 0 and "node" in repairs.columns
     made = []
     for _ in range(2):
         df = experiments.cached(spark, str(tmp_path / "cache"), [perf], lambda: made.append(1) or spark.range(3).toDF("x"))
     assert df.count() == 3 and made == [1]
+    (tmp_path / name / "performance.csv").write_text(",0,1,2,id\n0,9.5,2,3,7\n")
+    experiments.cached(spark, str(tmp_path / "cache"), [experiments.load(spark, str(tmp_path))[0]], lambda: made.append(1) or spark.range(3).toDF("x"))
+    assert made == [1, 1]  # an input was rewritten in place
+    perf = experiments.load(spark, str(tmp_path))[0]
     experiments.append(perf.select("experiment", "id"), str(tmp_path / "out"))
     experiments.append(perf.select("experiment", "id"), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
 def test_profiles(spark, tmp_path):

@@ -18,7 +18,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from gridspark.llm.common import arrow_map, binary_view, slices, token_hashes
+from gridspark.llm.common import arrow_map, binary_view, give_back, slices, token_hashes
 
 #: Fixed value: the pattern that numpy can cut by; others are left to the regex library.
 CONTRACTIONS_LETTERS_NUMBERS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -31,12 +31,12 @@ def _kinds() -> np.ndarray:
 
     Its tables are of another Unicode version than those of the regex module.  It leaves out what a pattern does not match.
     """
-    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
-    text, out = "".join(map(chr, points.tolist())), np.full(0x110000, OTHER, np.uint8)
-    single = {bytes([i]): i for i in range(256)}
+    out, single = np.full(0x110000, OTHER, np.uint8), {bytes([i]): i for i in range(256)}
     for kind, of in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (WHITE, r"\s")):
-        matched = bytes(tiktoken.Encoding("class", pat_str=of, mergeable_ranks=single, special_tokens={}).encode_ordinary(text))
-        out[np.frombuffer(matched.decode().encode("utf-32-le"), "<u4")] = kind
+        finder = tiktoken.Encoding("class", pat_str=of, mergeable_ranks=single, special_tokens={})
+        for a in range(0, 0x110000, 1 << 14):
+            text = "".join(chr(c) for c in range(a, a + (1 << 14)) if not 0xD800 <= c < 0xE000)
+            out[np.frombuffer(bytes(finder.encode_ordinary(text)).decode().encode("utf-32-le"), "<u4")] = kind
     return out
 
 
@@ -154,7 +154,9 @@ class Codec:
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
         with open(path, "rb") as f:
-            return cls({base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}, pattern)
+            made = cls({base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}, pattern)
+        give_back()
+        return made
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}  # a pre-token's hash -> its number

@@ -16,6 +16,7 @@ from contextlib import suppress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,12 +170,18 @@ def grams(h: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
 
 
 def give_back() -> None:
-    """Hands memory that this process has freed to the system."""
+    """Hands memory that this process has freed, or can make again at once, to the system."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     with suppress(AttributeError, OSError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def forget(shared: Broadcast) -> None:
+    """Frees what a worker has read of a broadcast; its next task reads the executor's file again."""
+    shared.__dict__.pop("_value", None)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow after which its worker gives what it has freed back to the system, as workers wait for other tasks."""
 

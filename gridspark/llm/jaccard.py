@@ -26,7 +26,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import _MUL, binary_view, dropped, grams, lean, mix, sized, slices, stored, words
+from gridspark.llm.common import _MUL, binary_view, dropped, forget, grams, lean, mix, sized, slices, stored, words
 
 SHINGLE = 5
 #: One text in so many (by hash) is looked at to see which shingles are frequent.
@@ -129,6 +129,7 @@ def _classes(docs: DataFrame, percent: int, levels: Broadcast) -> tuple[DataFram
                 if out["n"]:
                     number, row = np.arange(row, row + batch.num_rows), row + batch.num_rows
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(2), "row": number} | {c: pa.array(v, pa.binary() if c[0] == "p" else pa.int64()) for c, v in out.items()})
+            forget(levels)
 
         rows = stored(docs.select("doc_id", "text", _text_hash()).mapInArrow(lean(run), "doc_id long, text_hash long, row long, key long, check long, n long, p0 binary, p1 binary, p2 binary"), "jaccard")
         if rows.groupBy("key").agg((F.min("check") != F.max("check")).alias("clash")).where("clash").isEmpty():
@@ -204,6 +205,7 @@ def _postings(prefixes: DataFrame, seen: Broadcast) -> DataFrame:
             hit = np.flatnonzero((seen.value[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1))
             row = np.repeat(np.arange(len(size)), size)[hit]
             yield pa.RecordBatch.from_pydict({"token": token[hit].view(np.int64), "key": batch.column(0).to_numpy()[row], "n": batch.column(1).to_numpy()[row].astype(np.int32), "place": place[hit].astype(np.int32)})
+        forget(seen)
 
     return prefixes.select("key", "n", "p0").mapInArrow(lean(run), "token long, key long, n int, place int")
 

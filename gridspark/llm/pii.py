@@ -316,7 +316,7 @@ _MAKERS: dict[str, Callable[[bytes, str], str]] = {
 }
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 14)
 def _remembered(key: bytes, kind: str, value: str) -> str:
     return _MAKERS[kind](key, value)
 

@@ -69,7 +69,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def tuned(spark: SparkSession, rows: int = 1000) -> None:
+def tuned(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of so many rows, as rows are whole texts; once for the session, unless it has a setting of its own."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":

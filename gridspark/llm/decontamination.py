@@ -120,7 +120,8 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int =
     """The rows, with all their columns, that report() does not call contaminated."""
     _, found = hits(spark, docs, items, window, k)
     dirty = stored(found.select("doc_id", "text_hash").distinct(), "winnow")
-    return _same(docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))), dirty, "left_anti").select(docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))  # no name of docs can clash with another
+    return _same(whole, dirty, "left_anti").select("_row.*")
 
 
 ORACLE = """

@@ -434,8 +434,9 @@ def one_of_each(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame
     kept = kept.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))).select("_d", "_t", "_again")
     bare = rows.where("n_shingles = 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.lit(False).alias("_again")).distinct()
     kept = stored(kept.union(bare), "jaccard")
-    out = docs.withColumn("_h", _text_hash()).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")))
-    return out.where("not _again").select(docs.columns).union(out.where("_again").dropDuplicates(["doc_id", "_h"]).select(docs.columns))
+    whole = docs.select(F.struct("*").alias("_row"), "doc_id", _text_hash())  # no name of docs can clash with another
+    out = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))
+    return out.where("not _again").select("_row.*").union(out.where("_again").dropDuplicates(["doc_id", "text_hash"]).select("_row.*"))
 
 
 def _mixed(index: DataFrame, turn: int) -> DataFrame:

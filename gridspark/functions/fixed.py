@@ -37,4 +37,6 @@ DAMAGE_ATTRIBUTE = {
 }
 #: attribute, target, relative deviation allowed
 BOUNDS = (("vm_pu", 1.0, 0.1), ("pressure_pu", 1.0, 0.1), ("t_pu", 1.0, 0.1), ("loading_percent", 1.0, 1.0))
+#: Shift of a network chart's points by layer: x, y; the last is that of nodes without a known layer.
+LAYER_SHIFT = {"power": (0.0, 0.0), "heat": (0.0003, 0.0003), "gas": (0.0006, 0.0006), "None": (0.0003, -0.0003)}
 RUNS_PER_PROCESS = 2000

@@ -137,3 +137,18 @@ def plot_class(model: Column, independent: Column) -> Column:
 
 def edge_loss(carrier: Column, losses: Column) -> Column:
     return F.when(carrier == "heat", losses[1]).otherwise(losses[0])
+
+
+def layer_shift(layer: Column) -> tuple[Column, Column]:
+    """How far a chart moves the points of a layer, in x and y."""
+    known = F.when(layer.isin(*fixed.LAYER_SHIFT), layer).otherwise("None")
+    return tuple(lookup({k: v[i] for k, v in fixed.LAYER_SHIFT.items()}, known) for i in (0, 1))
+
+
+def legacy_id(network: Column, kind: Column, component: Column) -> Column:
+    return F.concat(network.cast("string"), F.lit(":"), kind, F.lit(":"), component.cast("string"))
+
+
+def title_or(titles: Column, place: int, default: Column) -> Column:
+    """The title at a place of a list that may be null or too short, else the default."""
+    return F.coalesce(F.get(titles, place), default)

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.functions.scalar import layer_shift
+
 
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select("network_id", F.col("u").alias("id")).union(edges.select("network_id", "v")).distinct()
@@ -238,3 +240,24 @@ def network_frame(edges: DataFrame, places: DataFrame, values: DataFrame) -> Dat
     span = out.groupBy("network_id").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     color = F.when(F.col("_hi") > F.col("_lo"), (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     return out.join(span, "network_id").select("network_id", "u", "v", "key", "x0", "y0", "x1", "y1", color.alias("color"))
+
+
+def layered(places: DataFrame) -> DataFrame:
+    """Places (x, y, grid) moved by the shift of their layer, so that layers do not hide each other."""
+    dx, dy = layer_shift(F.col("grid"))
+    return places.withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy})
+
+
+def network_points(places: DataFrame, values: DataFrame) -> DataFrame:
+    """Points of a network chart: network_id, id, x, y, class, color, text.
+
+    places: network_id, id, x, y, grid, grid_type, model, independent; values: network_id, id, value.  A node
+    without a value has 0.  Dependent nodes are of class cp, others of the class that their grid's type names;
+    nodes of other grids are not drawn.
+    """
+    joined = layered(places).join(values.select("network_id", "id", "value"), ["network_id", "id"], "left").fillna(0, ["value"])
+    kind = F.when(~F.col("independent"), "cp")
+    for part, name in (("Water", "heat"), ("Gas", "gas"), ("Power", "power")):
+        kind = kind.when(F.col("grid_type").contains(part), name)
+    text = F.concat_ws(" - ", "grid_type", "model", F.col("value").cast("string"))
+    return joined.select("network_id", "id", "x", "y", kind.alias("class"), F.col("value").alias("color"), text.alias("text")).where("class is not null")

@@ -52,3 +52,8 @@ def metric_impact_frame(joined: DataFrame) -> DataFrame:
     named = joined.withColumn("type_group", F.lit("all")).unionByName(by_type_group(joined))
     ids = ["carrier", "cp_density", "node", "type_y", "type_group", "impact"]
     return named.select(*ids, *(F.col(m).cast("double") for m in fixed.METRICS)).unpivot(ids, list(fixed.METRICS), "metric", "value")
+
+
+def densities(df: DataFrame) -> DataFrame:
+    """The densities that occur, in order."""
+    return df.select("cp_density").distinct().orderBy("cp_density")

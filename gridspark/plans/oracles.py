@@ -128,6 +128,8 @@ ORACLES: dict[str, str] = {
     "profile_scale": _sql("SELECT profile, hour, kw * 1000 AS heat, kw / 54000.0::DOUBLE AS gas FROM hourly", "hourly"),
     "positional_profile": _sql("SELECT c.component_id, h.profile, h.hour, h.kw * (c.component_id + 1) AS value FROM hourly h JOIN (SELECT profile, row_number() OVER (ORDER BY profile) AS i FROM (SELECT DISTINCT profile FROM hourly)) USING (profile) JOIN (SELECT component_id, row_number() OVER (ORDER BY component_id) AS i FROM (SELECT component_id FROM parts WHERE type = 'PowerGenerator' ORDER BY 1 LIMIT 3)) c USING (i)", "hourly", "parts"),
     "random_profile": _sql(f"SELECT component_id, step::INT AS step, round(abs({_normal(0.0, 0.1, '101', 'component_id', 'step')}), 9) AS value FROM parts, range(4) r(step) WHERE type = 'Source'", "parts"),
+    "random_demand": _sql(f"SELECT CASE grid WHEN 'power' THEN 'electricity' WHEN 'water' THEN 'heat' ELSE 'gas' END AS carrier, component_id, step::INT AS step, round(CASE grid WHEN 'water' THEN v ELSE abs(v) END, 9) AS value FROM (SELECT grid, component_id, step, {_normal(0.0, 0.1, '101', 'component_id', 'step')} AS v FROM parts, range(4) r(step) WHERE grid IS NOT NULL)", "parts"),
+    "profile_sum": _sql("SELECT profile, hour, (kw * CASE WHEN kw % 2 = 0 THEN 3 ELSE 1 END)::BIGINT AS kw FROM hourly", "hourly"),
     "hazard_prob": _sql("SELECT run_id, component_id, time, round(p, 9) AS probability FROM trial", "trial"),
     "failures": _sql("SELECT run_id, component_id, time, round(p, 9) AS severity, 0 AS effect FROM fail", "fail"),
     "repairs": _sql("SELECT run_id, component_id, time, round(damage, 9) AS damage, repaired_time FROM rep", "rep"),
@@ -150,6 +152,9 @@ ORACLES: dict[str, str] = {
     "group_betweenness": _sql("SELECT group_id::BIGINT AS group_id, round(bc, 9) AS bc FROM gbc", "gbc"),
     "metrics_table": _sql("SELECT 'node:' || id AS id, 'Bus' AS type, degree, round(bc, 9) AS betweenness_centrality, round(vc, 9) AS vc, round(katz, 9) AS katz FROM own_all UNION ALL SELECT 'child:' || id, 'PowerLoad', degree, round(bc, 9), round(vc, 9), round(katz, 9) FROM own_all WHERE id < 10 UNION ALL SELECT 'branch:(' || u || ', ' || v || ', 0)', 'GenericPowerBranch', a.degree + b.degree, round(ebc.bc, 9), round((a.vc + b.vc) / 2, 9), round((a.katz + b.katz) / 2, 9) FROM ebc JOIN own_all a ON a.id = u JOIN own_all b ON b.id = v UNION ALL SELECT 'compound:' || grp.id, grp.type, sum(degree)::BIGINT, round(any_value(gbc.bc), 9), round(avg(vc), 9), round(avg(katz), 9) FROM grp JOIN gbc ON gbc.group_id = grp.id JOIN own_all ON list_contains(m, own_all.id) GROUP BY grp.id, grp.type", "deg", "bc", "vit", "kz", "ebc", "gbc"),
     "network_frame": _sql("SELECT u, v, (u % 5)::DOUBLE AS x0, floor(u / 5)::DOUBLE AS y0, (v % 5)::DOUBLE AS x1, floor(v / 5)::DOUBLE AS y1, CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END AS color FROM (SELECT u, v, CASE WHEN w % 2 = 0 THEN w ELSE 0 END::DOUBLE AS value, min(value) OVER () AS lo, max(value) OVER () AS hi FROM edges)", "edges"),
+    "network_points": _sql("SELECT id, (id % 5)::DOUBLE + [0.0, 0.0003, 0.0006, 0.0003][g]::DOUBLE AS x, floor(id / 5)::DOUBLE + [0.0, 0.0003, 0.0006, -0.0003][g]::DOUBLE AS y, class, color, concat_ws(' - ', ['PowerGrid', 'WaterGrid', 'GasGrid', 'NoGrid'][g], CASE g WHEN 1 THEN 'Bus' ELSE 'Junction' END, color::VARCHAR) AS text FROM (SELECT id, id % 4 + 1 AS g, CASE WHEN id % 6 = 3 THEN 'cp' ELSE ['power', 'heat', 'gas'][id % 4 + 1] END AS class, CASE WHEN id % 2 = 0 THEN id / 4.0::DOUBLE ELSE 0 END AS color FROM nodes) WHERE class IS NOT NULL", "nodes"),
+    "density_network": _sql("SELECT node AS id, cp_density, network_id FROM metrics LEFT JOIN (SELECT ((s_suppkey % 4) * 0.5)::DOUBLE AS cp_density, arg_min(s_suppkey, s_name)::BIGINT AS network_id FROM supplier GROUP BY 1) USING (cp_density)", "metrics"),
+    "densities": _sql("SELECT DISTINCT cp_density FROM perf", "perf"),
     "ybus": _sql("SELECT i, j, round(sum(re), 6) AS re, round(sum(im), 6) AS im FROM (SELECT f AS i, t AS j, -g / a AS re, -b / a AS im FROM pi UNION ALL SELECT t, f, -g / a, -b / a FROM pi UNION ALL SELECT f, f, g / (a * a), b / (a * a) + 0.01 FROM pi UNION ALL SELECT t, t, g, b + 0.01 FROM pi) GROUP BY ALL", "pi"),
     "line_flow": _sql("SELECT branch, round(vi * vi / (a * a) * g - vi * vj / a * (g * cos(dth) + b * sin(dth)), 6) AS p_from FROM pi", "pi"),
     "variance_indicator": _sql("SELECT cp_density, round(var_pop(total) / 10 / 1e6, 4) AS indicator FROM (SELECT * FROM total QUALIFY row_number() OVER (PARTITION BY cp_density ORDER BY id) <= 100) GROUP BY ALL", "total"),

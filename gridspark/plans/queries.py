@@ -11,7 +11,7 @@ from gridspark.functions import rng, scalar
 from gridspark.operators import cascade, frames, graph, powerflow, rollup, simulation, stopping, temporal
 from gridspark.operators import impact as im
 from gridspark.plans import fixtures as fx
-from gridspark.sources import experiments, profiles
+from gridspark.sources import experiments, networks, profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -209,6 +209,19 @@ def random_profile(s: SparkSession, d: str) -> DataFrame:
     return out.select("component_id", "step", F.round("value", 9).alias("value"))
 
 
+@query
+def random_demand(s: SparkSession, d: str) -> DataFrame:
+    c = fx.hazard_components(s, d)
+    out = profiles.random_demand(c.where("grid = 'power'"), c.where("grid = 'water'"), c.where("grid = 'gas'"), 4, 101)
+    return out.withColumn("value", F.round("value", 9))
+
+
+@query
+def profile_sum(s: SparkSession, d: str) -> DataFrame:
+    h = fx.hourly(s, d)
+    return profiles.merged([h, h.where("kw % 2 = 0").withColumn("kw", F.col("kw") * 2)], ["profile", "hour"], "kw")
+
+
 @query
 def hazard_prob(s: SparkSession, d: str) -> DataFrame:
     t = simulation.trials(fx.hazard_components(s, d), fx.runs(s), SETTINGS)
@@ -354,6 +367,26 @@ def network_frame(s: SparkSession, d: str) -> DataFrame:
     return graph.network_frame(e, places, values).drop("network_id", "key")
 
 
+@query
+def network_points(s: SparkSession, d: str) -> DataFrame:
+    n, i = graph.nodes(fx.edges(s, d)).select("network_id", "id"), F.col("id")
+    grid = lambda names: F.element_at(F.array(*map(F.lit, names)), (i % 4 + 1).cast("int"))
+    places = n.select("*", (i % 5).cast("double").alias("x"), F.floor(i / 5).cast("double").alias("y"), grid(("power", "heat", "gas", "None")).alias("grid"), grid(("PowerGrid", "WaterGrid", "GasGrid", "NoGrid")).alias("grid_type"), F.when(i % 4 == 0, "Bus").otherwise("Junction").alias("model"), (i % 6 != 3).alias("independent"))
+    return graph.network_points(places, n.where("id % 2 = 0").withColumn("value", i / 4)).drop("network_id")
+
+
+@query
+def density_network(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    found = fx.table(s, d, "supplier").select(k.cast("long").alias("network_id"), F.col("s_name").alias("path"), ((k % 4) * 0.5).cast("double").alias("cp_density"))
+    return networks.of_density(fx.metrics(s).select("id", "cp_density"), found)
+
+
+@query
+def densities(s: SparkSession, d: str) -> DataFrame:
+    return rollup.densities(fx.perf(s, d))
+
+
 @query
 def ybus(s: SparkSession, d: str) -> DataFrame:
     return powerflow.admittance(fx.branches(s, d)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))

@@ -69,6 +69,12 @@ def append(df: DataFrame, path: str, partition: str = "experiment") -> None:
     df.write.mode("append").partitionBy(partition).parquet(path)
 
 
+def clear(spark: SparkSession, path: str) -> bool:
+    """Removes all observations of a table; False if there were none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,6 +55,43 @@ def random_profile(components: DataFrame, steps: int, seed: int, centre: float =
     return grid.withColumn("value", F.abs(value) if absolute else value)
 
 
+def random_demand(loads: DataFrame, heat: DataFrame, sinks: DataFrame, steps: int, seed: int) -> DataFrame:
+    """carrier, component_id, step, value: noise for the components of all carriers, with a sign for heat only."""
+    parts = (("electricity", loads, True), ("heat", heat, False), ("gas", sinks, True))
+    return reduce(DataFrame.unionByName, [random_profile(c, steps, seed, absolute=a).select(F.lit(n).alias("carrier"), "component_id", "step", "value") for n, c, a in parts])
+
+
+def merged(series: list[DataFrame], keys: list[str], value: str) -> DataFrame:
+    """Sets of series as one: values of a key add up, keys of one set only stay as they are."""
+    rows = reduce(DataFrame.unionByName, [s.select(*keys, value) for s in series])
+    return rows.groupBy(*keys).agg(F.sum(value).alias(value))
+
+
+def residential_demand(spark: SparkSession, pattern: str, plus: list[str], components: DataFrame, steps: int, minus: str | None = None, seed: int = 0) -> DataFrame:
+    """component_id, step, value: the i-th file's demand (columns plus, less minus) for the i-th component, each hour held for four steps.
+
+    Without any file there is a warning, and the components get signed noise.  Components beyond the files have no rows.
+    """
+    columns = list(dict.fromkeys([*plus, *([minus] if minus else [])]))
+    try:
+        hourly = read_csv(spark, pattern, columns, components.count(), steps)
+    except FileNotFoundError:
+        logging.getLogger(__name__).warning("no profiles at %s; random ones are used", pattern)
+        return random_profile(components, steps, seed)
+    value = demand([F.col(f"`{c}`") for c in plus], F.col(f"`{minus}`") if minus else None)
+    series = hourly.select("profile", "hour", value.alias("value"))
+    placed = attach_by_position(series, components.select("component_id"), "profile", "component_id")
+    return upsample(placed).select("component_id", "step", "value")
+
+
+def absolute_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """component_id, step, value as stored; a table without rows is an error."""
+    out = spark.read.parquet(path).select("component_id", "step", "value")
+    if out.isEmpty():
+        raise ValueError(f"no profiles in {path}")
+    return out
+
+
 def read_csv(spark: SparkSession, pattern: str, columns: list[str], files: int, steps: int) -> DataFrame:
     """profile, hour and the named columns of the first files by name and of their first steps / 4 hours."""
     path = F.col("_metadata.file_path").alias("profile")

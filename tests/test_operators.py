@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import rng, scalar
 from gridspark.operators import cascade, frames, graph, impact, powerflow, simulation, stopping, temporal
 from gridspark.plans.queries import QUERIES
-from gridspark.sources import experiments, profiles
+from gridspark.sources import experiments, networks, profiles
 from gridspark.streaming import faults
 
 PATH, STAR, CYCLE = [(0, 1), (1, 2)], [(0, 1), (0, 2), (0, 3)], [(0, 1), (1, 2), (2, 3), (0, 3)]
@@ -246,3 +246,49 @@ def test_mgbm_asks_after_all_runs(spark, tmp_path):
     rows = [(i, "click", t / 100, 5 * i, datetime.datetime(2024, 1, 1)) for i, t in enumerate(totals)]
     spark.createDataFrame(rows, "event_id long, event_type string, value double, user_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
     assert [tuple(r) for r in QUERIES["mgbm"](spark, str(tmp_path)).collect()] == [(0.0, 130, False)]
+
+
+def test_networks_as_tables(spark, tmp_path):
+    path, schema = str(tmp_path / "nets"), "network_id long, id long, cp_density double"
+    networks.write({"nodes": spark.createDataFrame([(1, 5, 0.5), (2, 6, 1.0)], schema)}, path)
+    networks.write({"nodes": spark.createDataFrame([(2, 7, 1.0), (2, 8, 1.0)], schema)}, path)
+    found = networks.read(spark, path)
+    assert list(found) == ["nodes"] and sorted((r.network_id, r.id) for r in found["nodes"].collect()) == [(1, 5), (2, 7), (2, 8)]
+    assert networks.read(spark, str(tmp_path / "none")) == {}
+    with pytest.raises(ValueError):
+        networks.write({"edges": found["nodes"]}, path)
+    several = spark.createDataFrame([(3, "b", 0.5), (4, "a", 0.5), (5, "a", None)], "network_id long, path string, cp_density double")
+    rows = spark.createDataFrame([("x", 0.5), ("y", 2.0), ("z", None), ("x", 0.5)], "id string, cp_density double")
+    assert sorted(((r.id, r.network_id) for r in networks.of_density(rows, several).collect()), key=str) == [("x", 4), ("x", 4), ("y", None), ("z", None)]
+    assert experiments.clear(spark, path) and not experiments.clear(spark, path) and networks.read(spark, path) == {}
+
+
+def test_network_points(spark):
+    places = spark.createDataFrame([(0, 1, 1.0, 1.0, "gas", "GasGrid", "Junction", True), (0, 2, 1.0, 1.0, None, "NoGrid", "Control", False), (0, 3, 1.0, 1.0, None, "NoGrid", "Control", True)], "network_id long, id long, x double, y double, grid string, grid_type string, model string, independent boolean")
+    values = spark.createDataFrame([(0, 1, 2.5)], "network_id long, id long, value double")
+    got = {r.id: (r.x, r.y, r["class"], r.color, r.text) for r in graph.network_points(places, values).collect()}
+    assert got == {1: (1.0006, 1.0006, "gas", 2.5, "GasGrid - Junction - 2.5"), 2: (1.0003, 0.9997, "cp", 0.0, "NoGrid - Control - 0.0")}
+    assert graph.network_points(places.limit(0), values).count() == 0
+
+
+def test_residential_demand(spark, tmp_path, caplog):
+    components = spark.createDataFrame([(9,), (4,), (6,)], "component_id long")
+    for name, rows in (("a", "1,10\n2,20\n3,30"), ("b", "4,5")):
+        (tmp_path / f"{name}.csv").write_text("Gas,Heat\n" + rows + "\n")
+    got = profiles.residential_demand(spark, str(tmp_path / "*.csv"), ["Heat", "Gas"], components, 8, minus="Gas").collect()
+    want = [(4, s, 10.0 if s < 4 else 20.0) for s in range(8)] + [(6, s, 5.0) for s in range(4)]
+    assert sorted(map(tuple, got)) == want
+    noise = profiles.residential_demand(spark, str(tmp_path / "*.none"), ["Heat"], components, 8, seed=3).collect()
+    assert len(noise) == 24 and any(r.value < 0 for r in noise) and "random ones" in caplog.text
+    stored = str(tmp_path / "series")
+    spark.createDataFrame([(1, 0, 2.0)], "component_id long, step int, value double").write.parquet(stored)
+    assert profiles.absolute_profiles(spark, stored).count() == 1
+    spark.createDataFrame([], "component_id long, step int, value double").write.mode("overwrite").parquet(stored)
+    with pytest.raises(ValueError):
+        profiles.absolute_profiles(spark, stored)
+
+
+def test_names_and_titles(spark):
+    assert one(spark, scalar.legacy_id(F.lit("n"), F.lit("Bus"), F.lit(3))) == "n:Bus:3"
+    titles = F.array(F.lit("a"), F.lit(None))
+    assert [one(spark, scalar.title_or(titles, i, F.lit("z"))) for i in range(3)] == ["a", "z", "z"]

@@ -87,14 +87,22 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 1
     texts = texts.select("doc_id", "text_hash", word_list(F.col("text")).alias("words"))
     sides = worded.select("item_id", F.col("words").alias("item_words"))
     sides = F.broadcast(sides) if item_side and worded.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] <= 4 * most_broadcast else sides
-    spans = _same(texts, sized(touched, most_hits), "inner").join(sides, "item_id")
-    # a window that holds the k-gram starts at most n - k words before it, within both texts
-    away = F.col("place") - F.col("item_place")
+    # a window that holds the k-gram starts at most n - k words before it, within both texts: so many words around are enough of either
     room = F.col("n") - F.least(F.lit(k), F.col("n"))
-    low = F.greatest(F.col("place") - room, F.lit(1), away + 1)
-    high = F.least("place", F.size("words") - F.col("n") + 1, F.size("item_words") - F.col("n") + 1 + away)
-    equal = "filter(sequence(low, high), s -> slice(words, s, n) = slice(item_words, s - away, n))"
-    spans = spans.where((F.col("n") == window) | (F.size("item_words") == F.col("n"))).withColumns({"low": low, "high": high, "away": away}).where("low <= high")
+
+    def around(place: str, words: str, name: str) -> list[Column]:
+        first = F.greatest(F.col(place) - room, F.lit(1))
+        return [first.alias(f"{name}_from"), F.slice(words, first, F.col(place) + F.col("n") - first).alias(name), F.size(words).alias(f"{name}_size")]
+
+    key = ["doc_id", "text_hash", "item_id", "n", "place", "item_place"]
+    spans = _same(texts, sized(touched, most_hits), "inner").select(*key, *around("place", "words", "near"))
+    spans = spans.join(sides, "item_id").where((F.col("n") == window) | (F.size("item_words") == F.col("n")))
+    spans = spans.select(*key, "near", "near_from", "near_size", *around("item_place", "item_words", "item"))
+    away = F.col("place") - F.col("item_place")
+    low = F.greatest("near_from", F.col("item_from") + away)
+    high = F.least("place", F.col("near_size") - F.col("n") + 1, F.col("item_size") - F.col("n") + 1 + away)
+    equal = "filter(sequence(low, high), s -> slice(near, s - near_from + 1, n) = slice(item, s - away - item_from + 1, n))"
+    spans = spans.withColumns({"low": low, "high": high, "away": away}).where("low <= high")
     return counted, spans.select("doc_id", "text_hash", "item_id", F.explode(F.expr(equal)).alias("start"), F.col("n").alias("length"))
 
 

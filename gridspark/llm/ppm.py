@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import arrow_map, binary_view, fold, lean, LOWER, slices, stored, words
@@ -58,15 +58,16 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Ppm:
     """Tables of a trie.  grams: distinct codes of order+1 bytes, with their counts.
 
-    A trie can be cut by the two bytes before the symbol: then grams has those of some of them, and pairs
-    the codes and counts of all two bytes (a byte and its symbol), from which the two shortest orders are made.
+    A trie can be cut by the last bytes before the symbol: then grams has those of some of them, and shorter
+    the codes and counts of the orders from 1 on that the cut leaves incomplete, with all symbols after any
+    context that ends the ones here (order 0 is made from order 1).
 
     For a context c whose shorter one is p: top(c) is the log weight of leaving c when nothing is excluded
     and then all shorter contexts down to none, down(c) what turns a symbol's count in p into its log
     weight after c has been left.
     """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int, shorter: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> None:
         if not 2 <= order <= 6:
             raise ValueError("the order must be 2 to 6")
         self.order = order
@@ -78,9 +79,9 @@ class Ppm:
                 key = key & np.uint64((1 << 8 * (k + 1)) - 1)
                 by = np.argsort(key, kind="stable")
                 key, n = _sums(key[by], n[by])
-            if k == 1 and pairs is not None:
-                by = np.argsort(pairs[0])
-                key, n = pairs[0][by].astype(np.uint64), pairs[1][by].astype(np.float64)
+            if shorter and k in shorter:
+                by = np.argsort(shorter[k][0])
+                key, n = shorter[k][0][by].astype(np.uint64), shorter[k][1][by].astype(np.float64)
             levels[k] = (key, n)
         levels = [(key, 2 * n - 1) for key, n in levels]
         self.contexts: list[np.ndarray] = []
@@ -237,34 +238,69 @@ def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [table[c].to_numpy() for c in names]
 
 
-def _blocks(grams: DataFrame, order: int, most: int) -> Iterator[tuple[Ppm, np.ndarray]]:
-    """The trie in blocks of about ``most`` grams, each with the byte pairs before a symbol that it knows."""
-    pair = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)
-    sizes = {r[0]: r[1] for r in grams.groupBy(pair.alias("p")).count().collect()}  # at most 65,536
-    known, n = _arrays(grams.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("k")).agg(F.sum("n").alias("n")), "k", "n")  # as many
-    parts: list[list[int]] = [[]]
-    size = 0
-    for p in sorted(sizes):
-        if size and size + sizes[p] > most:
-            parts.append([])
-            size = 0
-        parts[-1].append(p)
-        size += sizes[p]
-    for part in parts:
-        mine = grams if len(parts) == 1 else grams.join(F.broadcast(grams.sparkSession.createDataFrame([(p,) for p in part], "p int")), pair == F.col("p"), "left_semi")
-        keys, counts = _arrays(mine, "key", "n")
-        covers = np.zeros(1 << 16, bool)
-        covers[part] = True
-        if part == parts[0]:
-            covers[np.setdiff1d(np.arange(1 << 16), list(sizes))] = True  # pairs that no gram has
-        yield Ppm(keys.view(np.uint64), counts, order, (known, n)), covers
-
-
-def _scores(model: Ppm, covers: np.ndarray | None, data: np.ndarray, own: np.ndarray) -> np.ndarray:
+class _Cover:
+    """The codes that a block answers: those whose last ``depth`` bytes before the symbol are among names and, if
+    rest = (n, ending, known) is given, those whose last n are the ending and whose last depth are not known."""
+
+    def __init__(self, depth: int, names: np.ndarray, rest: tuple[int, int, np.ndarray] | None) -> None:
+        self.depth, self.names, self.rest = depth, names, rest
+
+    def __call__(self, code: np.ndarray) -> np.ndarray:
+        last = (code >> np.uint64(8)) & np.uint64((1 << 8 * self.depth) - 1)
+        mine = _find(self.names, last)[1]
+        if self.rest is not None:
+            n, ending, known = self.rest
+            mine |= ((last & np.uint64((1 << 8 * n) - 1)) == np.uint64(ending)) & ~_find(known, last)[1]
+        return mine
+
+
+def _blocks(grams: DataFrame, order: int, most: int) -> Iterator[tuple[Ppm, _Cover | None]]:
+    """The trie in blocks of at most ``most`` grams (256 if that is more), each with the codes that it answers, or None for all.
+
+    A block has the grams of some endings of contexts.  Endings have two bytes at first; one of more than
+    ``most`` grams is cut into those one byte longer, up to whole contexts, which have at most 256 grams.
+    """
+
+    def ending(depth: int) -> Column:
+        return F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * depth) - 1)
+
+    def level(k: int, frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = _arrays(frame.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("k")).agg(F.sum("n").alias("n")), "k", "n")
+        return keys.view(np.uint64), n
+
+    def cut(depth: int, frame: DataFrame, shorter: dict[int, tuple[np.ndarray, np.ndarray]], under: tuple[int, int]) -> Iterator[tuple[Ppm, _Cover | None]]:
+        names, n = _arrays(frame.groupBy(ending(depth).alias("e")).agg(F.count("*").alias("n")), "e", "n")  # at most 65,536, or 256 of a longer ending
+        by = np.argsort(names)
+        names, n = names[by].view(np.uint64), n[by]
+        hot = (n > most) & (depth < order)
+        parts: list[list[int]] = [[]]
+        size = 0
+        for i in np.flatnonzero(~hot):
+            if size and size + n[i] > most:
+                parts.append([])
+                size = 0
+            parts[-1].append(i)
+            size += n[i]
+        for part in parts:
+            mine = names[part] if part else names[:0]
+            whole = len(mine) == len(names)
+            wanted = frame.sparkSession.createDataFrame([(int(x),) for x in mine], "e long")
+            keys, counts = _arrays(frame if whole else frame.join(F.broadcast(wanted), ending(depth) == F.col("e"), "left_semi"), "key", "n")
+            covers = None if whole and depth == 2 else _Cover(depth, mine, (*under, names) if part is parts[0] else None)
+            yield Ppm(keys.view(np.uint64), counts, order, shorter), covers
+        for e in names[hot]:
+            own = frame.where(ending(depth) == int(e))
+            yield from cut(depth + 1, own, shorter | {depth: level(depth, own)}, (depth, int(e)))
+
+    yield from cut(2, grams, {1: level(1, grams)}, (0, 0))  # at most 65,536 pairs of a byte and its symbol
+
+
+def _scores(model: Ppm, covers: _Cover | None, data: np.ndarray, own: np.ndarray) -> np.ndarray:
     code, start = codes(data, own, model.order)
-    logs = model.logs(code) if covers is None else np.zeros(len(code))
-    if covers is not None:
-        mine = covers[(code >> np.uint64(8)) & np.uint64(0xFFFF)]
+    if covers is None:
+        logs = model.logs(code)
+    else:
+        logs, mine = np.zeros(len(code)), covers(code)
         logs[mine] = model.logs(code[mine])
     return np.add.reduceat(logs, start[:-1]) / np.log(10)
 
@@ -289,11 +325,8 @@ def score(docs: DataFrame, order: int = 5, heavy_share: int = 1 << 22, most_gram
     heavy = spark.sparkContext.broadcast((keys.view(np.uint64)[by], np.log10(n[by] + 1.0)))
     below = float(np.log10(total + kinds + 1))
 
-    def shared(model: Ppm, covers: np.ndarray | None):
-        return spark.sparkContext.broadcast((model, None if covers is None or covers.all() else covers))
-
     blocks = _blocks(grams, order, most_grams)
-    first = shared(*next(blocks))
+    first = spark.sparkContext.broadcast(next(blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, (known, logs), (model, covers) = TaskContext.get().partitionId() << 36, heavy.value, first.value
@@ -329,8 +362,8 @@ def score(docs: DataFrame, order: int = 5, heavy_share: int = 1 << 22, most_gram
     each = main.select("row", F.explode("rare").alias("key")).join(heads.where(F.col("n") < least).select("key", "n"), "key", "left")
     rare = each.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("_more"), F.count("n").alias("_known")) if total and least > 1 else None
     out = main.drop("rare")
-    for model, covers in blocks:
-        one = shared(model, covers)
+    for block in blocks:
+        one = spark.sparkContext.broadcast(block)
 
         def part(batch: pa.RecordBatch, one=one) -> dict:
             (model, covers), (data, at) = one.value, binary_view(batch.column(2))

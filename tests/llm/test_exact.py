@@ -198,13 +198,32 @@ def test_score_against_a_walk(docs):
     for i, t in rows:
         if zlib.crc32(str(i).encode()) % 7 != 2:
             grams.update(stream(t)[k : k + order + 1] for k in range(len(stream(t)) - order))
-    for settings in ({}, {"most_grams": 10}):
+    for settings in ({}, {"most_grams": 10}, {"most_grams": 3}):  # 3: endings of two bytes are cut, "abr" among them
         for r in ppm.score(docs(rows), order=order, **settings).collect():
             t = stream(rows[r.doc_id][1])
             want = sum(math.log10(plain_ppm(grams, order, t[k : k + order], t[k + order])) for k in range(len(t) - order))
             assert r.score == pytest.approx(want, rel=1e-4)
 
 
+@pytest.mark.parametrize("most", [1, 4, 10, 1000])
+def test_blocks_answer_every_code_once(spark, most):
+    order, text = 4, b"xaab yaab zaab waab xaac yabc xaad xaae xaaf " * 2
+    stream = b"\xff" * order + text + b"\xff"
+    grams = Counter(int.from_bytes(stream[i : i + order + 1], "big") for i in range(len(text) + 1))
+    whole = ppm.Ppm(np.array(list(grams), np.uint64), np.array(list(grams.values())), order)
+    r = np.random.default_rng(5)
+    code = np.array(list(grams) + [int.from_bytes(bytes(r.choice(list(b"xyzwabcdef q"), order + 1).tolist()), "big") for _ in range(3000)], np.uint64)
+    got, times = np.zeros(len(code)), np.zeros(len(code), int)
+    blocks = list(ppm._blocks(spark.createDataFrame(list(grams.items()), "key long, n long"), order, most))
+    for model, covers in blocks:
+        mine = np.ones(len(code), bool) if covers is None else covers(code)
+        got[mine] += model.logs(code[mine])
+        times += mine
+        assert len(model.gram_keys[order]) <= max(most, 256)
+    assert (times == 1).all() and got == pytest.approx(whole.logs(code), rel=1e-5)
+    assert (len(blocks) == 1) == (most == 1000) and (most > 4 or any(c.depth > 2 for _, c in blocks))
+
+
 def test_ppm_of_nothing(docs):
     assert ppm.score(docs([])).count() == 0
     held = [(i, "ab") for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]

@@ -69,11 +69,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def tuned(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of so many rows, as rows are whole texts; once for the session, unless it has a setting of its own."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+def tuned(spark: SparkSession, rows: int = 256, size: str = "4m") -> None:
+    """Arrow batches of so many rows and bytes (or one row), as rows are whole texts; once for the session, unless it has settings of its own."""
+    name = "spark.sql.execution.arrow.max%sPerBatch"
+    for what, default, value in (("Records", "10000", str(rows)), ("Bytes", "67108864b", size)):
+        if spark.conf.get(name % what) == default:
+            spark.conf.set(name % what, value)
 
 
 def sized(df: DataFrame, most: int) -> DataFrame:

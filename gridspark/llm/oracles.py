@@ -1,6 +1,6 @@
 """DuckDB SQL for the text operators that SQL can express."""
 
-from gridspark.llm import decontamination, fim
+from gridspark.llm import decontamination, fim, repeats
 
 _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
@@ -37,4 +37,4 @@ SELECT query_id, rank, doc_id, score FROM (
 WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op5_jaccard_join": LINKS, "op6_winnowing": decontamination.ORACLE, "op9_bm25_search": SEARCH, "op13_fill_in_middle": fim.ORACLE}
+ORACLES: dict[str, str] = {"op5_jaccard_join": LINKS, "op6_winnowing": decontamination.ORACLE, "op9_bm25_search": SEARCH, "op11_periodic_runs": repeats.ORACLE, "op13_fill_in_middle": fim.ORACLE}

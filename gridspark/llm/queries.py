@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bpe, decontamination, fim, jaccard, langid, pii, ppm, quality, repeats, search, sharding, toxicity
+from gridspark.llm import bpe, decontamination, fim, jaccard, langid, neighbours, pii, ppm, quality, repeats, search, sharding, toxicity
 from gridspark.llm.common import documents
 
 
@@ -60,11 +60,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(documents(spark, sf_dir))
 
 
+def op12_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_ppm, op3_quality_gam, op4_toxicity_ftrl, op5_jaccard_join, op6_winnowing, op7_byte_bpe, op8_bigru_language, op9_bm25_search, op10_pii_surrogates, op11_periodic_runs, op13_fill_in_middle)
+    for f in (op1_sharding, op2_ppm, op3_quality_gam, op4_toxicity_ftrl, op5_jaccard_join, op6_winnowing, op7_byte_bpe, op8_bigru_language, op9_bm25_search, op10_pii_surrogates, op11_periodic_runs, op12_forest_search, op13_fill_in_middle)
 }

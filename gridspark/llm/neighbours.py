@@ -26,6 +26,8 @@ from gridspark.llm.common import lean, mix, tuned
 
 #: Vectors that meet at one place, and queries that are looked at there together.
 PLACE, BLOCK = 8192, 256
+#: Rows whose margins to all nodes are in memory at once.
+ROWS = 2048
 
 
 def usable(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +72,8 @@ class Forest:
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row in each tree."""
+        if len(x) > ROWS:
+            return np.concatenate([self.leaves(x[a : a + ROWS]) for a in range(0, len(x), ROWS)])
         trees = len(self.planes)
         node, row, tree = np.zeros((len(x), trees), np.int64), np.arange(len(x))[:, None], np.arange(trees)[None]
         above = self.margins(self.lifted(x))
@@ -124,11 +128,11 @@ def needed(forest: Forest, sample: np.ndarray, k: int, recall: float, seed: int,
     asked = np.random.default_rng(seed).permutation(n)[:queries]
     leaves = forest.leaves(sample)
     size = np.bincount(leaves.ravel(), minlength=trees << forest.depth)
-    scores = sample[asked] @ sample.T
-    scores[np.arange(len(asked)), asked] = -np.inf
-    nearest = np.argpartition(-scores, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)]
     found = []
-    for order, near in zip(forest.search(sample[asked], size, np.inf), nearest, strict=True):
+    for a, order in zip(asked, forest.search(sample[asked], size, np.inf), strict=True):
+        scores = sample @ sample[a]
+        scores[a] = -np.inf
+        near = np.argpartition(scores, -min(k, n - 1))[-min(k, n - 1) :]
         held = np.zeros(len(size))
         held[order] = np.cumsum(size[order])
         found.append(held[leaves[near]].min(1))

@@ -275,6 +275,7 @@ class _Members:
         self.x = np.frombuffer(b"".join(m[1] for m in held), kind).reshape(len(held), -1).astype(float) if held else np.zeros((0, 0))
         leaf = np.array([m[2] for m in held], np.int64)
         names, begin = np.unique(leaf, return_index=True)
+        self.repeated = len(np.unique(self.ids)) < len(self.ids)
         self.spans = dict(zip(names.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(leaf)], strict=True), strict=True))
 
 
@@ -293,11 +294,15 @@ def _best(members: _Members, asked: list[tuple[int, bytes, list[int]]], k: int,
     scores[np.array([a[0] for a in asked])[:, None] == members.ids] = -np.inf
     out: list[list[np.ndarray]] = [[], [], []]
     for r, (i, _, _) in enumerate(asked):
-        least = np.partition(scores[r], -k)[-k] if scores.shape[1] > k else -np.inf
+        least = np.partition(scores[r], -k)[-k] if scores.shape[1] > k and not members.repeated else -np.inf
         slack = 1e-9 * (1 + abs(least)) if np.isfinite(least) else 0.0
         near = np.flatnonzero((scores[r] >= least - slack) & (scores[r] > -np.inf))
         exact = (members.x[near] * q[r]).sum(1)
-        top = near[order := np.lexsort((members.ids[near], -exact))[:k]]
+        order = np.lexsort((members.ids[near], -exact))
+        if members.repeated:
+            order = order[np.sort(np.unique(members.ids[near[order]], return_index=True)[1])]
+        order = order[:k]
+        top = near[order]
         out[0].append(np.full(len(top), i))
         out[1].append(members.ids[top])
         out[2].append(exact[order])

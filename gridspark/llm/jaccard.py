@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -373,8 +374,10 @@ def _by_sets(members: DataFrame, docs: DataFrame, reps: DataFrame, seed: int, pe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(4).to_numpy()
-            fresh = np.concatenate([[True], (keys[1:] != keys[:-1])])
-            found = list(sets(batch.column(0).take(pa.array(np.flatnonzero(fresh))), seed))
+            texts = batch.column(0)  # of one id's texts, each is looked at by itself
+            same = pc.fill_null(pc.equal(texts[1:], texts[:-1]), False).to_numpy(zero_copy_only=False).astype(bool)
+            fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | ~same])
+            found = list(sets(texts.take(pa.array(np.flatnonzero(fresh))), seed))
             of = np.cumsum(fresh) - 1
             good = [i for i, j in enumerate(of) if found[j][1] == keys[i]]  # a row of another text may have the same id
             mine = batch.take(pa.array(good, pa.int64()))

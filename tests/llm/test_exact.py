@@ -276,6 +276,34 @@ def test_links(docs, monkeypatch, block, stars):
     assert sum(want) > 2 * len({r.class_id for r in got})  # far more than a link a class
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (0, 2, 1)])
+def test_links_of_an_id_with_several_texts(docs, order):
+    """An unrelated text of the same id, wherever it stands, takes no link away."""
+    a, unrelated = prose(60), prose(50)
+    rows = [(1, a), (5, unrelated), (5, a + " more")]
+    got = jaccard.join(docs([rows[k] for k in order]).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(1, 1, 1), (5, 1, 1), (5, 5, 0)]
+
+
+def test_links_of_random_rows_with_repeated_ids(docs):
+    r = random.Random(0)
+    base = [prose(r.randint(4, 80)) for _ in range(6)]
+    rows = [(r.randrange(8), None if r.random() < 0.1 else " ".join([*w[: len(w) - r.randint(0, 3)], *r.choice(([], ["x"], ["y", "z"]))])) for w in (r.choice(base).split() for _ in range(60))]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for _, t in rows]
+    links = [[j for j, b in enumerate(sets) if 100 * len(a & b) >= 75 * len(a | b) > 0] for a in sets]
+    want = []
+    for i, (d, _) in enumerate(rows):
+        reached, stack = {i}, [i]
+        while stack:
+            for j in links[stack.pop()]:
+                if j not in reached:
+                    reached.add(j)
+                    stack.append(j)
+        want.append((d, len(sets[i]), min(rows[j][0] for j in reached), max(0, len(links[i]) - 1)))
+    got = jaccard.join(docs(rows).repartition(3)).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id, x.n_links) for x in got) == sorted(want)
+
+
 def test_overlaps():
     a, b = ([np.array(sorted(random.sample(range(300), random.randint(1, 200))), np.uint64) for _ in range(9)] for _ in range(2))
     for other, got in ((b, jaccard.overlaps(a, b, 7)), (a, jaccard.overlaps(a, None, 64))):

@@ -28,6 +28,9 @@ from gridspark.llm.common import lean, mix, tuned
 PLACE, BLOCK = 8192, 256
 #: Rows whose margins to all nodes are in memory at once.
 ROWS = 2048
+#: Answers that a task keeps to merge those of its places, before it hands them on.
+ANSWERS = 400_000
+Answers = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def usable(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,15 +240,21 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, trees: int = 4, leaf:
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, members, asked = None, None, []
         held: list[tuple[int, bytes, int]] = []
+        answers = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
-        def answers() -> pa.RecordBatch:
-            return _best(members, asked, k, kind)
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(dict(zip(("query_id", "vec_id", "score"), _merged(answers, k), strict=True)))
 
         for batch in batches:
+            if len(answers[0]) > ANSWERS:
+                answers = _merged(answers, k)
+                if len(answers[0]) > ANSWERS // 2:
+                    yield given()
+                    answers = tuple(a[:0] for a in answers)
             for place, asking, i, v, fs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if place != here:
                     if asked:
-                        yield answers()
+                        answers = _with(answers, _best(members, asked, k, kind))
                     here, members, asked, held = place, None, [], []
                 if not asking:
                     held.append((i, v, fs[0]))
@@ -255,10 +264,11 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, trees: int = 4, leaf:
                     held = []
                 asked.append((i, v, fs))
                 if len(asked) == BLOCK:
-                    yield answers()
+                    answers = _with(answers, _best(members, asked, k, kind))
                     asked = []
         if asked:
-            yield answers()
+            answers = _with(answers, _best(members, asked, k, kind))
+        yield given()
 
     found = made.mapInArrow(lean(met), "query_id long, vec_id long, score double").repartition("query_id")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -279,8 +289,8 @@ class _Members:
         self.spans = dict(zip(names.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(leaf)], strict=True), strict=True))
 
 
-def _best(members: _Members, asked: list[tuple[int, bytes, list[int]]], k: int, kind: type) -> pa.RecordBatch:
-    """The k best of each query among the members of its leaves; those that could be among them are computed once more, all in one way."""
+def _best(members: _Members, asked: list[tuple[int, bytes, list[int]]], k: int, kind: type) -> Answers:
+    """Query, vector and score of the k best of each query among the members of its leaves; those that could be among them are computed once more, all in one way."""
     q = np.frombuffer(b"".join(a[1] for a in asked), kind).reshape(len(asked), -1).astype(float)
     scores = np.full((len(asked), len(members.ids)), -np.inf)
     by: dict[int, list[int]] = {}
@@ -306,4 +316,20 @@ def _best(members: _Members, asked: list[tuple[int, bytes, list[int]]], k: int,
         out[0].append(np.full(len(top), i))
         out[1].append(members.ids[top])
         out[2].append(exact[order])
-    return pa.RecordBatch.from_pydict(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, out), strict=True)))
+    return tuple(map(np.concatenate, out))
+
+
+def _with(a: Answers, b: Answers) -> Answers:
+    return tuple(np.concatenate(x) for x in zip(a, b, strict=True))
+
+
+def _merged(answers: Answers, k: int) -> Answers:
+    """The k best of each query, each vector once."""
+    query, vector, score = (a[np.lexsort((-answers[2], answers[1], answers[0]))] for a in answers)
+    new = np.append(True, (query[1:] != query[:-1]) | (vector[1:] != vector[:-1]))[: len(query)]
+    query, vector, score = query[new], vector[new], score[new]
+    order = np.lexsort((vector, -score, query))
+    query, vector, score = query[order], vector[order], score[order]
+    first = np.searchsorted(query, query)
+    best = np.arange(len(query)) - first < k
+    return query[best], vector[best], score[best]

@@ -108,6 +108,8 @@ ORACLES: dict[str, str] = {
     "interval_inside": _sql("SELECT * FROM inside", "inside"),
     "interval_outside": _sql("SELECT cp_density, node, count(*) AS n, sum(c0)::BIGINT AS c0, sum(c1)::BIGINT AS c1, sum(c2)::BIGINT AS c2 FROM outside GROUP BY ALL", "outside"),
     "impact_subtraction": _sql("SELECT * FROM impact", "impact"),
+    "interval_sums": _sql("SELECT cp_density, pairs.node, " + ", ".join(f"coalesce(sum({c}), 0)::BIGINT AS in_s_{c}, count({c}) AS in_n_{c}" for c in ("c0", "c1", "c2")) + " FROM pairs LEFT JOIN inside USING (cp_density, experiment, id, node) WHERE failed <= repaired GROUP BY ALL", "pairs", "inside"),
+    "impact_running": _sql("SELECT * FROM impact", "impact"),
     "impact_naive": _sql("SELECT cp_density, node, impact FROM impact WHERE carrier = 'electricity'", "impact"),
     "scenario_resilience": _sql(f"SELECT cp_density, x AS experiment, {_case('x', fixed.SCENARIO, 'x')} AS scenario, id, carrier, resilience_mean FROM (SELECT cp_density, split_part(experiment, '-', 2) || '-' || split_part(experiment, '-', 3) || '-' || split_part(experiment, '-', 4) || '-' || split_part(experiment, '-', 5) AS x, avg(id)::DOUBLE AS id, unnest(['electricity', 'heat', 'gas']) AS carrier, unnest([sum(c0) / (count(*) * 100.0::DOUBLE), sum(c1) / (count(*) * 100.0::DOUBLE), sum(c2) / (count(*) * 100.0::DOUBLE)]) AS resilience_mean FROM (SELECT cp_density, experiment, id, sum(c0) AS c0, sum(c1) AS c1, sum(c2) AS c2 FROM perf GROUP BY ALL) GROUP BY cp_density, experiment)", "perf"),
     "run_total": _sql("SELECT * FROM total", "total"),

@@ -69,6 +69,16 @@ def impact_subtraction(s: SparkSession, d: str) -> DataFrame:
     return _impact(s, d)
 
 
+@query
+def interval_sums(s: SparkSession, d: str) -> DataFrame:
+    return im.interval_sums(fx.perf(s, d), _pairs(s, d), list(fx.CENTS.values()))
+
+
+@query
+def impact_running(s: SparkSession, d: str) -> DataFrame:
+    return im.impact_by_running_sums(fx.perf(s, d), _pairs(s, d), fx.components(s), fx.CENTS, 100.0)
+
+
 @query
 def impact_naive(s: SparkSession, d: str) -> DataFrame:
     """Impact of electricity by the plain complement, which impact_subtraction must equal."""

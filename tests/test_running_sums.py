@@ -11,7 +11,7 @@ RUN = "cp_density double, experiment string, id long, step long"
 COLUMNS = {"electricity": "c0", "heat": "c1"}
 
 
-def made(spark, seed, runs=6, steps=40):
+def made(spark, seed, runs=14, steps=40):
     r = random.Random(seed)
     run = lambda: (r.choice((0.0, 0.5, None)), r.choice(("e", "f", None)), r.choice((1, 2, None)))
     some = [run() for _ in range(runs)]

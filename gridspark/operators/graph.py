@@ -1,29 +1,37 @@
-"""Network metrics: all networks in one job, one shortest-path tree per source and task row.
+"""Network metrics: all networks in one job.
 
-edges: network_id, u, v, key, w (whole numbers, so that equal paths are equal); undirected, parallel edges
-are told apart by key.  A network's edges are collected per network for the walks, so a network must fit
-into a task; their number is not bounded.
+edges: network_id, u, v, key, w (positive whole numbers, so that equal paths are equal); undirected, parallel edges
+are told apart by key.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.scalar import layer_shift
+from gridspark.operators import walks
+from gridspark.sources.shared import dropped, stored
 
 
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select("network_id", F.col("u").alias("id")).union(edges.select("network_id", "v")).distinct()
 
 
+def weighted(edges: DataFrame, losses: DataFrame, scale: float) -> DataFrame:
+    """Edges with w from a table of losses (network_id, u, v, key, loss_percent): in whole units of 1 / scale, one at least.
+
+    An edge without a known loss is left out, as no path over it has a length.
+    """
+    known = losses.where("loss_percent is not null and not isnan(loss_percent)").select("network_id", "u", "v", "key", F.greatest(F.round(F.col("loss_percent") * scale).cast("long"), F.lit(1)).alias("w"))
+    return edges.join(known, ["network_id", "u", "v", "key"])
+
+
 def degree(edges: DataFrame) -> DataFrame:
     """Edge ends at each node; a loop counts twice."""
     ends = edges.select("network_id", F.col("u").alias("id")).unionAll(edges.select("network_id", "v"))
@@ -38,176 +46,148 @@ def over_ends(edges: DataFrame, values: DataFrame, value: str, how: str) -> Data
     return edges.join(a, ["network_id", "u"]).join(b, ["network_id", "v"]).select("network_id", "u", "v", "key", (total if how == "sum" else total / 2).alias(value))
 
 
-def _adjacency(u: list, v: list, w: list) -> dict[int, list[tuple[int, int, int]]]:
-    out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for i, (a, b, x) in enumerate(zip(u, v, w, strict=True)):
-        out[a].append((b, x, i))
-        if a != b:
-            out[b].append((a, x, i))
-    return out
-
-
-def _distances(near: dict, source: int, without: int | None = None) -> dict[int, int]:
-    done: dict[int, int] = {}
-    queue = [(0, source)]
-    while queue:
-        d, a = heapq.heappop(queue)
-        if a in done:
-            continue
-        done[a] = d
-        for b, w, _ in near[a]:
-            if b not in done and b != without:
-                heapq.heappush(queue, (d + w, b))
-    return done
-
-
-def _tree(near: dict, source: int) -> tuple[list[int], dict[int, int], dict[int, float], dict[int, list[tuple[int, int]]]]:
-    """Nodes by distance, distances, numbers of shortest paths, and the last edges of those paths."""
-    dist = _distances(near, source)
-    order = sorted(dist, key=lambda a: (dist[a], a))
-    paths, last = defaultdict(float), defaultdict(list)
-    paths[source] = 1.0
-    for a in order:
-        for b, w, i in near[a]:
-            if dist[b] + w == dist[a] and b != a and a != source:
-                last[a].append((b, i))
-                paths[a] += paths[b]
-    return order, dist, paths, last
-
-
-#: Sources of a network that one row of work has.
-SOURCES = 16
+def distances(edges: DataFrame) -> DataFrame:
+    """network_id, s, t, d of all connected pairs of different nodes."""
+    return walks.pair_table(edges).where("s <> t").select("network_id", "s", "t", "d")
 
 
-def _walks(edges: DataFrame, per_source, schema: str) -> DataFrame:
-    """per_source(adjacency, source, edge list) for each source of each network, in parallel.
+def of_nodes(walked: DataFrame) -> DataFrame:
+    """network_id, id, betweenness_centrality, vc of walks.walk().
 
-    The edge list goes to groups of about SOURCES sources, not to each of them.
+    Betweenness is the share of shortest paths through a node, normalised by the number of pairs of others.  Vitality
+    is how much the sum of all distances falls without the node; -infinity if it takes the network apart, and NaN for
+    all nodes of a network that is not connected to begin with.
     """
-    lists = edges.groupBy("network_id").agg(F.array_sort(F.collect_list(F.struct("u", "v", "key", "w"))).alias("e"))
-    every = nodes(edges)
-    parts = every.groupBy("network_id").agg(F.ceil(F.count("*") / SOURCES).cast("long").alias("parts"))
-    dealt = every.join(parts, "network_id").groupBy("network_id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.array_sort(F.collect_list("id")).alias("sources"))
-    tasks = dealt.join(lists, "network_id").repartition("network_id", "part")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                e = [(x["u"], x["v"], x["key"], x["w"]) for x in r.e]
-                near = _adjacency([x[0] for x in e], [x[1] for x in e], [x[3] for x in e])
-                for source in r.sources:
-                    out += [(r.network_id, *x) for x in per_source(near, int(source), e)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return tasks.mapInPandas(run, schema)
+    own = walked.where("v is null")
+    whole = own.groupBy("network_id").agg((F.sum("total") / 2).alias("whole"), F.sum("reached").alias("pairs"))
+    n, others = F.col("n"), (F.col("n") - 1) * (F.col("n") - 2)
+    vc = F.when(F.col("pairs") < n * (n - 1), F.lit(math.nan)).when(F.col("parts"), F.lit(-math.inf)).otherwise(F.col("whole") - F.col("rest") / 2)
+    return own.join(whole, "network_id").select("network_id", F.col("u").alias("id"), F.when(others > 0, F.col("through") / others).otherwise(0.0).alias("betweenness_centrality"), vc.alias("vc"))
 
 
-def distances(edges: DataFrame) -> DataFrame:
-    """network_id, s, t, d of all connected pairs of different nodes."""
-    return _walks(edges, lambda near, s, e: [(s, t, d) for t, d in _distances(near, s).items() if t != s], "network_id long, s long, t long, d long")
+def of_edges(walked: DataFrame) -> DataFrame:
+    """network_id, u, v, key, betweenness_centrality of walks.walk(), normalised by the number of pairs."""
+    n = walked.where("v is null").groupBy("network_id").agg(F.max("n").alias("_n"))
+    return walked.where("v is not null").join(n, "network_id").select("network_id", "u", "v", "key", F.try_divide("through", F.col("_n") * (F.col("_n") - 1)).alias("betweenness_centrality"))
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
-    """Share of shortest paths through each node, of all pairs, normalised by the number of pairs of others."""
-
-    def one(near, s, e):
-        order, _, paths, last = _tree(near, s)
-        pull = defaultdict(float)
-        out = [(s, 0.0)]
-        for a in reversed(order):
-            for b, _ in last[a]:
-                pull[b] += paths[b] / paths[a] * (1 + pull[a])
-            if a != s:
-                out.append((a, pull[a]))
-        return out
-
-    parts = _walks(edges, one, "network_id long, id long, part double")
-    n = nodes(edges).groupBy("network_id").agg(F.count("*").alias("n"))
-    pairs = (F.col("n") - 1) * (F.col("n") - 2)
-    return parts.groupBy("network_id", "id").agg(F.sum("part").alias("x")).join(n, "network_id").select("network_id", "id", F.when(pairs > 0, F.col("x") / pairs).otherwise(0.0).alias("betweenness_centrality"))
+    return of_nodes(walks.walk(edges, vitality=False)).select("network_id", "id", "betweenness_centrality")
 
 
 def edge_betweenness(edges: DataFrame) -> DataFrame:
-    """The same for edges, normalised by the number of pairs."""
-
-    def one(near, s, e):
-        order, _, paths, last = _tree(near, s)
-        pull, through = defaultdict(float), [0.0] * len(e)
-        for a in reversed(order):
-            for b, i in last[a]:
-                share = paths[b] / paths[a] * (1 + pull[a])
-                pull[b] += share
-                through[i] += share
-        return [(u, v, k, x) for (u, v, k, _), x in zip(e, through, strict=True)]
-
-    parts = _walks(edges, one, "network_id long, u long, v long, key long, part double")
-    n = nodes(edges).groupBy("network_id").agg(F.count("*").alias("n"))
-    return parts.groupBy("network_id", "u", "v", "key").agg(F.sum("part").alias("x")).join(n, "network_id").select("network_id", "u", "v", "key", F.try_divide("x", F.col("n") * (F.col("n") - 1)).alias("betweenness_centrality"))
+    return of_edges(walks.walk(edges, vitality=False))
 
 
 def vitality(edges: DataFrame) -> DataFrame:
-    """How much the sum of all distances falls without a node; -infinity if it takes the network apart.
-
-    NaN for all nodes of a network that is not connected to begin with.
-    """
-
-    def without(near, v, e):
-        rest, total = set(near) - {v}, 0.0
-        for s in rest:
-            d = _distances(near, s, without=v)
-            if len(d) < len(rest):
-                return [(v, math.inf)]
-            total += sum(d.values())
-        return [(v, total / 2)]
-
-    whole = distances(edges).groupBy("network_id").agg((F.sum("d") / 2).alias("whole"), F.count("*").alias("pairs"))
-    size = nodes(edges).groupBy("network_id").agg((F.count("*") * (F.count("*") - 1)).alias("all")).join(whole, "network_id", "left")
-    rest = _walks(edges, without, "network_id long, id long, rest double").join(size, "network_id")
-    vc = F.when(F.coalesce("pairs", F.lit(0)) < F.col("all"), F.lit(math.nan)).otherwise(F.coalesce("whole", F.lit(0.0)) - F.col("rest"))
-    return rest.select("network_id", "id", vc.alias("vc"))
-
+    return of_nodes(walks.walk(edges)).select("network_id", "id", "vc")
 
-def katz(edges: DataFrame, alpha: float = 0.1, beta: float = 1.0, scale: float = 1.0) -> DataFrame:
-    """Katz centrality of the simple graph (of parallel edges the last one by key counts), weights w / scale, length 1."""
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted({*rows.u, *rows.v})
-        at = {x: i for i, x in enumerate(ids)}
-        a = np.zeros((len(ids), len(ids)))
-        for r in rows.sort_values(["u", "v", "key"]).itertuples():
-            a[at[r.u], at[r.v]] = a[at[r.v], at[r.u]] = r.w / scale
-        if alpha * np.abs(np.linalg.eigvalsh(a)).max(initial=0) >= 1:
-            raise ValueError("alpha is too large for this network: the sum over walks diverges")
-        x = np.linalg.solve(np.eye(len(ids)) - alpha * a, np.full(len(ids), beta))
-        return pd.DataFrame({"network_id": rows.network_id.iloc[0], "id": ids, "katz": x / np.linalg.norm(x)})
+def katz(edges: DataFrame, alpha: float = 0.1, beta: float = 1.0, scale: float = 1.0, tolerance: float = 1e-13, rounds: int = 60) -> DataFrame:
+    """Katz centrality of the simple graph (of parallel edges the last one by key counts), weights w / scale, length 1.
 
-    return edges.groupBy("network_id").applyInPandas(solve, "network_id long, id long, katz double")
+    All networks are iterated together, x = alpha * A * x + beta by a join and a sum.  The state is written after every
+    four steps, when the changes tell how much is left: in a symmetric graph their length falls by at least the same
+    factor with every step, unless the sum over walks diverges, which is an error.
+    """
+    simple = edges.groupBy("network_id", "u", "v").agg((F.max_by("w", "key") / scale).alias("w"))
+    same = simple.select("network_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.struct("u", "v").alias("_o"), "w").groupBy("network_id", "a", "b").agg(F.max_by("w", "_o").alias("w"))
+    arcs = stored(same.union(same.where("a <> b").select("network_id", "b", "a", "w")), "arcs")
+    everyone = nodes(edges)
+    state = everyone.withColumn("x3", F.lit(beta))
+    made: list[DataFrame] = []
+    for _ in range(rounds):
+        x = state.select("network_id", "id", F.col("x3").alias("x"))
+        steps = []
+        for k in range(4):
+            pulled = arcs.join(x.withColumnRenamed("id", "b"), ["network_id", "b"]).groupBy("network_id", F.col("a").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("_s"))
+            x = pulled.select("network_id", "id", (beta + alpha * F.col("_s")).alias("x"))
+            steps.append(x.withColumnRenamed("x", f"x{k}"))
+        state = stored(steps[1].join(steps[2], ["network_id", "id"]).join(steps[3], ["network_id", "id"]), "katz")
+        made.append(state)
+        square = lambda c: F.sum(c * c)
+        last, before = square(F.col("x3") - F.col("x2")), square(F.col("x2") - F.col("x1"))
+        each = state.groupBy("network_id").agg(F.sqrt(last).alias("last"), F.sqrt(before).alias("before"), F.sqrt(square(F.col("x3"))).alias("norm"))
+        shrink = F.try_divide("last", "before")
+        # what is still to come is at most a geometric series of the last change
+        left = F.when(F.col("last") <= tolerance * F.col("norm"), 0.0).when(shrink >= 1, F.lit(math.inf)).otherwise(F.col("last") * shrink / (1 - shrink) / F.col("norm"))
+        worst = each.agg(F.max(left)).first()[0]
+        dropped(*made[:-1])
+        made = made[-1:]
+        if worst == math.inf:
+            raise ValueError("alpha is too large for a network: the sum over walks diverges")
+        if worst is None or worst <= tolerance:
+            break
+    else:
+        raise ValueError(f"no fixed point after {4 * rounds} steps")
+    dropped(arcs)
+    norm = state.groupBy("network_id").agg(F.sqrt(F.sum(F.col("x3") * F.col("x3"))).alias("_n"))
+    return state.join(norm, "network_id").select("network_id", "id", (F.col("x3") / F.col("_n")).alias("katz"))
 
 
 def group_betweenness(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """Share of shortest paths between others that meet a group (network_id, group_id, members), by pairs of others."""
-    lists = edges.groupBy("network_id").agg(F.array_sort(F.collect_list(F.struct("u", "v", "key", "w"))).alias("e"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                near = _adjacency(*([x[c] for x in r.e] for c in ("u", "v", "w")))
-                group, total = set(r.members), 0.0
-                others = [x for x in near if x not in group]
-                for s in others:
-                    order, _, paths, last = _tree(near, s)
-                    clear = defaultdict(float, {s: 1.0})  # paths that keep out of the group
-                    for a in order:
-                        if a != s and a not in group:
-                            clear[a] = sum(clear[b] for b, _ in last[a] if b not in group)
-                    total += sum(1 - clear[t] / paths[t] for t in order if t != s and t not in group)
-                n = len(others)
-                out.append((r.network_id, r.group_id, total / (n * (n - 1)) if n > 1 else 0.0))
-            yield pd.DataFrame(out, columns=["network_id", "group_id", "betweenness_centrality"])
-
-    return groups.join(lists, "network_id").mapInPandas(run, "network_id long, group_id long, betweenness_centrality double")
+    """Share of shortest paths between others that meet a group (network_id, group_id, members), by pairs of others.
+
+    Distances, numbers of paths and dependencies of all pairs are made once.  From them comes the flow over each pair
+    of members (paths that meet one and then the other), by joins; then members are added one by one, and each takes
+    the paths that it meets from what is left for the others.  Members that the network lacks are passed over.
+    """
+    table = stored(walks.pair_table(edges), "pairs")
+    names = ["network_id", "group_id"]
+    member = groups.select(*names, F.explode(F.array_distinct("members")).alias("m")).join(nodes(edges).withColumnRenamed("id", "m"), ["network_id", "m"])
+    both = member.withColumnRenamed("m", "x").join(member.withColumnRenamed("m", "y"), names)
+    own = both.join(table.select("network_id", F.col("s").alias("x"), F.col("t").alias("y"), "d", F.col("paths").alias("p")), ["network_id", "x", "y"])
+    asked = own.select("network_id", "x", "y", "d", "p").distinct()
+    first = table.select("network_id", "s", F.col("t").alias("x"), F.col("d").alias("dx"), F.col("paths").alias("px"))
+    then = table.select("network_id", "s", F.col("t").alias("y"), F.col("d").alias("dy"), F.col("paths").alias("py"), "depends")
+    met = asked.join(first, ["network_id", "x"]).join(then, ["network_id", "s", "y"]).where("dx + d = dy")
+    start = F.when(F.col("s") == F.col("y"), F.col("reached")).otherwise(F.col("depends"))  # a source meets all its own paths
+    reached = table.groupBy("network_id", "s").agg((F.count("*") - 1).alias("reached"))
+    flows = met.join(reached, ["network_id", "s"]).groupBy("network_id", "x", "y").agg(F.sum(F.col("px") * F.col("p") / F.col("py") * start).alias("flow"))
+    cells = own.join(flows, ["network_id", "x", "y"], "left").groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("x", "y", "d", "p", "flow"))).alias("cells"))
+    # pairs of which one end at least is in the group do not count
+    ends = member.join(reached.withColumnRenamed("s", "m"), ["network_id", "m"]).groupBy(*names).agg(F.sum("reached").alias("reached"), F.count("*").alias("k"))
+    inner = own.where("x <> y").groupBy(*names).agg(F.count("*").alias("inner"))
+    size = nodes(edges).groupBy("network_id").agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_joint(np.array([list(c.values()) for c in row], float)) for row in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=[*names, "met"])
+
+    joint = cells.mapInArrow(run, "network_id long, group_id long, met double")
+    found = joint.join(ends, names).join(inner, names, "left").join(size, "network_id")
+    others = (F.col("n") - F.col("k")) * (F.col("n") - F.col("k") - 1)
+    between = F.col("met") - (2 * F.col("reached") - F.coalesce("inner", F.lit(0)))
+    none = groups.join(found, names, "left_anti").join(size, "network_id").select(*names, F.lit(0.0))
+    return found.select(*names, F.when(others > 0, between / others).otherwise(0.0).alias("betweenness_centrality")).union(none)
+
+
+def _joint(cells: np.ndarray) -> float:
+    """The share of pairs whose paths meet any member; cells: x, y, distance, paths and flow of all pairs of members that are connected."""
+    ids = np.unique(cells[:, 0])
+    k = len(ids)
+    d, p, flow = np.full((k, k), np.inf), np.zeros((k, k)), np.zeros((k, k))
+    at = tuple(np.searchsorted(ids, cells[:, c]) for c in (0, 1))
+    d[at], p[at], flow[at] = cells[:, 2], cells[:, 3], np.nan_to_num(cells[:, 4])
+    met = 0.0
+
+    def share(a: np.ndarray, b: np.ndarray, whole: np.ndarray, on: np.ndarray) -> np.ndarray:
+        good = on & (whole > 0)
+        return np.where(good, a * b / np.where(good, whole, 1), 0.0)
+
+    for v in range(k):
+        met += flow[v, v]
+        to, back = d[:, v][:, None], d[v][None]
+        p_to, p_back = p[:, v][:, None], p[v][None]
+        inside = share(p_to, p_back, p, (d == to + back) & np.isfinite(d))  # of the paths from x to y those that meet v
+        before = share(p, p[:, v][None], p_to, (to == d + d[:, v][None]) & np.isfinite(to))  # of those from x to v those that meet y
+        after = share(p_back.T, p, p_back, (back == d[v][:, None] + d) & np.isfinite(back))  # of those from v to y those that meet x
+        rest = flow * (1 - inside)
+        keep_y, keep_x = np.arange(k)[None] != v, np.arange(k)[:, None] != v
+        rest = rest - np.where(keep_y, flow[:, v][:, None] * before, 0) - np.where(keep_x, flow[v][None] * after, 0)
+        p, flow = p * (1 - inside), rest
+    return met
 
 
 def metrics_table(edges: DataFrame, children: DataFrame, compounds: DataFrame, scale: float) -> DataFrame:
@@ -218,10 +198,11 @@ def metrics_table(edges: DataFrame, children: DataFrame, compounds: DataFrame, s
     what they connect, children what their node has.
     """
     keys, names = ["network_id", "id"], ["betweenness_centrality", "degree", "vc", "katz"]
-    own = degree(edges).join(betweenness(edges), keys).join(vitality(edges), keys).join(katz(edges, scale=scale), keys)
+    walked = stored(walks.walk(edges), "walked")  # one walk of each source gives what nodes and edges have
+    own = degree(edges).join(of_nodes(walked), keys).join(katz(edges, scale=scale), keys)
     node = own.select("network_id", F.concat(F.lit("node:"), "id").alias("id"), F.lit("Bus").alias("type"), *names)
     child = children.join(own.withColumnRenamed("id", "node_id"), ["network_id", "node_id"]).select("network_id", F.concat(F.lit("child:"), "id").alias("id"), "type", *names)
-    ends, on = edge_betweenness(edges), ["network_id", "u", "v", "key"]
+    ends, on = of_edges(walked), ["network_id", "u", "v", "key"]
     for value, how in (("degree", "sum"), ("vc", "mean"), ("katz", "mean")):
         ends = ends.join(over_ends(edges, own, value, how), on)
     branch = ends.select("network_id", F.format_string("branch:(%d, %d, %d)", "u", "v", "key").alias("id"), F.lit("GenericPowerBranch").alias("type"), *names)

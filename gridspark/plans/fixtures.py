@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.scalar import lookup
+from gridspark.operators.graph import weighted
 
 CENTS = {"electricity": "c0", "heat": "c1", "gas": "c2"}
 #: scenario keys of the three made-up experiments; the last has no label
@@ -84,6 +85,40 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("u", "v").agg(F.min("w").alias("w")).select(F.lit(0).cast("long").alias("network_id"), "u", "v", F.lit(0).cast("long").alias("key"), "w")
 
 
+def grid_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """network_id, id, nation: suppliers as nodes, one network for each region."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").cast("long").alias("network_id"))
+    return table(spark, sf_dir, "supplier").join(n, "s_nationkey").select("network_id", F.col("s_suppkey").cast("long").alias("id"), F.col("s_nationkey").cast("long").alias("nation"))
+
+
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """network_id, u, v, key, loss_percent: each supplier and the two of its region that supply most parts it does; larger tables make larger networks."""
+    sold = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("id"), "l_partkey").distinct().join(grid_nodes(spark, sf_dir), "id").select("network_id", "l_partkey", "id")
+    pairs = sold.withColumnRenamed("id", "a").join(sold.withColumnRenamed("id", "b"), ["network_id", "l_partkey"]).where("a <> b").groupBy("network_id", "a", "b").agg(F.count("*").alias("n"))
+    top = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("network_id", "a").orderBy(F.desc("n"), "b"))).where("_r <= 2")
+    key = F.when(F.col("a") < F.col("b"), 0).otherwise(1).cast("long")
+    return top.select("network_id", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), key.alias("key"), ((1 + F.col("n") % 50) / 10).alias("loss_percent"))
+
+
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the regions' networks, weighted by losses in tenths of a percent."""
+    lost = losses(spark, sf_dir)
+    return weighted(lost.drop("loss_percent"), lost, 10.0)
+
+
+def grid_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, each at the first supplier of its nation."""
+    at = grid_nodes(spark, sf_dir).groupBy("network_id", "nation").agg(F.min("id").alias("node_id"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_nationkey").cast("long").alias("nation"))
+    return c.join(at, "nation").select("network_id", "id", "node_id", F.lit("PowerLoad").alias("type"))
+
+
+def grid_compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations: all their suppliers are members, the first and the last are connected."""
+    each = grid_nodes(spark, sf_dir).groupBy("network_id", F.col("nation").alias("id")).agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.sort_array(F.collect_list("id")).alias("members"))
+    return each.select("network_id", "id", F.when(F.col("id") % 2 == 0, "CHP").otherwise("PowerToHeat").alias("type"), F.create_map(F.lit("a"), "_a", F.lit("b"), "_b").alias("connected_to"), "members")
+
+
 def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pi model on the edges, with an operating point."""
     w = F.col("w")

@@ -63,6 +63,31 @@ _PARTS = {
     "grp": "SELECT unnest([1, 2]) AS id, unnest(['CHP', 'PowerToHeat']) AS type, unnest([[1, 2], [3, 4, 5]]) AS m",
     "clear": "SELECT grp.id AS g, n.id AS s, n.id AS v FROM nodes n, grp WHERE NOT list_contains(m, n.id) UNION ALL SELECT k.g, k.s, e.b FROM clear k JOIN grp ON grp.id = k.g JOIN arcs e ON e.a = k.v JOIN dist p ON p.s = k.s AND p.t = k.v JOIN dist q ON q.s = k.s AND q.t = e.b WHERE q.d = p.d + e.w AND NOT list_contains(m, e.b)",
     "gbc": "SELECT grp.id AS group_id, sum(1 - coalesce(c.n, 0) / st.n) / count(*) AS bc FROM grp JOIN st ON NOT list_contains(m, st.s) AND NOT list_contains(m, st.t) LEFT JOIN (SELECT g, s, v, count(*)::DOUBLE AS n FROM clear GROUP BY ALL) c ON c.g = grp.id AND c.s = st.s AND c.v = st.t GROUP BY ALL",
+    "sup": "SELECT s_suppkey::BIGINT AS id, n_regionkey::BIGINT AS net, s_nationkey::BIGINT AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "medges": "SELECT net, least(a, b) AS u, greatest(a, b) AS v, CASE WHEN a < b THEN 0 ELSE 1 END::BIGINT AS key, 1 + n % 50 AS w FROM (SELECT x.net, x.id AS a, y.id AS b, count(*) AS n, row_number() OVER (PARTITION BY x.net, x.id ORDER BY count(*) DESC, y.id) AS r FROM (SELECT DISTINCT l_partkey AS p, net, id FROM lineitem JOIN sup ON id = l_suppkey) x JOIN (SELECT DISTINCT l_partkey AS p, net, id FROM lineitem JOIN sup ON id = l_suppkey) y ON x.p = y.p AND x.net = y.net AND x.id <> y.id GROUP BY 1, 2, 3) WHERE r <= 2",
+    "mnodes": "SELECT net, u AS id FROM medges UNION SELECT net, v FROM medges",
+    "marcs": "SELECT net, u AS a, v AS b, u, v, key, w FROM medges UNION ALL SELECT net, v, u, u, v, key, w FROM medges",
+    "md0": "SELECT s.net, s.id AS s, t.id AS t, min(CASE WHEN s.id = t.id THEN 0 ELSE w END) AS d FROM mnodes s JOIN mnodes t ON s.net = t.net LEFT JOIN marcs ON a = s.id AND b = t.id GROUP BY ALL",
+    **{f"md{k}": f"SELECT x.net, x.s, y.t, min(x.d + y.d) AS d FROM md{k - 1} x JOIN md{k - 1} y ON x.t = y.s AND x.net = y.net GROUP BY ALL" for k in range(1, 6)},
+    "mdist": "SELECT net, s, t, CAST(d AS BIGINT) AS d FROM md5 WHERE d IS NOT NULL",
+    "mwalk": "SELECT net, id AS s, id AS v FROM mnodes UNION ALL SELECT k.net, k.s, e.b FROM mwalk k JOIN marcs e ON e.a = k.v JOIN mdist p ON p.s = k.s AND p.t = k.v JOIN mdist q ON q.s = k.s AND q.t = e.b WHERE q.d = p.d + e.w",
+    "msigma": "SELECT net, s, v, count(*)::DOUBLE AS n FROM mwalk GROUP BY ALL",
+    "mst": "SELECT d.net, d.s, d.t, d.d, g.n FROM mdist d JOIN msigma g ON g.s = d.s AND g.v = d.t WHERE d.s < d.t",
+    "msize": "SELECT net, count(*) AS c FROM mnodes GROUP BY net",
+    "mdeg": "SELECT net, a AS id, count(*) AS degree FROM marcs GROUP BY ALL",
+    "mbc": "SELECT n.net, n.id, CASE WHEN c > 2 THEN coalesce(x, 0) * 2 / ((c - 1) * (c - 2)) ELSE 0 END AS bc FROM mnodes n JOIN msize USING (net) LEFT JOIN (SELECT a.t AS id, sum(ga.n * gb.n / mst.n) AS x FROM mst JOIN mdist a ON a.s = mst.s JOIN mdist b ON b.s = a.t AND b.t = mst.t JOIN msigma ga ON ga.s = mst.s AND ga.v = a.t JOIN msigma gb ON gb.s = a.t AND gb.v = mst.t WHERE a.d + b.d = mst.d AND a.t NOT IN (mst.s, mst.t) GROUP BY ALL) USING (id)",
+    "mebc": "SELECT e.net, e.u, e.v, e.key, coalesce(x, 0) * 2 / (c * (c - 1)) AS bc FROM medges e JOIN msize USING (net) LEFT JOIN (SELECT e.u, e.v, e.key, sum(ga.n * gb.n / mst.n) AS x FROM mst JOIN marcs e ON e.net = mst.net JOIN mdist a ON a.s = mst.s AND a.t = e.a JOIN mdist b ON b.s = e.b AND b.t = mst.t JOIN msigma ga ON ga.s = mst.s AND ga.v = e.a JOIN msigma gb ON gb.s = e.b AND gb.v = mst.t WHERE a.d + e.w + b.d = mst.d GROUP BY ALL) USING (u, v, key)",
+    "mr0": "SELECT r.id AS r, md0.* FROM mnodes r JOIN md0 ON r.net = md0.net WHERE r.id NOT IN (s, t)",
+    **{f"mr{k}": f"SELECT x.r, x.net, x.s, y.t, min(x.d + y.d) AS d FROM mr{k - 1} x JOIN mr{k - 1} y ON x.t = y.s AND x.r = y.r GROUP BY ALL" for k in range(1, 6)},
+    "mvit": "SELECT n.net, n.id, CASE WHEN (SELECT count(*) FROM mdist m WHERE m.net = n.net) < c * c THEN 'nan'::DOUBLE WHEN cut THEN '-inf'::DOUBLE ELSE (SELECT sum(d) / 2.0 FROM mdist m WHERE m.net = n.net) - coalesce(rest, 0) END AS vc FROM mnodes n JOIN msize USING (net) LEFT JOIN (SELECT r AS id, bool_or(d IS NULL) AS cut, sum(d) / 2.0 AS rest FROM mr5 GROUP BY ALL) USING (id)",
+    "msimple": "SELECT net, a, b, arg_max(w, key) / 5000.0::DOUBLE AS w FROM marcs GROUP BY ALL",
+    "mk0": "SELECT id, 1.0::DOUBLE AS x FROM mnodes",
+    **{f"mk{k}": f"SELECT a AS id, 1 + 0.1 * sum(w * x) AS x FROM msimple JOIN mk{k - 1} p ON p.id = b GROUP BY ALL" for k in range(1, 25)},
+    "mkz": "SELECT net, id, x / sqrt(sum(x * x) OVER (PARTITION BY net)) AS katz FROM mk24 JOIN mnodes USING (id)",
+    "mgrp": "SELECT nation AS id, net, list(id) AS m, min(id) AS first, max(id) AS last FROM sup GROUP BY ALL",
+    "mclear": "SELECT mgrp.id AS g, n.net, n.id AS s, n.id AS v FROM mnodes n JOIN mgrp ON n.net = mgrp.net WHERE NOT list_contains(m, n.id) UNION ALL SELECT k.g, k.net, k.s, e.b FROM mclear k JOIN mgrp ON mgrp.id = k.g JOIN marcs e ON e.a = k.v JOIN mdist p ON p.s = k.s AND p.t = k.v JOIN mdist q ON q.s = k.s AND q.t = e.b WHERE q.d = p.d + e.w AND NOT list_contains(m, e.b)",
+    "mgbc": "SELECT g.net, g.id AS group_id, CASE WHEN o > 1 THEN coalesce(x, 0) * 2 / (o * (o - 1)) ELSE 0 END AS bc FROM (SELECT mgrp.net, mgrp.id, count(*) FILTER (NOT list_contains(m, n.id)) AS o FROM mgrp JOIN mnodes n ON n.net = mgrp.net GROUP BY ALL) g LEFT JOIN (SELECT mgrp.id, sum(1 - coalesce(c.n, 0) / mst.n) AS x FROM mgrp JOIN mst ON mst.net = mgrp.net AND NOT list_contains(m, mst.s) AND NOT list_contains(m, mst.t) LEFT JOIN (SELECT g, s, v, count(*)::DOUBLE AS n FROM mclear GROUP BY ALL) c ON c.g = mgrp.id AND c.s = mst.s AND c.v = mst.t GROUP BY ALL) USING (id)",
+    "mall": "SELECT net, id, degree, bc, vc, katz FROM mdeg JOIN mbc USING (net, id) JOIN mvit USING (net, id) JOIN mkz USING (net, id)",
     "pi": "SELECT u AS f, v AS t, u * 100 + v AS branch, w / 100000.0::DOUBLE AS r, w / 20000.0::DOUBLE AS x, CASE WHEN u % 3 = 0 THEN 1.0 ELSE 0.98 END::DOUBLE AS a, r / (r * r + x * x) AS g, -x / (r * r + x * x) AS b, 1.0 + (u % 5) / 100.0::DOUBLE AS vi, 1.0 + (v % 5) / 100.0::DOUBLE AS vj, (u % 7) / 100.0::DOUBLE - (v % 7) / 100.0::DOUBLE AS dth FROM edges",
     "parts": f"SELECT p_partkey AS component_id, CASE p_partkey % 5 WHEN 2 THEN 'branch' WHEN 3 THEN 'child' WHEN 4 THEN 'compound' ELSE 'node' END AS kind, {_case('p_type', fx.PART_TYPES)} AS type, CASE p_partkey % 4 WHEN 0 THEN 'power' WHEN 1 THEN 'gas' WHEN 2 THEN 'water' END AS grid, p_partkey % 6 <> 0 AS independent, p_size / 10.0::DOUBLE AS coefficient, p_retailprice AS nominal FROM part",
     "own": "SELECT * FROM parts WHERE independent OR kind = 'compound' OR (kind = 'branch' AND type = 'HeatExchanger')",
@@ -78,10 +103,11 @@ _PARTS = {
     "moves": "SELECT id, node, step::INT AS step, event_id AS position, CASE type WHEN 'failure' THEN 0 ELSE 1 END AS kind FROM faults",
     "total": "SELECT cp_density, experiment, id, sum(c0 + c1 + c2)::BIGINT AS total FROM perf GROUP BY ALL",
 }
-_RECURSIVE = {"walk", "clear"}
+_RECURSIVE = {"walk", "clear", "mwalk", "mclear"}
 _NEEDS = {
     "perf": ["run"], "faults": ["run"], "keyed": ["faults"], "pairs": ["keyed"], "inside": ["perf", "pairs"], "outside": ["comp", "perf", "pairs"], "long": ["comp", "inside", "outside"], "impact": ["long"], "milli": ["impact"], "members": ["comp"], "children": ["members", "milli"],
     "nodes": ["edges"], "arcs": ["edges"], "d0": ["nodes", "arcs"], **{f"d{k}": [f"d{k - 1}"] for k in range(1, 6)}, "dist": ["d5"], "walk": ["nodes", "arcs", "dist"], "sigma": ["walk"], "st": ["dist", "sigma"], "deg": ["edges"], "bc": ["nodes", "st"], "ebc": ["edges", "nodes", "arcs", "st"], "r0": ["nodes", "d0"], **{f"r{k}": [f"r{k - 1}"] for k in range(1, 6)}, "vit": ["r5", "dist"], "k0": ["nodes"], **{f"k{k}": [f"k{k - 1}", "arcs"] for k in range(1, 16)}, "kz": ["k15"], "clear": ["nodes", "grp", "arcs", "dist"], "gbc": ["grp", "st", "clear"],
+    "medges": ["sup"], "mnodes": ["medges"], "marcs": ["medges"], "md0": ["mnodes", "marcs"], **{f"md{k}": [f"md{k - 1}"] for k in range(1, 6)}, "mdist": ["md5"], "mwalk": ["mnodes", "marcs", "mdist"], "msigma": ["mwalk"], "mst": ["mdist", "msigma"], "msize": ["mnodes"], "mdeg": ["marcs"], "mbc": ["msize", "mst"], "mebc": ["msize", "marcs", "mst"], "mr0": ["mnodes", "md0"], **{f"mr{k}": [f"mr{k - 1}"] for k in range(1, 6)}, "mvit": ["msize", "mr5", "mdist"], "msimple": ["marcs"], "mk0": ["mnodes"], **{f"mk{k}": [f"mk{k - 1}", "msimple"] for k in range(1, 25)}, "mkz": ["mk24", "mnodes"], "mgrp": ["sup"], "mclear": ["mgrp", "mnodes", "marcs", "mdist"], "mgbc": ["mgrp", "mst", "mclear"], "mall": ["mdeg", "mbc", "mvit", "mkz"],
     "pi": ["edges"], "own": ["parts"], "trial": ["own"], "fail": ["trial"], "rep": ["fail"], "log": ["rep"], "metrics": ["comp"], "joined": ["milli", "metrics"], "framed": ["joined", "groups"], "moves": ["faults"], "total": ["perf"],
 }
 
@@ -153,6 +179,11 @@ ORACLES: dict[str, str] = {
     "katz": _sql("SELECT id, round(katz, 9) AS katz FROM kz", "kz"),
     "group_betweenness": _sql("SELECT group_id::BIGINT AS group_id, round(bc, 9) AS bc FROM gbc", "gbc"),
     "metrics_table": _sql("SELECT 'node:' || id AS id, 'Bus' AS type, degree, round(bc, 9) AS betweenness_centrality, round(vc, 9) AS vc, round(katz, 9) AS katz FROM own_all UNION ALL SELECT 'child:' || id, 'PowerLoad', degree, round(bc, 9), round(vc, 9), round(katz, 9) FROM own_all WHERE id < 10 UNION ALL SELECT 'branch:(' || u || ', ' || v || ', 0)', 'GenericPowerBranch', a.degree + b.degree, round(ebc.bc, 9), round((a.vc + b.vc) / 2, 9), round((a.katz + b.katz) / 2, 9) FROM ebc JOIN own_all a ON a.id = u JOIN own_all b ON b.id = v UNION ALL SELECT 'compound:' || grp.id, grp.type, sum(degree)::BIGINT, round(any_value(gbc.bc), 9), round(avg(vc), 9), round(avg(katz), 9) FROM grp JOIN gbc ON gbc.group_id = grp.id JOIN own_all ON list_contains(m, own_all.id) GROUP BY grp.id, grp.type", "deg", "bc", "vit", "kz", "ebc", "gbc"),
+    "grid_edges": _sql("SELECT net AS network_id, u, v, key, w::BIGINT AS w FROM medges", "medges"),
+    "grid_measures": _sql("SELECT net AS network_id, id, round(bc, 9) AS bc, vc FROM mbc JOIN mvit USING (net, id)", "mbc", "mvit"),
+    "grid_katz": _sql("SELECT net AS network_id, id, round(katz, 9) AS katz FROM mkz", "mkz"),
+    "grid_group_betweenness": _sql("SELECT net AS network_id, group_id, round(bc, 9) AS bc FROM mgbc", "mgbc"),
+    "grid_metrics": _sql("SELECT net * 0.5::DOUBLE AS cp_density, i AS id, type, degree, round(bc, 9) AS betweenness_centrality, round(vc, 9) AS vc, round(katz, 9) AS katz FROM (SELECT net, 'node:' || id AS i, 'Bus' AS type, degree, bc, vc, katz FROM mall UNION ALL SELECT mall.net, 'child:' || c_custkey, 'PowerLoad', degree, bc, vc, katz FROM customer JOIN mgrp ON mgrp.id = c_nationkey JOIN mall ON mall.id = mgrp.first UNION ALL SELECT mebc.net, 'branch:(' || u || ', ' || v || ', ' || key || ')', 'GenericPowerBranch', a.degree + b.degree, mebc.bc, (a.vc + b.vc) / 2, (a.katz + b.katz) / 2 FROM mebc JOIN mall a ON a.id = u JOIN mall b ON b.id = v UNION ALL SELECT g.net, 'compound:' || g.id, CASE WHEN g.id % 2 = 0 THEN 'CHP' ELSE 'PowerToHeat' END, sum(degree)::BIGINT, any_value(mgbc.bc), avg(vc), avg(katz) FROM (SELECT id, net, unnest([first, last]) AS node FROM mgrp) g JOIN mall ON mall.id = g.node JOIN mgbc ON mgbc.group_id = g.id GROUP BY g.id, g.net)", "mall", "mebc", "mgbc", "mgrp"),
     "network_frame": _sql("SELECT u, v, (u % 5)::DOUBLE AS x0, floor(u / 5)::DOUBLE AS y0, (v % 5)::DOUBLE AS x1, floor(v / 5)::DOUBLE AS y1, CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END AS color FROM (SELECT u, v, CASE WHEN w % 2 = 0 THEN w ELSE 0 END::DOUBLE AS value, min(value) OVER () AS lo, max(value) OVER () AS hi FROM edges)", "edges"),
     "network_points": _sql("SELECT id, (id % 5)::DOUBLE + [0.0, 0.0003, 0.0006, 0.0003][g]::DOUBLE AS x, floor(id / 5)::DOUBLE + [0.0, 0.0003, 0.0006, -0.0003][g]::DOUBLE AS y, class, color, concat_ws(' - ', ['PowerGrid', 'WaterGrid', 'GasGrid', 'NoGrid'][g], CASE g WHEN 1 THEN 'Bus' ELSE 'Junction' END, color::VARCHAR) AS text FROM (SELECT id, id % 4 + 1 AS g, CASE WHEN id % 6 = 3 THEN 'cp' ELSE ['power', 'heat', 'gas'][id % 4 + 1] END AS class, CASE WHEN id % 2 = 0 THEN id / 4.0::DOUBLE ELSE 0 END AS color FROM nodes) WHERE class IS NOT NULL", "nodes"),
     "density_network": _sql("SELECT node AS id, cp_density, network_id FROM metrics LEFT JOIN (SELECT ((s_suppkey % 4) * 0.5)::DOUBLE AS cp_density, arg_min(s_suppkey, s_name)::BIGINT AS network_id FROM supplier GROUP BY 1) USING (cp_density)", "metrics"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import rng, scalar
-from gridspark.operators import cascade, frames, graph, powerflow, rollup, simulation, stopping, temporal
+from gridspark.operators import cascade, frames, graph, powerflow, rollup, simulation, stopping, temporal, walks
 from gridspark.operators import impact as im
 from gridspark.plans import fixtures as fx
 from gridspark.sources import experiments, networks, profiles
@@ -369,6 +369,36 @@ def metrics_table(s: SparkSession, d: str) -> DataFrame:
     return graph.metrics_table(fx.edges(s, d), children, _groups(s), 100000.0).select("id", "type", "degree", *(F.round(c, 9).alias(c) for c in ("betweenness_centrality", "vc", "katz")))
 
 
+@query
+def grid_edges(s: SparkSession, d: str) -> DataFrame:
+    return fx.grids(s, d)
+
+
+@query
+def grid_measures(s: SparkSession, d: str) -> DataFrame:
+    """Betweenness and vitality of the nodes of all regions' networks, from one walk."""
+    out = graph.of_nodes(walks.walk(fx.grids(s, d)))
+    return out.select("network_id", "id", F.round("betweenness_centrality", 9).alias("bc"), "vc")
+
+
+@query
+def grid_katz(s: SparkSession, d: str) -> DataFrame:
+    return graph.katz(fx.grids(s, d), scale=5000.0).select("network_id", "id", F.round("katz", 9).alias("katz"))
+
+
+@query
+def grid_group_betweenness(s: SparkSession, d: str) -> DataFrame:
+    g = fx.grid_compounds(s, d).select("network_id", F.col("id").alias("group_id"), "members")
+    return graph.group_betweenness(fx.grids(s, d), g).select("network_id", "group_id", F.round("betweenness_centrality", 9).alias("bc"))
+
+
+@query
+def grid_metrics(s: SparkSession, d: str) -> DataFrame:
+    """All metrics of all networks, with the density of each."""
+    out = graph.metrics_table(fx.grids(s, d), fx.grid_children(s, d), fx.grid_compounds(s, d), 5000.0)
+    return out.select((F.col("network_id") * 0.5).alias("cp_density"), "id", "type", "degree", *(F.round(c, 9).alias(c) for c in ("betweenness_centrality", "vc", "katz")))
+
+
 @query
 def network_frame(s: SparkSession, d: str) -> DataFrame:
     e = fx.edges(s, d)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.scalar import lookup
-from gridspark.operators.graph import weighted
+from gridspark.operators import powerflow
+from gridspark.operators.graph import nodes, weighted
+from gridspark.sources.shared import stored
 
 CENTS = {"electricity": "c0", "heat": "c1", "gas": "c2"}
 #: scenario keys of the three made-up experiments; the last has no label
@@ -101,8 +103,8 @@ def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of the regions' networks, weighted by losses in tenths of a percent."""
-    lost = losses(spark, sf_dir)
+    """Edges of the regions' networks, weighted by losses in tenths of a percent; written once, as all that is made of them reads them often."""
+    lost = stored(losses(spark, sf_dir), "losses")
     return weighted(lost.drop("loss_percent"), lost, 10.0)
 
 
@@ -128,6 +130,28 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("network_id", F.col("u").cast("int").alias("f"), F.col("v").cast("int").alias("t"), branch.alias("branch"), (w / 100000.0).alias("r"), (w / 20000.0).alias("x"), F.lit(0.0).alias("g_fr"), F.lit(0.01).alias("b_fr"), F.lit(0.0).alias("g_to"), F.lit(0.01).alias("b_to"), F.when(F.col("u") % 3 == 0, 0.0).otherwise(0.98).alias("tap"), F.lit(0.0).alias("shift"), *(c.alias(k) for k, c in ops.items()))
 
 
+def grid_power(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Branches in use and numbered, typed buses of the regions' networks; an external grid is attached to each network's first node."""
+    e, w = grids(spark, sf_dir), F.col("w")
+    model = e.select("network_id", F.col("u").alias("from_id"), F.col("v").alias("to_id"), ((F.col("u") * 100_000 + F.col("v")) * 2 + F.col("key")).alias("branch"), (w / 10000.0).alias("r"), (w / 2000.0).alias("x"), F.lit(0.0).alias("g_fr"), F.lit(0.01).alias("b_fr"), F.lit(0.0).alias("g_to"), F.lit(0.01).alias("b_to"), F.when(F.col("u") % 3 == 0, 0.0).otherwise(0.98).alias("tap"), ((w % 3) / 100.0).alias("shift"), F.lit(True).alias("active"), F.lit(1).alias("on_off"), F.lit("GenericPowerBranch").alias("type"))
+    off = model.where("branch % 2 = 0").withColumns({"on_off": F.lit(0), "r": F.col("r") * 2})
+    pipes = model.withColumn("type", F.lit("GasPipe"))
+    k = F.col("id")
+    placed = grid_nodes(spark, sf_dir).join(nodes(e), ["network_id", "id"])
+    buses = placed.select("network_id", "id", ((k % 7) / 100.0).alias("theta"), (1.0 + (k % 5) / 100.0).alias("v"))
+    external = placed.groupBy("network_id").agg(F.min("id").alias("node_id")).withColumn("type", F.lit("ExtPowerGrid"))
+    loads = placed.select("network_id", F.col("id").alias("node_id"), F.lit("PowerLoad").alias("type"))
+    return powerflow.numbered(model.union(off).union(pipes), buses, external.unionByName(loads))
+
+
+def grid_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """network_id, s, t: from every bus of a region's network to the first bus of each of its nations."""
+    placed = grid_nodes(spark, sf_dir).join(nodes(grids(spark, sf_dir)), ["network_id", "id"])
+    place = placed.withColumn("idx", (F.row_number().over(Window.partitionBy("network_id").orderBy("id")) - 1).cast("long"))
+    to = place.groupBy("network_id", "nation").agg(F.min("idx").alias("t"))
+    return place.select("network_id", F.col("idx").alias("s")).join(to, "network_id").where("s <> t").select("network_id", "s", "t")
+
+
 def hazard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as components."""
     k = F.col("p_partkey")

@@ -89,6 +89,13 @@ _PARTS = {
     "mgbc": "SELECT g.net, g.id AS group_id, CASE WHEN o > 1 THEN coalesce(x, 0) * 2 / (o * (o - 1)) ELSE 0 END AS bc FROM (SELECT mgrp.net, mgrp.id, count(*) FILTER (NOT list_contains(m, n.id)) AS o FROM mgrp JOIN mnodes n ON n.net = mgrp.net GROUP BY ALL) g LEFT JOIN (SELECT mgrp.id, sum(1 - coalesce(c.n, 0) / mst.n) AS x FROM mgrp JOIN mst ON mst.net = mgrp.net AND NOT list_contains(m, mst.s) AND NOT list_contains(m, mst.t) LEFT JOIN (SELECT g, s, v, count(*)::DOUBLE AS n FROM mclear GROUP BY ALL) c ON c.g = mgrp.id AND c.s = mst.s AND c.v = mst.t GROUP BY ALL) USING (id)",
     "mall": "SELECT net, id, degree, bc, vc, katz FROM mdeg JOIN mbc USING (net, id) JOIN mvit USING (net, id) JOIN mkz USING (net, id)",
     "pi": "SELECT u AS f, v AS t, u * 100 + v AS branch, w / 100000.0::DOUBLE AS r, w / 20000.0::DOUBLE AS x, CASE WHEN u % 3 = 0 THEN 1.0 ELSE 0.98 END::DOUBLE AS a, r / (r * r + x * x) AS g, -x / (r * r + x * x) AS b, 1.0 + (u % 5) / 100.0::DOUBLE AS vi, 1.0 + (v % 5) / 100.0::DOUBLE AS vj, (u % 7) / 100.0::DOUBLE - (v % 7) / 100.0::DOUBLE AS dth FROM edges",
+    "gbus": "SELECT net, row_number() OVER (PARTITION BY net ORDER BY id) - 1 AS i, id, nation, (id % 7) / 100.0::DOUBLE AS th, 1.0 + (id % 5) / 100.0::DOUBLE AS v FROM mnodes JOIN sup USING (net, id)",
+    "gpi": "SELECT e.net, f.i AS f, t.i AS t, (u * 100000 + e.v) * 2 + key AS branch, w / 10000.0::DOUBLE AS r, w / 2000.0::DOUBLE AS x, CASE WHEN u % 3 = 0 THEN 1.0 ELSE 0.98 END::DOUBLE AS a, (w % 3) / 100.0::DOUBLE AS sh, r / (r * r + x * x) AS g, -x / (r * r + x * x) AS b FROM medges e JOIN gbus f ON f.net = e.net AND f.id = u JOIN gbus t ON t.net = e.net AND t.id = e.v",
+    "gy": "SELECT net, i, j, sum(re) AS re, sum(im) AS im FROM (SELECT net, f AS i, t AS j, -(g * cos(sh) - b * sin(sh)) / a AS re, -(g * sin(sh) + b * cos(sh)) / a AS im FROM gpi UNION ALL SELECT net, t, f, -(g * cos(sh) + b * sin(sh)) / a, -(b * cos(sh) - g * sin(sh)) / a FROM gpi UNION ALL SELECT net, f, f, g / (a * a), b / (a * a) + 0.01 FROM gpi UNION ALL SELECT net, t, t, g, b + 0.01 FROM gpi) GROUP BY ALL",
+    "gpair": "SELECT y.*, m.v AS vi, n.v AS vj, re * cos(m.th - n.th) + im * sin(m.th - n.th) AS al, re * sin(m.th - n.th) - im * cos(m.th - n.th) AS ac FROM gy y JOIN gbus m ON m.net = y.net AND m.i = y.i JOIN gbus n ON n.net = y.net AND n.i = y.j",
+    "gpq": "SELECT net, i, sum(vi * vj * al) AS p, sum(vi * vj * ac) AS q FROM gpair GROUP BY ALL",
+    "gjac": "SELECT net, 2 * i + dr AS r, 2 * j + dc AS c, value FROM (SELECT net, i, j, unnest([0, 0, 1, 1]) AS dr, unnest([0, 1, 0, 1]) AS dc, unnest([vi * vj * ac, vi * al, -vi * vj * al, vi * ac]) AS value FROM gpair WHERE i <> j UNION ALL SELECT net, i, j, unnest([0, 0, 1, 1]), unnest([0, 1, 0, 1]), unnest([-q - im * vi * vi, p / vi + re * vi, p - re * vi * vi, q / vi - im * vi]) FROM gpair JOIN gpq USING (net, i) WHERE i = j) WHERE i > 0 AND j > 0",
+    "gtr": "SELECT net, s.i AS s, t.i AS t FROM gbus s JOIN (SELECT net, nation, min(i) AS i FROM gbus GROUP BY ALL) t USING (net) WHERE s.i <> t.i",
     "parts": f"SELECT p_partkey AS component_id, CASE p_partkey % 5 WHEN 2 THEN 'branch' WHEN 3 THEN 'child' WHEN 4 THEN 'compound' ELSE 'node' END AS kind, {_case('p_type', fx.PART_TYPES)} AS type, CASE p_partkey % 4 WHEN 0 THEN 'power' WHEN 1 THEN 'gas' WHEN 2 THEN 'water' END AS grid, p_partkey % 6 <> 0 AS independent, p_size / 10.0::DOUBLE AS coefficient, p_retailprice AS nominal FROM part",
     "own": "SELECT * FROM parts WHERE independent OR kind = 'compound' OR (kind = 'branch' AND type = 'HeatExchanger')",
     "trial": f"SELECT own.*, run_id, i, i::INT AS time, {_case('type', fixed.BASE_FAILURE, '0.0')}::DOUBLE * {_normal(1.0, 0.1, '101', 'run_id', 'i', 'component_id', chr(39) + 'p' + chr(39))} * 50 * exp(-((i - 1.5) * (i - 1.5)) / 2) / sqrt(2 * pi()) * 0.3 AS p FROM own, range(3) r(run_id), range(3) s(i)",
@@ -107,7 +114,7 @@ _RECURSIVE = {"walk", "clear", "mwalk", "mclear"}
 _NEEDS = {
     "perf": ["run"], "faults": ["run"], "keyed": ["faults"], "pairs": ["keyed"], "inside": ["perf", "pairs"], "outside": ["comp", "perf", "pairs"], "long": ["comp", "inside", "outside"], "impact": ["long"], "milli": ["impact"], "members": ["comp"], "children": ["members", "milli"],
     "nodes": ["edges"], "arcs": ["edges"], "d0": ["nodes", "arcs"], **{f"d{k}": [f"d{k - 1}"] for k in range(1, 6)}, "dist": ["d5"], "walk": ["nodes", "arcs", "dist"], "sigma": ["walk"], "st": ["dist", "sigma"], "deg": ["edges"], "bc": ["nodes", "st"], "ebc": ["edges", "nodes", "arcs", "st"], "r0": ["nodes", "d0"], **{f"r{k}": [f"r{k - 1}"] for k in range(1, 6)}, "vit": ["r5", "dist"], "k0": ["nodes"], **{f"k{k}": [f"k{k - 1}", "arcs"] for k in range(1, 16)}, "kz": ["k15"], "clear": ["nodes", "grp", "arcs", "dist"], "gbc": ["grp", "st", "clear"],
-    "medges": ["sup"], "mnodes": ["medges"], "marcs": ["medges"], "md0": ["mnodes", "marcs"], **{f"md{k}": [f"md{k - 1}"] for k in range(1, 6)}, "mdist": ["md5"], "mwalk": ["mnodes", "marcs", "mdist"], "msigma": ["mwalk"], "mst": ["mdist", "msigma"], "msize": ["mnodes"], "mdeg": ["marcs"], "mbc": ["msize", "mst"], "mebc": ["msize", "marcs", "mst"], "mr0": ["mnodes", "md0"], **{f"mr{k}": [f"mr{k - 1}"] for k in range(1, 6)}, "mvit": ["msize", "mr5", "mdist"], "msimple": ["marcs"], "mk0": ["mnodes"], **{f"mk{k}": [f"mk{k - 1}", "msimple"] for k in range(1, 25)}, "mkz": ["mk24", "mnodes"], "mgrp": ["sup"], "mclear": ["mgrp", "mnodes", "marcs", "mdist"], "mgbc": ["mgrp", "mst", "mclear"], "mall": ["mdeg", "mbc", "mvit", "mkz"],
+    "medges": ["sup"], "mnodes": ["medges"], "marcs": ["medges"], "md0": ["mnodes", "marcs"], **{f"md{k}": [f"md{k - 1}"] for k in range(1, 6)}, "mdist": ["md5"], "mwalk": ["mnodes", "marcs", "mdist"], "msigma": ["mwalk"], "mst": ["mdist", "msigma"], "msize": ["mnodes"], "mdeg": ["marcs"], "mbc": ["msize", "mst"], "mebc": ["msize", "marcs", "mst"], "mr0": ["mnodes", "md0"], **{f"mr{k}": [f"mr{k - 1}"] for k in range(1, 6)}, "mvit": ["msize", "mr5", "mdist"], "msimple": ["marcs"], "mk0": ["mnodes"], **{f"mk{k}": [f"mk{k - 1}", "msimple"] for k in range(1, 25)}, "mkz": ["mk24", "mnodes"], "mgrp": ["sup"], "mclear": ["mgrp", "mnodes", "marcs", "mdist"], "mgbc": ["mgrp", "mst", "mclear"], "gbus": ["mnodes", "sup"], "gpi": ["medges", "gbus"], "gy": ["gpi"], "gpair": ["gy", "gbus"], "gpq": ["gpair"], "gjac": ["gpair", "gpq"], "gtr": ["gbus"], "mall": ["mdeg", "mbc", "mvit", "mkz"],
     "pi": ["edges"], "own": ["parts"], "trial": ["own"], "fail": ["trial"], "rep": ["fail"], "log": ["rep"], "metrics": ["comp"], "joined": ["milli", "metrics"], "framed": ["joined", "groups"], "moves": ["faults"], "total": ["perf"],
 }
 
@@ -190,6 +197,9 @@ ORACLES: dict[str, str] = {
     "densities": _sql("SELECT DISTINCT cp_density FROM perf", "perf"),
     "ybus": _sql("SELECT i, j, round(sum(re), 6) AS re, round(sum(im), 6) AS im FROM (SELECT f AS i, t AS j, -g / a AS re, -b / a AS im FROM pi UNION ALL SELECT t, f, -g / a, -b / a FROM pi UNION ALL SELECT f, f, g / (a * a), b / (a * a) + 0.01 FROM pi UNION ALL SELECT t, t, g, b + 0.01 FROM pi) GROUP BY ALL", "pi"),
     "line_flow": _sql("SELECT branch, round(vi * vi / (a * a) * g - vi * vj / a * (g * cos(dth) + b * sin(dth)), 6) AS p_from FROM pi", "pi"),
+    "grid_injections": _sql("SELECT net AS network_id, i AS id, round(p, 6) AS p, round(q, 6) AS q FROM gpq", "gpq"),
+    "grid_jacobian": _sql("SELECT net AS network_id, r, c, round(value, 6) AS value FROM gjac", "gjac"),
+    "transfer_residual": _sql("SELECT net AS network_id, s, t, 0.0::DOUBLE AS residual FROM gtr", "gtr"),
     "variance_indicator": _sql("SELECT cp_density, round(var_pop(total) / 10 / 1e6, 4) AS indicator FROM (SELECT * FROM total QUALIFY row_number() OVER (PARTITION BY cp_density ORDER BY id) <= 100) GROUP BY ALL", "total"),
     "iteration_stop": _sql("SELECT cp_density, count(*) - 1 > 20 AS stop FROM total GROUP BY ALL", "total"),
     "grouped_hist": _sql("SELECT type, carrier, sum(impact)::BIGINT AS impact FROM milli WHERE impact IS NOT NULL GROUP BY ALL", "milli"),

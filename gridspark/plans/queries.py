@@ -12,6 +12,7 @@ from gridspark.operators import cascade, frames, graph, powerflow, rollup, simul
 from gridspark.operators import impact as im
 from gridspark.plans import fixtures as fx
 from gridspark.sources import experiments, networks, profiles
+from gridspark.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -448,6 +449,37 @@ def jacobian_sv(s: SparkSession, d: str) -> DataFrame:
     return powerflow.singular_values(fx.branches(s, d))
 
 
+@query
+def grid_injections(s: SparkSession, d: str) -> DataFrame:
+    used, buses = fx.grid_power(s, d)
+    return powerflow.injections(powerflow.admittance(used), buses).select("network_id", "id", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
+
+
+@query
+def grid_jacobian(s: SparkSession, d: str) -> DataFrame:
+    used, buses = fx.grid_power(s, d)
+    return powerflow.jacobian(powerflow.admittance(used), buses).withColumn("value", F.round("value", 6))
+
+
+@query
+def grid_ptdf(s: SparkSession, d: str) -> DataFrame:
+    used, buses = fx.grid_power(s, d)
+    return powerflow.ptdf(used, fx.grid_transfers(s, d), buses).withColumn("ptdf", F.round("ptdf", 6))
+
+
+@query
+def transfer_residual(s: SparkSession, d: str) -> DataFrame:
+    used, buses = fx.grid_power(s, d)
+    cells, transfers = stored(powerflow.jacobian(powerflow.admittance(used), buses), "cells"), fx.grid_transfers(s, d)
+    return powerflow.residual(cells, transfers, powerflow.increments(cells, transfers)).withColumn("residual", F.round("residual", 6))
+
+
+@query
+def grid_singular_values(s: SparkSession, d: str) -> DataFrame:
+    out = powerflow.extreme_singular_values(*fx.grid_power(s, d))
+    return out.select("network_id", F.round("largest", 6).alias("largest"), F.round("smallest", 6).alias("smallest"))
+
+
 def _totals(s: SparkSession, d: str) -> DataFrame:
     return im.run_total(fx.perf(s, d), list(fx.CENTS.values()))
 

@@ -117,15 +117,29 @@ def test_admittance(spark):
 
 
 def test_jacobian_against_differences(spark):
-    rows = pd.concat([line(0.02, 0.1, 0.98), line(0.03, 0.2).assign(f=1, t=2, branch=2)], ignore_index=True)
-    y, theta, v = powerflow.ybus(rows, 3), np.array([0.0, -0.05, -0.1]), np.array([1.0, 0.99, 0.98])
-    rest = np.array([1, 2])
-    j = powerflow.jacobian(theta, v, y, rest, rest)
-    for k in range(4):
-        d = np.zeros(4)
-        d[k] = 1e-6
-        up, down = (powerflow.injections(theta + s * np.r_[0, d[:2]], v + s * np.r_[0, d[2:]], y) for s in (1, -1))
-        assert np.allclose(j[:, k], np.r_[(up[0] - down[0])[1:], (up[1] - down[1])[1:]] / 2e-6, atol=1e-6)
+    rows = spark.createDataFrame(pd.concat([line(0.02, 0.1, 0.98), line(0.03, 0.2).assign(f=1, t=2, branch=2, shift=0.02, b_to=0.03)], ignore_index=True))
+    cells, kinds = powerflow.admittance(rows), ["slack", "pv", "pq"]
+
+    def buses(theta, v):
+        return spark.createDataFrame([(0, i, kinds[i], float(theta[i]), float(v[i])) for i in range(3)], "network_id long, id long, bus_type string, theta double, v double")
+
+    def powers(theta, v):
+        return np.array([x for r in powerflow.injections(cells, buses(theta, v)).orderBy("id").collect() for x in (r.p, r.q)])
+
+    theta, v = np.array([0.0, -0.05, -0.1]), np.array([1.0, 0.99, 0.98])
+    got = {(r.r, r.c): r.value for r in powerflow.jacobian(cells, buses(theta, v)).collect()}
+    y = np.zeros((3, 3), complex)
+    for r in cells.collect():
+        y[r.i, r.j] = complex(r.re, r.im)
+    e = v * np.exp(1j * theta)
+    s = e * np.conj(y @ e)
+    assert powers(theta, v) == pytest.approx(np.c_[s.real, s.imag].ravel())
+    assert {k for k, _ in got} == {2, 4, 5} == {k for _, k in got}  # no voltage of a pv bus, nothing of the slack
+    for c in (2, 4, 5):
+        d = np.zeros((2, 3))
+        d[c % 2, c // 2] = 1e-6
+        change = (powers(theta + d[0], v + d[1]) - powers(theta - d[0], v - d[1])) / 2e-6
+        assert [got.get((r, c), 0.0) for r in (2, 4, 5)] == pytest.approx(change[[2, 4, 5]].tolist(), abs=1e-6)
     pairs = spark.createDataFrame([(0, 1, 0)], "network_id long, s long, t long")
     flow = powerflow.ptdf(spark.createDataFrame(line(0.001, 0.1)), pairs).first().ptdf
     assert flow == pytest.approx(-1, abs=0.05)

@@ -28,6 +28,22 @@ def _normal(mean: float, deviation: float, *key: str) -> str:
     return f"({mean} + {deviation} * sqrt(-2 * ln({_u(*key, '1')} + pow(2, -33))) * cos(2 * pi() * {_u(*key, '2')}))"
 
 
+def _sensitivities(p: str) -> dict[str, str]:
+    """Admittances, powers, derivatives, their inverse (one bus variable after the other is swept out) and flow changes of networks whose slack is bus 0."""
+    return {
+        f"{p}y": f"SELECT net, i, j, sum(re) AS re, sum(im) AS im FROM (SELECT net, f AS i, t AS j, -(g * cos(sh) - b * sin(sh)) / a AS re, -(g * sin(sh) + b * cos(sh)) / a AS im FROM {p}pi UNION ALL SELECT net, t, f, -(g * cos(sh) + b * sin(sh)) / a, -(b * cos(sh) - g * sin(sh)) / a FROM {p}pi UNION ALL SELECT net, f, f, g / (a * a), b / (a * a) + 0.01 FROM {p}pi UNION ALL SELECT net, t, t, g, b + 0.01 FROM {p}pi) GROUP BY ALL",
+        f"{p}pair": f"SELECT y.*, m.v AS vi, n.v AS vj, re * cos(m.th - n.th) + im * sin(m.th - n.th) AS al, re * sin(m.th - n.th) - im * cos(m.th - n.th) AS ac FROM {p}y y JOIN {p}bus m ON m.net = y.net AND m.i = y.i JOIN {p}bus n ON n.net = y.net AND n.i = y.j",
+        f"{p}pq": f"SELECT net, i, sum(vi * vj * al) AS p, sum(vi * vj * ac) AS q FROM {p}pair GROUP BY ALL",
+        f"{p}jac": f"SELECT net, 2 * i + dr AS r, 2 * j + dc AS c, value FROM (SELECT net, i, j, unnest([0, 0, 1, 1]) AS dr, unnest([0, 1, 0, 1]) AS dc, unnest([vi * vj * ac, vi * al, -vi * vj * al, vi * ac]) AS value FROM {p}pair WHERE i <> j UNION ALL SELECT net, i, j, unnest([0, 0, 1, 1]), unnest([0, 1, 0, 1]), unnest([-q - im * vi * vi, p / vi + re * vi, p - re * vi * vi, q / vi - im * vi]) FROM {p}pair JOIN {p}pq USING (net, i) WHERE i = j) WHERE i > 0 AND j > 0",
+        f"{p}state": f"SELECT net, r, row_number() OVER (PARTITION BY net ORDER BY r) AS k, count(*) OVER (PARTITION BY net) AS n FROM (SELECT DISTINCT net, r FROM {p}jac)",
+        f"{p}sweep": f"SELECT x.net, 0::BIGINT AS k, x.n, x.r, y.r AS c, coalesce(value, 0) AS value FROM {p}state x JOIN {p}state y ON x.net = y.net LEFT JOIN {p}jac j ON j.net = x.net AND j.r = x.r AND j.c = y.r UNION ALL SELECT x.net, s.k, x.n, x.r, x.c, CASE WHEN x.r = s.r AND x.c = s.r THEN 1 / d.value WHEN x.r = s.r THEN x.value / d.value WHEN x.c = s.r THEN -x.value / d.value ELSE x.value - a.value * b.value / d.value END FROM {p}sweep x JOIN {p}state s ON s.net = x.net AND s.k = x.k + 1 JOIN {p}sweep a ON a.net = x.net AND a.r = x.r AND a.c = s.r JOIN {p}sweep b ON b.net = x.net AND b.r = s.r AND b.c = x.c JOIN {p}sweep d ON d.net = x.net AND d.r = s.r AND d.c = s.r",
+        f"{p}inverse": f"SELECT net, r AS state, c AS r, value FROM {p}sweep WHERE k = n",
+        f"{p}dx": f"SELECT t.net, t.s, t.t, state, sum(CASE WHEN r = 2 * s THEN value ELSE 0 END - CASE WHEN r = 2 * t THEN value ELSE 0 END) AS dx FROM {p}tr t JOIN {p}inverse i USING (net) GROUP BY ALL",
+        f"{p}turn": f"SELECT e.net, branch, e.f, e.t, m.v AS vi, n.v AS vj, a, g, g * cos(m.th - n.th - sh) + b * sin(m.th - n.th - sh) AS turn, -m.v * n.v / a * (b * cos(m.th - n.th - sh) - g * sin(m.th - n.th - sh)) AS slope FROM {p}pi e JOIN {p}bus m ON m.net = e.net AND m.i = e.f JOIN {p}bus n ON n.net = e.net AND n.i = e.t",
+        f"{p}flow": f"SELECT net, s, t, branch, sum(w * dx) AS ptdf FROM (SELECT net, branch, unnest([2 * f, 2 * t, 2 * f + 1, 2 * t + 1]) AS state, unnest([slope, -slope, 2 * vi * g / (a * a) - vj / a * turn, -vi / a * turn]) AS w FROM {p}turn) JOIN {p}dx USING (net, state) GROUP BY ALL",
+    }
+
+
 _PARTS = {
     "run": f"SELECT event_id, event_type, value, user_id AS id, CAST(day(ts) AS BIGINT) - 1 AS step, CAST((user_id % 5) * 0.5 AS DOUBLE) AS cp_density, 'data/res/net-' || {_list(fx.LABELS)}[user_id % 3 + 1] || '-' || CAST(CAST((user_id % 5) * 0.5 AS DOUBLE) AS VARCHAR) AS experiment FROM events",
     "perf": "SELECT cp_density, experiment, id, step, " + ", ".join(f"coalesce(sum(CASE WHEN event_type = '{k}' THEN CAST(round(value * 100) AS BIGINT) END), 0)::BIGINT AS c{i}" for i, k in enumerate(("click", "view", "signup"))) + " FROM run WHERE event_type IN ('click', 'view', 'signup') GROUP BY ALL",
@@ -91,10 +107,10 @@ _PARTS = {
     "pi": "SELECT u AS f, v AS t, u * 100 + v AS branch, w / 100000.0::DOUBLE AS r, w / 20000.0::DOUBLE AS x, CASE WHEN u % 3 = 0 THEN 1.0 ELSE 0.98 END::DOUBLE AS a, r / (r * r + x * x) AS g, -x / (r * r + x * x) AS b, 1.0 + (u % 5) / 100.0::DOUBLE AS vi, 1.0 + (v % 5) / 100.0::DOUBLE AS vj, (u % 7) / 100.0::DOUBLE - (v % 7) / 100.0::DOUBLE AS dth FROM edges",
     "gbus": "SELECT net, row_number() OVER (PARTITION BY net ORDER BY id) - 1 AS i, id, nation, (id % 7) / 100.0::DOUBLE AS th, 1.0 + (id % 5) / 100.0::DOUBLE AS v FROM mnodes JOIN sup USING (net, id)",
     "gpi": "SELECT e.net, f.i AS f, t.i AS t, (u * 100000 + e.v) * 2 + key AS branch, w / 10000.0::DOUBLE AS r, w / 2000.0::DOUBLE AS x, CASE WHEN u % 3 = 0 THEN 1.0 ELSE 0.98 END::DOUBLE AS a, (w % 3) / 100.0::DOUBLE AS sh, r / (r * r + x * x) AS g, -x / (r * r + x * x) AS b FROM medges e JOIN gbus f ON f.net = e.net AND f.id = u JOIN gbus t ON t.net = e.net AND t.id = e.v",
-    "gy": "SELECT net, i, j, sum(re) AS re, sum(im) AS im FROM (SELECT net, f AS i, t AS j, -(g * cos(sh) - b * sin(sh)) / a AS re, -(g * sin(sh) + b * cos(sh)) / a AS im FROM gpi UNION ALL SELECT net, t, f, -(g * cos(sh) + b * sin(sh)) / a, -(b * cos(sh) - g * sin(sh)) / a FROM gpi UNION ALL SELECT net, f, f, g / (a * a), b / (a * a) + 0.01 FROM gpi UNION ALL SELECT net, t, t, g, b + 0.01 FROM gpi) GROUP BY ALL",
-    "gpair": "SELECT y.*, m.v AS vi, n.v AS vj, re * cos(m.th - n.th) + im * sin(m.th - n.th) AS al, re * sin(m.th - n.th) - im * cos(m.th - n.th) AS ac FROM gy y JOIN gbus m ON m.net = y.net AND m.i = y.i JOIN gbus n ON n.net = y.net AND n.i = y.j",
-    "gpq": "SELECT net, i, sum(vi * vj * al) AS p, sum(vi * vj * ac) AS q FROM gpair GROUP BY ALL",
-    "gjac": "SELECT net, 2 * i + dr AS r, 2 * j + dc AS c, value FROM (SELECT net, i, j, unnest([0, 0, 1, 1]) AS dr, unnest([0, 1, 0, 1]) AS dc, unnest([vi * vj * ac, vi * al, -vi * vj * al, vi * ac]) AS value FROM gpair WHERE i <> j UNION ALL SELECT net, i, j, unnest([0, 0, 1, 1]), unnest([0, 1, 0, 1]), unnest([-q - im * vi * vi, p / vi + re * vi, p - re * vi * vi, q / vi - im * vi]) FROM gpair JOIN gpq USING (net, i) WHERE i = j) WHERE i > 0 AND j > 0",
+    "nbus": "SELECT 0 AS net, id AS i, (id % 7) / 100.0::DOUBLE AS th, 1.0 + (id % 5) / 100.0::DOUBLE AS v FROM nodes",
+    "npi": "SELECT 0 AS net, f, t, branch, a, 0.0::DOUBLE AS sh, g, b FROM pi",
+    "ntr": "SELECT * FROM (VALUES (0, 1, 2), (0, 3, 0)) v(net, s, t)",
+    **{k: v for p in "gn" for k, v in _sensitivities(p).items()},
     "gtr": "SELECT net, s.i AS s, t.i AS t FROM gbus s JOIN (SELECT net, nation, min(i) AS i FROM gbus GROUP BY ALL) t USING (net) WHERE s.i <> t.i",
     "parts": f"SELECT p_partkey AS component_id, CASE p_partkey % 5 WHEN 2 THEN 'branch' WHEN 3 THEN 'child' WHEN 4 THEN 'compound' ELSE 'node' END AS kind, {_case('p_type', fx.PART_TYPES)} AS type, CASE p_partkey % 4 WHEN 0 THEN 'power' WHEN 1 THEN 'gas' WHEN 2 THEN 'water' END AS grid, p_partkey % 6 <> 0 AS independent, p_size / 10.0::DOUBLE AS coefficient, p_retailprice AS nominal FROM part",
     "own": "SELECT * FROM parts WHERE independent OR kind = 'compound' OR (kind = 'branch' AND type = 'HeatExchanger')",
@@ -110,11 +126,11 @@ _PARTS = {
     "moves": "SELECT id, node, step::INT AS step, event_id AS position, CASE type WHEN 'failure' THEN 0 ELSE 1 END AS kind FROM faults",
     "total": "SELECT cp_density, experiment, id, sum(c0 + c1 + c2)::BIGINT AS total FROM perf GROUP BY ALL",
 }
-_RECURSIVE = {"walk", "clear", "mwalk", "mclear"}
+_RECURSIVE = {"walk", "clear", "mwalk", "mclear", "gsweep", "nsweep"}
 _NEEDS = {
     "perf": ["run"], "faults": ["run"], "keyed": ["faults"], "pairs": ["keyed"], "inside": ["perf", "pairs"], "outside": ["comp", "perf", "pairs"], "long": ["comp", "inside", "outside"], "impact": ["long"], "milli": ["impact"], "members": ["comp"], "children": ["members", "milli"],
     "nodes": ["edges"], "arcs": ["edges"], "d0": ["nodes", "arcs"], **{f"d{k}": [f"d{k - 1}"] for k in range(1, 6)}, "dist": ["d5"], "walk": ["nodes", "arcs", "dist"], "sigma": ["walk"], "st": ["dist", "sigma"], "deg": ["edges"], "bc": ["nodes", "st"], "ebc": ["edges", "nodes", "arcs", "st"], "r0": ["nodes", "d0"], **{f"r{k}": [f"r{k - 1}"] for k in range(1, 6)}, "vit": ["r5", "dist"], "k0": ["nodes"], **{f"k{k}": [f"k{k - 1}", "arcs"] for k in range(1, 16)}, "kz": ["k15"], "clear": ["nodes", "grp", "arcs", "dist"], "gbc": ["grp", "st", "clear"],
-    "medges": ["sup"], "mnodes": ["medges"], "marcs": ["medges"], "md0": ["mnodes", "marcs"], **{f"md{k}": [f"md{k - 1}"] for k in range(1, 6)}, "mdist": ["md5"], "mwalk": ["mnodes", "marcs", "mdist"], "msigma": ["mwalk"], "mst": ["mdist", "msigma"], "msize": ["mnodes"], "mdeg": ["marcs"], "mbc": ["msize", "mst"], "mebc": ["msize", "marcs", "mst"], "mr0": ["mnodes", "md0"], **{f"mr{k}": [f"mr{k - 1}"] for k in range(1, 6)}, "mvit": ["msize", "mr5", "mdist"], "msimple": ["marcs"], "mk0": ["mnodes"], **{f"mk{k}": [f"mk{k - 1}", "msimple"] for k in range(1, 25)}, "mkz": ["mk24", "mnodes"], "mgrp": ["sup"], "mclear": ["mgrp", "mnodes", "marcs", "mdist"], "mgbc": ["mgrp", "mst", "mclear"], "gbus": ["mnodes", "sup"], "gpi": ["medges", "gbus"], "gy": ["gpi"], "gpair": ["gy", "gbus"], "gpq": ["gpair"], "gjac": ["gpair", "gpq"], "gtr": ["gbus"], "mall": ["mdeg", "mbc", "mvit", "mkz"],
+    "medges": ["sup"], "mnodes": ["medges"], "marcs": ["medges"], "md0": ["mnodes", "marcs"], **{f"md{k}": [f"md{k - 1}"] for k in range(1, 6)}, "mdist": ["md5"], "mwalk": ["mnodes", "marcs", "mdist"], "msigma": ["mwalk"], "mst": ["mdist", "msigma"], "msize": ["mnodes"], "mdeg": ["marcs"], "mbc": ["msize", "mst"], "mebc": ["msize", "marcs", "mst"], "mr0": ["mnodes", "md0"], **{f"mr{k}": [f"mr{k - 1}"] for k in range(1, 6)}, "mvit": ["msize", "mr5", "mdist"], "msimple": ["marcs"], "mk0": ["mnodes"], **{f"mk{k}": [f"mk{k - 1}", "msimple"] for k in range(1, 25)}, "mkz": ["mk24", "mnodes"], "mgrp": ["sup"], "mclear": ["mgrp", "mnodes", "marcs", "mdist"], "mgbc": ["mgrp", "mst", "mclear"], "gbus": ["mnodes", "sup"], "gpi": ["medges", "gbus"], "gtr": ["gbus"], "nbus": ["nodes"], "npi": ["pi"], **{p + k: [p + x for x in v] for p in "gn" for k, v in {"y": ["pi"], "pair": ["y", "bus"], "pq": ["pair"], "jac": ["pair", "pq"], "state": ["jac"], "sweep": ["state"], "inverse": ["sweep"], "dx": ["tr", "inverse"], "turn": ["pi", "bus"], "flow": ["turn", "dx"]}.items()}, "mall": ["mdeg", "mbc", "mvit", "mkz"],
     "pi": ["edges"], "own": ["parts"], "trial": ["own"], "fail": ["trial"], "rep": ["fail"], "log": ["rep"], "metrics": ["comp"], "joined": ["milli", "metrics"], "framed": ["joined", "groups"], "moves": ["faults"], "total": ["perf"],
 }
 
@@ -197,8 +213,10 @@ ORACLES: dict[str, str] = {
     "densities": _sql("SELECT DISTINCT cp_density FROM perf", "perf"),
     "ybus": _sql("SELECT i, j, round(sum(re), 6) AS re, round(sum(im), 6) AS im FROM (SELECT f AS i, t AS j, -g / a AS re, -b / a AS im FROM pi UNION ALL SELECT t, f, -g / a, -b / a FROM pi UNION ALL SELECT f, f, g / (a * a), b / (a * a) + 0.01 FROM pi UNION ALL SELECT t, t, g, b + 0.01 FROM pi) GROUP BY ALL", "pi"),
     "line_flow": _sql("SELECT branch, round(vi * vi / (a * a) * g - vi * vj / a * (g * cos(dth) + b * sin(dth)), 6) AS p_from FROM pi", "pi"),
-    "grid_injections": _sql("SELECT net AS network_id, i AS id, round(p, 6) AS p, round(q, 6) AS q FROM gpq", "gpq"),
-    "grid_jacobian": _sql("SELECT net AS network_id, r, c, round(value, 6) AS value FROM gjac", "gjac"),
+    "grid_injections": _sql("SELECT net AS network_id, i AS id, CASE WHEN round(p, 6) = 0 THEN 0 ELSE round(p, 6) END AS p, CASE WHEN round(q, 6) = 0 THEN 0 ELSE round(q, 6) END AS q FROM gpq", "gpq"),
+    "grid_jacobian": _sql("SELECT net AS network_id, r, c, CASE WHEN round(value, 6) = 0 THEN 0 ELSE round(value, 6) END AS value FROM gjac", "gjac"),
+    "ptdf": _sql("SELECT net::BIGINT AS network_id, s::BIGINT AS s, t::BIGINT AS t, branch, CASE WHEN round(ptdf, 9) = 0 THEN 0 ELSE round(ptdf, 9) END AS ptdf FROM nflow", "nflow"),
+    "grid_ptdf": _sql("SELECT net AS network_id, s, t, branch, CASE WHEN round(ptdf, 6) = 0 THEN 0 ELSE round(ptdf, 6) END AS ptdf FROM gflow", "gflow"),
     "transfer_residual": _sql("SELECT net AS network_id, s, t, 0.0::DOUBLE AS residual FROM gtr", "gtr"),
     "variance_indicator": _sql("SELECT cp_density, round(var_pop(total) / 10 / 1e6, 4) AS indicator FROM (SELECT * FROM total QUALIFY row_number() OVER (PARTITION BY cp_density ORDER BY id) <= 100) GROUP BY ALL", "total"),
     "iteration_stop": _sql("SELECT cp_density, count(*) - 1 > 20 AS stop FROM total GROUP BY ALL", "total"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import rng, scalar
@@ -24,6 +24,12 @@ def query(f: Query) -> Query:
     return f
 
 
+def _rounded(c: str, digits: int) -> Column:
+    """Rounded, without negative zeros."""
+    x = F.round(c, digits)
+    return F.when(x == 0, 0.0).otherwise(x)
+
+
 def _pairs(s: SparkSession, d: str) -> DataFrame:
     return im.fault_pairs(fx.faults(s, d, "failure"), fx.faults(s, d, "repair"))
 
@@ -441,7 +447,7 @@ def line_flow(s: SparkSession, d: str) -> DataFrame:
 @query
 def ptdf(s: SparkSession, d: str) -> DataFrame:
     pairs = s.createDataFrame([(0, 1, 2), (0, 3, 0)], "network_id long, s long, t long")
-    return powerflow.ptdf(fx.branches(s, d), pairs)
+    return powerflow.ptdf(fx.branches(s, d), pairs).withColumn("ptdf", _rounded("ptdf", 9))
 
 
 @query
@@ -452,19 +458,19 @@ def jacobian_sv(s: SparkSession, d: str) -> DataFrame:
 @query
 def grid_injections(s: SparkSession, d: str) -> DataFrame:
     used, buses = fx.grid_power(s, d)
-    return powerflow.injections(powerflow.admittance(used), buses).select("network_id", "id", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
+    return powerflow.injections(powerflow.admittance(used), buses).select("network_id", "id", _rounded("p", 6).alias("p"), _rounded("q", 6).alias("q"))
 
 
 @query
 def grid_jacobian(s: SparkSession, d: str) -> DataFrame:
     used, buses = fx.grid_power(s, d)
-    return powerflow.jacobian(powerflow.admittance(used), buses).withColumn("value", F.round("value", 6))
+    return powerflow.jacobian(powerflow.admittance(used), buses).withColumn("value", _rounded("value", 6))
 
 
 @query
 def grid_ptdf(s: SparkSession, d: str) -> DataFrame:
     used, buses = fx.grid_power(s, d)
-    return powerflow.ptdf(used, fx.grid_transfers(s, d), buses).withColumn("ptdf", F.round("ptdf", 6))
+    return powerflow.ptdf(used, fx.grid_transfers(s, d), buses).withColumn("ptdf", _rounded("ptdf", 6))
 
 
 @query

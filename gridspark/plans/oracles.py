@@ -28,6 +28,16 @@ def _normal(mean: float, deviation: float, *key: str) -> str:
     return f"({mean} + {deviation} * sqrt(-2 * ln({_u(*key, '1')} + pow(2, -33))) * cos(2 * pi() * {_u(*key, '2')}))"
 
 
+def _learning(i: int) -> dict[str, str]:
+    """A round of expectation and maximisation: filtered, smoothed and new parameters."""
+    gain, pull = "(p + q) / (p + q + r)", "CASE WHEN f.p + q = 0 THEN 0 ELSE f.p / (f.p + q) END"
+    return {
+        f"ef{i}": f"SELECT cp_density, t, n, q, r, m0 + p0 / (p0 + r) * (y - m0) AS m, r * p0 / (p0 + r) AS p FROM gser JOIN em{i} USING (cp_density) WHERE t = 0 UNION ALL SELECT k.cp_density, s.t, k.n, q, r, m + {gain} * (s.y - m), r * {gain} FROM ef{i} k JOIN gser s ON s.cp_density = k.cp_density AND s.t = k.t + 1",
+        f"es{i}": f"SELECT cp_density, t, m AS mean, p AS var, NULL::DOUBLE AS change FROM ef{i} WHERE t = n - 1 UNION ALL SELECT cp_density, t, a, b, (mean - a) ** 2 + var + b - 2 * g * var FROM (SELECT k.cp_density, f.t, {pull} AS g, mean, var, f.m + g * (mean - f.m) AS a, f.p + g * g * (var - f.p - q) AS b FROM es{i} k JOIN ef{i} f ON f.cp_density = k.cp_density AND f.t = k.t - 1)",
+        f"em{i + 1}": f"SELECT s.cp_density, coalesce(avg(change), any_value(q)) AS q, avg((y - mean) ** 2 + var) AS r, max(mean) FILTER (s.t = 0) AS m0, max(var) FILTER (s.t = 0) AS p0 FROM es{i} s JOIN gser g ON g.cp_density = s.cp_density AND g.t = s.t JOIN em{i} e ON e.cp_density = s.cp_density GROUP BY s.cp_density",
+    }
+
+
 def _sensitivities(p: str) -> dict[str, str]:
     """Admittances, powers, derivatives, their inverse (one bus variable after the other is swept out) and flow changes of networks whose slack is bus 0."""
     return {
@@ -124,14 +134,20 @@ _PARTS = {
     "groups": "SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{t}')" for g, types in fixed.TYPE_GROUPS.items() for t in types) + ") v(type_group, type_y)",
     "framed": "SELECT *, 'all' AS type_group FROM joined UNION ALL BY NAME SELECT joined.*, type_group FROM joined JOIN groups USING (type_y)",
     "moves": "SELECT id, node, step::INT AS step, event_id AS position, CASE type WHEN 'failure' THEN 0 ELSE 1 END AS kind FROM faults",
+    "kser": "SELECT cp_density, row_number() OVER (PARTITION BY cp_density ORDER BY id, experiment) - 1 AS t, count(*) OVER (PARTITION BY cp_density) - 1 AS e, total / 10000.0::DOUBLE AS y FROM total",
+    "kfil": "SELECT cp_density, t, e, 0.0 + 1.0::DOUBLE / 3 * y AS m, 2.0::DOUBLE / 3 AS p FROM kser WHERE t = 0 UNION ALL SELECT k.cp_density, s.t, k.e, m + (p + 0.5) / (p + 2.5) * (y - m), 2 * (p + 0.5) / (p + 2.5) FROM kfil k JOIN kser s ON s.cp_density = k.cp_density AND s.t = k.t + 1",
+    "ksmo": "SELECT cp_density, t, m AS mean, p AS var, NULL::DOUBLE AS change FROM kfil WHERE t = e UNION ALL SELECT k.cp_density, f.t, f.m + f.p / (f.p + 0.5) * (mean - f.m), f.p + (f.p / (f.p + 0.5)) ** 2 * (var - f.p - 0.5), (f.m + f.p / (f.p + 0.5) * (mean - f.m) - mean) ** 2 + var + f.p + (f.p / (f.p + 0.5)) ** 2 * (var - f.p - 0.5) - 2 * f.p / (f.p + 0.5) * var FROM ksmo k JOIN kfil f ON f.cp_density = k.cp_density AND f.t = k.t - 1",
+    "gser": "SELECT cp_density, t, CASE WHEN t = 0 THEN 1.0 ELSE last_value(CASE WHEN t < 100 THEN v END IGNORE NULLS) OVER (PARTITION BY cp_density ORDER BY t) END::DOUBLE AS y, count(*) OVER (PARTITION BY cp_density) AS n FROM (SELECT cp_density, row_number() OVER w - 1 AS t, var_pop(total) OVER (w ROWS UNBOUNDED PRECEDING) / 10 AS v FROM total WINDOW w AS (PARTITION BY cp_density ORDER BY id))",
+    "em0": "SELECT DISTINCT cp_density, 0.0::DOUBLE AS q, 1.0::DOUBLE AS r, 0.0::DOUBLE AS m0, 1.0::DOUBLE AS p0 FROM gser",
+    **{k: v for i in range(10) for k, v in _learning(i).items()},
     "total": "SELECT cp_density, experiment, id, sum(c0 + c1 + c2)::BIGINT AS total FROM perf GROUP BY ALL",
 }
-_RECURSIVE = {"walk", "clear", "mwalk", "mclear", "gsweep", "nsweep"}
+_RECURSIVE = {"walk", "clear", "mwalk", "mclear", "gsweep", "nsweep", "kfil", "ksmo", *(f"e{x}{i}" for x in "fs" for i in range(10))}
 _NEEDS = {
     "perf": ["run"], "faults": ["run"], "keyed": ["faults"], "pairs": ["keyed"], "inside": ["perf", "pairs"], "outside": ["comp", "perf", "pairs"], "long": ["comp", "inside", "outside"], "impact": ["long"], "milli": ["impact"], "members": ["comp"], "children": ["members", "milli"],
     "nodes": ["edges"], "arcs": ["edges"], "d0": ["nodes", "arcs"], **{f"d{k}": [f"d{k - 1}"] for k in range(1, 6)}, "dist": ["d5"], "walk": ["nodes", "arcs", "dist"], "sigma": ["walk"], "st": ["dist", "sigma"], "deg": ["edges"], "bc": ["nodes", "st"], "ebc": ["edges", "nodes", "arcs", "st"], "r0": ["nodes", "d0"], **{f"r{k}": [f"r{k - 1}"] for k in range(1, 6)}, "vit": ["r5", "dist"], "k0": ["nodes"], **{f"k{k}": [f"k{k - 1}", "arcs"] for k in range(1, 16)}, "kz": ["k15"], "clear": ["nodes", "grp", "arcs", "dist"], "gbc": ["grp", "st", "clear"],
     "medges": ["sup"], "mnodes": ["medges"], "marcs": ["medges"], "md0": ["mnodes", "marcs"], **{f"md{k}": [f"md{k - 1}"] for k in range(1, 6)}, "mdist": ["md5"], "mwalk": ["mnodes", "marcs", "mdist"], "msigma": ["mwalk"], "mst": ["mdist", "msigma"], "msize": ["mnodes"], "mdeg": ["marcs"], "mbc": ["msize", "mst"], "mebc": ["msize", "marcs", "mst"], "mr0": ["mnodes", "md0"], **{f"mr{k}": [f"mr{k - 1}"] for k in range(1, 6)}, "mvit": ["msize", "mr5", "mdist"], "msimple": ["marcs"], "mk0": ["mnodes"], **{f"mk{k}": [f"mk{k - 1}", "msimple"] for k in range(1, 25)}, "mkz": ["mk24", "mnodes"], "mgrp": ["sup"], "mclear": ["mgrp", "mnodes", "marcs", "mdist"], "mgbc": ["mgrp", "mst", "mclear"], "gbus": ["mnodes", "sup"], "gpi": ["medges", "gbus"], "gtr": ["gbus"], "nbus": ["nodes"], "npi": ["pi"], **{p + k: [p + x for x in v] for p in "gn" for k, v in {"y": ["pi"], "pair": ["y", "bus"], "pq": ["pair"], "jac": ["pair", "pq"], "state": ["jac"], "sweep": ["state"], "inverse": ["sweep"], "dx": ["tr", "inverse"], "turn": ["pi", "bus"], "flow": ["turn", "dx"]}.items()}, "mall": ["mdeg", "mbc", "mvit", "mkz"],
-    "pi": ["edges"], "own": ["parts"], "trial": ["own"], "fail": ["trial"], "rep": ["fail"], "log": ["rep"], "metrics": ["comp"], "joined": ["milli", "metrics"], "framed": ["joined", "groups"], "moves": ["faults"], "total": ["perf"],
+    "pi": ["edges"], "own": ["parts"], "trial": ["own"], "fail": ["trial"], "rep": ["fail"], "log": ["rep"], "metrics": ["comp"], "joined": ["milli", "metrics"], "framed": ["joined", "groups"], "moves": ["faults"], "total": ["perf"], "kser": ["total"], "kfil": ["kser"], "ksmo": ["kfil"], "gser": ["total"], "em0": ["gser"], **{k: v for i in range(10) for k, v in {f"ef{i}": [f"em{i}", "gser"], f"es{i}": [f"ef{i}"], f"em{i + 1}": [f"es{i}", "gser", f"em{i}"]}.items()},
 }
 
 
@@ -220,6 +236,8 @@ ORACLES: dict[str, str] = {
     "transfer_residual": _sql("SELECT net AS network_id, s, t, 0.0::DOUBLE AS residual FROM gtr", "gtr"),
     "variance_indicator": _sql("SELECT cp_density, round(var_pop(total) / 10 / 1e6, 4) AS indicator FROM (SELECT * FROM total QUALIFY row_number() OVER (PARTITION BY cp_density ORDER BY id) <= 100) GROUP BY ALL", "total"),
     "iteration_stop": _sql("SELECT cp_density, count(*) - 1 > 20 AS stop FROM total GROUP BY ALL", "total"),
+    "kalman_smooth": _sql("SELECT cp_density, t, round(mean, 6) AS mean, round(var, 6) AS var, round(change, 6) AS change FROM ksmo", "ksmo"),
+    "mgbm": _sql("SELECT cp_density, n AS runs, n >= 2 AND m0 + p0 / (p0 + r) * (y - m0) < 0.1 AS stop FROM em10 JOIN gser USING (cp_density) WHERE t = n - 1", "em10"),
     "grouped_hist": _sql("SELECT type, carrier, sum(impact)::BIGINT AS impact FROM milli WHERE impact IS NOT NULL GROUP BY ALL", "milli"),
     "multilevel_bar": _sql("SELECT i + 0.5::DOUBLE * (i // 3) AS x, cp_density, experiment, carrier, value, sum(value) OVER (PARTITION BY i)::BIGINT AS height, max(h) OVER () + 0.5::DOUBLE AS y_end FROM (SELECT *, row_number() OVER (ORDER BY cp_density, experiment) - 1 AS i, c0 + c1 + c2 AS h FROM (SELECT cp_density, experiment, sum(c0)::BIGINT AS c0, sum(c1)::BIGINT AS c1, sum(c2)::BIGINT AS c2 FROM perf GROUP BY ALL)) CROSS JOIN LATERAL (SELECT unnest(['c0', 'c1', 'c2']) AS carrier, unnest([c0, c1, c2]) AS value)", "perf"),
     "line_frame": _sql("SELECT step, unnest(['c0', 'c1', 'c2']) AS line, unnest([sum(c0), sum(c1), sum(c2)])::DOUBLE AS value FROM perf GROUP BY step", "perf"),

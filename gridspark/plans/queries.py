@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import rng, scalar
-from gridspark.operators import cascade, frames, graph, powerflow, rollup, simulation, stopping, temporal, walks
+from gridspark.operators import cascade, frames, graph, kalman, powerflow, rollup, simulation, stopping, temporal, walks
 from gridspark.operators import impact as im
 from gridspark.plans import fixtures as fx
 from gridspark.sources import experiments, networks, profiles
@@ -513,6 +513,16 @@ def mgbm(s: SparkSession, d: str) -> DataFrame:
     return _totals(s, d).groupBy("cp_density").applyInPandas(decide, "cp_density double, runs long, stop boolean")
 
 
+@query
+def kalman_smooth(s: SparkSession, d: str) -> DataFrame:
+    """Totals of a density's runs (in hundreds), smoothed in blocks of eight runs."""
+    rank = F.row_number().over(Window.partitionBy("cp_density").orderBy("id", "experiment")) - 1
+    series = _totals(s, d).select("cp_density", rank.alias("t"), (F.col("total") / 10000.0).alias("y"))
+    params = series.select("cp_density").distinct().select("cp_density", F.lit(0.5).alias("q"), F.lit(2.0).alias("r"), F.lit(0.0).alias("m0"), F.lit(1.0).alias("p0"))
+    out = kalman.smoothed(series, params, ["cp_density"], block=8)
+    return out.select("cp_density", "t", *(F.round(c, 6).alias(c) for c in ("mean", "var", "change")))
+
+
 @query
 def grouped_hist(s: SparkSession, d: str) -> DataFrame:
     return frames.grouped_histogram(_milli(s, d).where("impact is not null"), "type", "impact", "carrier")

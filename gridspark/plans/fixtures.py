@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gridspark.functions.scalar import lookup
 from gridspark.operators import powerflow
 from gridspark.operators.graph import nodes, weighted
-from gridspark.sources.shared import stored
+from gridspark.sources import folders
+from gridspark.sources.shared import folder, stored
 
 CENTS = {"electricity": "c0", "heat": "c1", "gas": "c2"}
 #: scenario keys of the three made-up experiments; the last has no label
@@ -56,6 +57,23 @@ def faults(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return _run(spark, sf_dir).where(F.col("event_type") == of).select("event_id", "cp_density", "experiment", "id", "step", raw_name().alias("node"), F.lit(kind).alias("type"))
 
 
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the runs have observed: performance as lists, faults as maps, and counts that are no rows."""
+    p, f = perf(spark, sf_dir), [faults(spark, sf_dir, k) for k in ("failure", "repair")]
+    seen = p.select("experiment", "id", F.lit("performance").alias("key"), F.col("step").alias("position"), F.to_json(F.array("c0", "c1", "c2")).alias("value"))
+    told = f[0].unionByName(f[1]).select("experiment", "id", F.col("type").alias("key"), F.col("event_id").alias("position"), F.to_json(F.struct("step", "node", "type")).alias("value"))
+    counts = p.groupBy("experiment", "id").agg(F.count("*").cast("string").alias("value")).select("experiment", "id", F.lit("steps").alias("key"), F.lit(0).cast("long").alias("position"), "value")
+    return seen.unionByName(told).unionByName(counts)
+
+
+def result_folders(spark: SparkSession, sf_dir: str) -> str:
+    """The observations as folders of CSV files under the shared folder."""
+    path = folder(spark, "results")
+    folders.register(spark)
+    folders.append(observations(spark, sf_dir), path)
+    return path
+
+
 def components(spark: SparkSession) -> DataFrame:
     """cp_density, node, type of twenty components at five densities."""
     n = F.col("id")

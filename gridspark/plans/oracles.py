@@ -168,6 +168,8 @@ def _sql(body: str, *parts: str) -> str:
 
 ORACLES: dict[str, str] = {
     "scan_annotate": _sql("SELECT DISTINCT experiment, id, split_part(split_part(experiment, '/', 3), '-', 2) AS power_impact, split_part(split_part(experiment, '/', 3), '-', 3) AS heat_impact, split_part(split_part(experiment, '/', 3), '-', 4) AS gas_impact, split_part(split_part(experiment, '/', 3), '-', 5) AS mes_impact, cp_density FROM perf", "perf"),
+    "folder_scan": _sql("SELECT replace(experiment, 'data/res/', 'data/results/') AS experiment, split_part(experiment, '-', 3) AS heat_impact, cp_density, count(*) AS n, sum(c0)::BIGINT AS c0, sum(c1)::BIGINT AS c1, sum(c2)::BIGINT AS c2 FROM perf WHERE cp_density >= 1 AND split_part(experiment, '-', 2) <> '5' GROUP BY ALL", "perf"),
+    "folder_faults": _sql("SELECT cp_density, id, node, failed, repaired FROM pairs", "pairs"),
     "component_key": _sql(f"SELECT DISTINCT node, {_KIND} AS kind, {_KIND} || ':' || split_part(node, ':', -1) AS key FROM faults WHERE type = 'failure'", "faults"),
     "failure_repair_pairs": _sql("SELECT * FROM pairs", "pairs"),
     "interval_inside": _sql("SELECT * FROM inside", "inside"),
@@ -245,4 +247,5 @@ ORACLES: dict[str, str] = {
 for _name, _keys in {"type_carrier": "type_carrier, carrier", "type": "type, carrier", "type_carrier_density": "type_carrier, carrier, cp_density", "carrier_density": "carrier, cp_density"}.items():
     for _how, _agg in (("mean", "sum(abs(impact)) / count(*)::DOUBLE"), ("sum", "sum(abs(impact))::BIGINT")):
         ORACLES[f"rollup_{_name}_{_how}"] = _sql(f"SELECT {_keys}, {_agg} AS impact FROM milli WHERE impact IS NOT NULL GROUP BY ALL", "milli")
+ORACLES["folder_rollups"] = ORACLES["rollup_grouping_sets"]
 ORACLES["metrics_table"] = ORACLES["metrics_table"].replace(" SELECT 'node:' || id AS id", ", own_all AS MATERIALIZED (SELECT * FROM deg JOIN bc USING (id) JOIN vit USING (id) JOIN kz USING (id)) SELECT 'node:' || id AS id", 1)

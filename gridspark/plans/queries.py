@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from gridspark.functions import rng, scalar
 from gridspark.operators import cascade, frames, graph, kalman, powerflow, rollup, simulation, stopping, temporal, walks
 from gridspark.operators import impact as im
+from gridspark.plans import evaluation
 from gridspark.plans import fixtures as fx
-from gridspark.sources import experiments, networks, profiles
+from gridspark.sources import experiments, folders, networks, profiles
 from gridspark.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +50,26 @@ def scan_annotate(s: SparkSession, d: str) -> DataFrame:
     return experiments.annotate(runs, F.col("experiment"))
 
 
+@query
+def folder_scan(s: SparkSession, d: str) -> DataFrame:
+    """Rows of the folders of three densities and some impacts; the others are not read."""
+    path = fx.result_folders(s, d)
+    found = folders.load(s, path, "performance").where("cp_density >= 1.0 and power_impact <> '5'")
+    return found.groupBy("experiment", "heat_impact", "cp_density").agg(F.count("*").alias("n"), *(F.sum(c).cast("long").alias(c) for c in fx.CENTS.values()))
+
+
+@query
+def folder_faults(s: SparkSession, d: str) -> DataFrame:
+    path = fx.result_folders(s, d)
+    return im.fault_pairs(folders.load(s, path, "failure"), folders.load(s, path, "repair")).drop("experiment")
+
+
+@query
+def folder_rollups(s: SparkSession, d: str) -> DataFrame:
+    """From files of results to rollups of impacts."""
+    return evaluation.evaluate(s, fx.result_folders(s, d), fx.components(s), scale=100.0)["rollups"]
+
+
 @query
 def component_key(s: SparkSession, d: str) -> DataFrame:
     names = fx.faults(s, d, "failure").select("node").distinct()

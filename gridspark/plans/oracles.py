@@ -242,6 +242,12 @@ ORACLES: dict[str, str] = {
     "mgbm": _sql("SELECT cp_density, n AS runs, n >= 2 AND m0 + p0 / (p0 + r) * (y - m0) < 0.1 AS stop FROM em10 JOIN gser USING (cp_density) WHERE t = n - 1", "em10"),
     "grouped_hist": _sql("SELECT type, carrier, sum(impact)::BIGINT AS impact FROM milli WHERE impact IS NOT NULL GROUP BY ALL", "milli"),
     "multilevel_bar": _sql("SELECT i + 0.5::DOUBLE * (i // 3) AS x, cp_density, experiment, carrier, value, sum(value) OVER (PARTITION BY i)::BIGINT AS height, max(h) OVER () + 0.5::DOUBLE AS y_end FROM (SELECT *, row_number() OVER (ORDER BY cp_density, experiment) - 1 AS i, c0 + c1 + c2 AS h FROM (SELECT cp_density, experiment, sum(c0)::BIGINT AS c0, sum(c1)::BIGINT AS c1, sum(c2)::BIGINT AS c2 FROM perf GROUP BY ALL)) CROSS JOIN LATERAL (SELECT unnest(['c0', 'c1', 'c2']) AS carrier, unnest([c0, c1, c2]) AS value)", "perf"),
+    "multi_bar": _sql("SELECT cp_density, unnest(['electricity', 'heat', 'gas']) AS name, unnest([sum(c0), sum(c1), sum(c2)])::DOUBLE AS y FROM perf GROUP BY cp_density", "perf"),
+    "wide_profiles": _sql("SELECT hour, " + ", ".join(f"(sum(kw) FILTER (profile = '{p}'))::BIGINT AS \"{p}\"" for p in "FOP") + " FROM hourly GROUP BY hour", "hourly"),
+    "external_grids": "SELECT s_nationkey::BIGINT AS network_id, max(v) FILTER (s_suppkey % 2 = 0 AND k = 1) AS power, max(v) FILTER (s_suppkey % 2 = 1 AND k = 2) AS gas FROM (SELECT *, CAST(round(s_acctbal * 100) AS BIGINT) AS v, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 2 ORDER BY s_suppkey) AS k FROM supplier) GROUP BY 1",
+    "relevant_components": _sql(f"SELECT id, type, kind FROM (SELECT component_id AS id, kind, grid, {_list(fx.TYPES)}[component_id % 20 + 1] AS type FROM (SELECT * EXCLUDE (type) FROM parts)) WHERE kind IN ('child', 'branch') AND (type = 'PowerLoad' OR (type = 'Sink' AND grid = 'gas') OR type = 'HeatExchangerLoad')", "parts"),
+    "numbered_orders": "SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, row_number() OVER (ORDER BY cents, o_orderkey) - 1 AS place FROM orders",
+    "color_range": _sql("SELECT net AS network_id, min(c)::DOUBLE AS least, max(c)::DOUBLE AS greatest FROM (SELECT net, degree AS c FROM mdeg UNION ALL SELECT net, w FROM medges) GROUP BY net", "mdeg", "medges"),
     "line_frame": _sql("SELECT step, unnest(['c0', 'c1', 'c2']) AS line, unnest([sum(c0), sum(c1), sum(c2)])::DOUBLE AS value FROM perf GROUP BY step", "perf"),
 }
 for _name, _keys in {"type_carrier": "type_carrier, carrier", "type": "type, carrier", "type_carrier_density": "type_carrier, carrier, cp_density", "carrier_density": "carrier, cp_density"}.items():

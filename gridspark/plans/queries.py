@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import rng, scalar
-from gridspark.operators import cascade, frames, graph, kalman, powerflow, rollup, simulation, stopping, temporal, walks
+from gridspark.operators import cascade, components, frames, graph, kalman, numbering, powerflow, rollup, simulation, stopping, temporal, walks
 from gridspark.operators import impact as im
 from gridspark.plans import evaluation
 from gridspark.plans import fixtures as fx
@@ -435,6 +435,13 @@ def network_frame(s: SparkSession, d: str) -> DataFrame:
     return graph.network_frame(e, places, values).drop("network_id", "key")
 
 
+@query
+def color_range(s: SparkSession, d: str) -> DataFrame:
+    """Colours of nodes and edges of the regions' charts on one scale."""
+    e = fx.grids(s, d)
+    return frames.color_range([graph.degree(e).withColumnRenamed("degree", "color"), e.withColumnRenamed("w", "color")], ["network_id"])
+
+
 @query
 def network_points(s: SparkSession, d: str) -> DataFrame:
     n, i = graph.nodes(fx.edges(s, d)).select("network_id", "id"), F.col("id")
@@ -556,6 +563,38 @@ def multilevel_bar(s: SparkSession, d: str) -> DataFrame:
     return frames.stacked(long, ["cp_density", "experiment"], "carrier", "loss", 3)
 
 
+@query
+def multi_bar(s: SparkSession, d: str) -> DataFrame:
+    p = fx.perf(s, d).groupBy("cp_density").agg(*(F.sum(c).alias(k) for k, c in fx.CENTS.items()))
+    return frames.multi_bar(p, "cp_density", list(fx.CENTS))
+
+
+@query
+def wide_profiles(s: SparkSession, d: str) -> DataFrame:
+    return frames.wide(fx.hourly(s, d), ["hour"], "profile", "kw", ["F", "O", "P"])
+
+
+@query
+def external_grids(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    g = fx.table(s, d, "supplier").select(F.col("s_nationkey").cast("long").alias("network_id"), k.alias("id"), F.when(k % 2 == 0, "ExtPowerGrid").otherwise("ExtHydrGrid").alias("type"), F.round(F.col("s_acctbal") * 100).cast("long").alias("v"))
+    return components.grid_balance(g, "v")
+
+
+@query
+def relevant_components(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("component_id")
+    c = fx.hazard_components(s, d).withColumn("type", F.element_at(F.array(*map(F.lit, fx.TYPES)), (n % 20 + 1).cast("int"))).select(F.lit(0).alias("network_id"), n.alias("id"), "type", "grid", "kind")
+    return components.relevant(c.where("kind = 'child'"), c.where("kind = 'branch'")).select("id", "type", "kind")
+
+
+@query
+def numbered_orders(s: SparkSession, d: str) -> DataFrame:
+    """The place of every order by price and key."""
+    o = fx.table(s, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return numbering.numbered(o, ["cents", "o_orderkey"], "place")
+
+
 @query
 def line_frame(s: SparkSession, d: str) -> DataFrame:
     p = fx.perf(s, d).groupBy("step").agg(*(F.sum(c).alias(c) for c in fx.CENTS.values()))

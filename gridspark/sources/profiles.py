@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import rng
+from gridspark.operators.numbering import numbered
 
 
 def first_rows(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -39,8 +40,8 @@ def gas_demand(kw: Column, factor: float) -> Column:
 def attach_by_position(series: DataFrame, components: DataFrame, column_order: str, component_order: str) -> DataFrame:
     """The i-th profile to the i-th component, in the given orders."""
     names = series.select("profile", F.col(column_order).alias("_o")).distinct()
-    left = names.withColumn("_i", F.row_number().over(Window.orderBy("_o", "profile"))).select("profile", "_i")
-    right = components.withColumn("_i", F.row_number().over(Window.orderBy(component_order)))
+    left = numbered(names, ["_o", "profile"], "_i").select("profile", "_i")
+    right = numbered(components, [component_order], "_i")
     return series.join(left, "profile").join(right, "_i").drop("_i")
 
 

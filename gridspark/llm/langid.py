@@ -131,8 +131,9 @@ class BiGru:
         return loss, grad
 
     def fit(self, byte: np.ndarray, label: np.ndarray, steps: int = 220, batch: int = 384, rate: float = 0.02, seed: int = 5) -> BiGru:
-        """Adam over shuffled batches of windows (byte: windows by WINDOW)."""
+        """Adam over shuffled batches of windows (byte: windows by WINDOW); so many steps at least, and as many as it takes to see every window."""
         rng, m, v = np.random.default_rng(seed), {}, {}
+        steps = max(steps, -(-len(byte) // batch))
         order = np.concatenate([rng.permutation(len(byte)) for _ in range(-(-steps * batch // len(byte)))])
         for i in range(steps):
             mine = order[i * batch : (i + 1) * batch]
@@ -145,16 +146,21 @@ class BiGru:
         return self
 
 
-def train(docs: DataFrame, most: int = 400, total: int = 20_000, hidden: int = 8) -> BiGru | None:
-    """Fitted on the whole texts of about ``most`` rows of each language outside the held-out fold, and of about ``total`` rows in all.
+def train(docs: DataFrame, most: int = 400, total: int = 20_000, hidden: int = 8, size: int = 24 << 20, longest: int = 1 << 20) -> BiGru | None:
+    """Fitted on the whole texts of about ``most`` rows of each language outside the held-out fold, and of about ``total`` rows and ``size`` bytes in all.
 
-    With very many languages each has a smaller share of its rows, but none is left out on purpose.  Texts are learnt
-    in all their windows; a last one that is not full is filled by repeating it.  Without a labelled text there is no model.
+    With very many languages or long texts each language has a smaller share of its rows, but none is left out on
+    purpose.  Texts are learnt in all their windows, each at least once; a last one that is not full is filled by
+    repeating it.  Texts of more than ``longest`` bytes are not learnt from.  Without a labelled text there is no model.
+    A null id is in fold 0.
     """
-    known = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 4) != 2) & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    counts = stored(known.groupBy("lang").count(), "language")
+    bytes_ = F.octet_length("text")
+    known = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 4) != 2) & bytes_.between(1, longest)).select("doc_id", "text", "lang")
+    counts = stored(known.groupBy("lang").agg(F.count("*").alias("count"), F.sum(bytes_).alias("bytes")), "language")
     wanted = counts.agg(F.coalesce(F.sum(F.least(F.col("count"), F.lit(most))), F.lit(0))).first()[0]
     share = F.least(F.lit(1.0), F.lit(min(1.0, total / max(wanted, 1)) * most) / F.col("count"))
+    expected = counts.agg(F.coalesce(F.sum(F.col("bytes") * share), F.lit(0.0))).first()[0]
+    share = share * min(1.0, size / max(expected, 1.0))
     hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.join(counts.select("lang", share.alias("_share")), "lang").where(hashed < F.col("_share")).select("doc_id", "text", "lang")
 
@@ -169,7 +175,7 @@ def train(docs: DataFrame, most: int = 400, total: int = 20_000, hidden: int = 8
         return {"doc_id": batch.column(0), "lang": batch.column(2), "x": pa.array(out, pa.binary())}
 
     rows = arrow_map(chosen, run, "doc_id long, lang string, x binary").dropDuplicates(["doc_id", "lang", "x"])
-    rows = sorted((r.doc_id or 0, r.lang, bytes(r.x)) for r in rows.collect())  # about ``total`` rows
+    rows = sorted((r.doc_id or 0, r.lang, bytes(r.x)) for r in rows.collect())  # about ``total`` rows and ``size`` bytes
     dropped(docs.sparkSession, counts)
     if not rows:
         return None

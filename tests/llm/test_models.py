@@ -291,3 +291,21 @@ def test_gam_against_a_walk():
     gain = lambda k: g[:k].sum() ** 2 / (h[:k].sum() + 1) + g[k:].sum() ** 2 / (h[k:].sum() + 1)
     best = max(range(1, 6), key=gain)
     assert np.allclose(tree[:best], -g[:best].sum() / (h[:best].sum() + 1)) and np.allclose(tree[best:], -g[best:].sum() / (h[best:].sum() + 1))
+
+
+@pytest.mark.parametrize("n", [1, 70, 1000])
+def test_every_window_is_learnt_from(monkeypatch, n):
+    seen = set()
+    monkeypatch.setattr(langid.BiGru, "gradients", lambda self, byte, label: (seen.update(byte[0].tolist()), {}))
+    langid.BiGru(["a"]).fit(np.arange(n)[:, None].repeat(langid.WINDOW, 1), np.zeros(n, int), steps=3, batch=64)
+    assert seen == set(range(n))
+
+
+def test_language_sample_is_bounded_in_bytes(docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.BiGru, "fit", lambda self, byte, label: seen.append(byte.size) or self)
+    rows = [(k, f"{k} " + "some words " * (k % 9 + 1)) for k in range(400)] + [(1000 + k, "x" * 5000) for k in range(8)]
+    for size in (1 << 20, 6000):
+        langid.train(docs(rows), size=size, longest=4000)
+    whole = sum(-(-len(t) // langid.WINDOW) * langid.WINDOW for i, t in rows if i < 1000 and zlib.crc32(str(i).encode()) % 4 != 2)
+    assert seen[0] == whole and 0 < seen[1] < 15_000

@@ -211,6 +211,7 @@ ORACLES: dict[str, str] = {
     "node_deactivation": _sql("SELECT node, count(*) AS n FROM (SELECT node FROM keyed WHERE type = 'failure' UNION ALL SELECT child FROM keyed JOIN members USING (node) WHERE keyed.type = 'failure' AND members.cp_density = 0) GROUP BY ALL", "keyed", "members"),
     "experiment_sweep": "SELECT n AS run_number, ((n - 1) % 3)::INT AS impact_no, (((n - 1) // 3) % 5)::INT AS density_no, (n * 2000 + 7)::BIGINT AS run_id, concat_ws('-', 'x', impact_no, density_no, impact_no, density_no, (density_no / 2.0::DOUBLE)::VARCHAR) AS folder FROM range(1, 301) t(n)",
     "failure_text": _sql("SELECT component_id, (component_id % 3) || '-' || (component_id % 7) || '.1.0: ' || concat_ws('.', coalesce(grid, 'none'), type, component_id) AS failure, 'Fault(executor=component, start_time=' || (component_id % 3) || ', stop_time=' || (component_id % 7) || ')' AS fault, 'ba' || component_id AS slug FROM parts", "parts"),
+    "component_values": _sql("SELECT component_id, component_id AS number, type AS class, concat_ws(':', component_id % 3, kind, component_id) AS legacy, CASE WHEN component_id % 2 = 0 THEN 'even' ELSE 'untitled' END AS title, round(nominal * (1 - component_id % 10 / 100.0::DOUBLE), 6) AS low, round(nominal * (1 + component_id % 10 / 100.0::DOUBLE), 6) AS high, round(component_id / 10.0::DOUBLE * 3600 / 1e3, 6) AS mw, component_id * CASE WHEN grid = 'water' THEN 3 ELSE 2 END AS loss, CAST(trunc(" + _u("'p'", "component_id") + " * " + _u("'u'", "component_id") + " * 10) AS INT) AS duration FROM parts", "parts"),
     "degree": _sql("SELECT 0::BIGINT AS network_id, * FROM deg", "deg"),
     "edge_degree": _sql("SELECT 0::BIGINT AS network_id, u, v, 0::BIGINT AS key, a.degree + b.degree AS degree FROM edges JOIN deg a ON a.id = u JOIN deg b ON b.id = v", "deg"),
     "apsp": _sql("SELECT s, t, d FROM dist WHERE s <> t", "dist"),

@@ -345,6 +345,26 @@ def failure_text(s: SparkSession, d: str) -> DataFrame:
     return c.select("component_id", text.alias("failure"), scalar.fault_text(F.lit("component"), k % 3, k % 7).alias("fault"), scalar.slug(F.concat(F.lit("<b>a/"), k.cast("string"))).alias("slug"))
 
 
+@query
+def component_values(s: SparkSession, d: str) -> DataFrame:
+    """Numbers and names that are read off a component, its bounds, losses and shortest outage."""
+    k, c = F.col("component_id"), fx.hazard_components(s, d)
+    grid = F.coalesce("grid", F.lit("heat"))
+    low, high = scalar.bounds(F.col("nominal"), k % 10 / 100.0)
+    values = {
+        "number": scalar.key_number(F.concat(F.lit("node:"), k.cast("string"))),
+        "class": scalar.short_class_name(F.concat(F.lit("<class 'grid.model."), "type", F.lit("'>"))),
+        "legacy": scalar.legacy_id(k % 3, F.col("kind"), k),
+        "title": scalar.title_or(F.array(F.when(k % 2 == 0, F.lit("even"))), 0, F.lit("untitled")),
+        "low": F.round(low, 6),
+        "high": F.round(high, 6),
+        "mw": F.round(scalar.mass_flow_to_mw(k / 10.0), 6),
+        "loss": scalar.edge_loss(F.when(grid == "water", "heat").otherwise("gas"), F.array(k * 2, k * 3)),
+        "duration": scalar.minimum_duration(rng.uniform("p", k), rng.uniform("u", k)),
+    }
+    return c.select("component_id", *(v.alias(n) for n, v in values.items()))
+
+
 @query
 def degree(s: SparkSession, d: str) -> DataFrame:
     return graph.degree(fx.edges(s, d))

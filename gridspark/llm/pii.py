@@ -12,7 +12,8 @@ import hashlib
 import ipaddress
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -225,8 +226,10 @@ def _family(key: bytes, text: str) -> str:
     return "".join(c.upper() if up else c for c, up in zip(new, cased, strict=True))
 
 
-_EMAIL = re.compile(r"(?<![\w.+%-])[\w](?:[\w.+%-]*[\w+%-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
-_NUMBER = re.compile(r"(?<![\w.-])(?:(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d))|(?P<card>(?:\d{16}|\d{15}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))|(?P<ssn>\d{3}-\d{2}-\d{4}(?![\d-]))|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)))", re.ASCII)
+_EMAIL = re.compile(r"(?<![\w.+%-])[\w](?:[\w.+%'&!#$*=?^~-]*[\w+%-])?@(?:[\w-]+\.)+[^\W\d_]{2,}")
+_NUMBER = re.compile(r"(?<![\w.-])(?:(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d))|(?P<card>(?:\d{16}|\d{15}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))|(?P<ssn>\d{3}-\d{2}-\d{4}(?![\d-]))|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)|0\d{2,4}[ /-]\d{6,8}(?![\d-])))", re.ASCII)
+_MAC = re.compile(r"(?<![\w:-])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\w:-])|(?<![\w:-])(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}(?![\w:-])")
+_SSN = re.compile(r"(?<![^\W_])(?i:ssn|social security(?: number)?)\W{0,3}(\d{9})(?!\d)", re.ASCII)
 _AWS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?<![^\W_])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"',;]{6,}))", re.IGNORECASE)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII)
@@ -263,6 +266,8 @@ def entities(text: str) -> Iterator[tuple[int, int, str]]:
     if _DIGITS.search(text):
         for m in _NUMBER.finditer(text):
             yield *m.span(), m.lastgroup
+        for m in _SSN.finditer(text):
+            yield *m.span(1), "ssn"
         for m in _IBAN.finditer(text):
             if _iban_check(m[0].replace(" ", "")) == 1:
                 yield *m.span(), "iban"
@@ -274,6 +279,9 @@ def entities(text: str) -> Iterator[tuple[int, int, str]]:
                 continue
             if m[0].strip("0:") and any(c.isdigit() for c in m[0]):
                 yield *m.span(), "ipv6"
+    if text.count(":") > 4 or text.count("-") > 4:
+        for m in _MAC.finditer(text):
+            yield *m.span(), "mac"
     if _MARK.search(text):
         for m in _KEY.finditer(text):
             yield *m.span(), "key"
@@ -292,16 +300,39 @@ def entities(text: str) -> Iterator[tuple[int, int, str]]:
                 yield from _names(text, *m.span("family"), False)
             else:
                 yield from _names(text, *m.span("titled"), m[0][0].islower())
+        for m in _WORD.finditer(text):
+            a = m.start()  # a given name within a sentence
+            if m[0] in _GIVEN and a > 1 and text[a - 1] == " " and (text[a - 2].islower() or text[a - 2] in ",;"):
+                yield *m.span(), "given"
     if _SAID.search(text):
         for m in _SAYS.finditer(text):
             yield from _names(text, *m.span("named"), False)
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
-    """entities() in order of their place; of overlapping ones the first, the longest among those."""
-    out, last = [], 0
-    for a, z, kind in sorted(entities(text), key=lambda x: (x[0], -x[1])):
-        if a >= last:
+    """entities() in order of their place; of overlapping ones the first, the longest among those.
+
+    A word that is part of a name is one wherever the text has it again with a capital, or its other mentions would
+    tell what its surrogate stands for.
+    """
+    out = _apart(entities(text))
+    names: dict[str, str] = {}
+    for a, z, kind in out:
+        if kind in ("given", "family") and z - a > 2 and not text[a].islower():
+            names.setdefault(text[a:z], kind)
+    if not names:
+        return out
+    taken = {a for a, _, _ in out}
+    again = [(*m.span(), names[m[0]]) for m in _WORD.finditer(text) if m[0] in names and m.start() not in taken]
+    return _apart([*out, *again], out) if again else out
+
+
+def _apart(found: Iterable[tuple[int, int, str]], sure: Iterable[tuple[int, int, str]] = ()) -> list[tuple[int, int, str]]:
+    """In order of their place, without those that overlap with one before them or with one of the sure ones."""
+    sure, out, last = set(sure), [], 0
+    ahead = sorted(a for a, _, _ in sure)
+    for a, z, kind in sorted(found, key=lambda x: (x[0], -x[1])):
+        if a >= last and ((a, z, kind) in sure or (k := bisect_left(ahead, a)) == len(ahead) or z <= ahead[k]):
             out.append((a, z, kind))
             last = z
     return out
@@ -311,6 +342,7 @@ _MAKERS: dict[str, Callable[[bytes, str], str]] = {
     "email": _email, "ip": _ip, "ipv6": _ipv6, "key": _key, "card": _card, "iban": _iban, "given": _given, "family": _family,
     "ssn": lambda k, t: "".join(_recode(k, "ssn", list(t), ["0123456789" if c.isdigit() else _KEPT for c in t])),
     "phone": lambda k, t: _digits(k, "phone", t, 0 if t[0] != "+" else 1 if t[1] == "1" else 2),
+    "mac": lambda k, t: "".join(_recode(k, "mac", list(t), [next((x for x in ("0123456789", "abcdef", "ABCDEF") if c in x), _KEPT) for c in t])),
     "aws_key": lambda k, t: t[:4] + "".join(_recode(k, "aws", list(t[4:]), ["ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"] * (len(t) - 4))),
     "secret": lambda k, t: _letters(k, "secret", t),
 }

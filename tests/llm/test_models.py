@@ -309,3 +309,22 @@ def test_language_sample_is_bounded_in_bytes(docs, monkeypatch):
         langid.train(docs(rows), size=size, longest=4000)
     whole = sum(-(-len(t) // langid.WINDOW) * langid.WINDOW for i, t in rows if i < 1000 and zlib.crc32(str(i).encode()) % 4 != 2)
     assert seen[0] == whole and 0 < seen[1] < 15_000
+
+
+@pytest.mark.parametrize("text, clear", [
+    ("my name is Bob Jones. Bob Jones lives here, and Jones's dog.", ["Bob", "Jones"]), ("We met Alice there.", ["Alice"]), ("Dear Maria,", ["Maria"]), ("Dr. Weber called. WEBER? Weber!", ["Weber"]),
+    ("write to john.o'neil@x.com now", ["o'neil", "x.com"]), ("an müller@exämple.de schreiben", ["müller", "exämple"]), ("ruf 0171 1234567 an", ["1234567"]), ("Tel. 030-12345678", ["12345678"]), ("ssn 123456789", ["123456789"]), ("mac 00:1A:2b:3C:4d:5E ok", ["1A:2b:3C"]), ("mac 00-1A-2B-3C-4D-5E", ["1A-2B-3C"]),
+])
+def test_nothing_stays_in_clear(text, clear):
+    new, found = pii.replace(text, b"k" * 32)
+    assert found and not any(c in new for c in clear)
+    by = {}
+    for kind, a, z, surrogate in found:
+        assert by.setdefault((kind, text[a:z]), surrogate) == surrogate and len(surrogate) > 0
+    assert re.sub(r"[^\W_]", "x", new).count("x") >= 3
+
+
+def test_words_that_are_no_names_stay():
+    for text in ("Grace is a virtue. Will it rain in May?", "smith and baker are trades; mr. smith is one", "numbers 12-34 and 2024-01-02 10:11:12:13", "0123 456"):
+        new, found = pii.replace(text, b"k" * 32)
+        assert all(k == "family" for k, *_ in found) and new.startswith(text[:9])

@@ -94,8 +94,8 @@ def katz(edges: DataFrame, alpha: float = 0.1, beta: float = 1.0, scale: float =
     same = simple.select("network_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.struct("u", "v").alias("_o"), "w").groupBy("network_id", "a", "b").agg(F.max_by("w", "_o").alias("w"))
     arcs = stored(same.union(same.where("a <> b").select("network_id", "b", "a", "w")), "arcs")
     everyone = nodes(edges)
-    state = everyone.withColumn("x3", F.lit(beta))
-    made: list[DataFrame] = []
+    state = stored(everyone.withColumn("x3", F.lit(beta)), "katz")
+    made = [state]
     for _ in range(rounds):
         x = state.select("network_id", "id", F.col("x3").alias("x"))
         steps = []
@@ -199,7 +199,7 @@ def metrics_table(edges: DataFrame, children: DataFrame, compounds: DataFrame, s
     """
     keys, names = ["network_id", "id"], ["betweenness_centrality", "degree", "vc", "katz"]
     walked = stored(walks.walk(edges), "walked")  # one walk of each source gives what nodes and edges have
-    own = degree(edges).join(of_nodes(walked), keys).join(katz(edges, scale=scale), keys)
+    own = stored(degree(edges).join(of_nodes(walked), keys).join(katz(edges, scale=scale), keys), "measures")
     node = own.select("network_id", F.concat(F.lit("node:"), "id").alias("id"), F.lit("Bus").alias("type"), *names)
     child = children.join(own.withColumnRenamed("id", "node_id"), ["network_id", "node_id"]).select("network_id", F.concat(F.lit("child:"), "id").alias("id"), "type", *names)
     ends, on = of_edges(walked), ["network_id", "u", "v", "key"]

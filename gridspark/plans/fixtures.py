@@ -123,7 +123,7 @@ def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the regions' networks, weighted by losses in tenths of a percent; written once, as all that is made of them reads them often."""
     lost = stored(losses(spark, sf_dir), "losses")
-    return weighted(lost.drop("loss_percent"), lost, 10.0)
+    return stored(weighted(lost.drop("loss_percent"), lost, 10.0), "grids")
 
 
 def grid_children(spark: SparkSession, sf_dir: str) -> DataFrame:

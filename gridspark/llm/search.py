@@ -148,13 +148,14 @@ def _statistics(docs: DataFrame, shared) -> tuple[np.ndarray, int, int]:
     return df, int(n[term == TEXTS].sum()), int(n[term == TOKENS].sum())
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = 16 << 20, most_terms: int = 2_000_000) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = 16 << 20, shard_texts: int = 8192, most_terms: int = 2_000_000) -> DataFrame:
     """query_id, rank, doc_id, score: the k texts of highest BM25 score for each query (query_id, text).
 
     Query terms are the distinct words of all rows that have the query's id.  Scores are rounded to six places; ties go to the smaller id
     and texts without any of the terms aren't found, so a null or empty query, or an empty table, gives no
     rows.  Queries are broadcast in blocks of about ``most_terms`` terms, with two readings of the texts for
-    each block.  Rows with a null id are passed over, repeated rows are found one by one.
+    each block.  A shard is full at so many bytes or texts, as scores are held for all its texts.  Rows with a null id
+    are passed over, repeated rows are found one by one.
     """
     spark = docs.sparkSession
 
@@ -207,7 +208,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
                     part.append((np.diff(first), row[place >= 0] + count, place[place >= 0]))
                     ids.append(name[a:z])
                     size, count = size + int(at[z] - at[a]), count + z - a
-                    if size >= shard_bytes:
+                    if size >= shard_bytes or count >= shard_texts:
                         look(part, ids)
                         part, ids, size, count = [], [], 0, 0
             if count:

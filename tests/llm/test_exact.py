@@ -408,3 +408,18 @@ def test_report_of_null_ids(spark, docs):
     assert got == [(0, 3, 0, False), (0, 16, 14, True), (1, 2, 0, False), (1, 14, 14, True)]
     left = decontamination.clean(spark, d, items)
     assert left.columns == d.columns and sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "a clean text"), (1, "clean too")]
+
+
+def test_shards_of_very_many_short_texts(docs, monkeypatch):
+    """A shard ends at a number of texts as well, whatever few bytes they have."""
+    sizes, make = [], search.Shard.__init__
+    rows = [(i, random.choice(VOCABULARY)[:2]) for i in range(900)]
+    table = docs(rows).coalesce(1)
+    asked = table.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    want = sorted(map(tuple, search.search(table, asked).collect()))
+    assert sorted(map(tuple, search.search(table, asked, shard_texts=40).collect())) == want and want
+    q = search.Queries([1], [np.array([1], np.uint64)])
+    monkeypatch.setattr(search.Shard, "__init__", lambda self, ids, *a, **k: sizes.append(len(ids)) or make(self, ids, *a, **k))
+    shard = search.Shard(np.arange(8192), np.ones(8192, np.int64), np.arange(8192), np.zeros(8192, np.int64), 1, np.ones(1), 1.0)
+    best = next(shard.best(q, 0, 1, 10, np.zeros(1)))
+    assert sizes == [8192] and best[1].tolist() == list(range(10))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.csv
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,13 +97,24 @@ def absolute_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, pattern: str, columns: list[str], files: int, steps: int) -> DataFrame:
-    """profile, hour and the named columns of the first files by name and of their first steps / 4 hours."""
-    path = F.col("_metadata.file_path").alias("profile")
+    """profile, hour and the named columns of the first files by name and of their first steps / 4 hours.
+
+    One scan, however many files there are; columns go by the names in each file's own header.
+    """
     place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
     chosen = sorted(f.getPath().toString() for f in found)[:files]
-    each = [spark.read.option("header", True).csv(f).select(*(F.col(f"`{c}`").cast("double").alias(c) for c in columns), path, F.monotonically_increasing_id().alias("_row")) for f in chosen]
-    if not each:
+    if not chosen:
         raise FileNotFoundError(pattern)
-    rows = reduce(DataFrame.unionByName, each)  # columns go by the names in each file's header
-    return rows.withColumn("hour", F.row_number().over(Window.partitionBy("profile").orderBy("_row")) - 1).where(F.col("hour") < steps // 4).drop("_row")
+    hours = steps // 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pyarrow.csv.ConvertOptions(include_columns=columns, column_types=dict.fromkeys(columns, pa.float64()))
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                table = pyarrow.csv.read_csv(pa.BufferReader(content.as_buffer()), read_options=pyarrow.csv.ReadOptions(use_threads=False), convert_options=options).slice(0, hours)
+                n = table.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(n), pa.int64()), *(table.column(c).combine_chunks() for c in columns)], names=["profile", "hour", *columns])
+
+    named = ", ".join(f"`{c}` double" for c in columns)
+    return spark.read.format("binaryFile").load(chosen).select("path", "content").mapInArrow(run, f"profile string, hour long, {named}")

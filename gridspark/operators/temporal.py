@@ -35,6 +35,26 @@ def fault_states(events: DataFrame, run: list[str], steps: int) -> DataFrame:
     return full.withColumn("active", F.coalesce(F.last("kind", ignorenulls=True).over(w), F.lit(1)) == 1).drop("kind")
 
 
+def state_intervals(events: DataFrame, run: list[str], steps: int) -> DataFrame:
+    """run, node, begin, until, active: the stretches of steps (until is the first one after) in which a component's state is the same.
+
+    What fault_states() says of every step, in a row for each change; a component is active before its first event.
+    """
+    last = events.where((F.col("step") >= 0) & (F.col("step") < steps)).groupBy(*run, "node", "step").agg(F.max_by("kind", F.struct("position", "kind")).alias("kind"))
+    first = events.select(*run, "node").distinct().select(*run, "node", F.lit(-1).cast(events.schema["step"].dataType).alias("step"), F.lit(1).cast(events.schema["kind"].dataType).alias("kind"))
+    place = Window.partitionBy(*run, "node").orderBy("step")
+    changed = last.unionByName(first).withColumn("_before", F.lag("kind").over(place)).where("_before is null or _before <> kind")
+    out = changed.select(*run, "node", F.greatest("step", F.lit(0)).alias("begin"), F.lead("step", 1, steps).over(place).alias("until"), (F.col("kind") == 1).alias("active"))
+    return out.where("begin < until")
+
+
+def states_at(intervals: DataFrame, asked: DataFrame, run: list[str]) -> DataFrame:
+    """run, node, step, active of all components at the steps that are asked for (run, step)."""
+    a = asked.select(*(F.col(c).alias("_" + c) for c in run), "step").distinct()
+    same = [intervals[c] == F.col("_" + c) for c in run]
+    return intervals.join(a, [*same, F.col("step") >= F.col("begin"), F.col("step") < F.col("until")]).select(*(intervals[c] for c in run), "node", "step", "active")
+
+
 def change_steps(events: DataFrame, run: list[str]) -> DataFrame:
     """Run and step of the steps at which something has to be solved: the first and those with a fault's start or stop."""
     return events.select(*run, "step").union(events.select(*run, F.lit(0).cast(events.schema["step"].dataType).alias("step"))).distinct()

@@ -133,6 +133,7 @@ _PARTS = {
     "joined": "SELECT i.node, i.cp_density, i.carrier, i.impact, m.type_y, m.betweenness_centrality, m.degree, m.vc, m.katz FROM milli i JOIN metrics m ON m.node = i.node AND m.cp_density = i.cp_density WHERE impact IS NOT NULL",
     "groups": "SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{t}')" for g, types in fixed.TYPE_GROUPS.items() for t in types) + ") v(type_group, type_y)",
     "framed": "SELECT *, 'all' AS type_group FROM joined UNION ALL BY NAME SELECT joined.*, type_group FROM joined JOIN groups USING (type_y)",
+    "states": "SELECT id, node, step::INT AS step, coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY id, node ORDER BY step), 1) = 1 AS active FROM (SELECT DISTINCT id, node FROM moves) CROSS JOIN range(30) r(step) LEFT JOIN (SELECT id, node, step, max_by(kind, position) AS kind FROM moves WHERE step < 30 GROUP BY ALL) USING (id, node, step)",
     "moves": "SELECT id, node, step::INT AS step, event_id AS position, CASE type WHEN 'failure' THEN 0 ELSE 1 END AS kind FROM faults",
     "kser": "SELECT cp_density, row_number() OVER (PARTITION BY cp_density ORDER BY id, experiment) - 1 AS t, count(*) OVER (PARTITION BY cp_density) - 1 AS e, total / 10000.0::DOUBLE AS y FROM total",
     "kfil": "SELECT cp_density, t, e, 0.0 + 1.0::DOUBLE / 3 * y AS m, 2.0::DOUBLE / 3 AS p FROM kser WHERE t = 0 UNION ALL SELECT k.cp_density, s.t, k.e, m + (p + 0.5) / (p + 2.5) * (y - m), 2 * (p + 0.5) / (p + 2.5) FROM kfil k JOIN kser s ON s.cp_density = k.cp_density AND s.t = k.t + 1",
@@ -147,7 +148,7 @@ _NEEDS = {
     "perf": ["run"], "faults": ["run"], "keyed": ["faults"], "pairs": ["keyed"], "inside": ["perf", "pairs"], "outside": ["comp", "perf", "pairs"], "long": ["comp", "inside", "outside"], "impact": ["long"], "milli": ["impact"], "members": ["comp"], "children": ["members", "milli"],
     "nodes": ["edges"], "arcs": ["edges"], "d0": ["nodes", "arcs"], **{f"d{k}": [f"d{k - 1}"] for k in range(1, 6)}, "dist": ["d5"], "walk": ["nodes", "arcs", "dist"], "sigma": ["walk"], "st": ["dist", "sigma"], "deg": ["edges"], "bc": ["nodes", "st"], "ebc": ["edges", "nodes", "arcs", "st"], "r0": ["nodes", "d0"], **{f"r{k}": [f"r{k - 1}"] for k in range(1, 6)}, "vit": ["r5", "dist"], "k0": ["nodes"], **{f"k{k}": [f"k{k - 1}", "arcs"] for k in range(1, 16)}, "kz": ["k15"], "clear": ["nodes", "grp", "arcs", "dist"], "gbc": ["grp", "st", "clear"],
     "medges": ["sup"], "mnodes": ["medges"], "marcs": ["medges"], "md0": ["mnodes", "marcs"], **{f"md{k}": [f"md{k - 1}"] for k in range(1, 6)}, "mdist": ["md5"], "mwalk": ["mnodes", "marcs", "mdist"], "msigma": ["mwalk"], "mst": ["mdist", "msigma"], "msize": ["mnodes"], "mdeg": ["marcs"], "mbc": ["msize", "mst"], "mebc": ["msize", "marcs", "mst"], "mr0": ["mnodes", "md0"], **{f"mr{k}": [f"mr{k - 1}"] for k in range(1, 6)}, "mvit": ["msize", "mr5", "mdist"], "msimple": ["marcs"], "mk0": ["mnodes"], **{f"mk{k}": [f"mk{k - 1}", "msimple"] for k in range(1, 25)}, "mkz": ["mk24", "mnodes"], "mgrp": ["sup"], "mclear": ["mgrp", "mnodes", "marcs", "mdist"], "mgbc": ["mgrp", "mst", "mclear"], "gbus": ["mnodes", "sup"], "gpi": ["medges", "gbus"], "gtr": ["gbus"], "nbus": ["nodes"], "npi": ["pi"], **{p + k: [p + x for x in v] for p in "gn" for k, v in {"y": ["pi"], "pair": ["y", "bus"], "pq": ["pair"], "jac": ["pair", "pq"], "state": ["jac"], "sweep": ["state"], "inverse": ["sweep"], "dx": ["tr", "inverse"], "turn": ["pi", "bus"], "flow": ["turn", "dx"]}.items()}, "mall": ["mdeg", "mbc", "mvit", "mkz"],
-    "pi": ["edges"], "own": ["parts"], "trial": ["own"], "fail": ["trial"], "rep": ["fail"], "log": ["rep"], "metrics": ["comp"], "joined": ["milli", "metrics"], "framed": ["joined", "groups"], "moves": ["faults"], "total": ["perf"], "kser": ["total"], "kfil": ["kser"], "ksmo": ["kfil"], "gser": ["total"], "em0": ["gser"], **{k: v for i in range(10) for k, v in {f"ef{i}": [f"em{i}", "gser"], f"es{i}": [f"ef{i}"], f"em{i + 1}": [f"es{i}", "gser", f"em{i}"]}.items()},
+    "pi": ["edges"], "own": ["parts"], "trial": ["own"], "fail": ["trial"], "rep": ["fail"], "log": ["rep"], "metrics": ["comp"], "joined": ["milli", "metrics"], "framed": ["joined", "groups"], "moves": ["faults"], "states": ["moves"], "total": ["perf"], "kser": ["total"], "kfil": ["kser"], "ksmo": ["kfil"], "gser": ["total"], "em0": ["gser"], **{k: v for i in range(10) for k, v in {f"ef{i}": [f"em{i}", "gser"], f"es{i}": [f"ef{i}"], f"em{i + 1}": [f"es{i}", "gser", f"em{i}"]}.items()},
 }
 
 
@@ -190,6 +191,8 @@ ORACLES: dict[str, str] = {
     "locf_performance": _sql("SELECT id, step, last_value(c0 IGNORE NULLS) OVER (PARTITION BY id ORDER BY step) AS c0 FROM (SELECT id, step, c0 FROM (SELECT DISTINCT id FROM perf) CROSS JOIN range(30) r(step) LEFT JOIN (SELECT id, step, sum(c0)::BIGINT AS c0 FROM perf WHERE step % 3 = 0 GROUP BY ALL) USING (id, step))", "perf"),
     "padded_series": _sql("SELECT id, step::INT AS step, coalesce(c0, 0) AS c0 FROM (SELECT DISTINCT id FROM perf) CROSS JOIN range(30) r(step) LEFT JOIN (SELECT id, step, c0 FROM perf) USING (id, step)", "perf"),
     "fault_state": _sql("SELECT id, node, step::INT AS step, coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY id, node ORDER BY step), 1) = 1 AS active FROM (SELECT DISTINCT id, node FROM moves) CROSS JOIN range(30) r(step) LEFT JOIN (SELECT id, node, step, max_by(kind, position) AS kind FROM moves WHERE step < 30 GROUP BY ALL) USING (id, node, step)", "moves"),
+    "state_intervals": _sql("SELECT id, node, min(step) AS begin, (max(step) + 1)::INT AS until, active FROM (SELECT *, step - row_number() OVER (PARTITION BY id, node, active ORDER BY step) AS z FROM states) GROUP BY id, node, active, z", "states"),
+    "states_at_changes": _sql("SELECT states.* FROM states JOIN (SELECT id, step FROM moves UNION SELECT id, 0 FROM moves) USING (id, step)", "states", "moves"),
     "change_steps": _sql("SELECT id, step FROM moves UNION SELECT id, 0 FROM moves", "moves"),
     "upsample": _sql("SELECT profile, hour, kw, unnest(range(4 * hour, 4 * hour + 4)) AS step FROM hourly", "hourly"),
     "prefix_rows": _sql("SELECT * FROM hourly QUALIFY row_number() OVER (PARTITION BY profile ORDER BY hour) <= 8", "hourly"),

@@ -207,6 +207,18 @@ def fault_state(s: SparkSession, d: str) -> DataFrame:
     return temporal.fault_states(_moves(s, d), ["id"], 30)
 
 
+@query
+def state_intervals(s: SparkSession, d: str) -> DataFrame:
+    return temporal.state_intervals(_moves(s, d), ["id"], 30)
+
+
+@query
+def states_at_changes(s: SparkSession, d: str) -> DataFrame:
+    """States of all components at the steps at which something has to be solved."""
+    m = _moves(s, d)
+    return temporal.states_at(temporal.state_intervals(m, ["id"], 30), temporal.change_steps(m, ["id"]), ["id"])
+
+
 @query
 def change_steps(s: SparkSession, d: str) -> DataFrame:
     return temporal.change_steps(_moves(s, d), ["id"])

@@ -28,6 +28,21 @@ def _normal(mean: float, deviation: float, *key: str) -> str:
     return f"({mean} + {deviation} * sqrt(-2 * ln({_u(*key, '1')} + pow(2, -33))) * cos(2 * pi() * {_u(*key, '2')}))"
 
 
+SQUARINGS = 25
+
+
+def _extreme(name: str, cells: str) -> dict[str, str]:
+    """The largest eigenvalue of a product of cells with itself (net, i, k, value): squared again and again, the product becomes the projection on its vector."""
+    square = "SELECT net, x.i, x.j, value / sum(value) FILTER (x.i = x.j) OVER (PARTITION BY net) AS value FROM ({}) x"
+    times = "SELECT a.net, a.i, b.i AS j, sum(a.value * b.value) AS value FROM {0} a JOIN {0} b ON a.net = b.net AND a.{1} = b.{1} GROUP BY ALL"
+    return {
+        f"{name}a": times.format(cells, "k"),
+        f"{name}0": square.format(f"SELECT * FROM {name}a"),
+        **{f"{name}{n + 1}": square.format(times.format(f"{name}{n}", "j")) for n in range(SQUARINGS)},
+        f"{name}top": f"SELECT net, sum(a.value * b.value) AS top FROM {name}a a JOIN {name}{SQUARINGS} b USING (net, i, j) GROUP BY net",
+    }
+
+
 def _learning(i: int) -> dict[str, str]:
     """A round of expectation and maximisation: filtered, smoothed and new parameters."""
     gain, pull = "(p + q) / (p + q + r)", "CASE WHEN f.p + q = 0 THEN 0 ELSE f.p / (f.p + q) END"
@@ -121,6 +136,10 @@ _PARTS = {
     "npi": "SELECT 0 AS net, f, t, branch, a, 0.0::DOUBLE AS sh, g, b FROM pi",
     "ntr": "SELECT * FROM (VALUES (0, 1, 2), (0, 3, 0)) v(net, s, t)",
     **{k: v for p in "gn" for k, v in _sensitivities(p).items()},
+    "gcol": "SELECT net, c AS i, r AS k, value FROM gjac",
+    "ginv": "SELECT net, state AS i, r AS k, value FROM ginverse",
+    **_extreme("gl", "gcol"),
+    **_extreme("gs", "ginv"),
     "gtr": "SELECT net, s.i AS s, t.i AS t FROM gbus s JOIN (SELECT net, nation, min(i) AS i FROM gbus GROUP BY ALL) t USING (net) WHERE s.i <> t.i",
     "parts": f"SELECT p_partkey AS component_id, CASE p_partkey % 5 WHEN 2 THEN 'branch' WHEN 3 THEN 'child' WHEN 4 THEN 'compound' ELSE 'node' END AS kind, {_case('p_type', fx.PART_TYPES)} AS type, CASE p_partkey % 4 WHEN 0 THEN 'power' WHEN 1 THEN 'gas' WHEN 2 THEN 'water' END AS grid, p_partkey % 6 <> 0 AS independent, p_size / 10.0::DOUBLE AS coefficient, p_retailprice AS nominal FROM part",
     "own": "SELECT * FROM parts WHERE independent OR kind = 'compound' OR (kind = 'branch' AND type = 'HeatExchanger')",
@@ -147,7 +166,7 @@ _RECURSIVE = {"walk", "clear", "mwalk", "mclear", "gsweep", "nsweep", "kfil", "k
 _NEEDS = {
     "perf": ["run"], "faults": ["run"], "keyed": ["faults"], "pairs": ["keyed"], "inside": ["perf", "pairs"], "outside": ["comp", "perf", "pairs"], "long": ["comp", "inside", "outside"], "impact": ["long"], "milli": ["impact"], "members": ["comp"], "children": ["members", "milli"],
     "nodes": ["edges"], "arcs": ["edges"], "d0": ["nodes", "arcs"], **{f"d{k}": [f"d{k - 1}"] for k in range(1, 6)}, "dist": ["d5"], "walk": ["nodes", "arcs", "dist"], "sigma": ["walk"], "st": ["dist", "sigma"], "deg": ["edges"], "bc": ["nodes", "st"], "ebc": ["edges", "nodes", "arcs", "st"], "r0": ["nodes", "d0"], **{f"r{k}": [f"r{k - 1}"] for k in range(1, 6)}, "vit": ["r5", "dist"], "k0": ["nodes"], **{f"k{k}": [f"k{k - 1}", "arcs"] for k in range(1, 16)}, "kz": ["k15"], "clear": ["nodes", "grp", "arcs", "dist"], "gbc": ["grp", "st", "clear"],
-    "medges": ["sup"], "mnodes": ["medges"], "marcs": ["medges"], "md0": ["mnodes", "marcs"], **{f"md{k}": [f"md{k - 1}"] for k in range(1, 6)}, "mdist": ["md5"], "mwalk": ["mnodes", "marcs", "mdist"], "msigma": ["mwalk"], "mst": ["mdist", "msigma"], "msize": ["mnodes"], "mdeg": ["marcs"], "mbc": ["msize", "mst"], "mebc": ["msize", "marcs", "mst"], "mr0": ["mnodes", "md0"], **{f"mr{k}": [f"mr{k - 1}"] for k in range(1, 6)}, "mvit": ["msize", "mr5", "mdist"], "msimple": ["marcs"], "mk0": ["mnodes"], **{f"mk{k}": [f"mk{k - 1}", "msimple"] for k in range(1, 25)}, "mkz": ["mk24", "mnodes"], "mgrp": ["sup"], "mclear": ["mgrp", "mnodes", "marcs", "mdist"], "mgbc": ["mgrp", "mst", "mclear"], "gbus": ["mnodes", "sup"], "gpi": ["medges", "gbus"], "gtr": ["gbus"], "nbus": ["nodes"], "npi": ["pi"], **{p + k: [p + x for x in v] for p in "gn" for k, v in {"y": ["pi"], "pair": ["y", "bus"], "pq": ["pair"], "jac": ["pair", "pq"], "state": ["jac"], "sweep": ["state"], "inverse": ["sweep"], "dx": ["tr", "inverse"], "turn": ["pi", "bus"], "flow": ["turn", "dx"]}.items()}, "mall": ["mdeg", "mbc", "mvit", "mkz"],
+    "medges": ["sup"], "mnodes": ["medges"], "marcs": ["medges"], "md0": ["mnodes", "marcs"], **{f"md{k}": [f"md{k - 1}"] for k in range(1, 6)}, "mdist": ["md5"], "mwalk": ["mnodes", "marcs", "mdist"], "msigma": ["mwalk"], "mst": ["mdist", "msigma"], "msize": ["mnodes"], "mdeg": ["marcs"], "mbc": ["msize", "mst"], "mebc": ["msize", "marcs", "mst"], "mr0": ["mnodes", "md0"], **{f"mr{k}": [f"mr{k - 1}"] for k in range(1, 6)}, "mvit": ["msize", "mr5", "mdist"], "msimple": ["marcs"], "mk0": ["mnodes"], **{f"mk{k}": [f"mk{k - 1}", "msimple"] for k in range(1, 25)}, "mkz": ["mk24", "mnodes"], "mgrp": ["sup"], "mclear": ["mgrp", "mnodes", "marcs", "mdist"], "mgbc": ["mgrp", "mst", "mclear"], "gbus": ["mnodes", "sup"], "gpi": ["medges", "gbus"], "gcol": ["gjac"], "ginv": ["ginverse"], **{k: v for n, cells in (("gl", "gcol"), ("gs", "ginv")) for k, v in {f"{n}a": [cells], f"{n}0": [f"{n}a"], **{f"{n}{i + 1}": [f"{n}{i}"] for i in range(SQUARINGS)}, f"{n}top": [f"{n}a", f"{n}{SQUARINGS}"]}.items()}, "gtr": ["gbus"], "nbus": ["nodes"], "npi": ["pi"], **{p + k: [p + x for x in v] for p in "gn" for k, v in {"y": ["pi"], "pair": ["y", "bus"], "pq": ["pair"], "jac": ["pair", "pq"], "state": ["jac"], "sweep": ["state"], "inverse": ["sweep"], "dx": ["tr", "inverse"], "turn": ["pi", "bus"], "flow": ["turn", "dx"]}.items()}, "mall": ["mdeg", "mbc", "mvit", "mkz"],
     "pi": ["edges"], "own": ["parts"], "trial": ["own"], "fail": ["trial"], "rep": ["fail"], "log": ["rep"], "metrics": ["comp"], "joined": ["milli", "metrics"], "framed": ["joined", "groups"], "moves": ["faults"], "states": ["moves"], "total": ["perf"], "kser": ["total"], "kfil": ["kser"], "ksmo": ["kfil"], "gser": ["total"], "em0": ["gser"], **{k: v for i in range(10) for k, v in {f"ef{i}": [f"em{i}", "gser"], f"es{i}": [f"ef{i}"], f"em{i + 1}": [f"es{i}", "gser", f"em{i}"]}.items()},
 }
 
@@ -239,6 +258,7 @@ ORACLES: dict[str, str] = {
     "grid_jacobian": _sql("SELECT net AS network_id, r, c, CASE WHEN round(value, 6) = 0 THEN 0 ELSE round(value, 6) END AS value FROM gjac", "gjac"),
     "ptdf": _sql("SELECT net::BIGINT AS network_id, s::BIGINT AS s, t::BIGINT AS t, branch, CASE WHEN round(ptdf, 9) = 0 THEN 0 ELSE round(ptdf, 9) END AS ptdf FROM nflow", "nflow"),
     "grid_ptdf": _sql("SELECT net AS network_id, s, t, branch, CASE WHEN round(ptdf, 6) = 0 THEN 0 ELSE round(ptdf, 6) END AS ptdf FROM gflow", "gflow"),
+    "grid_singular_values": _sql("SELECT net AS network_id, round(sqrt(l.top), 6) AS largest, round(1 / sqrt(s.top), 6) AS smallest FROM gltop l JOIN gstop s USING (net)", "gltop", "gstop"),
     "transfer_residual": _sql("SELECT net AS network_id, s, t, 0.0::DOUBLE AS residual FROM gtr", "gtr"),
     "variance_indicator": _sql("SELECT cp_density, round(var_pop(total) / 10 / 1e6, 4) AS indicator FROM (SELECT * FROM total QUALIFY row_number() OVER (PARTITION BY cp_density ORDER BY id) <= 100) GROUP BY ALL", "total"),
     "iteration_stop": _sql("SELECT cp_density, count(*) - 1 > 20 AS stop FROM total GROUP BY ALL", "total"),

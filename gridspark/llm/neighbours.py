@@ -46,6 +46,18 @@ def usable(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], x[good]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about 2 * ROWS rows, whatever the session's are."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= 2 * ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def norms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and directions, without overflow of squares."""
     top = np.abs(x).max(1, initial=0)[:, None]
@@ -146,7 +158,7 @@ def _stats(rows: DataFrame) -> tuple[int, int, float]:
     """The commonest number of components (of equally common ones the largest), vectors that have it, the greatest length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches):
             column = batch.column(1)
             for width in np.unique(np.diff(column.offsets.to_numpy())).tolist():
                 if width:
@@ -191,7 +203,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, trees: int = 4, leaf:
     Trees and the number of leaves to look into are fitted on about ``sample`` vectors and there hold ``recall`` of the
     true nearest; a query looks at (k + 1) * trees vectors at least.  An empty table gives no rows; other columns are not read.
     """
-    tuned(rows.sparkSession, rows=4096)
+    tuned(rows.sparkSession)
     spark = rows.sparkSession
     rows = rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     width, n, longest = _stats(rows)
@@ -205,7 +217,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, trees: int = 4, leaf:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.zeros(trees << shared.value.depth, np.int64)
-        for batch in batches:
+        for batch in gathered(batches):
             _, x = usable(batch.column(1), width)
             size += np.bincount(shared.value.leaves(x).ravel(), minlength=len(size))
         yield pa.RecordBatch.from_pydict({"leaf": np.flatnonzero(size), "n": size[size > 0]})
@@ -217,7 +229,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, trees: int = 4, leaf:
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
-        for batch in batches:
+        for batch in gathered(batches):
             kept, x = usable(batch.column(1), width)
             ids = batch.column(0).to_numpy()[kept]
             vector = [v.tobytes() for v in x.astype(kind)]

@@ -134,9 +134,9 @@ def group_betweenness(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """
     table = stored(walks.pair_table(edges), "pairs")
     names = ["network_id", "group_id"]
-    member = groups.select(*names, F.explode(F.array_distinct("members")).alias("m")).join(nodes(edges).withColumnRenamed("id", "m"), ["network_id", "m"])
+    member = stored(groups.select(*names, F.explode(F.array_distinct("members")).alias("m")).join(nodes(edges).withColumnRenamed("id", "m"), ["network_id", "m"]), "members")
     both = member.withColumnRenamed("m", "x").join(member.withColumnRenamed("m", "y"), names)
-    own = both.join(table.select("network_id", F.col("s").alias("x"), F.col("t").alias("y"), "d", F.col("paths").alias("p")), ["network_id", "x", "y"])
+    own = stored(both.join(table.select("network_id", F.col("s").alias("x"), F.col("t").alias("y"), "d", F.col("paths").alias("p")), ["network_id", "x", "y"]), "cells")
     asked = own.select("network_id", "x", "y", "d", "p").distinct()
     first = table.select("network_id", "s", F.col("t").alias("x"), F.col("d").alias("dx"), F.col("paths").alias("px"))
     then = table.select("network_id", "s", F.col("t").alias("y"), F.col("d").alias("dy"), F.col("paths").alias("py"), "depends")
@@ -202,9 +202,9 @@ def metrics_table(edges: DataFrame, children: DataFrame, compounds: DataFrame, s
     own = stored(degree(edges).join(of_nodes(walked), keys).join(katz(edges, scale=scale), keys), "measures")
     node = own.select("network_id", F.concat(F.lit("node:"), "id").alias("id"), F.lit("Bus").alias("type"), *names)
     child = children.join(own.withColumnRenamed("id", "node_id"), ["network_id", "node_id"]).select("network_id", F.concat(F.lit("child:"), "id").alias("id"), "type", *names)
-    ends, on = of_edges(walked), ["network_id", "u", "v", "key"]
-    for value, how in (("degree", "sum"), ("vc", "mean"), ("katz", "mean")):
-        ends = ends.join(over_ends(edges, own, value, how), on)
+    at = [own.select("network_id", F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in names[1:])) for end in ("u", "v")]
+    both = of_edges(walked).join(at[0], ["network_id", "u"]).join(at[1], ["network_id", "v"])
+    ends = both.withColumns({"degree": F.col("degree_u") + F.col("degree_v"), "vc": (F.col("vc_u") + F.col("vc_v")) / 2, "katz": (F.col("katz_u") + F.col("katz_v")) / 2})
     branch = ends.select("network_id", F.format_string("branch:(%d, %d, %d)", "u", "v", "key").alias("id"), F.lit("GenericPowerBranch").alias("type"), *names)
     linked = compounds.select(*keys, "type", F.explode(F.map_values("connected_to")).alias("node_id")).join(own.withColumnRenamed("id", "node_id"), ["network_id", "node_id"])
     grouped = linked.groupBy(*keys, "type").agg(F.sum("degree").alias("degree"), F.avg("vc").alias("vc"), F.avg("katz").alias("katz"))

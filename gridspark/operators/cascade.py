@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cascade(violations: DataFrame, early_repair: bool = True) -> DataFrame:
@@ -15,22 +19,40 @@ def cascade(violations: DataFrame, early_repair: bool = True) -> DataFrame:
     duration has not passed; otherwise it must have passed.
     """
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        out, opened = [], []
-        for step, now in rows.sort_values(["step", "position"]).groupby("step", sort=True):
-            level = dict(zip(now.component_id, now.violation, strict=True))
+    def walk(steps: list, components: list, violations: list, u_fail: list, u_duration: list) -> Iterator[tuple]:
+        opened, i = [], 0
+        while i < len(steps):
+            step, j = steps[i], i
+            while j < len(steps) and steps[j] == step:
+                j += 1
+            level = dict(zip(components[i:j], violations[i:j], strict=True))
             for k in range(len(opened) - 1, -1, -1):
                 at, component, least = opened[k]
                 due = at + least >= step if early_repair else at + least < step
                 if due and level.get(component, 0.0) <= 0:
-                    out.append((rows.run_id.iloc[0], step, component, "cascading repair", None, -1))
+                    yield step, component, "cascading repair", None, -1
                     del opened[k]
             busy = {c for _, c, _ in opened}
-            for r in now.itertuples():
-                p = max(r.violation * 100, 0.0) ** 1.5 / 100
-                if r.component_id not in busy and r.u_fail < p:
-                    opened.append((step, r.component_id, int(p * r.u_duration * 10)))
-                    out.append((r.run_id, step, r.component_id, "cascading failure", p, opened[-1][2]))
-        return pd.DataFrame(out, columns=["run_id", "step", "component_id", "type", "probability", "min_duration"])
-
-    return violations.groupBy("run_id").applyInPandas(walk, "run_id long, step long, component_id long, type string, probability double, min_duration long")
+            for k in range(i, j):
+                p = max(violations[k] * 100, 0.0) ** 1.5 / 100
+                if components[k] not in busy and u_fail[k] < p:
+                    opened.append((step, components[k], int(p * u_duration[k] * 10)))
+                    yield step, components[k], "cascading failure", p, opened[-1][2]
+            i = j
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, size = [], []
+            for k in range(batch.num_rows):
+                before = len(found)
+                found += walk(*(batch.column(c)[k].values.to_numpy(zero_copy_only=False).tolist() for c in range(1, 6)))
+                size.append(len(found) - before)
+            columns = zip(*found, strict=True) if found else [()] * 5
+            types = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64())
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["run_id", "step", "component_id", "type", "probability", "min_duration"])
+
+    names = ("component_id", "violation", "u_fail", "u_duration")
+    order = F.struct("step", F.col("position").isNull(), "position", *names)
+    each = violations.where("step is not null").groupBy(F.col("run_id").cast("long").alias("run_id")).agg(F.array_sort(F.collect_list(order)).alias("e"))
+    return each.select("run_id", "e.step", *(f"e.{c}" for c in names)).mapInArrow(run, "run_id long, step long, component_id long, type string, probability double, min_duration long")

@@ -8,10 +8,10 @@ each), and then every block is walked from the state that it begins with.  Smoot
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,67 +62,79 @@ def smoothed(series: DataFrame, params: DataFrame, keys: list[str], block: int =
     n = series.groupBy(*keys).agg((F.count("*") - 1).alias("_end"))
     rows = series.select(*keys, F.col("t").cast("long").alias("t"), F.col("y").cast("double").alias("y")).join(params.select(*keys, "q", "r", "m0", "p0"), keys).join(n, keys).withColumn("_block", F.floor(F.col("t") / block))
 
-    def grouped(frame: DataFrame, by: list[str], run: Callable[[pd.DataFrame], dict[str, object]], schema: str) -> DataFrame:
-        def each(part: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({**{k: part[k].iloc[0] for k in by}, **run(part)})
+    def grouped(frame: DataFrame, by: list[str], columns: list[str], run: Callable[..., Iterable[tuple]], schema: str, turned: bool = False) -> DataFrame:
+        """run(lists of the columns) for each group, in the order of the first column; many groups go through one batch."""
+        each = frame.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*columns)), not turned).alias("_e")).select(*by, *(F.col(f"_e.{c}").alias(f"_{c}") for c in columns))
+        fields = [part.split() for part in schema.split(", ")]
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = [batch.column(len(by) + k).to_pylist() for k in range(len(columns))]
+                found, size = [], []
+                for parts in zip(*lists, strict=True):
+                    before = len(found)
+                    found += run(*parts)
+                    size.append(len(found) - before)
+                at = pa.array(np.repeat(np.arange(len(size)), size))
+                out = zip(*found, strict=True) if found else [()] * len(fields)
+                made = [pa.array(x, {"long": pa.int64(), "double": pa.float64()}[kind]) for x, (_, kind) in zip(out, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(by))), *made], names=[*by, *(name for name, _ in fields)])
 
         ids = named + (", _block long" if "_block" in by else "")
-        return frame.groupBy(*by).applyInPandas(each, f"{ids}, {schema}")
+        return each.mapInArrow(go, f"{ids}, {schema}")
 
-    def total(part: pd.DataFrame) -> dict[str, object]:
-        part, out = part.sort_values("t"), None
-        for t, y, q, r, m0, p0 in zip(*(part[c].tolist() for c in ("t", "y", "q", "r", "m0", "p0")), strict=True):
+    def total(*parts: list) -> Iterable[tuple]:
+        out = None
+        for t, y, q, r, m0, p0 in zip(*parts, strict=True):
             one = step(y, q, r) if t else start(y, m0, p0, r)
             out = joined(out, one) if out else one
-        return {f"e{k}": [x] for k, x in enumerate(out)}
+        return [out]
 
-    def entered(part: pd.DataFrame) -> dict[str, object]:
-        part, out, states = part.sort_values("_block"), None, []
-        for one in zip(*(part[f"e{k}"].tolist() for k in range(5)), strict=True):
-            states.append(out[1:3] if out else (None, None))
+    def entered(blocks: list, *parts: list) -> Iterable[tuple]:
+        out = None
+        for at, *one in zip(blocks, *parts, strict=True):
+            yield at, *(out[1:3] if out else (None, None))
             out = joined(out, one) if out else one
-        return {"_block": part["_block"].to_numpy(), "m": np.array([s[0] for s in states], float), "p": np.array([s[1] for s in states], float)}
 
-    def forward(part: pd.DataFrame) -> dict[str, object]:
-        part, means, variances = part.sort_values("t"), [], []
-        m, p = part["m"].iloc[0], part["p"].iloc[0]
-        for t, y, q, r, m0, p0 in zip(*(part[c].tolist() for c in ("t", "y", "q", "r", "m0", "p0")), strict=True):
+    def forward(*parts: list) -> Iterable[tuple]:
+        m = None
+        for t, y, q, r, m0, p0, end, m1, p1 in zip(*parts, strict=True):
+            if m is None:
+                m, p = m1, p1
             m, p = (m, p + q) if t else (m0, p0)
             k = p / (p + r)
             m, p = m + k * (y - m), (1 - k) * p
-            means.append(m)
-            variances.append(p)
-        return {c: part[c].to_numpy() for c in ("t", "y", "q", "_end")} | {"m": means, "p": variances}
+            yield t, y, q, end, m, p
 
-    def total_back(part: pd.DataFrame) -> dict[str, object]:
-        part, out = part.sort_values("t", ascending=False), None
-        for t, m, p, q, end in zip(*(part[c].tolist() for c in ("t", "m", "p", "q", "_end")), strict=True):
+    def total_back(*parts: list) -> Iterable[tuple]:
+        out = None
+        for t, m, p, q, end in zip(*parts, strict=True):
             one = back(m, p, q, t == end)
             out = joined_back(one, out) if out else one
-        return {f"e{k}": [x] for k, x in enumerate(out)}
+        return [out]
 
-    def entered_back(part: pd.DataFrame) -> dict[str, object]:
-        part, out, states = part.sort_values("_block", ascending=False), None, []
-        for one in zip(*(part[f"e{k}"].tolist() for k in range(3)), strict=True):
-            states.append(out[1:3] if out else (None, None))
+    def entered_back(blocks: list, *parts: list) -> Iterable[tuple]:
+        out = None
+        for at, *one in zip(blocks, *parts, strict=True):
+            yield at, *(out[1:3] if out else (None, None))
             out = joined_back(one, out) if out else one
-        return {"_block": part["_block"].to_numpy(), "sm": np.array([s[0] for s in states], float), "sp": np.array([s[1] for s in states], float)}
 
-    def backward(part: pd.DataFrame) -> dict[str, object]:
-        part, out = part.sort_values("t", ascending=False), []
-        m1, p1 = part["sm"].iloc[0], part["sp"].iloc[0]
-        for t, m, p, q, end in zip(*(part[c].tolist() for c in ("t", "m", "p", "q", "_end")), strict=True):
+    def backward(*parts: list) -> Iterable[tuple]:
+        begun = False
+        for t, y, m, p, q, end, sm, sp in zip(*parts, strict=True):
+            if not begun:
+                m1, p1, begun = sm, sp, True
             pull, shift, spread = back(m, p, q, t == end)
             mean, var = (shift, spread) if t == end else (pull * m1 + shift, pull * pull * p1 + spread)
-            out.append((mean, var, None if t == end else (m1 - mean) ** 2 + p1 + var - 2 * pull * p1))
+            yield t, y, mean, var, None if t == end else (m1 - mean) ** 2 + p1 + var - 2 * pull * p1
             m1, p1 = mean, var
-        return {c: part[c].to_numpy() for c in ("t", "y")} | {c: np.array([x[k] for x in out], float) for k, c in enumerate(("mean", "var", "change"))}
 
-    at = [*keys, "_block"]
-    begin = grouped(grouped(rows, at, total, ", ".join(f"e{k} double" for k in range(5))), keys, entered, "_block long, m double, p double")
-    passed = stored(grouped(rows.join(begin, at), at, forward, "t long, y double, q double, _end long, m double, p double"), "filtered")
-    after = grouped(grouped(passed, at, total_back, ", ".join(f"e{k} double" for k in range(3))), keys, entered_back, "_block long, sm double, sp double")
-    out = grouped(passed.join(after, at), at, backward, "t long, y double, mean double, var double, change double").drop("_block")
+    at, seen = [*keys, "_block"], ["t", "y", "q", "r", "m0", "p0"]
+    element = [f"e{k}" for k in range(5)]
+    begin = grouped(grouped(rows, at, seen, total, ", ".join(f"{e} double" for e in element)), keys, ["_block", *element], entered, "_block long, m double, p double")
+    passed = stored(grouped(rows.join(begin, at), at, [*seen, "_end", "m", "p"], forward, "t long, y double, q double, _end long, m double, p double"), "filtered")
+    after = grouped(grouped(passed, at, ["t", "m", "p", "q", "_end"], total_back, ", ".join(f"{e} double" for e in element[:3]), True), keys, ["_block", *element[:3]], entered_back, "_block long, sm double, sp double", True)
+    out = grouped(passed.join(after, at), at, ["t", "y", "m", "p", "q", "_end", "sm", "sp"], backward, "t long, y double, mean double, var double, change double", True).drop("_block")
     return out.withColumn("change", F.when(~F.isnan("change"), F.col("change")))
 
 

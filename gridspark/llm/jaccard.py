@@ -13,6 +13,10 @@ with one partner.  No row is made for a pair; a set is sent once for each block
 First each index entry has one class as host and the others as guests, which joins most similar classes into
 families.  Then the places are families: of two families whose members share an index entry, those members of the
 smaller one visit the other.  So every two similar classes meet, either as hosts of one place or as host and guest.
+
+Texts of which many are nearly, but not quite, similar make many families that share their entries; visits between
+all of them would be a row for each pair.  So families that meet many others at an entry are gathered around one of
+them before, whether or not they are linked, and compared there as hosts of one place.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ FILTER_BITS = 27
 ORDERS = (0x0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Classes and shingles that a block of a place has on average, at most.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 2_000_000
+#: Families that may meet at an entry without being gathered, and rounds of gathering at most.
+CROWD, ROUNDS = 16, 2
 
 
 def sets(column: pa.Array, seed: int = 0) -> Iterator[tuple[np.ndarray, int, int]]:
@@ -282,38 +288,53 @@ def may_be_similar(a: list[Guest], b: list[Guest] | None, percent: int) -> np.nd
     return out
 
 
-def _met(made: DataFrame, test: Callable[[list[Guest], list[Guest] | None, int], np.ndarray], kind: type, percent: int, inner: bool) -> DataFrame:
-    """place, key, host, n, link: of all who have a partner, the rows of their partners in one pair of blocks and, of guests, one host.
+def connected(link: np.ndarray, one: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows and of columns, the least row that links connect them with, -1 without any; if one, columns are the rows again."""
+    a = np.full(link.shape[0], -1)
+    b = a if one else np.full(link.shape[1], -1)
+    for i in np.flatnonzero(link.any(1)):
+        if a[i] < 0:
+            new = np.array([i])
+            while len(new):
+                a[new] = i
+                to = np.flatnonzero(link[new].any(0) & (b < 0))
+                b[to] = i
+                new = to if one else np.flatnonzero(link[:, to].any(1) & (a < 0))
+    return a, b
+
 
-    made: place, host, blocks, key, copies, n, arrays (of numbers of that kind).  Guests are compared with hosts, hosts among themselves if inner.
+def _met(made: DataFrame, test: Callable[[list[Guest], list[Guest] | None, int], np.ndarray], kind: type, percent: int) -> DataFrame:
+    """place, mutual, key, host, n, link: of all who have a partner, the rows of their partners in one pair of blocks and one that stands for all whom links connect there.
+
+    made: place, mutual, host, blocks, key, copies, n, arrays (of numbers of that kind).  Guests are compared with hosts, hosts among themselves if mutual.
     """
     made = made.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    made = made.select("place", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "host", "key", "copies", "n", "arrays")
+    made = made.select("place", "mutual", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "host", "key", "copies", "n", "arrays")
 
     def meet(at: tuple, rows: dict[tuple[int, bool], tuple[int, Guest]], out: dict[str, list]) -> None:
-        sides = [[g for block, g in rows.values() if block == x] for x in dict.fromkeys(at[1:])]
+        mutual = at[1]
+        sides = [[g for block, g in rows.values() if block == x] for x in dict.fromkeys(at[2:])]
         a, b = sides[0], sides[-1]
-        if not a or not b or not (inner or any(not g.host for x in sides for g in x)) or not any(g.host for x in sides for g in x):
+        if not a or not b or not (mutual or any(not g.host for x in sides for g in x)) or not any(g.host for x in sides for g in x):
             return
         link = test(a, b if len(sides) > 1 else None, percent)
         hosts = [np.array([g.host for g in x]) for x in (a, b)]
         link = link & (hosts[0][:, None] | hosts[1])
-        if not inner:
+        if not mutual:
             link &= ~(hosts[0][:, None] & hosts[1])
         if len(sides) == 1:
             np.fill_diagonal(link, False)
-        for mine, x, y, h in ((a, link, b, hosts[1]), (b, link.T, a, hosts[0]))[: len(sides)]:
+        for mine, x, y, first in list(zip((a, b), (link, link.T), (b, a), connected(link, len(sides) == 1), strict=True))[: len(sides)]:
             n = x @ np.array([g.copies for g in y], np.int64)
-            with_host = x & h
-            first = with_host.argmax(1) if len(y) else []
             for i in np.flatnonzero(x.any(1)):
                 out["place"].append(at[0])
+                out["mutual"].append(mutual)
                 out["key"].append(mine[i].key)
                 out["host"].append(mine[i].host)
                 out["n"].append(int(n[i]))
-                out["link"].append(None if mine[i].host or not with_host[i, first[i]] else y[first[i]].key)
+                out["link"].append(None if a[first[i]].key == mine[i].key else a[first[i]].key)
 
-    types = {"place": pa.int64(), "key": pa.int64(), "host": pa.bool_(), "n": pa.int64(), "link": pa.int64()}
+    types = {"place": pa.int64(), "mutual": pa.bool_(), "key": pa.int64(), "host": pa.bool_(), "n": pa.int64(), "link": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, out = None, {}, {c: [] for c in types}
@@ -340,40 +361,40 @@ def _met(made: DataFrame, test: Callable[[list[Guest], list[Guest] | None, int],
             yield given()
 
     dealt = made.repartition("place", "low", "high").sortWithinPartitions("place", "low", "high")
-    return stored(dealt.mapInArrow(lean(run), "place long, key long, host boolean, n long, link long"), "jaccard")
+    return stored(dealt.mapInArrow(lean(run), "place long, mutual boolean, key long, host boolean, n long, link long"), "jaccard")
 
 
 def _ends(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """members (place, key, host) with rep, copies and the number of blocks of the place, for places with a host and someone else."""
+    """members (place, mutual, key, host) with rep, copies and the number of blocks of the place, for places with a host and someone else."""
     each = members.join(reps, "key")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("size") / BLOCK_SHINGLES)).cast("long")
     many = each.groupBy("place").agg(blocks.alias("blocks"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return stored(each.join(many, "place").select("place", "key", "host", "rep", "copies", "blocks"), "jaccard")
+    return stored(each.join(many, "place").select("place", "mutual", "key", "host", "rep", "copies", "blocks"), "jaccard")
 
 
 def _by_prefixes(members: DataFrame, prefixes: DataFrame, reps: DataFrame, percent: int, most: int) -> DataFrame:
-    """place, key, host of those members whose prefixes under all orders allow a link between host and guest."""
+    """place, mutual, key, host of those members whose prefixes under all orders allow a link with someone they are compared with."""
     ends = _ends(members, reps)
-    made = prefixes.join(sized(ends.withColumnRenamed("key", "_key").drop("rep"), most), F.col("key") == F.col("_key")).select("place", "host", "blocks", "key", "copies", "n", "p0", "p1", "p2")
+    made = prefixes.join(sized(ends.withColumnRenamed("key", "_key").drop("rep"), most), F.col("key") == F.col("_key")).select("place", "mutual", "host", "blocks", "key", "copies", "n", "p0", "p1", "p2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p0 = [np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint16).tobytes() for x in batch.column(6)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([[x, y.as_py(), z.as_py()] for x, y, z in zip(p0, batch.column(7), batch.column(8), strict=True)], pa.list_(pa.binary()))], names=[*batch.schema.names[:6], "arrays"])
+            p0 = [np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint16).tobytes() for x in batch.column(7)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array([[x, y.as_py(), z.as_py()] for x, y, z in zip(p0, batch.column(8), batch.column(9), strict=True)], pa.list_(pa.binary()))], names=[*batch.schema.names[:7], "arrays"])
 
-    found = _met(made.mapInArrow(lean(run), "place long, host boolean, blocks long, key long, copies long, n long, arrays array<binary>"), may_be_similar, np.uint16, percent, False)
+    found = _met(made.mapInArrow(lean(run), "place long, mutual boolean, host boolean, blocks long, key long, copies long, n long, arrays array<binary>"), may_be_similar, np.uint16, percent)
     dropped(made.sparkSession, ends)
-    return found.select("place", "key", "host").distinct()
+    return found.select("place", "mutual", "key", "host").distinct()
 
 
-def _by_sets(members: DataFrame, docs: DataFrame, reps: DataFrame, seed: int, percent: int, inner: bool, most: int) -> DataFrame:
+def _by_sets(members: DataFrame, docs: DataFrame, reps: DataFrame, seed: int, percent: int, most: int) -> DataFrame:
     """What _met() gives of the members' whole sets, which are made from their texts; ends of at most ``most`` rows are broadcast to them."""
     ends = _ends(members, reps)
     texts = docs.select("doc_id", "text").join(sized(ends, most), F.col("doc_id").eqNullSafe(F.col("rep")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(4).to_numpy()
+            keys = batch.column(5).to_numpy()
             texts = batch.column(0)  # of one id's texts, each is looked at by itself
             same = pc.fill_null(pc.equal(texts[1:], texts[:-1]), False).to_numpy(zero_copy_only=False).astype(bool)
             fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | ~same])
@@ -384,8 +405,8 @@ def _by_sets(members: DataFrame, docs: DataFrame, reps: DataFrame, seed: int, pe
             blob = {j: [found[j][0].tobytes()] for j in {of[i] for i in good}}
             yield pa.RecordBatch.from_arrays([*mine.columns[1:], pa.array([len(found[of[i]][0]) for i in good], pa.int64()), pa.array([blob[of[i]] for i in good], pa.list_(pa.binary()))], names=[*mine.schema.names[1:], "n", "arrays"])
 
-    made = texts.select("text", "place", "host", "blocks", "key", "copies").mapInArrow(lean(run), "place long, host boolean, blocks long, key long, copies long, n long, arrays array<binary>")
-    found = _met(made, similar, np.uint64, percent, inner)
+    made = texts.select("text", "place", "mutual", "host", "blocks", "key", "copies").mapInArrow(lean(run), "place long, mutual boolean, host boolean, blocks long, key long, copies long, n long, arrays array<binary>")
+    found = _met(made, similar, np.uint64, percent)
     dropped(docs.sparkSession, ends)
     return found
 
@@ -450,13 +471,38 @@ def _mixed(index: DataFrame, turn: int) -> DataFrame:
 
 
 def _stars(index: DataFrame, percent: int) -> DataFrame:
-    """place, key, host: of each entry one class as host, and each class as guest of the one it has most in common with."""
+    """place, mutual, key, host: of each entry one class as host, and each class as guest of the one it has most in common with."""
     na, nb = F.col("n").cast("long"), F.col("one.n").cast("long")
     fits = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - F.col("place"), nb - F.col("one.place")) >= _needed(na, nb, percent))
     met = index.where((F.col("root") != F.col("one.root")) & fits).select("key", F.col("one.key").alias("at"))
     most = met.groupBy("key", "at").agg(F.count("*").alias("shared")).groupBy("key").agg(F.max_by("at", F.struct("shared", "at")).alias("place"))
     most = stored(most.select("place", "key"), "jaccard")
-    return most.select("place", "key", F.lit(False).alias("host")).union(most.select("place", F.col("place").alias("key"), F.lit(True)).distinct())
+    never = F.lit(False).alias("mutual")
+    return most.select("place", never, "key", F.lit(False).alias("host")).union(most.select("place", never, F.col("place").alias("key"), F.lit(True)).distinct())
+
+
+def _moves(index: DataFrame, percent: int) -> DataFrame:
+    """root, leader: families at entries where many meet, and the family of the entries' classes with which theirs have most in common.
+
+    A class counts if it shares half of what visitors must share at least; leaders stay where they are.
+    """
+    crowds = index.select("token", "root").distinct().groupBy("token").count().where(F.col("count") > CROWD).select("token")
+    na, nb = F.col("n").cast("long"), F.col("one.n").cast("long")
+    met = index.join(crowds, "token").where((F.col("root") != F.col("one.root")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)))
+    need = _needed(na, nb, percent) - F.ceil(F.greatest(na, nb) * percent / 100) + 1
+    each = met.groupBy("root", "key", F.col("one.root").alias("leader"), F.col("one.key").alias("at")).agg(F.count("*").alias("shared"), F.first(need).alias("need")).where(2 * F.col("shared") >= F.col("need"))
+    best = each.groupBy("root", "leader").agg(F.sum("shared").alias("shared")).groupBy("root").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
+    best = stored(best, "jaccard")
+    # of two that lead each other the smaller root stays
+    leaders = best.join(best.select(F.col("root").alias("leader"), F.col("leader").alias("_of")), "leader", "left").where("_of is null or _of <> root or leader < root").select(F.col("leader").alias("root")).distinct()
+    return stored(best.join(leaders, "root", "left_anti"), "jaccard")
+
+
+def _gathered(families: DataFrame, moves: DataFrame) -> DataFrame:
+    """key, root, family (its size) when the roots of moves, which may be single classes, have gone over to their leaders."""
+    alone = moves.select("root").union(moves.select("leader")).distinct().join(families.select(F.col("key").alias("root")), "root", "left_anti")
+    each = families.select("key", "root").union(alone.select(F.col("root").alias("key"), "root")).join(moves, "root", "left").select("key", F.coalesce("leader", "root").alias("root"))
+    return stored(each.join(each.groupBy("root").agg(F.count("*").alias("family")), "root").select("key", "root", "family"), "jaccard")
 
 
 def _visits(index: DataFrame, percent: int) -> DataFrame:
@@ -489,27 +535,40 @@ def _join(docs: DataFrame, percent: int, stars: int, count: bool, most: int = 2_
     index = _mixed(old.withColumns({"root": F.col("key"), "family": F.lit(1).cast("long")}), 0)
     dropped(spark, old)
     links = spark.createDataFrame([], "x long, y long")
+    groups, families = spark.createDataFrame([], "key long, root long"), spark.createDataFrame([], "key long, root long, family long")
+
+    def named_anew(index: DataFrame, turn: int) -> DataFrame:
+        new = index.select("token", "key", "n", "place").join(sized(families, most), "key", "left")
+        new = _mixed(new.withColumns({"root": F.coalesce("root", "key"), "family": F.coalesce("family", F.lit(1))}), turn)
+        dropped(spark, index)
+        return new
+
     for turn in range(1, stars + 1):
         likely = _by_prefixes(_stars(index, percent), prefixes, reps, percent, most)
-        found = _by_sets(likely, docs, reps, seed, percent, False, most)
+        found = _by_sets(likely, docs, reps, seed, percent, most)
         links = links.union(found.where("link is not null").select(F.col("key").alias("x"), F.col("link").alias("y")))
         groups = components(links)
-        families = stored(groups.join(groups.groupBy("root").agg(F.count("*").alias("family")), "root"), "jaccard")
-        old = index
-        index = old.select("token", "key", "n", "place").join(sized(families, most), "key", "left")
-        index = _mixed(index.withColumns({"root": F.coalesce("root", "key"), "family": F.coalesce("family", F.lit(1))}), turn)
-        dropped(spark, old)
-    if not stars:
-        groups = spark.createDataFrame([], "key long, root long")
+        families = stored(groups.join(groups.groupBy("root").agg(F.count("*").alias("family")), "root").select("key", "root", "family"), "jaccard")
+        index = named_anew(index, turn)
+    for turn in range(stars + 1, stars + 1 + ROUNDS):
+        moves = _moves(index, percent)
+        if moves.isEmpty():
+            break
+        families = _gathered(families, moves)
+        index = named_anew(index, turn)
     visits = stored(_visits(index, percent), "jaccard")
     dropped(spark, index)
-    hosts = groups.select(F.col("root").alias("place"), "key").union(reps.join(groups, "key", "left_anti").select(F.col("key").alias("place"), "key"))
-    hosts = hosts.join(visits.select("place").distinct(), "place").select("place", "key", F.lit(True).alias("host"))
-    likely = _by_prefixes(visits.select("place", "key", F.lit(False).alias("host")).union(hosts), prefixes, reps, percent, most)
+    # places of families that aren't linked throughout: their hosts have to be compared among themselves
+    of = families.join(groups.select("key", F.col("root").alias("_linked")), "key", "left").withColumn("_linked", F.coalesce("_linked", "key"))
+    loose = of.groupBy(F.col("root").alias("place")).agg((F.min("_linked") != F.max("_linked")).alias("mutual")).where("mutual")
+    places = stored(visits.select("place").distinct().join(loose, "place", "full").select("place", F.coalesce("mutual", F.lit(False)).alias("mutual")), "jaccard")
+    hosts = families.select(F.col("root").alias("place"), "key").union(reps.join(families, "key", "left_anti").select(F.col("key").alias("place"), "key"))
+    members = visits.select("place", "key", F.lit(False).alias("host")).union(hosts.join(places.select("place"), "place").select("place", "key", F.lit(True).alias("host")))
+    likely = _by_prefixes(members.join(places, "place").select("place", "mutual", "key", "host"), prefixes, reps, percent, most)
     if count:
-        inside = groups.select(F.col("root").alias("place"), "key", F.lit(True).alias("host"))
-        likely = likely.union(inside).distinct()
-    found = _by_sets(likely, docs, reps, seed, percent, count, most)
+        inside = of.join(groups.select("key"), "key").select(F.col("root").alias("place"), F.lit(True).alias("mutual"), "key", F.lit(True).alias("host"))
+        likely = likely.withColumn("mutual", F.lit(True)).union(inside).distinct()
+    found = _by_sets(likely, docs, reps, seed, percent, most)
     last = found.where("link is not null").select(F.col("key").alias("x"), F.col("link").alias("y"))
     if not last.isEmpty():
         groups = components(links.union(last))

@@ -259,6 +259,36 @@ def test_jaccard(docs, stars):
     assert got == plain_components(TEXTS)
 
 
+def test_connected():
+    path = np.zeros((4, 4), bool)
+    path[[0, 1, 1, 3], [1, 0, 3, 1]] = True  # 0-1-3 and, alone, 2
+    assert jaccard.connected(path, True)[0].tolist() == [0, 0, -1, 0]
+    assert [x.tolist() for x in jaccard.connected(path[:2, 2:], False)] == [[-1, 1], [-1, 1]]
+
+
+def test_visits_of_nearly_similar_texts(docs, monkeypatch):
+    """Texts that are mostly just below the threshold do not visit each other one by one."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(150)] = f"x{rng.random()}"
+        rows.append((i, " ".join(w)))
+    made, visits = [], jaccard._visits
+    monkeypatch.setattr(jaccard, "_visits", lambda *x: made.append(visits(*x)) or made[-1])
+    monkeypatch.setattr(jaccard, "dropped", lambda *x: None)
+    got = {r.doc_id: (r.n_links, r.component_id) for r in jaccard.join(docs(rows)).collect()}
+    each = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in rows]
+    links = [[j for j in range(160) if j != i and 100 * len(each[i] & each[j]) >= 75 * len(each[i] | each[j])] for i in range(160)]
+    least = list(range(160))
+    for _ in rows:
+        least = [min(least[j] for j in [i, *links[i]]) for i in range(160)]
+    assert got == {i: (len(links[i]), least[i]) for i in range(160)}
+    assert made[0].count() <= 4 * len(rows)
+
+
 def test_jaccard_of_nothing(docs):
     assert jaccard.join(docs([])).count() == 0
     got = sorted((r.doc_id or -1, r.component_id) for r in jaccard.join(docs([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "a b"), (7, "A b")])).collect())

@@ -142,10 +142,15 @@ class PairwiseGam:
         return _sigmoid(f)
 
 
+def labelled(labels: DataFrame, label: str, doc_id_fold: int, folds: int) -> DataFrame:
+    """All labelled ids outside the held-out fold; of several labels of an id the largest."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != doc_id_fold))
+    return usable.groupBy("doc_id").agg(F.max(label).alias("_label"))
+
+
 def sampled_labels(docs: DataFrame, labels: DataFrame, label: str, doc_id_fold: int, folds: int, most: int) -> DataFrame:
     """At most ``most`` labelled ids of documents outside the held-out fold, those of smallest hash; of several labels of an id the largest."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != doc_id_fold))
-    ids = usable.groupBy("doc_id").agg(F.max(label).alias("_label")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    ids = labelled(labels, label, doc_id_fold, folds).join(docs.select("doc_id"), "doc_id", "left_semi")
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 

@@ -2,23 +2,26 @@
 
 Features of a text are the distinct buckets of its words, word pairs, word triples and pairs that skip one
 or two words.  Training visits one text after the other with a learning rate per coordinate; the L1 term
-leaves few weights that are not 0, which is all that is broadcast.
+leaves few weights that are not 0, which is all that is broadcast.  Many labelled texts are dealt to parts,
+which are visited side by side, and the parts' weights are averaged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import arrow_map, binary_view, dropped, fold, grams, lean, slices, stored, tuned, words
-from gridspark.llm.quality import sampled_labels
+from gridspark.llm.common import arrow_map, binary_view, fold, give_back, grams, lean, sized, slices, tuned, words
+from gridspark.llm.quality import labelled
 
 BITS = 20
 SHAPES = ((0,), (0, 1), (0, 1, 2), (0, 2), (0, 3))
+SCALE = 2.0**40
+INTERCEPT, PARTS, TEXTS = -1, -2, -3
 
 
 def buckets(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +47,7 @@ class Ftrl:
     def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 4) -> None:
         self.alpha, self.beta, self.l1, self.l2, self.epochs, self.least = alpha, beta, l1, l2, epochs, int(l1 // epochs) + 1
         self.index, self.weight, self.bias, self.fitted = np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, False
+        self.texts = 0
 
     def fit(self, rows: Sequence[np.ndarray], labels: Sequence[float], seed: int = 7) -> Ftrl:
         size = 1 << BITS
@@ -54,7 +58,7 @@ class Ftrl:
         seen = np.zeros(size, np.int32)
         for x in map(unpacked, rows):
             seen[x] += 1
-        rows = [x if (seen[unpacked(x)] >= self.least).all() else unpacked(x)[seen[unpacked(x)] >= self.least] for x in rows]  # the others' weights stay 0
+        rows = [x if (seen[unpacked(x)] >= self.least).all() else packed(unpacked(x)[seen[unpacked(x)] >= self.least]) for x in rows]  # the others' weights stay 0
 
         def weights(i: np.ndarray) -> np.ndarray:
             return np.where(np.abs(z[i]) > l1[i], (np.sign(z[i]) * l1[i] - z[i]) / ((self.beta + np.sqrt(n[i])) / self.alpha + self.l2), 0.0)
@@ -72,7 +76,7 @@ class Ftrl:
         self.bias = float(w[size])
         self.index = np.flatnonzero(w[:size]).astype(np.int32)
         self.weight = w[self.index].astype(np.float32)
-        self.fitted = len(rows) > 0
+        self.texts, self.fitted = len(rows), len(rows) > 0
         return self
 
     def dense(self) -> np.ndarray:
@@ -110,42 +114,48 @@ def _features(batch: pa.RecordBatch) -> dict:
         _, _, h, first = words(data, at[a : z + 1])
         ids, rows = buckets(h, first)
         pairs = np.unique(rows << BITS | ids)
-        found += np.split((pairs & (1 << BITS) - 1).astype("<i4"), np.searchsorted(pairs >> BITS, np.arange(1, z - a)))
-    return {"doc_id": batch.column(0), "label": batch.column(2).cast(pa.float64()), "x": pa.array([x.tobytes() for x in found], pa.binary())}
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(1 << BITS, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            n[np.frombuffer(x.as_buffer(), "<i4")] += 1
-    full = np.flatnonzero(n)
-    yield pa.RecordBatch.from_pydict({"bucket": full, "n": n[full]})
+        found += map(packed, np.split((pairs & (1 << BITS) - 1).astype("<i4"), np.searchsorted(pairs >> BITS, np.arange(1, z - a))))
+    wide = pa.array([x.dtype != np.uint16 for x in found], pa.bool_())
+    return {"doc_id": batch.column(0), "label": batch.column(2).cast(pa.float64()), "x": pa.array([x.tobytes() for x in found], pa.binary()), "wide": wide}
+
+
+def _fitted_part(table: pa.Table) -> pa.Table:
+    """Weights of a model of these texts, its intercept, and how many parts (one) and texts they are of; in whole steps of 1 / SCALE, so that sums don't depend on their order."""
+    table = table.sort_by("doc_id")
+    rows = [np.frombuffer(x.as_buffer(), "<i4" if wide.as_py() else "<u2") for x, wide in zip(table["x"], table["wide"], strict=True)]
+    model = Ftrl().fit(rows, table["label"].to_numpy())
+    weight = np.round(np.append(model.weight.astype(np.float64), model.bias) * SCALE).astype(np.int64)
+    out = pa.table({"bucket": np.concatenate([model.index, [INTERCEPT, PARTS, TEXTS]]).astype(np.int64), "value": np.append(weight, [1, len(rows)])})
+    del table, rows, model
+    give_back()
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Ftrl:
-    """Fitted on at most ``most`` labelled texts that aren't held out; without any, all scores are 0.5.
+def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, size: int = 48 << 20) -> Ftrl:
+    """Fitted on all labelled texts that aren't held out; without any, all scores are 0.5.
 
-    An id counts once, however often it is repeated; if it has several texts, the one of least features stands for it.
-    Buckets whose weights cannot leave 0 are dropped where the features are made; only the others reach the driver.
+    The texts are dealt by their ids to parts of about ``most`` texts, or of ``size`` bytes if that makes more parts.  A
+    task visits all texts of a part, and the weights are the means of those of the parts: a model of each part under
+    the same L1 term, of which the driver gets no more than a sum for each bucket.
+    An id counts once, however often it is repeated; if it has several texts, the one of least packed features stands for it.
     """
-    spark, model = docs.sparkSession, Ftrl()
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(docs, labels, "toxic", 0, 5, most)), "doc_id")
-    made = arrow_map(chosen.select("doc_id", "text", "_label"), _features, "doc_id long, label double, x binary")
-    sample = stored(made.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")), "toxicity")
-    often = sample.select("x").mapInArrow(lean(_counts), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= model.least)
-    mask = np.zeros(1 << BITS, bool)
-    mask[often.select("bucket").toArrow()["bucket"].to_numpy()] = True
-    shared = spark.sparkContext.broadcast(mask)
-
-    def run(batch: pa.RecordBatch) -> dict:
-        x = [np.frombuffer(v.as_buffer(), "<i4") for v in batch.column(2)]
-        return {"doc_id": batch.column(0), "label": batch.column(1), "x": pa.array([v[shared.value[v]].tobytes() for v in x], pa.binary())}
-
-    made = arrow_map(sample, run, "doc_id long, label double, x binary")
-    rows = sorted(((r.doc_id, r.label, packed(np.frombuffer(r.x, "<i4"))) for r in made.toLocalIterator()), key=lambda r: r[0])  # at most ``most``, a part at a time
-    dropped(spark, sample)
-    return model.fit([r[2] for r in rows], [r[1] for r in rows])
+    chosen = docs.select("doc_id", "text").join(sized(labelled(labels, "toxic", 0, 5), 1_000_000), "doc_id")
+    sizes = chosen.groupBy("doc_id").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
+    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = max(1, -(-n // most), -(-total // size))
+    made = arrow_map(chosen.select("doc_id", "text", "_label"), _features, "doc_id long, label double, x binary, wide boolean")
+    width = max(2 * parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # so that few parts meet in a task
+    made = made.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).repartition(width, "part")  # the only shuffle of features
+    one = made.groupBy("part", "doc_id").agg(F.max("label").alias("label"), F.min(F.struct("x", "wide")).alias("x"))
+    fitted = one.select("part", "doc_id", "label", "x.x", "x.wide").groupBy("part").applyInArrow(_fitted_part, "bucket long, value long")
+    table = fitted.groupBy("bucket").agg(F.sum("value").alias("value")).orderBy("bucket").toArrow()  # at most 2 ** BITS + 3 rows
+    bucket, value = table["bucket"].to_numpy(), table["value"].to_numpy()
+    model, seen = Ftrl(), dict(zip(bucket[bucket < 0].tolist(), value[bucket < 0].tolist(), strict=True))
+    if seen:
+        mean = value[bucket >= 0] / (SCALE * seen[PARTS])
+        model.index, model.weight = bucket[bucket >= 0].astype(np.int32), mean.astype(np.float32)
+        model.bias, model.texts, model.fitted = seen[INTERCEPT] / (SCALE * seen[PARTS]), seen[TEXTS], True
+    return model
 
 
 def score(docs: DataFrame, model: Ftrl, threshold: float = 0.5) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridspark.llm import langid, pii, quality, toxicity
 
@@ -154,6 +155,28 @@ def test_toxicity_learns_words_of_few_texts():
     assert whole.index.tolist() == model.index.tolist() and np.allclose(whole.weight, model.weight) and whole.bias == pytest.approx(model.bias)
 
 
+def test_toxicity_learns_from_all_labels(spark, docs):
+    ids = [r.id for r in spark.range(1500).select("id", F.xxhash64("id").alias("h")).where("crc32(cast(cast(id as string) as binary)) % 5 <> 0").orderBy("h").collect()]
+    toxic = set(ids[100:400:2])  # none of them among the first 100 by hash
+    texts = [(i, f"plain words of text {i % 50}" + (" vile" if i in toxic else "")) for i in ids]
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in ids] + [(-1, 1), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs(texts + texts[:5]), labels, most=400)
+    assert model.texts == len(ids) > 1000
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs(texts), model).collect()}
+    assert all(got[i] == (i in toxic) for i in ids)
+    few = toxicity.train(docs(texts), labels, most=100)
+    assert few.texts == len(ids) and few.weight.max() > 0
+    parts = -(-len(ids) // 400)  # the weights are the means of models of all parts
+    part = {r.id: r.p for r in spark.createDataFrame([(i,) for i in ids], "id long").select("id", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("p")).collect()}
+    plain = []
+    for p in range(parts):
+        own = [t for t in sorted(texts) if part[t[0]] == p]
+        made = toxicity._features(pa.RecordBatch.from_pydict({"doc_id": [t[0] for t in own], "text": [t[1] for t in own], "label": [int(t[0] in toxic) for t in own]}))
+        rows = [np.frombuffer(x, "<i4" if w else "<u2") for x, w in zip(made["x"].to_pylist(), made["wide"].to_pylist(), strict=True)]
+        plain.append(toxicity.Ftrl().fit(rows, made["label"].to_pylist()))
+    assert np.allclose(model.dense(), np.mean([m.dense() for m in plain], 0), atol=1e-6) and model.bias == pytest.approx(np.mean([m.bias for m in plain]))
+
+
 def test_cards_share_a_permutation(monkeypatch):
     dealt = []
     real = pii.permuted

@@ -1,17 +1,19 @@
 """Exact BM25 top-k search by an inverted index with block-max pruning, per shard, merged by global statistics.
 
-A shard is a run of texts that a task reads.  Its postings lie in blocks of texts; for each term and block
-the largest impact is kept.  A block is skipped for a query if the block's largest impacts of the query's
-terms sum up to less than the k-th best score known so far (the pivot test of WAND, on blocks); the blocks
-of best bound are scored first.  Queries go through a shard in batches: terms that many texts have are kept
-as a dense matrix, so that bounds and scores of a batch are matrix products, the others as lists.  Statistics
-(number of texts, mean length, document frequencies) are those of all texts, so scores of different shards
-compare and the k best of a task, then of all tasks, are the k best of all.
+A shard is a run of texts that a task reads.  Its postings lie in blocks of texts.  Terms that many texts have are
+kept as a dense matrix with the largest impact of each term and block, the others as lists.  Queries go through a
+shard in batches of queries with the same common words.  Lists are summed up first; a block is skipped for a batch if,
+for each query, the block's largest impacts of the query's dense terms and the largest sum from lists in it come to less
+than the k-th best score known so far (the pivot test of WAND, on blocks); the blocks of best bound are scored first.
+Scores of a batch are matrix products over the columns that its queries have.  Statistics (number of texts, mean length,
+document frequencies) are those of all texts, so scores of different shards compare and the k best of a task, then of
+all tasks, are the k best of all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +36,43 @@ class Queries:
         flat = np.concatenate([*terms, np.zeros(0, np.uint64)]).astype(np.uint64)
         self.vocabulary, at = np.unique(flat, return_inverse=True)
         self.terms = at.astype(np.int64)
+        self.table = np.full(1 << max(4, (4 * len(self.vocabulary)).bit_length()), -1, np.int32)  # places by the last bits of a hash, or after those that are taken
+        left = np.arange(len(self.vocabulary), dtype=np.int32)
+        slot = self._slot(self.vocabulary)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            more = self.table[slot] != left
+            left, slot = left[more], (slot[more] + 1) & (len(self.table) - 1)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(len(self.table) - 1)).astype(np.int64)
 
     def places(self, h: np.ndarray) -> np.ndarray:
         """Place of each word hash in the vocabulary, -1 for others."""
+        slot = self._slot(h)
+        out = self.table[slot].astype(np.int64)
         if not len(self.vocabulary):
-            return np.full(len(h), -1, np.int64)
-        unlike, back = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.vocabulary, unlike), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == unlike, at, -1)[back]
+            return out
+        left = np.flatnonzero((out >= 0) & (self.vocabulary[out] != h))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.table) - 1)
+            out[left] = self.table[slot[left]]
+            left = left[(out[left] >= 0) & (self.vocabulary[out[left]] != h[left])]
+        return out
+
+    def alike(self, idf: np.ndarray, common: int = 62) -> Queries:
+        """The same queries in an order in which those with the same of the most common terms lie together."""
+        rank = np.full(len(self.vocabulary), common)
+        often = np.argsort(idf, kind="stable")[:common]
+        rank[often] = np.arange(len(often))
+        rank, size = rank[self.terms], np.diff(self.first)
+        key = np.zeros(len(self.ids), np.int64)
+        np.add.at(key, np.repeat(np.arange(len(self.ids)), size)[rank < common], np.int64(1) << (common - 1 - rank[rank < common]))
+        order = np.argsort(key, kind="stable")
+        out = copy(self)
+        out.ids, out.terms, out.first = self.ids[order], gathered(self.terms, self.first[order], size[order]), np.concatenate([[0], np.cumsum(size[order])])
+        return out
 
 
 def _first_of(sorted_keys: np.ndarray, n: int) -> np.ndarray:
@@ -56,15 +87,14 @@ class Shard:
         key, tf = np.unique(term * n + doc, return_counts=True)
         term, doc = key // n, key % n
         # texts with the same leading term lie together: it tells their language, and blocks get tight bounds
-        lead = np.full(n, -1, np.int64)
-        by = np.lexsort((term, -tf, doc))
-        first = np.flatnonzero(np.concatenate([[True], np.diff(doc[by]) != 0])) if len(by) else by
-        lead[doc[by][first]] = term[by][first]
+        most = np.full(n, -1, np.int64)
+        np.maximum.at(most, doc, tf * vocabulary + (vocabulary - 1 - term))
+        lead = np.where(most < 0, -1, vocabulary - 1 - most % max(vocabulary, 1))
         order = np.lexsort((ids, lengths, lead))
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         self.ids, lengths, doc = ids[order], lengths[order], place[doc]
-        by = np.lexsort((doc, term))
+        by = np.argsort(term * n + doc)
         term, doc, tf = term[by], doc[by], tf[by]
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
         self.n, self.block, self.blocks = n, block, -(-n // block)
@@ -73,55 +103,50 @@ class Shard:
         many = np.flatnonzero(df * dense_share >= max(n, dense_share))
         self.dense_place[many] = np.arange(len(many))
         is_dense = self.dense_place[term] >= 0
-        self.dense = np.zeros((self.blocks * block, len(many)))
-        self.dense[doc[is_dense], self.dense_place[term[is_dense]]] = impact[is_dense]
-        self.dense_most = self.dense.reshape(self.blocks, block, len(many)).max(1) if len(many) else np.zeros((self.blocks, 0))
+        dense = np.zeros((len(many), self.blocks * block))
+        dense[self.dense_place[term[is_dense]], doc[is_dense]] = impact[is_dense]
+        self.dense = dense.reshape(len(many), self.blocks, block)
+        self.dense_most = self.dense.max(2)
         self.doc, self.impact, term = doc[~is_dense], impact[~is_dense], term[~is_dense]
         self.list_first = _first_of(term, vocabulary)
-        part = self.doc // block
-        edge = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(part) != 0)])) if len(term) else np.zeros(0, np.int64)
-        self.most = np.maximum.reduceat(self.impact, edge) if len(edge) else self.impact
-        self.most_block, self.most_first = part[edge], _first_of(term[edge], vocabulary)
+        self.postings = np.arange(len(self.doc))
 
     def best(self, q: Queries, a: int, z: int, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Query, texts' places and scores of the best k (and what ties with the last) of queries a to z."""
+        """Query, texts' places and scores of the best k of queries a to z."""
         rows = z - a
-        own = slice(q.first[a], q.first[z])
-        term, query = q.terms[own], np.repeat(np.arange(rows), np.diff(q.first[a : z + 1]))
+        term, query = q.terms[q.first[a] : q.first[z]], np.repeat(np.arange(rows), np.diff(q.first[a : z + 1]))
         dense = self.dense_place[term]
-        ask = np.zeros((rows, self.dense.shape[1]))
-        ask[query[dense >= 0], dense[dense >= 0]] = 1
+        columns, at = np.unique(dense[dense >= 0], return_inverse=True)
+        ask = np.zeros((rows, len(columns)))
+        ask[query[dense >= 0], at] = 1
         term, query = term[dense < 0], query[dense < 0]
-
-        def spread(first: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-            size = first[term + 1] - first[term]
-            return np.repeat(query, size), *(gathered(v, first[term], size) for v in values)
-
-        at, part, most = spread(self.most_first, self.most_block, self.most)
-        bound = ask @ self.dense_most.T + np.bincount(at * self.blocks + part, most, rows * self.blocks).reshape(rows, self.blocks)
-        at, doc, impact = spread(self.list_first, self.doc, self.impact)
-        score = np.zeros((rows, self.blocks * self.block))
-        known = np.zeros((rows, self.blocks), bool)
+        size = self.list_first[term + 1] - self.list_first[term]
+        where = gathered(self.postings, self.list_first[term], size)
+        width = self.blocks * self.block
+        lists = np.bincount(np.repeat(query * width, size) + self.doc[where], self.impact[where], rows * width).reshape(rows, self.blocks, self.block)
+        bound = ask @ self.dense_most[columns] + lists.max(2)
         floor = floor.copy()
         wide = min(self.blocks, max(1, -(-2 * k // self.block)) + 1)
-        ahead = np.zeros_like(known)
+        ahead = np.zeros((rows, self.blocks), bool)
         np.put_along_axis(ahead, np.argpartition(-bound, wide - 1, axis=1)[:, :wide], True, axis=1)
+        texts, score = np.zeros(0, np.int64), np.zeros((rows, 0))
+        known = np.zeros(self.blocks, bool)
         for wanted in (ahead, None):
-            todo = (bound > 0) & ~known & (bound >= floor[:, None] - 1e-6) if wanted is None else wanted & (bound > 0)
-            for j in np.flatnonzero(todo.any(0)):
-                some, texts = np.flatnonzero(todo[:, j]), slice(j * self.block, (j + 1) * self.block)
-                score[some, texts] = ask[some] @ self.dense[texts].T
-            mine = todo[at, doc // self.block]
-            score += np.bincount(at[mine] * score.shape[1] + doc[mine], impact[mine], score.size).reshape(score.shape)
-            known |= todo
+            todo = (bound > 0) & (bound >= floor[:, None] - 1e-6) if wanted is None else wanted & (bound > 0)
+            new = np.flatnonzero(todo.any(0) & ~known)  # a block is scored for the whole batch
+            known[new] = True
+            mine = (new[:, None] * self.block + np.arange(self.block)).ravel()
+            sums = lists[:, new].reshape(rows, len(mine)) + ask @ self.dense[columns[:, None], new].reshape(len(columns), len(mine))
+            texts, score = np.concatenate([texts, mine]), np.concatenate([score, sums], axis=1)
             if score.shape[1] > k:
                 floor = np.maximum(floor, np.partition(score, -k, axis=1)[:, -k])
+        row, hit = np.nonzero((score >= floor[:, None] - 1e-6) & (score > 0))
+        value, hit = np.round(score[row, hit], 6), texts[hit]
+        by = np.lexsort((self.ids[hit], -value, row))
+        hit, value, first = hit[by], value[by], _first_of(row, rows)
         for i in range(rows):
-            least = floor[i] - 1e-6
-            hit = np.flatnonzero((score[i] >= least) & (score[i] > 0))
-            value = np.round(score[i][hit], 6)
-            by = np.lexsort((self.ids[hit], -value))[:k]
-            yield a + i, hit[by], value[by]
+            own = slice(first[i], min(first[i] + k, first[i + 1]))
+            yield a + i, hit[own], value[own]
 
 
 def _statistics(docs: DataFrame, shared) -> tuple[np.ndarray, int, int]:
@@ -182,7 +207,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
         numbers = spark.sparkContext.broadcast((np.log(1 + (n - df + 0.5) / (df + 0.5)), max(tokens, 1) / max(n, 1)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, numbers=numbers) -> Iterator[pa.RecordBatch]:
-            q, (idf, mean) = shared.value, numbers.value
+            idf, mean = numbers.value
+            q = shared.value.alike(idf)
             top = [(np.zeros(0, np.int64), np.zeros(0))] * len(q.ids)  # of this task's shards so far
             floor = np.zeros(len(q.ids))
 

@@ -453,3 +453,25 @@ def test_shards_of_very_many_short_texts(docs, monkeypatch):
     shard = search.Shard(np.arange(8192), np.ones(8192, np.int64), np.arange(8192), np.zeros(8192, np.int64), 1, np.ones(1), 1.0)
     best = next(shard.best(q, 0, 1, 10, np.zeros(1)))
     assert sizes == [8192] and best[1].tolist() == list(range(10))
+
+
+def test_queries_with_the_same_common_words_share_batches():
+    rng = np.random.default_rng(3)
+    names = rng.integers(1, 1 << 63, 400, dtype=np.uint64)
+    some = lambda i, n: np.append(rng.choice(names[200 * (i % 2) :][:200], n), names[200 * (i % 2)])  # all texts of a language have its first word
+    terms = [np.unique(some(i, 30)) for i in range(60)]
+    q = search.Queries(list(range(60)), terms)
+    known = {h: i for i, h in enumerate(q.vocabulary.tolist())}
+    asked = np.concatenate([names, rng.integers(1, 1 << 63, 5000, dtype=np.uint64), q.vocabulary + np.uint64(len(q.table))])  # the last ones start at places that are taken
+    assert q.places(asked).tolist() == [known.get(h, -1) for h in asked.tolist()]
+    assert search.Queries([], []).places(asked).tolist() == [-1] * len(asked)
+    doc = np.repeat(np.arange(900), 26)
+    term = q.places(np.concatenate([some(i, 25) for i in range(900)]))
+    doc, term = doc[term >= 0], term[term >= 0]
+    df = np.bincount(np.unique(term * 900 + doc) // 900, minlength=len(q.vocabulary))
+    idf = np.log(1 + (900 - df + 0.5) / (df + 0.5))
+    near = q.alike(idf)
+    assert sorted(near.ids.tolist()) == list(range(60)) and len(set((near.ids[:30] % 2).tolist())) == len(set((near.ids[30:] % 2).tolist())) == 1
+    shard = search.Shard(np.arange(900), np.full(900, 26), doc, term, len(q.vocabulary), idf, 26.0)
+    got = [{int(x.ids[i]): (p.tolist(), np.round(v, 5).tolist()) for a in (0, 30) for i, p, v in shard.best(x, a, a + 30, 10, np.zeros(30))} for x in (q, near)]
+    assert got[0] == got[1] and all(len(p) == 10 for p, _ in got[0].values())

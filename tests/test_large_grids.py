@@ -1,10 +1,13 @@
-"""Steps of the regions' networks that grow with their tables: pairs of suppliers."""
+"""Steps of the regions' networks that grow with their tables: pairs of suppliers, arrays of all pairs."""
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from gridspark.operators import walks
 from gridspark.plans import fixtures as fx
 
 
@@ -40,3 +43,19 @@ def test_pairs_over_batches(monkeypatch, shift):
                 want[net, a, b] = want.get((net, a, b), 0) + 1
     assert got == want and got
     assert not list(fx._together(iter(())))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_small_islands_are_not_walked_source_by_source(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    edges = [(net, *sorted((r.randrange(9), r.randrange(9))), k, r.randint(1, 3) << (30 * (seed % 2))) for net in range(3) for k in range(r.choice([3, 9, 25]))]
+    frame = spark.createDataFrame(edges, "network_id long, u long, v long, key long, w long")
+    columns = ["network_id", "u", "v", "key", F.round("through", 9).alias("through"), "n", "total", "reached", "parts", F.when(~F.col("parts"), F.col("rest")).alias("rest")]
+    found = []
+    for dense in (walks.DENSE, 0):
+        monkeypatch.setattr(walks, "DENSE", dense)
+        found.append(sorted(map(str, walks.walk(frame).select(*columns).collect())))
+    assert found[0] == found[1]
+    u, v, w = (np.array([e[c] for e in edges if e[0] == 0]) for c in (1, 2, 4))
+    monkeypatch.setattr(walks, "DENSE", 512)
+    assert walks.Pairs.fits(walks.Network(u, v, w))

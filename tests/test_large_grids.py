@@ -1,13 +1,14 @@
-"""Steps of the regions' networks that grow with their tables: pairs of suppliers, arrays of all pairs."""
+"""Steps of the regions' networks that grow with their tables: pairs of suppliers, arrays of all pairs, cells of groups."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.operators import walks
+from gridspark.operators import graph, walks
 from gridspark.plans import fixtures as fx
 
 
@@ -59,3 +60,18 @@ def test_small_islands_are_not_walked_source_by_source(spark, monkeypatch, seed)
     u, v, w = (np.array([e[c] for e in edges if e[0] == 0]) for c in (1, 2, 4))
     monkeypatch.setattr(walks, "DENSE", 512)
     assert walks.Pairs.fits(walks.Network(u, v, w))
+
+
+def test_cells_of_groups_stay_arrays():
+    """Cells of many groups in one batch take no more memory than those of the largest."""
+    n, groups = 900, 400
+    one = [np.repeat(np.arange(30), 30), np.tile(np.arange(30), 30), np.ones(n, np.int64), np.ones(n), np.ones(n)]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    each = pa.StructArray.from_arrays([pa.array(np.tile(c, groups), k) for c, k in zip(one, kinds, strict=True)], names=["x", "y", "d", "p", "flow"])
+    cells = pa.ListArray.from_arrays(pa.array(np.arange(groups + 1) * n, pa.int32()), each)
+    tracemalloc.start()
+    met = graph._joints(cells.slice(1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(met) == groups - 1 and len(set(met)) == 1 and met[0] == graph._joint(np.stack(one, 1).astype(float))
+    assert peak < 4 << 20

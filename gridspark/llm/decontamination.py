@@ -125,8 +125,8 @@ def report(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int =
 
 
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """The rows, with all their columns, that report() does not call contaminated."""
-    _, found = hits(spark, docs, items, window, k)
+    """The rows, with all their columns, that have no window of an item; items without an id count as well."""
+    _, found = hits(spark, docs, items.select(F.xxhash64("text").alias("item_id"), "text"), window, k)
     dirty = stored(found.select("doc_id", "text_hash").distinct(), "winnow")
     whole = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))  # no name of docs can clash with another
     return _same(whole, dirty, "left_anti").select("_row.*")

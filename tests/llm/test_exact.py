@@ -440,6 +440,13 @@ def test_report_of_null_ids(spark, docs):
     assert left.columns == d.columns and sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "a clean text"), (1, "clean too")]
 
 
+def test_items_without_an_id_are_not_passed_over_where_texts_are_dropped(spark, docs):
+    passages = [" ".join(f"{w}{k}" for k in range(n)) for w, n in (("long", 14), ("brief", 4), ("known", 12), ("other", 12))]
+    items = spark.createDataFrame([(None, passages[0]), (None, passages[1]), (5, passages[2]), (5, passages[3]), (None, None), (None, "")], "item_id long, text string")
+    d = docs([*((k, f"before {p} after") for k, p in enumerate(passages)), (8, "a clean text"), (9, None)])
+    assert sorted(r.doc_id for r in decontamination.clean(spark, d, items).collect()) == [8, 9]
+
+
 def test_shards_of_very_many_short_texts(docs, monkeypatch):
     """A shard ends at a number of texts as well, whatever few bytes they have."""
     sizes, make = [], search.Shard.__init__
